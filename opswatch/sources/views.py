@@ -89,6 +89,24 @@ FROM (SELECT concat('a', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS S
   CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN NULL ELSE l_shipdate + INTERVAL '5' SECOND END AS started_at,
   CASE l_suppkey % 4 WHEN 0 THEN 'TIMEOUT' WHEN 1 THEN 'INVALID_INPUT' WHEN 2 THEN ' dependency_error ' ELSE 'other' END AS failure_category
  FROM lineitem) AS x""",
+    # run events with attempt detail: the run log plus what workers reported about their attempts
+    "run_event_details": f"""
+SELECT concat('e', CAST(event_id AS STRING)) AS event_id, concat('j', CAST(user_id * 31 + day(ts) AS STRING)) AS job_id,
+ CASE WHEN event_type = 'signup' THEN 'task.created' WHEN event_type = 'view' THEN 'task.queued' WHEN event_type = 'click' THEN 'task.started'
+      WHEN event_type = 'purchase' THEN 'task.completed' ELSE 'task.failed' END AS event_type, ts AS occurred_at,
+ concat('p', CAST(user_id % 7 AS STRING)) AS producer_id, event_id AS producer_sequence, '' AS attempt_id, '' AS worker_id,
+ CASE WHEN k < 10 THEN concat(CAST(event_id AS STRING), '-0') ELSE '' END AS stream_position
+FROM {_EV} AS x
+UNION ALL
+SELECT concat('s', attempt_id), job_id, 'attempt.started', l_shipdate + INTERVAL '6' SECOND, 'worker', 1, attempt_id, worker_id, ''
+FROM (SELECT *, concat('a', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-',
+   CAST(CAST(l_quantity AS INT) AS STRING)) AS attempt_id, concat('j', CAST(l_orderkey AS STRING)) AS job_id,
+   concat('w', CAST(l_suppkey % 100 AS STRING)) AS worker_id FROM lineitem) AS y WHERE l_linenumber % 2 = 0 AND NOT (l_returnflag = 'N' AND l_linestatus = 'O')
+UNION ALL
+SELECT concat('f', attempt_id), job_id, 'attempt.failed', l_shipdate + INTERVAL '1' HOUR, 'worker', 2, attempt_id, worker_id, ''
+FROM (SELECT *, concat('a', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-',
+   CAST(CAST(l_quantity AS INT) AS STRING)) AS attempt_id, concat('j', CAST(l_orderkey AS STRING)) AS job_id,
+   concat('w', CAST(l_suppkey % 100 AS STRING)) AS worker_id FROM lineitem) AS y WHERE l_linenumber % 2 = 0 AND l_returnflag = 'R' AND l_linestatus = 'F'""",
     "heartbeats": f"""
 SELECT event_id AS id, concat('w', CAST(user_id % 20 AS STRING)) AS worker_id, concat('i', CAST(user_id % 40 AS STRING)) AS instance_id,
  ts AS occurred_at, CAST(floor(value) AS INT) % 5 AS running_attempts, CASE WHEN user_id % 20 = 0 THEN 0 ELSE 5 END AS capacity
