@@ -34,7 +34,7 @@ def millis_between(later, earlier) -> Column:
 def shift(ts, seconds) -> Column:
     """``ts`` moved by a number of seconds (column or number), microsecond precision."""
     delta = seconds if isinstance(seconds, Column) else F.lit(seconds)
-    return F.timestamp_micros((F.unix_micros(instant(ts)) + (delta * MICROS)).cast("long"))
+    return F.timestamp_micros((F.unix_micros(instant(ts)) + (delta * F.lit(MICROS).cast("long"))).cast("long"))
 
 
 def whole(x: Column) -> Column:

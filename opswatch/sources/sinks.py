@@ -1,8 +1,9 @@
 """Writers: append, conditional append, keyed upsert.
 
-Plain parquet has no row update, so a keyed table is stored as immutable versions: an upsert writes the next
-version beside the current one and then moves a one-line pointer file. A writer that is lost half-way leaves an
-unreferenced folder and the pointer untouched, and a retried stream batch finds its own version already there.
+Plain parquet has no row update, so a keyed table is a log of changes: every upsert writes its rows to its own
+version folder and a reader takes the newest row per key. A write costs the size of the change, not of the table;
+a retried write replaces its own folder, so losing an executor or repeating a stream batch is harmless. ``compact``
+folds the log into a new table when reads should get cheaper.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "_current"
+VERSION = "version"
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -19,63 +20,28 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def new_rows(df: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose key is not among the existing ones."""
+    return df.join(existing.select(*key), key, "left_anti")
+
+
 def append_new(df: DataFrame, existing: DataFrame, key: list[str], path: str) -> None:
-    """Append rows whose key is not among the existing ones."""
-    append(df.join(existing.select(*key), key, "left_anti"), path)
-
-
-def merged(current: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """Current rows with changed keys replaced."""
-    return current.join(changes.select(*key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
-
-
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm, target
-
-
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """Name of the version folder the pointer names."""
-    fs, jvm, _ = _filesystem(spark, path)
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
-    if not fs.exists(pointer):
-        return None
-    stream = fs.open(pointer)
-    try:
-        return stream.readLine().strip()
-    finally:
-        stream.close()
-
-
-def read_keyed(spark: SparkSession, path: str) -> DataFrame | None:
-    """Current state of a keyed table, or None before the first write."""
-    version = current_version(spark, path)
-    return None if version is None else spark.read.parquet(f"{path}/{version}")
-
-
-def upsert(changes: DataFrame, path: str, key: list[str], version: str) -> None:
-    """Replace the rows of the changed keys. Repeating a version is harmless."""
-    spark = changes.sparkSession
-    if current_version(spark, path) == version:
-        return
-    current = read_keyed(spark, path)
-    state = changes if current is None else merged(current, changes, key)
-    state.write.mode("overwrite").parquet(f"{path}/{version}")
-    fs, jvm, _ = _filesystem(spark, path)
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}.{version}")
-    out = fs.create(fresh, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fresh, pointer, options)
-
-
-def last_value_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """One row per key of a micro batch, the one with the greatest ``order``."""
-    rest = [c for c in df.columns if c not in key]
-    best = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("row"))
-    return best.select(*key, *[F.col("row")[c].alias(c) for c in rest])
+    append(new_rows(df, existing, key), path)
+
+
+def upsert(changes: DataFrame, path: str, version: int) -> None:
+    """Write the new state of some keys, at most one row per key. Versions order the changes."""
+    changes.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{VERSION}={version}")
+
+
+def read_keyed(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """Newest row per key."""
+    log = spark.read.parquet(path)
+    rest = [c for c in log.columns if c not in key and c != VERSION]
+    newest = log.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(VERSION)).alias("row"))
+    return newest.select(*key, *[F.col("row")[c].alias(c) for c in rest])
+
+
+def compact(spark: SparkSession, path: str, key: list[str], target: str) -> None:
+    """Write the current state of ``path`` as version 0 of a new keyed table."""
+    upsert(read_keyed(spark, path, key), target, 0)
