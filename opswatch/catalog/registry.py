@@ -28,7 +28,11 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     visit(sql)
     if not ordered:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in ordered) + "\n" + sql
+    parts = ",\n".join(f"{n} AS ({known[n]})" for n in ordered)
+    recursive = "WITH RECURSIVE "
+    if sql.lstrip().startswith(recursive):
+        return f"{recursive}{parts},\n{sql.lstrip().removeprefix(recursive)}"
+    return f"WITH {parts}\n{sql}"
 
 
 def query(name: str, sql: str | None = None, views: dict[str, str] | None = None):

@@ -38,15 +38,15 @@ FROM (
 
 LEDGER_SQL = """
 SELECT schedule_id, occurrence_id, expected_at, outcome, run_id,
- CASE WHEN outcome = 'CREATED' THEN greatest(epoch_us(created_at) - epoch_us(expected_at), 0) / 1000000.0::DOUBLE END AS creation_lateness_seconds,
- CASE WHEN outcome = 'CREATED' THEN greatest(epoch_us(started_at) - epoch_us(expected_at), 0) / 1000000.0::DOUBLE
+ CASE WHEN outcome = 'CREATED' AND created_at IS NOT NULL THEN greatest(epoch_us(created_at) - epoch_us(expected_at), 0) / 1000000.0::DOUBLE END AS creation_lateness_seconds,
+ CASE WHEN outcome = 'CREATED' AND started_at IS NOT NULL THEN greatest(epoch_us(started_at) - epoch_us(expected_at), 0) / 1000000.0::DOUBLE
   END AS start_lateness_seconds, recorded_at, last_event_at
 FROM (
  SELECT schedule_id, schedule_occurrence_id AS occurrence_id,
   to_timestamp(CAST(split_part(schedule_occurrence_id, ':', 2) AS BIGINT)) AT TIME ZONE 'UTC' AS expected_at,
-  CASE WHEN min(CASE WHEN kind = 'C' THEN rn END) < coalesce(min(CASE WHEN kind = 'S' THEN rn END), 1 << 60) THEN 'CREATED'
+  CASE WHEN min(CASE WHEN kind = 'C' THEN rn END) < coalesce(min(CASE WHEN kind = 'S' THEN rn END), 999999999) THEN 'CREATED'
        WHEN min(CASE WHEN kind = 'S' THEN rn END) IS NOT NULL THEN 'SKIPPED' ELSE 'DUE' END AS outcome,
-  CASE WHEN min(CASE WHEN kind = 'C' THEN rn END) < coalesce(min(CASE WHEN kind = 'S' THEN rn END), 1 << 60)
+  CASE WHEN min(CASE WHEN kind = 'C' THEN rn END) < coalesce(min(CASE WHEN kind = 'S' THEN rn END), 999999999)
    THEN arg_min(job_id, rn) FILTER (WHERE kind = 'C' AND job_id <> '') END AS run_id,
   arg_min(occurred_at, rn) FILTER (WHERE event_type = 'schedule.occurrence_run_created') AS created_at,
   arg_min(occurred_at, rn) FILTER (WHERE event_type = 'attempt.started') AS started_at,

@@ -6,11 +6,12 @@ time chunks; (key, chunk) is the unit of work, and only one small summary row pe
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opswatch.functions.timing import MICROS
 
@@ -100,53 +101,48 @@ def newer_than_all_before(
 # --- keep at most one row per window, measured from the last kept row ---
 
 
-def next_allowed(times: np.ndarray, window: int) -> np.ndarray:
-    """For each time, the position of the first time at least ``window`` later."""
-    return np.searchsorted(times, times + window, side="left")
-
-
-def chunk_exits(times: np.ndarray, window: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+def chunk_steps(times: np.ndarray, window: int, start: int) -> tuple[list[int], list[int]]:
     """How a chunk maps its first kept time to its last kept time, as a step function.
 
-    Only times less than one window after ``start`` and the first one beyond can be kept first, because the last
-    kept time before the chunk is earlier than ``start``. Returned are the largest first-kept time and the
-    last-kept time of each step.
+    ``times`` are ascending. Only times less than one window after ``start`` and the first one beyond can be kept
+    first, because the last kept time before the chunk is earlier than ``start``. Returned are the largest
+    first-kept time and the last-kept time of each step.
     """
-    following = next_allowed(times, window)
-    last = times.copy()
-    for i in range(len(times) - 1, -1, -1):
-        if following[i] < len(times):
+    n = len(times)
+    if n == 1:
+        only = int(times[0])
+        return [only], [only]
+    following = np.searchsorted(times, times + window, side="left")
+    last = times.tolist()
+    for i in range(n - 1, -1, -1):
+        if following[i] < n:
             last[i] = last[following[i]]
-    entries = min(int(np.searchsorted(times, start + window, side="left")) + 1, len(times))
-    first, exits = times[:entries], last[:entries]
-    steps = np.append(exits[1:] != exits[:-1], True)
-    return first[steps], exits[steps]
+    entries = min(int(np.searchsorted(times, start + window, side="left")) + 1, n)
+    ends = [i for i in range(entries) if i == entries - 1 or last[i + 1] != last[i]]
+    return [int(times[i]) for i in ends], [last[i] for i in ends]
 
 
-def carry_through(chunks: list[tuple[np.ndarray, np.ndarray]], window: int) -> list[int | None]:
-    """Last kept time before each chunk, following the step functions in order."""
+def carry_through(chunks: list, window: int) -> list[int | None]:
+    """Last kept time before each chunk, following the (first, exit) step functions in order."""
     carried: list[int | None] = []
     last: int | None = None
     for first, exits in chunks:
         carried.append(last)
-        step = 0 if last is None else int(np.searchsorted(first, last + window, side="left"))
+        step = 0 if last is None else bisect_left(first, last + window)
         if step < len(exits):
             last = int(exits[step])
     return carried
 
 
-def kept_times(times: np.ndarray, window: int, last: int | None) -> np.ndarray:
-    """Times kept in a chunk given the last kept time before it."""
-    kept = []
+def kept_positions(times: np.ndarray, window: int, last: int | None) -> list[int]:
+    """Positions kept in a chunk given the last kept time before it."""
+    kept: list[int] = []
+    n = len(times)
     i = 0 if last is None else int(np.searchsorted(times, last + window, side="left"))
-    while i < len(times):
-        kept.append(times[i])
-        i = int(np.searchsorted(times, times[i] + window, side="left"))
-    return np.array(kept, dtype=np.int64)
-
-
-def _key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
-    return [T.StructField(k, df.schema[k].dataType, True) for k in keys]
+    while i < n:
+        kept.append(i)
+        i = n if n == 1 else int(np.searchsorted(times, times[i] + window, side="left"))
+    return kept
 
 
 def spaced(
@@ -159,55 +155,42 @@ def spaced(
 ) -> DataFrame:
     """Rows kept when each key may emit once per window, measured from the last **kept** row.
 
-    The decision is sequential, but a chunk acts on it as a small step function: which time was kept last as a
-    function of which was kept first. Chunks are summarised in parallel, the summaries are chained per key, and
-    the chunks then pick their rows in parallel. At equal times only the first row can be kept, so times are
-    made distinct before anything is shuffled.
+    The decision is sequential, but a time chunk acts on it as a small step function: which time is kept last as a
+    function of which is kept first. Chunks are summarised in parallel, only the summaries are chained along a key,
+    and the chunks then pick their rows in parallel. At equal times only the first row can be kept, so times are
+    made distinct before they are shuffled. ``tie`` must identify a row within its key.
     """
     window = int(window_seconds * MICROS)
     chunk = window * chunk_windows
-    firsts = (
-        df.groupBy(*keys, F.unix_micros(F.col(ts)).alias("_t"))
-        .agg(F.min(tie).alias(tie))
-        .withColumn(CHUNK, F.floor(F.col("_t") / F.lit(chunk)))
-    )
-    long = T.LongType()
-    summary_schema = T.StructType(
-        _key_fields(df, keys) + [T.StructField(n, long) for n in (CHUNK, "_first", "_exit")]
-    )
-    carry_schema = T.StructType(_key_fields(df, keys) + [T.StructField(n, long) for n in (CHUNK, "_last")])
-    kept_schema = T.StructType(_key_fields(df, keys) + [T.StructField("_t", long)])
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_t"].to_numpy(dtype=np.int64))
-        number = int(pdf[CHUNK].iloc[0])
-        first, exits = chunk_exits(times, window, number * chunk)
-        out = pd.DataFrame({CHUNK: number, "_first": first, "_exit": exits})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values([CHUNK, "_first"])
-        groups = list(ordered.groupby(CHUNK, sort=True))
-        carried = carry_through([(g["_first"].to_numpy(), g["_exit"].to_numpy()) for _, g in groups], window)
-        out = pd.DataFrame({CHUNK: [n for n, _ in groups], "_last": pd.array(carried, dtype="Int64")})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        last = pdf["_last"].iloc[0]
-        times = np.sort(pdf["_t"].to_numpy(dtype=np.int64))
-        out = pd.DataFrame({"_t": kept_times(times, window, None if pd.isna(last) else int(last))})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    summaries = firsts.groupBy(*keys, CHUNK).applyInPandas(summarise, summary_schema)
-    carried = summaries.groupBy(*keys).applyInPandas(chain, carry_schema)
-    kept = firsts.join(carried, [*keys, CHUNK], "left").groupBy(*keys, CHUNK).applyInPandas(pick, kept_schema)
-    rows = firsts.drop(CHUNK).join(kept, [*keys, "_t"], "left_semi").drop("_t")
+    firsts = df.groupBy(*keys, F.unix_micros(F.col(ts)).alias("_t")).agg(F.min(tie).alias(tie))
+    moments = F.array_sort(F.collect_list(F.struct("_t", tie)))
+    groups = firsts.groupBy(*keys, F.floor(F.col("_t") / F.lit(chunk)).alias(CHUNK)).agg(moments.alias("_moments"))
+    times = F.col("_moments")["_t"]
+
+    @F.pandas_udf("struct<first: array<bigint>, exit: array<bigint>>")
+    def steps(moments: pd.Series, number: pd.Series) -> pd.DataFrame:
+        pairs = [chunk_steps(np.asarray(t), window, int(c) * chunk) for t, c in zip(moments, number)]
+        return pd.DataFrame(pairs, columns=["first", "exit"])
+
+    @F.pandas_udf("array<bigint>")
+    def chain(chunks: pd.Series) -> pd.Series:
+        return pd.Series([carry_through([(list(c["first"]), c["exit"]) for c in key], window) for key in chunks], dtype=object)
+
+    @F.pandas_udf("array<int>")
+    def pick(moments: pd.Series, last: pd.Series) -> pd.Series:
+        carried = last.astype("Int64")
+        return pd.Series(
+            [kept_positions(np.asarray(t), window, None if pd.isna(b) else int(b)) for t, b in zip(moments, carried)], dtype=object
+        )
+
+    summaries = groups.select(*keys, CHUNK, steps(times, F.col(CHUNK)).alias("_steps"))
+    ordered = F.array_sort(F.collect_list(F.struct(CHUNK, "_steps")))
+    chains = summaries.groupBy(*keys).agg(ordered.alias("_chunks"))
+    carried = chains.select(
+        *keys, F.explode(F.arrays_zip(F.col("_chunks")[CHUNK].alias(CHUNK), chain(F.col("_chunks")["_steps"]).alias("_last"))).alias("c")
+    ).select(*keys, f"c.{CHUNK}", "c._last")
+    picked = groups.join(carried, [*keys, CHUNK]).select(*keys, "_moments", F.explode(pick(times, F.col("_last"))).alias("_i"))
+    rows = picked.select(*keys, F.col("_moments")[F.col("_i")][tie].alias(tie))
     return df.join(rows, [*keys, tie], "left_semi")
 
 
