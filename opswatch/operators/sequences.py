@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from opswatch.functions.timing import MICROS
 
 CHUNK = "_chunk"
+RUN = "_run_number"
+RUN_LENGTH = 1024
 HOUR = 3600
 
 
@@ -122,15 +124,35 @@ def chunk_steps(times: np.ndarray, window: int, start: int) -> tuple[list[int],
     return [int(times[i]) for i in ends], [last[i] for i in ends]
 
 
-def carry_through(chunks: list, window: int) -> list[int | None]:
-    """Last kept time before each chunk, following the (first, exit) step functions in order."""
-    carried: list[int | None] = []
-    last: int | None = None
+def follow(last: int | None, chunks: list, window: int) -> int | None:
+    """Last kept time after going through chunks of (first, exit) step functions."""
     for first, exits in chunks:
-        carried.append(last)
         step = 0 if last is None else bisect_left(first, last + window)
         if step < len(exits):
             last = int(exits[step])
+    return last
+
+
+def compose(chunks: list, window: int) -> tuple[list[int], list[int]]:
+    """Step function of consecutive chunks taken together.
+
+    Entry is in the first chunk, or in the second when every time of the first is too close to what was kept
+    before; the second then starts far enough away for its first step to apply.
+    """
+    first, exits = chunks[0]
+    entries = [(int(f), follow(int(e), chunks[1:], window)) for f, e in zip(first, exits)]
+    if len(chunks) > 1:
+        entries.append((int(chunks[1][0][0]), follow(int(chunks[1][1][0]), chunks[2:], window)))
+    kept = [e for i, e in enumerate(entries) if i == len(entries) - 1 or entries[i + 1][1] != e[1]]
+    return [f for f, _ in kept], [e for _, e in kept]
+
+
+def carry_through(chunks: list, window: int, last: int | None = None) -> list[int | None]:
+    """Last kept time before each chunk."""
+    carried: list[int | None] = []
+    for chunk in chunks:
+        carried.append(last)
+        last = follow(last, [chunk], window)
     return carried
 
 
@@ -172,9 +194,17 @@ def spaced(
         pairs = [chunk_steps(np.asarray(t), window, int(c) * chunk) for t, c in zip(moments, number)]
         return pd.DataFrame(pairs, columns=["first", "exit"])
 
+    def functions(key) -> list:
+        return [(list(c["first"]), list(c["exit"])) for c in key]
+
+    @F.pandas_udf("struct<first: array<bigint>, exit: array<bigint>>")
+    def combined(chunks: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([compose(functions(run), window) for run in chunks], columns=["first", "exit"])
+
     @F.pandas_udf("array<bigint>")
-    def chain(chunks: pd.Series) -> pd.Series:
-        return pd.Series([carry_through([(list(c["first"]), c["exit"]) for c in key], window) for key in chunks], dtype=object)
+    def chain(chunks: pd.Series, last: pd.Series) -> pd.Series:
+        before = [None if pd.isna(b) else int(b) for b in last.astype("Int64")]
+        return pd.Series([carry_through(functions(run), window, b) for run, b in zip(chunks, before)], dtype=object)
 
     @F.pandas_udf("array<int>")
     def pick(moments: pd.Series, last: pd.Series) -> pd.Series:
@@ -183,12 +213,23 @@ def spaced(
             [kept_positions(np.asarray(t), window, None if pd.isna(b) else int(b)) for t, b in zip(moments, carried)], dtype=object
         )
 
+    def chained(runs: DataFrame, number: str, last: Column) -> DataFrame:
+        """One row per member of each run with the time kept last before it."""
+        members = F.arrays_zip(
+            F.col("_run")[number].alias(number), chain(F.col("_run")["_steps"], last.cast("bigint")).alias("_last")
+        )
+        return runs.select(*keys, F.explode(members).alias("m")).select(*keys, f"m.{number}", "m._last")
+
+    def in_order(number: str) -> Column:
+        return F.array_sort(F.collect_list(F.struct(number, "_steps"))).alias("_run")
+
+    # chunks -> runs of chunks -> key, then back down: no task holds more than RUN_LENGTH summaries of a run,
+    # or one summary per run of a key
     summaries = groups.select(*keys, CHUNK, steps(times, F.col(CHUNK)).alias("_steps"))
-    ordered = F.array_sort(F.collect_list(F.struct(CHUNK, "_steps")))
-    chains = summaries.groupBy(*keys).agg(ordered.alias("_chunks"))
-    carried = chains.select(
-        *keys, F.explode(F.arrays_zip(F.col("_chunks")[CHUNK].alias(CHUNK), chain(F.col("_chunks")["_steps"]).alias("_last"))).alias("c")
-    ).select(*keys, f"c.{CHUNK}", "c._last")
+    runs = summaries.groupBy(*keys, F.floor(F.col(CHUNK) / F.lit(RUN_LENGTH)).alias(RUN)).agg(in_order(CHUNK))
+    per_key = runs.select(*keys, RUN, combined(F.col("_run")["_steps"]).alias("_steps")).groupBy(*keys).agg(in_order(RUN))
+    run_starts = chained(per_key, RUN, F.lit(None))
+    carried = chained(runs.join(run_starts, [*keys, RUN]), CHUNK, F.col("_last"))
     picked = groups.join(carried, [*keys, CHUNK]).select(*keys, "_moments", F.explode(pick(times, F.col("_last"))).alias("_i"))
     rows = picked.select(*keys, F.col("_moments")[F.col("_i")][tie].alias(tie))
     return df.join(rows, [*keys, tie], "left_semi")
