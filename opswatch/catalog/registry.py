@@ -49,3 +49,24 @@ def query(name: str, sql: str | None = None, views: dict[str, str] | None = None
         return fn
 
     return register
+
+
+def stream_query(name: str, sql: str | None = None, same_as: str | None = None):
+    """Register ``fn(spark, live, stored) -> DataFrame``: ``live`` tables are streams, ``stored`` ones are not.
+
+    ``same_as`` names the batch query whose result is expected.
+    """
+
+    def register(fn: Callable[[SparkSession, Tables, Tables], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(spark, raw_tables(spark, sf_dir, live=True), raw_tables(spark, sf_dir))
+
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
+        if same_as is not None:
+            ORACLES[name] = ORACLES[same_as]
+        elif sql is not None:
+            ORACLES[name] = with_views(sql.replace("$NOW", f"TIMESTAMP '{NOW}'"))
+        return fn
+
+    return register

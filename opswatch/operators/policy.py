@@ -180,8 +180,8 @@ def detected(text: Column, policy: Policy, in_json: bool) -> Column:
     return detector_udf(usable, in_json)(F.when(needed, text))
 
 
-def findings_of(matches: Column, policy: Policy, where: Context, fixed_path: str | None = None) -> Column:
-    """Matches as findings: cards checked, type, detector and rule attached, overlaps settled, IGNORE dropped."""
+def evaluated(matches: Column, policy: Policy, where: Context, fixed_path: str | None = None) -> Column:
+    """Matches as findings in detection order: cards checked, type, detector and rule attached."""
     kinds = F.array(*[F.lit(d["piiType"]) for d in policy.detectors])
     idents = F.array(*[F.lit(d["id"]) for d in policy.detectors])
 
@@ -198,8 +198,12 @@ def findings_of(matches: Column, policy: Policy, where: Context, fixed_path: str
 
     found = F.transform(F.coalesce(matches, F.array().cast(EMPTY_MATCHES)), finding)
     checked = F.filter(found, lambda f: (f["type"] != CARD_TYPE) | luhn_valid(f["match"]))
-    ruled = F.transform(checked, lambda f: F.struct(*[f[c].alias(c) for c in FINDING], resolved_rule(f, policy, where).alias("rule")))
-    return F.filter(settle_overlaps(ruled), lambda f: f["rule"]["action"] != "IGNORE")
+    return F.transform(checked, lambda f: F.struct(*[f[c].alias(c) for c in FINDING], resolved_rule(f, policy, where).alias("rule")))
+
+
+def kept_findings(findings: Column) -> Column:
+    """Overlaps settled first, then IGNORE dropped: an ignored finding may still push out a weaker one."""
+    return F.filter(settle_overlaps(findings), lambda f: f["rule"]["action"] != "IGNORE")
 
 
 FINDING = ("type", "detector_id", "ordinal", "path", "start", "end", "match")

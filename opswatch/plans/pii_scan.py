@@ -14,7 +14,8 @@ from opswatch.operators.policy import (
     Policy,
     context,
     detected,
-    findings_of,
+    evaluated,
+    kept_findings,
     masked_value,
     numbered,
     numbered_marker,
@@ -54,10 +55,11 @@ def with_findings(df: DataFrame, text: str, policy: Policy, where: Context, in_j
     """
     d = f"{prefix}detection"
     scanned = df.withColumn(d, detected(F.col(text), policy, in_json))
-    found = findings_of(F.col(d)["matches"], policy, where)
-    return scanned.withColumn(f"{prefix}findings", numbered(found)).withColumn(
+    found = scanned.withColumn("_found", evaluated(F.col(d)["matches"], policy, where))
+    kept = found.withColumn("_found", kept_findings(F.col("_found")))
+    return kept.withColumn(f"{prefix}findings", numbered(F.col("_found"))).withColumn(
         f"{prefix}structured", F.coalesce(F.col(d)["structured"], F.lit(False))
-    )
+    ).drop("_found")
 
 
 def with_sanitized(df: DataFrame, text: str, policy: Policy, out: str, prefix: str = "") -> DataFrame:
@@ -128,8 +130,8 @@ def unreadable_count(opened: DataFrame) -> DataFrame:
 def dry_run(df: DataFrame, keys: list[str], text: str, policy: Policy, source: str = "JOB_PAYLOAD") -> DataFrame:
     """What a candidate policy would find: matched text, action and masked preview, before overlaps are settled."""
     scanned = df.withColumn("detection", detected(F.col(text), policy, in_json=False))
-    where = context(source)
-    exploded = scanned.select(*keys, F.explode(findings_of(F.col("detection")["matches"], policy, where)).alias("f"))
+    found = evaluated(F.col("detection")["matches"], policy, context(source))
+    exploded = scanned.select(*keys, F.explode(found).alias("f"))
     f = F.col("f")
     preview = F.when(f["rule"]["action"] == "MASK", masked_value(f["match"], f["rule"]["rule_id"], policy))
     return exploded.select(
@@ -217,10 +219,11 @@ def scan_submissions(tasks: DataFrame, policy: Policy) -> DataFrame:
     job_type, queue = F.col("task_type"), F.col("queue")
     payload = with_findings(tasks, "payload", policy, context("JOB_PAYLOAD", job_type, queue), prefix="payload_")
     named = payload.withColumn("name_detection", detected(F.col("task_name"), policy, in_json=False))
-    name_found = findings_of(
+    name_found = evaluated(
         F.col("name_detection")["matches"], policy, context(METADATA_SOURCE, job_type, queue), METADATA_PATH
     )
-    numbered_on = named.withColumn("name_findings", numbered(name_found, F.col("payload_findings")))
+    settled = named.withColumn("_found", name_found).withColumn("_found", kept_findings(F.col("_found")))
+    numbered_on = settled.withColumn("name_findings", numbered(F.col("_found"), F.col("payload_findings")))
     scanned = with_sanitized(numbered_on, "payload", policy, "_payload", prefix="payload_")
     withheld = F.col("_payload").isNull() & F.col("payload").isNotNull()
     name = rewritten_text(

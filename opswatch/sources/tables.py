@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from opswatch.session import configure
 from opswatch.sources.driver_tables import SCHEMAS, read_raw
 from opswatch.sources.views import VIEWS, raw_inputs, render
+from opswatch.streaming.sources import file_stream
 
 # state tables that carry a soft-delete marker
 SOFT_DELETE = "deleted_at"
@@ -68,17 +69,23 @@ def literal_tables(**frames: DataFrame) -> Tables:
     return Tables(missing, **frames)
 
 
-def raw_tables(spark: SparkSession, directory: str) -> Tables:
-    """Operational views over the raw driver tables in ``directory``, plus the raw tables themselves."""
+def raw_tables(spark: SparkSession, directory: str, live: bool = False) -> Tables:
+    """Operational views over the raw driver tables in ``directory``, plus the raw tables themselves.
+
+    With ``live`` every table is a stream of the same files.
+    """
     configure(spark)
-    tag = "ow_" + hashlib.sha256(directory.encode()).hexdigest()[:8]
+    tag = ("ow_live_" if live else "ow_") + hashlib.sha256(directory.encode()).hexdigest()[:8]
+
+    def read(name: str) -> DataFrame:
+        return file_stream(spark, directory, SCHEMAS[name], f"{name}.parquet") if live else read_raw(spark, directory, name)
 
     def load(name: str) -> DataFrame:
         if name in SCHEMAS:
-            return read_raw(spark, directory, name)
+            return read(name)
         sql = render(VIEWS[name], "spark")
         for raw in raw_inputs(name):
-            read_raw(spark, directory, raw).createOrReplaceTempView(f"{tag}_{raw}")
+            read(raw).createOrReplaceTempView(f"{tag}_{raw}")
             sql = re.sub(rf"\bFROM {raw}\b", f"FROM {tag}_{raw}", sql)
         return spark.sql(sql)
 
