@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from opswatch.catalog.registry import query
 from opswatch.catalog.shared import FOLD_SQL, STORED, number_of, with_projections
-from opswatch.functions.status import attempt_kind, failure_category, latest_transition, status_class, status_label, status_of
+from opswatch.functions.status import (
+    asserted_status,
+    attempt_kind,
+    failure_category,
+    latest_transition,
+    status_class,
+    status_label,
+    status_of,
+)
+from opswatch.functions.timing import shift
 from opswatch.operators import filters, folds, latest, paging
 from opswatch.plans import maintenance, runs, timeline
 from opswatch.plans.reports import side_by_side
@@ -233,16 +242,37 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """The newest page only: children are cut to the page before they are aggregated."""
     page = paging.keyset_page(t.tasks, "created_at", "id", 200)
-    return runs.hydrate_runs(with_projections(t), page)
+    return runs.hydrate_runs(with_projections(t), page, page=True)
+
+
+@query("run_detail", HYDRATED_SQL + " WHERE t.job_id = 'j1209'", STORED)
+def _(t: Tables) -> DataFrame:
+    return runs.run_detail(with_projections(t), "j1209")
 
 
 @query(
     "chain_findings",
-    """SELECT r.job_id, r.execution_chain_id, f.job_id AS found_in, f.id AS finding_id, f.type, f.detector_id, f.source, f.policy_action
-FROM findings AS f JOIN tasks AS m ON m.job_id = f.job_id JOIN tasks AS r ON r.execution_chain_id = m.execution_chain_id""",
+    """SELECT m.execution_chain_id, f.job_id, f.id AS finding_id, f.type, f.detector_id, f.confidence, f.source, f.index, f.policy_action
+FROM findings AS f JOIN tasks AS m ON m.job_id = f.job_id""",
+)
+def _(t: Tables) -> DataFrame:
+    return runs.chain_findings(t)
+
+
+@query(
+    "page_findings",
+    """SELECT p.job_id, p.execution_chain_id, f.job_id AS found_in, f.id AS finding_id, f.type, f.policy_action
+FROM (SELECT * FROM tasks WHERE status = 'Failed' ORDER BY created_at DESC, id DESC LIMIT 200) AS p JOIN tasks AS m ON m.execution_chain_id = p.execution_chain_id
+JOIN findings AS f ON f.job_id = m.job_id""",
 )
 def _(t: Tables) -> DataFrame:
-    return runs.chain_findings(t, t.tasks)
+    page = paging.keyset_page(filters.filter_runs(t.tasks, execution_state="Failed"), "created_at", "id", 200)
+    return runs.page_findings(t, page).select("job_id", "execution_chain_id", "found_in", "finding_id", "type", "policy_action")
+
+
+@query("asserted_statuses", "SELECT event_type, max(s) AS status, count(*) AS n FROM (SELECT *, CASE event_type WHEN 'task.created' THEN 'Pending' WHEN 'task.queued' THEN 'Queued' WHEN 'task.started' THEN 'Running' WHEN 'task.completed' THEN 'Completed' WHEN 'task.failed' THEN 'Failed' WHEN 'task.blocked' THEN 'Blocked' END AS s FROM event_log) AS x GROUP BY event_type")
+def _(t: Tables) -> DataFrame:
+    return t.event_log.groupBy("event_type").agg(F.max(asserted_status(F.col("event_type"))).alias("status"), F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -396,6 +426,24 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "expired_bodies",
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS sanitized_body, doc_id % 3 = 0 OR doc_id % 5 = 0 AS body_expired FROM (
+ SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text FROM documents) AS x""",
+)
+def _(t: Tables) -> DataFrame:
+    """Bodies of artifacts past their retention are blanked; the rows stay."""
+    gone = F.col("doc_id") % 5 == 0
+    age = F.when(F.col("doc_id") % 3 == 0, F.lit(200)).otherwise(F.lit(2))
+    artifacts = t.documents.select(
+        "doc_id",
+        F.when(gone, F.lit("")).otherwise(F.col("text")).alias("sanitized_body"),
+        gone.alias("body_expired"),
+        shift(NOW, -age * 3600).alias("produced_at"),
+    )
+    return maintenance.expire_bodies(artifacts, NOW, 100).drop("produced_at")
+
+
 @query("retention", "SELECT * FROM annotations WHERE resolved_at IS NULL OR resolved_at >= $NOW - INTERVAL '72' HOUR")
 def _(t: Tables) -> DataFrame:
     return maintenance.retention(t.annotations, "resolved_at", NOW, 72)

@@ -147,6 +147,20 @@ def _(t: Tables) -> DataFrame:
     return reports.schedule_runs(with_projections(t))
 
 
+@query(
+    "schedule_detail",
+    """SELECT t.job_id AS run_id, t.status, t.created_at, (epoch_us(t.created_at) - epoch_us(t.expected_at)) / 1000000.0::DOUBLE AS creation_drift_seconds FROM tasks AS t
+WHERE schedule_id = 's7' ORDER BY created_at DESC, id DESC LIMIT 100""",
+)
+def _(t: Tables) -> DataFrame:
+    return reports.schedule_runs(with_projections(t), "s7").select("run_id", "status", "created_at", "creation_drift_seconds")
+
+
+@query("schedule_occurrences", "SELECT * FROM ledger WHERE schedule_id = 's7' ORDER BY expected_at DESC, occurrence_id DESC LIMIT 50", STORED)
+def _(t: Tables) -> DataFrame:
+    return reports.schedule_occurrences(ledger(t), "s7")
+
+
 @query(
     "schedule_cards",
     """SELECT r.*, coalesce(m.n, 0) AS missed_delayed FROM (

@@ -26,6 +26,7 @@ from opswatch.operators.latest import (
     newest_queue_samples,
     newest_workers,
 )
+from opswatch.plans.reports import side_by_side
 from opswatch.sources.tables import Tables, visible
 
 SILENT_AFTER = 60
@@ -360,34 +361,26 @@ def pipeline_lag(events: DataFrame, published: DataFrame | None = None) -> DataF
     if published is None:
         return out
     done = published.agg(F.count(F.lit(1)).alias("published"))
-    backlog = F.greatest(F.col("recorded") - F.col("published"), F.lit(0)).alias("backlog")
-    one = F.lit(1)
-    return out.withColumn("_one", one).join(F.broadcast(done.withColumn("_one", one)), "_one").drop("_one").withColumn(
-        "backlog", backlog
-    )
+    return side_by_side(out, done).withColumn("backlog", F.greatest(F.col("recorded") - F.col("published"), F.lit(0)))
 
 
 def derived_components(tables: Tables, now, last_alert_sweep=None) -> DataFrame:
     """Report rows for the parts of the platform that have no instance of their own, judged by their data."""
-    busy = work_in_flight(visible(tables.tasks), now)
     fed = [
         ("MONITORING_INGESTOR", "Monitoring Ingestor", "event ingestion", tables.event_log, "ingested_at"),
         ("MONITORING_PROJECTOR", "Monitoring Projector", "projection", tables.run_projections, "last_event_at"),
         ("PII_SCANNER", "PII Scanner", "PII scan", tables.tasks, "created_at"),
     ]
-    observed = reduce(
-        DataFrame.unionByName,
-        [
-            df.agg(F.max(column).alias("at")).select(
-                F.lit(kind).alias("component_kind"), F.lit(name).alias("display_name"), F.lit(label).alias("label"), "at"
-            )
-            for kind, name, label, df, column in fed
-        ],
+    newest = [df.agg(F.max(column).alias(kind)) for kind, _, _, df, column in fed]
+    rows = F.array(
+        *[
+            F.struct(F.lit(kind).alias("component_kind"), F.lit(name).alias("display_name"), F.lit(label).alias("label"), F.col(kind).alias("at"))
+            for kind, name, label, _, _ in fed
+        ]
     )
-    # one row on the broadcast side: an aggregate without keys
-    joined = observed.withColumn("_one", F.lit(1)).join(F.broadcast(busy.withColumn("_one", F.lit(1))), "_one")
+    observed = side_by_side(work_in_flight(visible(tables.tasks), now), *newest).select("busy", F.inline(rows))
     at = F.col("at")
-    activity = joined.select(
+    activity = observed.select(
         "component_kind",
         "display_name",
         v.activity_verdict(at, now, F.col("busy")).alias("health"),

@@ -37,9 +37,9 @@ ROUTE_WORDS = (
 
 
 def side_by_side(*one_row: DataFrame) -> DataFrame:
-    """Join frames that each hold exactly one row (aggregates without keys) into one row."""
-    keyed = [df.withColumn("_one", F.lit(1)) for df in one_row]
-    return reduce(lambda a, b: a.join(F.broadcast(b), "_one"), keyed).drop("_one")
+    """One row from frames that each hold exactly one row (aggregates without keys), without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def count_where(condition: Column, name: str) -> Column:
@@ -411,20 +411,15 @@ def known_revisions(workers: DataFrame) -> DataFrame:
 
 
 def merge_rows(first: DataFrame, second: DataFrame, key: str = "display_name") -> DataFrame:
-    """Union by name in which ``second`` wins, superseded names go, and known names come first in fixed order.
-
-    Both inputs are component reports, one row per named component.
-    """
-    names = second.select(F.col(key).alias("present")).distinct()
+    """Union by name in which ``second`` wins, superseded names go, and known names come first in fixed order."""
     kept = first.join(second.select(key), key, "left_anti")
-    for old, replacements in SUPERSEDED_BY.items():
-        present = names.filter(F.col("present").isin(*replacements)).agg((F.count(F.lit(1)) == len(replacements)).alias("gone"))
-        gone = present.filter("gone").select(F.lit(old).alias(key))
-        kept = kept.join(gone, key, "left_anti")
+    needs = F.create_map(*[x for old, new in SUPERSEDED_BY.items() for x in (F.lit(old), F.array(*[F.lit(n) for n in new]))])
+    replaced = kept.select(key, F.explode(F.try_element_at(needs, F.col(key))).alias("need"))
+    present = second.select(F.col(key).alias("need"), F.lit(True).alias("present")).distinct()
+    gone = replaced.join(present, "need", "left").groupBy(key).agg(F.every(F.col("present").isNotNull()).alias("gone")).filter("gone")
+    merged = second.unionByName(kept.join(gone, key, "left_anti").select(*second.columns))
     position = F.array_position(F.array(*[F.lit(n) for n in COMPONENT_ORDER]), F.col(key))
-    return second.unionByName(kept.select(*second.columns)).withColumn(
-        "position", F.when(position > 0, position).otherwise(F.lit(len(COMPONENT_ORDER) + 1)).cast("int")
-    )
+    return merged.withColumn("position", F.when(position > 0, position).otherwise(F.lit(len(COMPONENT_ORDER) + 1)).cast("int"))
 
 
 # --- access log and policy ---

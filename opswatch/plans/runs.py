@@ -11,6 +11,7 @@ from opswatch.functions.timing import seconds_between
 from opswatch.operators.filters import RUN_SUBJECTS
 from opswatch.operators.folds import run_projections
 from opswatch.operators.latest import latest_per_key
+from opswatch.operators.skew import spread_blank
 from opswatch.sources.tables import Tables
 
 COUNT_COLUMNS = (
@@ -45,7 +46,7 @@ def fill_correlation(events: DataFrame, tasks: DataFrame) -> DataFrame:
     scoped = F.col("run_scoped")
     kind, subject = F.col("event_type"), F.col("job_id")
     keyed = events.withColumn("run_scoped", is_run_scoped(subject, kind)).withColumn(
-        "_run", F.when(F.col("run_scoped"), subject)
+        "_run", spread_blank(F.when(F.col("run_scoped"), subject), F.col("event_id"))
     )
     joined = keyed.join(run.withColumnRenamed("job_id", "_run"), "_run", "left")
 
@@ -205,38 +206,43 @@ def orphans(projections: DataFrame, tasks: DataFrame) -> DataFrame:
 # --- hydration ---
 
 
-def hydrate_runs(tables: Tables, runs: DataFrame) -> DataFrame:
+def hydrate_runs(tables: Tables, runs: DataFrame, page: bool = False) -> DataFrame:
     """Runs with projection, newest attempt, chain findings, open alerts, annotations and schedule.
 
-    Every child table is aggregated to one row per run (or chain) before the join. When ``runs`` is a page, the
-    children are first cut to that page by semi join, so only the page's rows are aggregated.
+    Every child table is aggregated to one row per run (or chain) before the join. For a page the children are
+    first cut to the page's runs, so only those rows are aggregated.
     """
-    page = runs.select("job_id", "execution_chain_id")
-    attempts = attempt_summary(tables.attempts.join(page, "job_id", "left_semi"))
-    projected = tables.run_projections.select(
+
+    def related(df: DataFrame, key: str = "job_id") -> DataFrame:
+        return df.join(runs.select(F.col("job_id").alias(key)), key, "left_semi") if page else df
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return related(df, "subject_id").groupBy(F.col("subject_id").alias("job_id")).agg(F.count(F.lit(1)).alias(name))
+
+    attempts = attempt_summary(related(tables.attempts))
+    projected = related(tables.run_projections).select(
         "job_id", "current_status", "queued_at", "started_at", "completed_at", "last_event_at", "was_reclaimed"
     )
-    chain_findings = findings_by_chain(tables, page)
-    alerts = (
-        tables.alerts.filter((F.col("subject_type") == "RUN") & (F.col("status") == "OPEN"))
-        .groupBy(F.col("subject_id").alias("job_id"))
-        .agg(F.count(F.lit(1)).alias("active_alert_count"))
-    )
-    annotations = (
-        tables.annotations.filter(F.col("subject_type").isin(*RUN_SUBJECTS))
-        .groupBy(F.col("subject_id").alias("job_id"))
-        .agg(F.count(F.lit(1)).alias("annotation_count"))
+    alerts = counted(
+        tables.alerts.filter((F.col("subject_type") == "RUN") & (F.col("status") == "OPEN")), "active_alert_count"
     )
+    annotations = counted(tables.annotations.filter(F.col("subject_type").isin(*RUN_SUBJECTS)), "annotation_count")
+    findings = findings_per_chain(tables, runs if page else None)
     schedules = tables.schedule_definitions.select(
-        "schedule_id", F.col("enabled").alias("schedule_enabled"), F.col("next_run_at").alias("schedule_next_run_at")
+        F.col("schedule_id").alias("_schedule"),
+        F.col("enabled").alias("schedule_enabled"),
+        F.col("next_run_at").alias("schedule_next_run_at"),
+    )
+    keyed = runs.withColumn("_schedule", spread_blank(F.col("schedule_id"), F.col("id"))).withColumn(
+        "_chain", spread_blank(F.col("execution_chain_id"), F.col("id"))
     )
     joined = (
-        runs.join(projected, "job_id", "left")
+        keyed.join(projected, "job_id", "left")
         .join(attempts, "job_id", "left")
-        .join(chain_findings, "execution_chain_id", "left")
         .join(alerts, "job_id", "left")
         .join(annotations, "job_id", "left")
-        .join(schedules, "schedule_id", "left")
+        .join(findings.withColumnRenamed("execution_chain_id", "_chain"), "_chain", "left")
+        .join(schedules, "_schedule", "left")
     )
     latest = F.col("latest")
     return joined.select(
@@ -267,24 +273,29 @@ def hydrate_runs(tables: Tables, runs: DataFrame) -> DataFrame:
     )
 
 
-def findings_by_chain(tables: Tables, page: DataFrame) -> DataFrame:
-    """Number of findings per execution chain of the page; findings of runs without a chain are dropped."""
-    chains = page.filter(F.coalesce("execution_chain_id", F.lit("")) != "").select("execution_chain_id")
-    members = tables.tasks.join(chains, "execution_chain_id", "left_semi").select("job_id", "execution_chain_id")
-    per_run = tables.findings.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_run.join(members, "job_id").groupBy("execution_chain_id").agg(F.sum("n").alias("chain_finding_count"))
-
+def chain_findings(tables: Tables, runs: DataFrame | None = None) -> DataFrame:
+    """Findings with the chain of the run they were found in; findings of runs without a chain are dropped.
 
-def chain_findings(tables: Tables, runs: DataFrame) -> DataFrame:
-    """Every finding of a run's chain, attached to each of the given runs of that chain, as rows."""
-    members = tables.tasks.select(F.col("job_id").alias("found_in"), "execution_chain_id")
-    found = tables.findings.withColumnRenamed("job_id", "found_in").join(members, "found_in")
-    wanted = runs.filter(F.coalesce("execution_chain_id", F.lit("")) != "").select("job_id", "execution_chain_id")
-    return found.join(wanted, "execution_chain_id").select(
-        "job_id", "execution_chain_id", "found_in", F.col("id").alias("finding_id"), "type", "detector_id", "source", "policy_action"
+    ``runs`` limits the chains. One row per finding: a chain's list is shared by its runs, not copied to each.
+    """
+    members = tables.tasks.filter(F.coalesce("execution_chain_id", F.lit("")) != "").select("job_id", "execution_chain_id")
+    if runs is not None:
+        members = members.join(runs.select("execution_chain_id"), "execution_chain_id", "left_semi")
+    return tables.findings.join(members, "job_id").select(
+        "execution_chain_id", "job_id", F.col("id").alias("finding_id"), "type", "detector_id", "confidence", "source", "index", "policy_action"
     )
 
 
+def findings_per_chain(tables: Tables, runs: DataFrame | None = None) -> DataFrame:
+    return chain_findings(tables, runs).groupBy("execution_chain_id").agg(F.count(F.lit(1)).alias("chain_finding_count"))
+
+
+def page_findings(tables: Tables, page: DataFrame) -> DataFrame:
+    """The chain's findings attached to each run of a page (at most one page of runs)."""
+    found = chain_findings(tables, page).withColumnRenamed("job_id", "found_in")
+    return page.select("job_id", "execution_chain_id").join(found, "execution_chain_id")
+
+
 def page_attempts(tables: Tables, page: DataFrame) -> DataFrame:
     """Attempts of the page's runs as rows, in attempt order within a run."""
     return tables.attempts.join(page.select("job_id"), "job_id", "left_semi")
@@ -292,7 +303,7 @@ def page_attempts(tables: Tables, page: DataFrame) -> DataFrame:
 
 def run_detail(tables: Tables, job_id: str) -> DataFrame:
     """One hydrated run."""
-    return hydrate_runs(tables, tables.tasks.filter(F.col("job_id") == job_id))
+    return hydrate_runs(tables, tables.tasks.filter(F.col("job_id") == job_id), page=True)
 
 
 # --- run and chain metrics ---

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opswatch.functions.status import attempt_kind
 from opswatch.operators.filters import RUN_SUBJECTS
 from opswatch.operators.paging import TIMELINE_CAP, capped
+from opswatch.operators.skew import spread_blank
 from opswatch.sources.tables import Tables
 
 DETAIL = {
@@ -44,8 +45,9 @@ def steps(df: DataFrame, moments: list[tuple[Column, Column]]) -> DataFrame:
 
 def event_entries(tables: Tables) -> DataFrame:
     """Events, attempt events enriched with their attempt number."""
-    numbers = tables.attempts.select("attempt_id", "attempt_number")
-    events = tables.run_event_details.join(numbers, "attempt_id", "left")
+    numbers = tables.attempts.select(F.col("attempt_id").alias("_attempt"), "attempt_number")
+    keyed = tables.run_event_details.withColumn("_attempt", spread_blank(F.col("attempt_id"), F.col("event_id")))
+    events = keyed.join(numbers, "_attempt", "left")
     blank_to_null = F.nullif
     return events.select(
         *entry(
@@ -118,18 +120,24 @@ def annotation_entries(tables: Tables) -> DataFrame:
     )
 
 
-def timeline_entries(tables: Tables, chain_id: str | None = None, can_read_pii: bool = True) -> DataFrame:
-    """Entries of one chain, or of every chain, with the chain they belong to.
+SUBJECT = {"run_event_details": "job_id", "attempts": "job_id", "findings": "job_id", "alerts": "subject_id", "annotations": "subject_id"}
 
-    For one chain the chain's run ids reach every source as a semi join, before any other work.
-    """
-    runs = tables.tasks.select(F.col("job_id").alias("run_id"), "execution_chain_id")
-    if chain_id is not None:
-        runs = runs.filter(F.col("execution_chain_id") == chain_id)
+
+def only_about(tables: Tables, runs: DataFrame) -> Tables:
+    """Every source of the timeline cut to the given runs by a semi join."""
+    cut = {
+        name: tables[name].join(runs.select(F.col("job_id").alias(key)), key, "left_semi") for name, key in SUBJECT.items()
+    }
+    return tables.with_tables(tasks=runs, **cut)
+
+
+def timeline_entries(tables: Tables, can_read_pii: bool = True) -> DataFrame:
+    """Entries of every run, with the chain they belong to."""
     parts = [event_entries(tables), attempt_entries(tables)]
     if can_read_pii:
         parts.append(finding_entries(tables))
     parts += [alert_entries(tables), annotation_entries(tables)]
+    runs = tables.tasks.select(F.col("job_id").alias("run_id"), "execution_chain_id")
     return reduce(DataFrame.unionByName, parts).join(runs, "run_id")
 
 
@@ -139,11 +147,12 @@ def timeline_order() -> list[Column]:
 
 def chain_timeline(tables: Tables, chain_id: str, can_read_pii: bool = True, cap: int = TIMELINE_CAP) -> DataFrame:
     """First ``cap`` entries of a chain in time order, flagged when there are more."""
-    return capped(timeline_entries(tables, chain_id, can_read_pii), timeline_order(), cap)
+    members = tables.tasks.filter(F.col("execution_chain_id") == chain_id)
+    return capped(timeline_entries(only_about(tables, members), can_read_pii), timeline_order(), cap)
 
 
 def run_timeline(tables: Tables, job_id: str, can_read_pii: bool = True, cap: int = TIMELINE_CAP) -> DataFrame:
     """Timeline of the chain a run belongs to."""
     own = tables.tasks.filter(F.col("job_id") == job_id).select("execution_chain_id")
     members = tables.tasks.join(own, "execution_chain_id", "left_semi")
-    return capped(timeline_entries(tables.with_tables(tasks=members), None, can_read_pii), timeline_order(), cap)
+    return capped(timeline_entries(only_about(tables, members), can_read_pii), timeline_order(), cap)

@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # texts are long: a batch handed to Python holds fewer rows than the default
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
