@@ -96,7 +96,7 @@ CRITICAL = "event_type IN ('task.failed', 'run.lost', 'worker.offline', 'queue.n
     ),
 )
 def _(t: Tables) -> DataFrame:
-    critical = feed.priority(F.col("event_type")) == "CRITICAL"
+    critical = feed.is_critical(F.col("event_type"))
     return sequences.coalesced(t.activity_log, critical, 6 * 3600).select("id", "event_type", "job_id", "occurred_at")
 
 

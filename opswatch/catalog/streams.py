@@ -58,7 +58,7 @@ def _(spark: SparkSession, live: Tables, stored: Tables) -> DataFrame:
 @stream_query("coalesced_stream", same_as="coalesced")
 def _(spark: SparkSession, live: Tables, stored: Tables) -> DataFrame:
     events = live.activity_log.select("id", "event_type", "job_id", "occurred_at")
-    critical = feed.priority(F.col("event_type")) == "CRITICAL"
+    critical = feed.is_critical(F.col("event_type"))
     return collected(keyed.coalesced_stream(events, critical, 6 * 3600, NEVER_LATE), "coalesced")
 
 

@@ -210,7 +210,7 @@ def priority(event_type: Column, severity: Column | None = None) -> Column:
         event_type, [p + "." for p in INFORMATIONAL_PREFIXES]
     )
     plain = (
-        F.when(event_type.isin(*CRITICAL_TYPES), F.lit("CRITICAL"))
+        F.when(is_critical(event_type), F.lit("CRITICAL"))
         .when(informational, F.lit("INFORMATIONAL"))
         .otherwise(F.lit("NORMAL"))
     )
@@ -220,6 +220,11 @@ def priority(event_type: Column, severity: Column | None = None) -> Column:
     return F.when(minor, F.lit("NORMAL")).otherwise(plain)
 
 
+def is_critical(event_type: Column) -> Column:
+    """Types that are critical whatever their severity."""
+    return event_type.isin(*CRITICAL_TYPES)
+
+
 def projection_lag_ms(observed_at: Column, now) -> Column:
     return F.greatest(millis_between(now, F.coalesce(observed_at, instant(now))), F.lit(0))
 

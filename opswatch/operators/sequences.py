@@ -225,6 +225,21 @@ def spaced(
 
     # chunks -> runs of chunks -> key, then back down: no task holds more than RUN_LENGTH summaries of a run,
     # or one summary per run of a key
+    # a key whose rows are all a window apart keeps every row; only the other keys need the walk
+    inner = F.zip_with(F.slice(times, F.lit(2), F.size(times)), times, lambda b, a: b - a)
+    edges = groups.select(
+        *keys,
+        CHUNK,
+        times[0].alias("_head"),
+        times[F.size(times) - 1].alias("_tail"),
+        F.exists(inner, lambda gap: gap < window).alias("_close"),
+    )
+    along = Window.partitionBy(*keys).orderBy(CHUNK)
+    follows = F.coalesce(F.col("_head") - F.lag("_tail").over(along) < window, F.lit(False))
+    crowded = edges.withColumn("_close", F.col("_close") | follows).filter("_close").select(*keys).distinct()
+    sparse = firsts.join(crowded, keys, "left_anti").select(*keys, tie)
+    groups = groups.join(crowded, keys, "left_semi")
+
     summaries = groups.select(*keys, CHUNK, steps(times, F.col(CHUNK)).alias("_steps"))
     runs = summaries.groupBy(*keys, F.floor(F.col(CHUNK) / F.lit(RUN_LENGTH)).alias(RUN)).agg(in_order(CHUNK))
     per_key = runs.select(*keys, RUN, combined(F.col("_run")["_steps"]).alias("_steps")).groupBy(*keys).agg(in_order(RUN))
@@ -232,7 +247,7 @@ def spaced(
     carried = chained(runs.join(run_starts, [*keys, RUN]), CHUNK, F.col("_last"))
     picked = groups.join(carried, [*keys, CHUNK]).select(*keys, "_moments", F.explode(pick(times, F.col("_last"))).alias("_i"))
     rows = picked.select(*keys, F.col("_moments")[F.col("_i")][tie].alias(tie))
-    return df.join(rows, [*keys, tie], "left_semi")
+    return df.join(sparse.unionByName(rows), [*keys, tie], "left_semi")
 
 
 def rate_limited(events: DataFrame, every_seconds: float) -> DataFrame:

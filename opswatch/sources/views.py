@@ -12,7 +12,8 @@ import re
 # fixed reference instant of the sample data; every time-dependent function takes it as an argument
 NOW = "2024-01-31 00:00:00"
 
-_K = "CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k"
+# the number in ``{"k": 69}``
+_K = "CAST(substr(props, 7, length(props) - 7) AS INT) AS k"
 _EV = f"(SELECT *, {_K} FROM events)"
 
 VIEWS: dict[str, str] = {
