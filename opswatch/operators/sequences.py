@@ -264,7 +264,7 @@ def coalesced(events: DataFrame, critical: Column, window_seconds: float = 0.25)
 
 def burst_signals(events: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
     """One signal per burst of relevant events, ``delay`` after the first event of the burst."""
-    one = events.select(F.lit(1).alias("_all"), "id", "occurred_at")
+    one = events.select(F.col("id").isNotNull().alias("_all"), "id", "occurred_at")  # one key for every event
     firsts = spaced(one, ["_all"], "occurred_at", "id", delay_seconds)
     fire = F.timestamp_micros(F.unix_micros("occurred_at") + F.lit(int(delay_seconds * MICROS)))
     return firsts.select(F.col("id").alias("first_event_id"), F.col("occurred_at").alias("first_event_at"), fire.alias("signal_at"))
