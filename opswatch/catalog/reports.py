@@ -78,7 +78,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "queue_cards",
-    f"""SELECT count(*) FILTER (WHERE pending_count > 20) AS degraded, count(*) FILTER (WHERE pending_count <= 20) AS healthy, sum(stream_length) AS total_depth, max(oldest_pending_age_seconds) AS worst_oldest_age,
+    f"""SELECT count(*) FILTER (WHERE pending_count > 20) AS degraded, count(*) FILTER (WHERE pending_count <= 20) AS healthy, CAST(sum(stream_length) AS BIGINT) AS total_depth, max(oldest_pending_age_seconds) AS worst_oldest_age,
  (SELECT queue_name FROM {NEWEST_QUEUE} ORDER BY oldest_pending_age_seconds DESC, queue_name LIMIT 1) AS worst_queue, count(*) FILTER (WHERE consumer_count = 0) AS no_consumer FROM {NEWEST_QUEUE}""",
 )
 def _(t: Tables) -> DataFrame:
@@ -101,8 +101,8 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "worker_cards",
-    """SELECT count(*) FILTER (WHERE health = 'HEALTHY') AS online, count(*) FILTER (WHERE health = 'DEGRADED') AS degraded, count(*) FILTER (WHERE health = 'OFFLINE') AS offline, sum(running_attempts) AS running,
- sum(capacity) AS capacity, coalesce(sum(running_attempts) * 100.0::DOUBLE / nullif(sum(capacity), 0), 0) AS utilization_percent FROM worker_rows""",
+    """SELECT count(*) FILTER (WHERE health = 'HEALTHY') AS online, count(*) FILTER (WHERE health = 'DEGRADED') AS degraded, count(*) FILTER (WHERE health = 'OFFLINE') AS offline, CAST(sum(running_attempts) AS BIGINT) AS running,
+ CAST(sum(capacity) AS BIGINT) AS capacity, coalesce(sum(running_attempts) * 100.0::DOUBLE / nullif(sum(capacity), 0), 0) AS utilization_percent FROM worker_rows""",
     {"worker_rows": WORKERS_SQL},
 )
 def _(t: Tables) -> DataFrame:

@@ -33,13 +33,17 @@ SCHEMAS = {
 GROWING = ("orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
+FEW_SPLITS = 16
+
+
 def spread_small_input(df: DataFrame) -> DataFrame:
-    """Give an input of only a few splits to every core.
+    """Give an input of only a few splits (at most some two gigabytes) to more cores.
 
-    Large inputs have more splits than cores and are left alone, so nothing is shuffled at scale.
+    Anything larger is left alone, so nothing is shuffled at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, 4 * FEW_SPLITS)
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, FEW_SPLITS) else df
 
 
 def read_raw(spark: SparkSession, directory: str, name: str) -> DataFrame:
