@@ -133,9 +133,10 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "retry_candidates",
-    """SELECT job_id AS parent_run_id, execution_chain_id, trace_id, CASE WHEN retry_index >= 3 THEN 'EXHAUSTED' ELSE 'RETRY' END AS decision,
+    """SELECT job_id AS parent_run_id, execution_chain_id, trace_id, task_name, 'Default' AS task_type, payload, CASE WHEN retry_index >= 3 THEN 'EXHAUSTED' ELSE 'RETRY' END AS decision,
  CASE WHEN retry_index < 3 THEN retry_index + 1 END AS retry_index, CASE WHEN retry_index < 3 THEN $NOW + INTERVAL '10' SECOND END AS run_at
-FROM tasks AS t WHERE status = 'Failed' AND NOT EXISTS (SELECT 1 FROM tasks AS c WHERE c.parent_run_id = t.job_id)""",
+FROM tasks AS t WHERE status = 'Failed' AND job_id IN (SELECT job_id FROM event_log WHERE event_type = 'task.retry_scheduled')
+ AND NOT EXISTS (SELECT 1 FROM tasks AS c WHERE c.parent_run_id = t.job_id)""",
 )
 def _(t: Tables) -> DataFrame:
     return monitoring.retry_candidates(t, NOW)

@@ -216,19 +216,27 @@ def recovery_plan(tables: Tables, now, heartbeat_window: float = LOST_HEARTBEAT_
 
 
 def retry_candidates(tables: Tables, now, max_retries: int = 3, delay_seconds: float = 10) -> DataFrame:
-    """Failed runs without a child: the child to create, or EXHAUSTED at the limit.
+    """Runs that failed in a way worth retrying and have no child: the child to create, or EXHAUSTED at the limit.
 
-    A run is retryable when its newest attempt failed; the child keeps the chain and trace.
+    A retryable failure is told by its ``task.retry_scheduled`` event. The child keeps chain, trace, name and payload.
     """
+    retryable = tables.event_log.filter(F.col("event_type") == "task.retry_scheduled").select("job_id")
     children = tables.tasks.filter(F.coalesce("parent_run_id", F.lit("")) != "").select(
         F.col("parent_run_id").alias("job_id")
     )
-    failed = tables.tasks.filter(F.col("status") == "Failed").join(children, "job_id", "left_anti")
+    failed = (
+        tables.tasks.filter(F.col("status") == "Failed")
+        .join(retryable, "job_id", "left_semi")
+        .join(children, "job_id", "left_anti")
+    )
     exhausted = F.col("retry_index") >= max_retries
     return failed.select(
         F.col("job_id").alias("parent_run_id"),
         "execution_chain_id",
         "trace_id",
+        "task_name",
+        F.lit("Default").alias("task_type"),
+        "payload",
         F.when(exhausted, F.lit("EXHAUSTED")).otherwise(F.lit("RETRY")).alias("decision"),
         F.when(~exhausted, F.col("retry_index") + 1).alias("retry_index"),
         F.when(~exhausted, shift(now, delay_seconds)).alias("run_at"),

@@ -174,3 +174,13 @@ def test_stored_tables(spark, tmp_path):
     spark.range(2).write.parquet(str(tmp_path / "alerts.parquet"))
     tables = parquet_tables(spark, str(tmp_path))
     assert (tables.tasks.count(), tables["alerts"].count()) == (3, 2)
+
+
+def test_retries(spark):
+    tasks = spark.createDataFrame(
+        [("a", "Failed", "", 0), ("b", "Failed", "", 0), ("b2", "Running", "b", 1), ("c", "Failed", "x", 3), ("d", "Failed", "", 0)],
+        "job_id string, status string, parent_run_id string, retry_index int",
+    ).selectExpr("*", "'c' AS execution_chain_id", "'t' AS trace_id", "'n' AS task_name", "'p' AS payload")
+    log = spark.createDataFrame([(j, "task.retry_scheduled") for j in "abc"], "job_id string, event_type string")
+    got = {r.parent_run_id: (r.decision, r.retry_index) for r in monitoring.retry_candidates(literal_tables(tasks=tasks, event_log=log), NOW).collect()}
+    assert got == {"a": ("RETRY", 1), "c": ("EXHAUSTED", None)}
