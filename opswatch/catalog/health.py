@@ -181,6 +181,15 @@ def _(t: Tables) -> DataFrame:
     return monitoring.component_report(t, NOW, 3600, 21600).drop("evidence")
 
 
+@query(
+    "component_states",
+    f"SELECT instance_id, CASE WHEN stopped THEN 'stopped' WHEN drains THEN 'draining' WHEN last_seen_at IS NULL THEN 'unknown' WHEN age > 300 THEN 'offline' WHEN age > 60 THEN 'degraded' ELSE 'healthy' END AS state FROM verdicts",
+    {"instances": INSTANCE_SQL, "verdicts": VERDICT_SQL},
+)
+def _(t: Tables) -> DataFrame:
+    return monitoring.component_instances(t).select("instance_id", monitoring.component_state(NOW).alias("state"))
+
+
 @query("component_evidence")
 def _(t: Tables) -> DataFrame:
     return monitoring.component_report(t, NOW).select("instance_id", "evidence")

@@ -176,9 +176,6 @@ def _(t: Tables) -> DataFrame:
     return reports.category_counts(t.activity_log)
 
 
-CENTRE = "TIMESTAMP '2024-01-20 10:17:00'"
-
-
 @query(
     "activity_histogram",
     "SELECT TIMESTAMP '2024-01-20 10:00:00' - INTERVAL '1' HOUR * (47 - b) AS bucket_start, "

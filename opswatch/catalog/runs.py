@@ -11,10 +11,12 @@ from opswatch.functions.status import (
     asserted_status,
     attempt_kind,
     failure_category,
+    is_terminal,
     latest_transition,
     status_class,
     status_label,
     status_of,
+    status_rank,
 )
 from opswatch.functions.timing import shift
 from opswatch.operators import filters, folds, latest, paging
@@ -259,6 +261,36 @@ def _(t: Tables) -> DataFrame:
     return runs.chain_findings(t)
 
 
+@query(
+    "page_attempts",
+    """SELECT a.attempt_id, a.job_id, a.attempt_number, a.status FROM attempts AS a
+WHERE job_id IN (SELECT job_id FROM (SELECT * FROM tasks WHERE status = 'Failed' ORDER BY created_at DESC, id DESC LIMIT 200) AS p)""",
+)
+def _(t: Tables) -> DataFrame:
+    page = paging.keyset_page(filters.filter_runs(t.tasks, execution_state="Failed"), "created_at", "id", 200)
+    return runs.page_attempts(t, page).select("attempt_id", "job_id", "attempt_number", "status")
+
+
+@query(
+    "new_idempotent_runs",
+    """SELECT job_id, idempotency_key FROM (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY created_at, id) AS rn FROM tasks) AS x
+WHERE coalesce(idempotency_key, '') = '' OR (rn = 1 AND idempotency_key NOT IN (SELECT idempotency_key FROM tasks WHERE status = 'Completed' AND coalesce(idempotency_key, '') <> ''))""",
+)
+def _(t: Tables) -> DataFrame:
+    """Runs that may be created when the completed ones are already stored."""
+    stored = t.tasks.filter(F.col("status") == "Completed")
+    return runs.new_idempotent(t.tasks, stored).select("job_id", "idempotency_key")
+
+
+@query(
+    "status_ranks",
+    "SELECT status, CASE status WHEN 'Pending' THEN 10 WHEN 'Queued' THEN 20 WHEN 'Running' THEN 30 ELSE 40 END AS rank, status IN ('Completed', 'Failed', 'Blocked') AS terminal, count(*) AS n FROM tasks GROUP BY status",
+)
+def _(t: Tables) -> DataFrame:
+    counts = t.tasks.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("status", status_rank(F.col("status")).alias("rank"), is_terminal(F.col("status")).alias("terminal"), "n")
+
+
 @query(
     "page_findings",
     """SELECT p.job_id, p.execution_chain_id, f.job_id AS found_in, f.id AS finding_id, f.type, f.policy_action
@@ -363,6 +395,11 @@ def _(t: Tables) -> DataFrame:
     return timeline.chain_timeline(t, "c1200", can_read_pii=False).select(*TIMELINE_OUT, "truncated")
 
 
+@query("run_timeline", "SELECT *, false AS truncated FROM (" + TIMELINE_SQL + ") AS z WHERE execution_chain_id = 'c1208'")
+def _(t: Tables) -> DataFrame:
+    return timeline.run_timeline(t, "j1209").select(*TIMELINE_OUT, "truncated")
+
+
 # --- labels and states ---
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from opswatch.functions.timing import instant, seconds_between, shift
 
 MAX_SKIPPED = 25
-MISSED_AFTER_SECONDS = 300
 
 
 def occurrence_id(schedule_id: Column, expected_at: Column) -> Column:

@@ -27,7 +27,6 @@ FAILURE_CATEGORIES = (
     "UNKNOWN",
 )
 MAX_RETRIES = 3
-RETRY_DELAY_SECONDS = 10
 ACTIVE_ATTEMPTS = ("Claimed", "Started")
 NOTIFIED_SEVERITIES = ("WARNING", "CRITICAL")
 

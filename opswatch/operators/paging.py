@@ -16,7 +16,6 @@ TIMELINE_CAP = 1000
 REPLAY_CAP = 500
 QUEUE_HISTORY_CAP = 100
 OCCURRENCE_CAP = 50
-SLICE_STEP = 200
 
 
 def sort_rows(df: DataFrame, spec: str | None, allowed: list[str], tie_breaker: str) -> DataFrame:

@@ -85,7 +85,6 @@ def best_annotation_rule(rules: DataFrame) -> DataFrame:
 
 # --- metric samples ---
 
-SAMPLE_COLUMNS = ("metric", "subject_type", "subject_id", "scope_value", "numeric", "text", "evidence")
 MetricResolver = Callable[[Tables, object], DataFrame]
 
 
@@ -269,12 +268,6 @@ def unresolved(alerts: DataFrame) -> DataFrame:
     return alerts.filter(F.col("status") != "RESOLVED")
 
 
-ALERT_OUT = (
-    "alert_type", "severity", "status", "opened_at", "subject_type", "subject_id", "rule_id", "rule_version",
-    "evidence", "summary", "source_annotation_id",
-)
-
-
 def open_from_annotations(annotations: DataFrame, rules: DataFrame, alerts: DataFrame, now, version: int) -> DataFrame:
     """New alerts for unresolved annotations that a rule answers and no unresolved alert covers."""
     covered = unresolved(alerts).select(F.col("source_annotation_id").alias("annotation_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opswatch.functions.crypto import decrypt, encrypt, fingerprint
 from opswatch.functions.masking import mask
+from opswatch.functions.status import lookup
 from opswatch.operators.detection import rewrite_json
 from opswatch.operators.policy import (
     REPLACED,
@@ -43,7 +44,7 @@ def scan_status(findings: Column, policy: Policy) -> Column:
 
 def worse_status(a: Column, b: Column) -> Column:
     def rank(s: Column) -> Column:
-        return F.when(s == "SCAN_ERROR", 3).when(s == "DETECTED", 2).when(s == "CLEAN", 1).otherwise(0)
+        return lookup(s, STATUS_RANK, 0)
 
     return F.when(rank(b) > rank(a), b).otherwise(a)
 
