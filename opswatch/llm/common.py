@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: words are runs of anything but ASCII white space
 WORD_GAP = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, stored, words_of
+from .common import WORD, shingle_hashes, stored, words_of
 
 BLOCK_BITS, BLOCKS, PROBE = 8, 8, 2
 MAX_RADIUS = BLOCKS * (PROBE + 1) - 1
@@ -84,9 +84,9 @@ def contaminated(
     )
     # overlap o of two sequences of n shingles has similarity o / (2 n - o)
     need = F.ceil(F.col("n_shingles") * (2 * similarity / (1 + similarity)) - 1e-9)
-    texts = docs.select("doc_id", words_of(F.lower("text")).alias("words")).filter(F.size("words") > 0)
+    texts = docs.select("doc_id", "text").filter(F.col("text").rlike(WORD)).select("doc_id", words_of(F.lower("text")).alias("words"))
     run = shingle_hashes(F.col("words"), size)
-    long = texts.select("doc_id", F.size("words").alias("doc_words"), F.posexplode(run).alias("pos", "shingle"))
+    long = texts.select("doc_id", F.size("words").alias("doc_words"), F.posexplode_outer(run).alias("pos", "shingle"))
     short_sizes = [r["n_words"] for r in items.filter(F.col("n_words") < size).select("n_words").distinct().collect()]
     positions = long
     for n in short_sizes:  # at most size - 1 passes, for items below the shingle size

@@ -7,7 +7,7 @@ thin the candidates, the whole sets decide. A line goes if an equal or similar l
 doc_id and line number.
 
 Rarity is the count of a token's bucket in a one-row count sketch of fixed size: the order is a function of the
-token alone, which is all that exactness needs, and the sketch (1 MB) is the only thing every task is given.
+token alone, which is all that exactness needs, and the sketch (64 Ki numbers) is the only thing every task is given.
 """
 
 from __future__ import annotations
@@ -15,32 +15,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, stored, words_of
+from .common import WORD, shingle_hashes, stored, words_of
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 
 
 def _lines(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, line_no, tokens) of every line that holds a word."""
+    """(doc_id, line_no, tokens) of every line that holds a word.
+
+    Outer explodes, here and below: a plain one infers a filter on its array, which is pushed down and computes it twice.
+    """
     return (
-        docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+        docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+        .filter(F.col("line").rlike(WORD))
         .select("doc_id", "line_no", words_of(F.col("line")).alias("words"))
-        .filter(F.size("words") > 0)
         .select("doc_id", "line_no", F.array_distinct(shingle_hashes(F.col("words"), size)).alias("tokens"))
     )
 
 
-def _sketch(lines: DataFrame) -> DataFrame:
-    """One row: for each bucket eight times the binary logarithm of its count."""
+def _sketch(lines: DataFrame) -> Column:
+    """For each bucket eight times the binary logarithm of its count: a constant array of BUCKETS small numbers."""
     counted = (
-        lines.select(F.explode("tokens").alias("token"))
+        lines.select(F.explode_outer("tokens").alias("token"))
         .groupBy(F.pmod("token", F.lit(BUCKETS)).alias("bucket"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.floor(8 * F.log2(F.count("*") + F.lit(1))).alias("rank"))
     )
-    every = counted.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("n"))
-    full = counted.unionByName(every).groupBy("bucket").agg(F.sum("n").alias("n"))
-    one = full.agg(F.sort_array(F.collect_list(F.struct("bucket", F.floor(8 * F.log2(F.col("n") + 1)).alias("rank")))).alias("s"))
-    return one.select(F.transform("s", lambda x: x["rank"].cast("int")).alias("ranks"))
+    ranks = ["0"] * BUCKETS
+    for bucket, rank in counted.toPandas().itertuples(index=False):
+        ranks[bucket] = str(rank)
+    return F.split(F.lit(",".join(ranks)), ",").cast("array<int>")
 
 
 def _ordered(tokens: Column, ranks: Column) -> Column:
@@ -61,7 +64,7 @@ def _least(n: Column, similarity: float) -> Column:
 
 def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (early, late) of class positions that share a prefix token and pass the filters."""
-    index = classes.select("first", "n", F.posexplode("prefix").alias("pos", "token"))
+    index = classes.select("first", "n", F.posexplode_outer("prefix").alias("pos", "token"))
     late = index.select(*[F.col(c).alias(f"late_{c}") for c in index.columns])
     overlap = F.ceil((F.col("n") + F.col("late_n")) * (similarity / (1 + similarity)) - 1e-9)
     return (
@@ -79,9 +82,9 @@ def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
 
 def removed_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, lines): the numbers of the lines of each document that an earlier line repeats."""
-    ranks = stored(_sketch(_lines(docs, size))).scalar()
-    ordered = _lines(docs, size).withColumn("ranks", ranks).select(
-        "doc_id", "line_no", F.size("tokens").alias("n"), _ordered(F.col("tokens"), F.col("ranks")).alias("ordered"),
+    ranks = _sketch(_lines(docs, size))
+    ordered = _lines(docs, size).select(
+        "doc_id", "line_no", F.size("tokens").alias("n"), _ordered(F.col("tokens"), ranks).alias("ordered"),
         F.xxhash64(F.sort_array("tokens")).alias("set_key"),
     )
     keep = F.col("n") - _least(F.col("n"), similarity) + 1
