@@ -26,10 +26,10 @@ FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s
 
 
 @cache
-def _uncommon() -> re.Pattern:
+def _uncommon() -> frozenset[str]:
     """Characters that the standard library's classes place elsewhere: letter and other numbers, separators 28 to 31."""
-    odd = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")]
-    return re.compile("[\x1c-\x1f" + "".join(odd) + "]")
+    odd = (c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+    return frozenset("\x1c\x1d\x1e\x1f") | frozenset(odd)
 
 
 def splitter(special: tuple[str, ...]) -> Callable[[str], list[str]]:
@@ -40,7 +40,7 @@ def splitter(special: tuple[str, ...]) -> Callable[[str], list[str]]:
     cuts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def cut(text: str) -> list[str]:
-        find = exact.findall if uncommon.search(text) else fast.findall
+        find = fast.findall if uncommon.isdisjoint(set(text)) else exact.findall
         if cuts is None or not cuts.search(text):
             return find(text)
         out: list[str] = []
