@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import configure
+
 #: words are runs of anything but ASCII white space
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; texts are long, so the batches that reach Python get fewer rows than Spark's default."""
+    configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -13,6 +13,8 @@ documents is the k of the draw.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +35,16 @@ SMOOTHING = 3.0
 MAX_LABELLED = 50_000
 FEATURES = ["n_words", "words", "pairs", "shapes", "strong", "mild"]
 #: words a hasher remembers
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+
+
+_KINDS = {ord(c): "A" if c.isupper() else "a" if c.isalpha() else "0" for c in map(chr, range(0x250)) if c.isalnum()}
+_RUNS = re.compile(r"([Aa0])\1+")
 
 
 def shape(word: str) -> str:
     """``Word,`` becomes ``Aa,``; ``WORD!!`` becomes ``A!!``; ``word%%%`` becomes ``a%%%``; at most 12 characters."""
-    out: list[str] = []
-    for ch in word[:64]:
-        kind = "A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch
-        if not out or kind != out[-1] or kind not in "Aa0":
-            out.append(kind)
-    return "".join(out)[:12]
+    return _RUNS.sub(r"\1", word[:64].translate(_KINDS))[:12]
 
 
 class Hasher:
@@ -57,31 +58,24 @@ class Hasher:
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.rows: list[tuple[int, int, int]] = []
-        self.table = np.zeros((0, 3), dtype=np.int64)
+        self.rows = array("q")  # three numbers for each word
 
     def _learn(self, word: bytes) -> int:
         text = word.decode(errors="replace")
         plain = text.lower().rstrip(".,;:") or text
-        self.rows.append(
-            (
-                self.digest(plain.encode(), 1) % SPACE,
-                self.digest(shape(text).encode(), 2) % SPACE + 2 * SPACE,
-                self.digest(word, 3) >> 1,
-            )
-        )
-        self.number[word] = len(self.rows) - 1
-        return len(self.rows) - 1
+        self.rows.append(self.digest(plain, 1) % SPACE)
+        self.rows.append(self.digest(shape(text), 2) % SPACE + 2 * SPACE)
+        self.rows.append(self.digest(word, 3) >> 1)
+        self.number[word] = k = len(self.number)
+        return k
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = (text or "").encode().split()
-        if len(self.rows) > REMEMBERED:
+        if len(self.number) > REMEMBERED:
             self.forget()
         known = self.number
         ids = np.array([known[w] if w in known else self._learn(w) for w in words], dtype=np.int64)
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], dtype=np.int64)])
-        picked = self.table[ids]
+        picked = np.array(np.frombuffer(self.rows, dtype=np.int64).reshape(-1, 3)[ids]) if len(ids) else np.zeros((0, 3), dtype=np.int64)
         raw = picked[:, 2]
         before, after = raw[:-1], raw[1:]
         with np.errstate(over="ignore"):
@@ -98,18 +92,28 @@ def _counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np.nda
 
         hasher = Hasher()
         total = np.zeros((2, SPACES * SPACE), dtype=np.int64)
+        waiting: tuple[list, list] = ([], [])  # n-grams of other and of target documents
+        size = 0
+
+        def add_up() -> int:
+            for target, grams in enumerate(waiting):
+                if grams:
+                    seen = np.bincount(np.concatenate(grams), minlength=SPACES * SPACE)
+                    total[: target + 1] += seen
+                    grams.clear()
+            return 0
+
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1))
             at = np.searchsorted(target_ids, np.array([-1 if i is None else i for i in ids], dtype=np.int64))
             for i, text, k in zip(ids, texts, at.tolist()):
                 grams = np.concatenate(hasher(text))
-                seen = np.bincount(grams, minlength=0) if len(grams) > 50_000 else None
                 chosen = i is not None and k < len(target_ids) and target_ids[k] == i
-                for row in (0, 1) if chosen else (0,):
-                    if seen is None:
-                        np.add.at(total[row], grams, 1)
-                    else:
-                        total[row][: len(seen)] += seen
+                waiting[int(chosen)].append(grams)
+                size += len(grams)
+                if size > 1 << 20:
+                    size = add_up()
+        add_up()
         blocks = [
             {"block": b // BLOCK, "counts": zlib.compress(total[:, b : b + BLOCK].tobytes(), 1)}
             for b in range(0, SPACES * SPACE, BLOCK)
@@ -163,7 +167,7 @@ def _scores(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
         ratio, hasher = shared.value, Hasher()
         for batch in batches:
             rows = np.zeros((batch.num_rows, len(FEATURES)))
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(t.as_py() for t in batch.column(1)):
                 words, pairs, shapes = (ratio[x] for x in hasher(text))
                 rows[k] = (
                     len(words), words.sum(), pairs.sum(), shapes.sum(),
