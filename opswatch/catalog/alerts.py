@@ -206,7 +206,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "sendable_notifications",
     """SELECT notification_id, status, attempt_count FROM notifications WHERE status = 'PENDING' OR (status = 'FAILED' AND attempt_count < 3
- AND (last_attempt_at IS NULL OR last_attempt_at < $NOW - INTERVAL '5' MINUTE)) ORDER BY id LIMIT 50""",
+ AND (last_attempt_at IS NULL OR last_attempt_at < $NOW - INTERVAL '5' MINUTE))""",
 )
 def _(t: Tables) -> DataFrame:
     return filters.sendable_notifications(t.notifications, NOW).select("notification_id", "status", "attempt_count")

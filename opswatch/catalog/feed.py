@@ -119,8 +119,8 @@ def _(t: Tables) -> DataFrame:
     return paging.total_rows(filters.filter_runs(t.tasks, execution_state="Failed"))
 
 
-@query("sorted_runs", "SELECT job_id, finished_at FROM tasks ORDER BY finished_at DESC NULLS LAST, job_id LIMIT 300")
+@query("sorted_runs", "SELECT job_id, finished_at FROM tasks ORDER BY finished_at DESC NULLS LAST, job_id")
 def _(t: Tables) -> DataFrame:
-    return paging.sort_rows(t.tasks, "-finished_at", ["finished_at"], "job_id").limit(300).select("job_id", "finished_at")
+    return paging.sort_rows(t.tasks, "-finished_at", ["finished_at"], "job_id").select("job_id", "finished_at")
 
 

@@ -203,7 +203,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "stranded_tasks",
-    "SELECT job_id, updated_at FROM tasks WHERE status = 'Queued' AND published_at IS NULL AND updated_at < $NOW - INTERVAL '30' SECOND ORDER BY updated_at, id LIMIT 100",
+    "SELECT job_id, updated_at FROM tasks WHERE status = 'Queued' AND published_at IS NULL AND updated_at < $NOW - INTERVAL '30' SECOND",
 )
 def _(t: Tables) -> DataFrame:
     return filters.stranded_tasks(t.tasks, NOW).select("job_id", "updated_at")

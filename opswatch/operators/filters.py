@@ -173,10 +173,11 @@ def due_tasks(tasks: DataFrame, now) -> DataFrame:
     return tasks.filter((F.col("status") == "Pending") & (F.col("run_at") <= instant(now)))
 
 
-def stranded_tasks(tasks: DataFrame, now, idle_seconds: float = 30, limit: int = 100) -> DataFrame:
+def stranded_tasks(tasks: DataFrame, now, idle_seconds: float = 30, limit: int | None = None) -> DataFrame:
     """Queued runs that were never published, oldest first."""
     stuck = (F.col("status") == "Queued") & F.col("published_at").isNull() & (F.col("updated_at") < shift(now, -idle_seconds))
-    return tasks.filter(stuck).orderBy(F.col("updated_at"), F.col("id")).limit(limit)
+    found = tasks.filter(stuck).orderBy(F.col("updated_at"), F.col("id"))
+    return found if limit is None else found.limit(limit)
 
 
 def due_schedules(schedules: DataFrame, now) -> DataFrame:
@@ -184,12 +185,13 @@ def due_schedules(schedules: DataFrame, now) -> DataFrame:
 
 
 def sendable_notifications(
-    notifications: DataFrame, now, max_attempts: int = 3, retry_seconds: float = 300, limit: int = 50
+    notifications: DataFrame, now, max_attempts: int = 3, retry_seconds: float = 300, limit: int | None = None
 ) -> DataFrame:
     """Pending notifications, and failed ones whose retry is due."""
     retry_due = F.col("last_attempt_at").isNull() | (F.col("last_attempt_at") < shift(now, -retry_seconds))
     retry = (F.col("status") == "FAILED") & (F.col("attempt_count") < max_attempts) & retry_due
-    return notifications.filter((F.col("status") == "PENDING") | retry).orderBy("id").limit(limit)
+    found = notifications.filter((F.col("status") == "PENDING") | retry).orderBy("id")
+    return found if limit is None else found.limit(limit)
 
 
 def in_flight(tasks: DataFrame, now) -> DataFrame:
