@@ -106,6 +106,8 @@ def posteriors(patterns: list[str], counts: list[int], rounds: int = 200) -> dic
     Each rule has an accuracy on good and one on bad texts, with the weight of ten imagined votes at their start values (0.9, 0.4): most
     bad texts are bad in one way only. Abstentions say nothing.
     """
+    if not patterns:
+        return {}
     n = np.array(counts, dtype=float)
     good = np.array([[c == "g" for c in p] for p in patterns], dtype=float)
     bad = np.array([[c == "b" for c in p] for p in patterns], dtype=float)
