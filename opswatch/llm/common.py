@@ -52,10 +52,8 @@ def words_of(text: Column) -> Column:
 
 def shingle_hashes(words: Column, size: int) -> Column:
     """64-bit hashes of all runs of ``size`` words; a shorter sequence is one run; no words: none."""
-    long = F.transform(
-        F.sequence(F.lit(0), F.size(words) - size),
-        lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]),
-    )
+    from_each = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, size)]))
+    long = F.slice(from_each, F.lit(1), F.size(words) - (size - 1))
     return (
         F.when(F.size(words) >= size, long)
         .when(F.size(words) > 0, F.array(F.xxhash64(words)))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import WORD, shingle_hashes, stored, words_of
 
 BUCKETS = 1 << 16
+#: bits of a token that order it and look it up; two tokens that share them give one candidate more, not another result
+MARK_BITS = 31
 
 
 def _lines(docs: DataFrame, size: int) -> DataFrame:
@@ -33,29 +35,22 @@ def _lines(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _sketch(lines: DataFrame) -> Column:
-    """For each bucket eight times the binary logarithm of its count: a constant array of BUCKETS small numbers."""
+def _sketch(marks: DataFrame) -> Column:
+    """For each bucket eight times the binary logarithm of its count, above MARK_BITS bits: a constant array of BUCKETS numbers."""
     counted = (
-        lines.select(F.explode_outer("tokens").alias("token"))
-        .groupBy(F.pmod("token", F.lit(BUCKETS)).alias("bucket"))
+        marks.select(F.explode_outer("marks").alias("mark"))
+        .groupBy(F.col("mark").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
         .agg(F.floor(8 * F.log2(F.count("*") + F.lit(1))).alias("rank"))
     )
     ranks = ["0"] * BUCKETS
     for bucket, rank in counted.toPandas().itertuples(index=False):
-        ranks[bucket] = str(rank)
-    return F.split(F.lit(",".join(ranks)), ",").cast("array<int>")
-
-
-def _ordered(tokens: Column, ranks: Column) -> Column:
-    """Tokens by rarity: 15 bits of rank before 48 bits of the token."""
-    return F.sort_array(
-        F.transform(
-            tokens,
-            lambda t: F.shiftleft(F.get(ranks, F.pmod(t, F.lit(BUCKETS)).cast("int")).cast("bigint"), 48).bitwiseOR(
-                F.shiftrightunsigned(t, 16)
-            ),
-        )
-    )
+        ranks[bucket] = str(rank << MARK_BITS)
+    return F.split(F.lit(",".join(ranks)), ",").cast("array<bigint>")
+
+
+def _ordered(marks: Column, ranks: Column) -> Column:
+    """Tokens by rarity: their rank before their mark."""
+    return F.sort_array(F.transform(marks, lambda m: F.get(ranks, m.bitwiseAND(F.lit(BUCKETS - 1))) + m))
 
 
 def _least(n: Column, similarity: float) -> Column:
@@ -82,19 +77,19 @@ def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
 
 def removed_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, lines): the numbers of the lines of each document that an earlier line repeats."""
-    ranks = _sketch(_lines(docs, size))
-    ordered = _lines(docs, size).select(
-        "doc_id", "line_no", F.size("tokens").alias("n"), _ordered(F.col("tokens"), ranks).alias("ordered"),
-        F.xxhash64(F.sort_array("tokens")).alias("set_key"),
-    )
-    keep = F.col("n") - _least(F.col("n"), similarity) + 1
+    low = F.lit((1 << MARK_BITS) - 1).cast("bigint")
     lines = stored(
-        ordered.select("doc_id", "line_no", "n", "set_key", F.slice("ordered", F.lit(1), keep.cast("int")).alias("prefix"))
+        _lines(docs, size).select(
+            "doc_id", "line_no", F.size("tokens").alias("n"), F.xxhash64(F.sort_array("tokens")).alias("set_key"),
+            F.transform("tokens", lambda t: t.bitwiseAND(low).cast("int")).alias("marks"),
+        )
     )
-    classes = lines.groupBy("set_key", "n").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("prefix").alias("prefix")
+    ordered = lines.select("doc_id", "line_no", "n", "set_key", _ordered(F.col("marks"), _sketch(lines)).alias("ordered"))
+    keep = F.col("n") - _least(F.col("n"), similarity) + 1
+    prefixes = ordered.select("doc_id", "line_no", "n", "set_key", F.slice("ordered", F.lit(1), keep.cast("int")).alias("prefix"))
+    classes = stored(
+        prefixes.groupBy("set_key", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("prefix").alias("prefix"))
     )
-    classes = stored(classes)
     pairs = stored(_candidates(classes, similarity))
     wanted = stored(pairs.select("early").union(pairs.select("late")).distinct().select("early.doc_id", "early.line_no"))
     in_play = (
