@@ -3,7 +3,8 @@
 A line is the set of its runs of ``size`` words (a shorter line is one run). Lines with equal sets form a class; classes are
 joined when the Jaccard similarity of their sets is ``similarity`` or more. Tokens are ordered by rarity, two
 similar classes share a token among the first ``n - ceil(similarity * n) + 1`` of each; length and positional filters
-thin the candidates, the whole sets decide. A line goes if an equal or similar line stands earlier, in order of
+thin the candidates, the whole sets decide. Each class first meets only the earliest class of each of its tokens; the classes
+that none of these settles meet all others, so a large group of near copies does not make all its pairs. A line goes if an equal or similar line stands earlier, in order of
 doc_id and line number.
 
 Rarity is the count of a token's bucket in a one-row count sketch of fixed size: the order is a function of the
@@ -35,11 +36,15 @@ def _lines(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _sketch(marks: DataFrame) -> Column:
+def _bucket(token: Column) -> Column:
+    return token.bitwiseAND(F.lit(BUCKETS - 1).cast("bigint")).cast("int")
+
+
+def _sketch(lines: DataFrame) -> Column:
     """For each bucket eight times the binary logarithm of its count, above MARK_BITS bits: a constant array of BUCKETS numbers."""
     counted = (
-        marks.select(F.explode_outer("marks").alias("mark"))
-        .groupBy(F.col("mark").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
+        lines.select(F.explode_outer("tokens").alias("token"))
+        .groupBy(_bucket(F.col("token")).alias("bucket"))
         .agg(F.floor(8 * F.log2(F.count("*") + F.lit(1))).alias("rank"))
     )
     ranks = ["0"] * BUCKETS
@@ -48,74 +53,99 @@ def _sketch(marks: DataFrame) -> Column:
     return F.split(F.lit(",".join(ranks)), ",").cast("array<bigint>")
 
 
-def _ordered(marks: Column, ranks: Column) -> Column:
-    """Tokens by rarity: their rank before their mark."""
-    return F.sort_array(F.transform(marks, lambda m: F.get(ranks, m.bitwiseAND(F.lit(BUCKETS - 1))) + m))
+def _ordered(tokens: Column, ranks: Column) -> Column:
+    """Marks of the tokens by rarity: their rank before their upper bits."""
+    return F.sort_array(F.transform(tokens, lambda t: F.get(ranks, _bucket(t)) + F.shiftrightunsigned(t, 64 - MARK_BITS)))
 
 
 def _least(n: Column, similarity: float) -> Column:
     return F.ceil(n * similarity - 1e-9)
 
 
-def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (early, late) of class positions that share a prefix token and pass the filters."""
+def _shared_tokens(classes: DataFrame) -> DataFrame:
+    """(first, n, pos, token, head) of the prefix tokens that two classes or more have; head is the earliest class (first, n, pos)."""
     index = classes.select("first", "n", F.posexplode_outer("prefix").alias("pos", "token"))
-    late = index.select(*[F.col(c).alias(f"late_{c}") for c in index.columns])
-    overlap = F.ceil((F.col("n") + F.col("late_n")) * (similarity / (1 + similarity)) - 1e-9)
+    heads = (
+        index.groupBy("token")
+        .agg(F.count("*").alias("holders"), F.min(F.struct("first", "n", "pos")).alias("head"))
+        .filter("holders > 1")
+        .select(F.col("token").alias("t"), "head")
+    )
+    return index.join(heads, F.col("token") == F.col("t")).select("first", "n", "pos", "token", "head")
+
+
+def _filters(n: Column, pos: Column, m: Column, other: Column, similarity: float) -> Column:
+    """Length and positional filter for sets of n and m tokens that share the tokens at pos and other."""
+    overlap = F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
+    return (F.least(n, m) >= _least(F.greatest(n, m), similarity)) & (F.least(n - pos, m - other) >= overlap)
+
+
+def _head_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (early, late) of each class and the heads of its tokens: no more than it has tokens, however many share them."""
+    return (
+        shared.filter(F.col("head.first") < F.col("first"))
+        .filter(_filters(F.col("head.n"), F.col("head.pos"), F.col("n"), F.col("pos"), similarity))
+        .select(F.col("head.first").alias("early"), F.col("first").alias("late"))
+        .distinct()
+    )
+
+
+def _other_pairs(shared: DataFrame, settled: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (early, late) for every late class not yet settled: all that share a prefix token and pass the filters."""
+    late = shared.join(settled.withColumnRenamed("late", "done"), F.col("first").eqNullSafe(F.col("done")), "left_anti")
+    late = late.select(*[F.col(c).alias(f"late_{c}") for c in shared.columns])
     return (
-        index.join(
+        shared.join(
             late,
             (F.col("token") == F.col("late_token"))
             & (F.col("first") < F.col("late_first"))
-            & (F.least("n", "late_n") >= _least(F.greatest("n", "late_n"), similarity))
-            & (1 + F.least(F.col("n") - F.col("pos"), F.col("late_n") - F.col("late_pos")) - 1 >= overlap),
+            & ~F.col("first").eqNullSafe(F.col("late_head.first"))
+            & _filters(F.col("n"), F.col("pos"), F.col("late_n"), F.col("late_pos"), similarity),
         )
         .select(F.col("first").alias("early"), F.col("late_first").alias("late"))
         .distinct()
     )
 
 
+def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """The late classes of the pairs whose whole sets are similar."""
+    pairs = stored(pairs)
+    wanted = pairs.select("early").union(pairs.select("late")).distinct().select(
+        F.col("early.doc_id").alias("d"), F.col("early.line_no").alias("l")
+    )
+    sets = stored(
+        lines.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")), "left_semi")
+        .groupBy(F.struct("doc_id", "line_no").alias("at"), "set_key").agg(F.first("tokens").alias("tokens"))
+    )
+    both = F.size(F.array_intersect("tokens", "late_tokens"))
+    return (
+        pairs.join(sets, F.col("early").eqNullSafe(F.col("at")))
+        .drop("at")
+        .join(sets.select(F.col("at").alias("late_at"), F.col("tokens").alias("late_tokens")), F.col("late").eqNullSafe(F.col("late_at")))
+        .filter(both >= similarity * (F.size("tokens") + F.size("late_tokens") - both) - 1e-9)
+        .select("late")
+        .distinct()
+    )
+
+
 def removed_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, lines): the numbers of the lines of each document that an earlier line repeats."""
-    low = F.lit((1 << MARK_BITS) - 1).cast("bigint")
     lines = stored(
         _lines(docs, size).select(
-            "doc_id", "line_no", F.size("tokens").alias("n"), F.xxhash64(F.sort_array("tokens")).alias("set_key"),
-            F.transform("tokens", lambda t: t.bitwiseAND(low).cast("int")).alias("marks"),
+            "doc_id", "line_no", F.size("tokens").alias("n"), F.xxhash64(F.sort_array("tokens")).alias("set_key"), "tokens"
         )
     )
-    ordered = lines.select("doc_id", "line_no", "n", "set_key", _ordered(F.col("marks"), _sketch(lines)).alias("ordered"))
+    ordered = lines.select("doc_id", "line_no", "n", "set_key", _ordered(F.col("tokens"), _sketch(lines)).alias("ordered"))
     keep = F.col("n") - _least(F.col("n"), similarity) + 1
     prefixes = ordered.select("doc_id", "line_no", "n", "set_key", F.slice("ordered", F.lit(1), keep.cast("int")).alias("prefix"))
     classes = stored(
         prefixes.groupBy("set_key", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("prefix").alias("prefix"))
     )
-    pairs = stored(_candidates(classes, similarity))
-    wanted = stored(pairs.select("early").union(pairs.select("late")).distinct().select("early.doc_id", "early.line_no"))
-    in_play = (
-        docs.select("doc_id", "text")
-        .join(wanted.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    )
-    sets = (
-        _lines(in_play, size)
-        .join(
-            wanted.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l")),
-            F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")),
-            "left_semi",
-        )
-        .select(F.struct("doc_id", "line_no").alias("at"), "tokens")
-    )
-    sets = stored(sets)
-    shared = F.size(F.array_intersect("tokens", "late_tokens"))
-    similar = (
-        pairs.join(sets, F.col("early").eqNullSafe(F.col("at")))
-        .drop("at")
-        .join(sets.select(F.col("at").alias("late_at"), F.col("tokens").alias("late_tokens")), F.col("late").eqNullSafe(F.col("late_at")))
-        .filter(shared >= similarity * (F.size("tokens") + F.size("late_tokens") - shared) - 1e-9)
-        .select("late")
-        .distinct()
-        .withColumn("repeats", F.lit(True))
-    )
+    shared = stored(_shared_tokens(classes))
+    # near copies are mostly like the first of them; only those that are not meet every other class
+    by_heads = stored(_verified(_head_pairs(shared, similarity), lines, similarity))
+    by_others = _verified(_other_pairs(shared, by_heads, similarity), lines, similarity)
+    similar = by_heads.unionByName(by_others).withColumn("repeats", F.lit(True))
     marked = (
         classes.select("set_key", "n", "first")
         .join(similar, F.col("first").eqNullSafe(F.col("late")), "left")
