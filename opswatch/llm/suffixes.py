@@ -1,14 +1,16 @@
 """Removal of repeated byte strings by a distributed merge sort of suffixes that knows common prefixes.
 
-A string of ``length`` bytes that stands twice makes two neighbours in the sorted order of all suffixes share
-``length`` bytes. Each task sorts the suffixes of its documents into runs and front-codes them: a suffix is the number of bytes it
-shares with the one before and the rest. Runs are cut at common splitters and exchanged; each range merges its runs
-with a loser tree whose players carry the number of bytes they share with the last winner, so bytes known to be equal are not
-compared again. Equal suffixes of one run travel once.
-
-Suffixes that cannot repeat are left out beforehand, without loss: every string of ``length`` bytes has an anchor, the
-first of its ``gram``-byte substrings with the least hash, which depends on the string alone; where the anchor's substring
-stands only once, so does the string.
+Every string of ``length`` bytes has an anchor, the first of its ``gram``-byte substrings with the least hash, which depends on
+the string alone; equal strings have equal anchors at the same place. Strings that share one anchor make a unit: the suffix from the
+anchor to the end of the last string, and the bytes from the start of the first string to the anchor. Units whose anchor substring
+stands only once cannot repeat and are left out, without loss.
+
+Each task sorts its units by suffix into runs and front-codes them: a suffix is the number of bytes it shares with the one before
+and the rest. Runs are cut at common splitters and exchanged; each range merges its runs with a loser tree whose players
+carry the number of bytes they share with the last winner, so bytes known to be equal are not compared again. The tree
+gives the bytes that neighbours share to the right of the anchor, a second order of the few bytes before it those to the left; a
+string that starts k bytes before its anchor repeats where neighbours share ``k`` bytes to the left and ``length - k`` to
+the right. Equal units of one run travel once.
 """
 
 from __future__ import annotations
@@ -17,15 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-LENGTH, GRAM = 400, 240
-#: suffixes in a run, which bounds a task's memory
-RUN = 100_000
+LENGTH, GRAM = 400, 200
+#: units in a run, which bounds a task's memory
+RUN = 50_000
+#: units that a range should hold
+RANGE = 100_000
+#: units of complete groups that are resolved together
+CHUNK = 8_192
 #: bytes of a suffix that decide its range
 HEAD = 8
 
@@ -48,12 +53,12 @@ def gram_hashes(text: bytes, gram: int) -> np.ndarray:
         return values * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def anchor_ranges(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last start of the strings that share an anchor, and the hash of the anchor's substring."""
+def anchor_ranges(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last start of the strings that share an anchor, the anchor, and the hash of the anchor's substring."""
     starts = len(text) - length + 1
     if starts <= 0:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none
+        return none, none, none, none
     values = gram_hashes(text, gram)
     window = length - gram + 1
     best, at, span = values, np.arange(len(values)), 1
@@ -66,13 +71,16 @@ def anchor_ranges(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.n
     borders = np.nonzero(np.diff(at))[0] + 1
     first = np.concatenate(([0], borders))
     last = np.concatenate((borders - 1, [starts - 1]))
-    return first, last, values[at[first]].view(np.int64)
+    return first, last, at[first], values[at[first]].view(np.int64)
 
 
-def _ranges(positions: np.ndarray) -> list[tuple[int, int]]:
-    """Sorted distinct positions as inclusive ranges."""
-    cuts = np.nonzero(np.diff(positions) > 1)[0]
-    return list(zip(positions[np.concatenate(([0], cuts + 1))].tolist(), positions[np.concatenate((cuts, [len(positions) - 1]))].tolist()))
+def _ranges(uids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(uid, start) pairs as uid, first and last of inclusive ranges."""
+    order = np.lexsort((starts, uids))
+    u, s = uids[order], starts[order]
+    cuts = np.nonzero((np.diff(u) != 0) | (np.diff(s) > 1))[0]
+    heads, tails = np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(u) - 1]))
+    return u[heads], s[heads], s[tails]
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -144,22 +152,56 @@ class LoserTree:
 
 
 def _front_coded(strings: list[bytes]) -> tuple[np.ndarray, bytes]:
-    """Shared lengths and the rests of sorted strings of one length."""
+    """Shared lengths and the joined rests of sorted strings."""
     shared, rests, before = [], [], b""
     for s in strings:
         n = common_prefix(before, s)
         shared.append(n)
         rests.append(s[n:])
         before = s
-    return np.array(shared, dtype="<u2"), b"".join(rests)
-
-
-def _decoded(shared: bytes, rests: bytes, tags: list, length: int) -> Iterator[tuple[int, bytes, object]]:
-    before, at = b"", 0
-    for n, tag in zip(np.frombuffer(shared, dtype="<u2").tolist(), tags):
-        before = before[:n] + rests[at : at + length - n]
-        at += length - n
-        yield n, before, tag
+    return np.array(shared, dtype=np.int64), b"".join(rests)
+
+
+def _units(row: dict, rests: bytes, lefts: bytes, length: int) -> Iterator[tuple[int, bytes, tuple]]:
+    """(shared with the one before, suffix, (uid, first, last, anchor, left, known)) of one run's part of a range."""
+    before, at, left_at = b"", 0, 0
+    for uid, first, last, anchor, n, known in zip(*[row[c] for c in ("uids", "firsts", "lasts", "anchors", "shared", "known")]):
+        rest, left = last + length - anchor - n, anchor - first
+        before = before[:n] + rests[at : at + rest]
+        yield n, before, (uid, first, last, anchor, lefts[left_at : left_at + left], known)
+        at += rest
+        left_at += left
+
+
+def repeats_of_units(shared: list[int], units: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(uid, start) of all strings that stand twice among units in the order of their suffixes; shared: with the one before."""
+    n = len(units)
+    anchor = np.array([u[3] for u in units], dtype=np.int64)
+    nearest, farthest = anchor - np.array([u[2] for u in units]), anchor - np.array([u[1] for u in units])
+    backwards = [u[4][::-1] for u in units]
+    order = sorted(range(n), key=backwards.__getitem__)
+    left = np.array([0] + [common_prefix(backwards[a], backwards[b]) for a, b in zip(order, order[1:])])
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    right = np.array(shared)
+    which, starts = [], []
+    for k in range(int(nearest.min()), int(farthest.max()) + 1):
+        here = np.nonzero((nearest <= k) & (k <= farthest))[0]
+        # strings k bytes before their anchor: equal bytes after it and before it make one class
+        after, ahead = np.cumsum(right < length - k), np.cumsum(left < k)[rank]
+        _, place, count = np.unique(after[here] * (n + 1) + ahead[here], return_inverse=True, return_counts=True)
+        again = here[count[place] > 1]
+        which.append(again)
+        starts.append(anchor[again] - k)
+    chosen = np.concatenate(which)
+    return np.array([u[0] for u in units], dtype=np.int64)[chosen], np.concatenate(starts)
+
+
+_FOUND = "uid bigint, first bigint, last bigint"
+
+
+def _found(uids: object, firsts: object, lasts: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (uids, firsts, lasts)], names=["uid", "first", "last"])
 
 
 def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -167,127 +209,143 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     spark = texts.sparkSession
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["uid", "first", "last", "anchor", "gram"]
         for batch in batches:
+            parts = []
             for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()):
-                first, last, hashes = anchor_ranges((text or "").encode(), length, gram)
-                if len(first):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([uid] * len(first), pa.int64()), pa.array(first), pa.array(last), pa.array(hashes)],
-                        names=["uid", "first", "last", "gram"],
-                    )
-
-    anchors = stored(texts.mapInArrow(find, "uid bigint, first bigint, last bigint, gram bigint"))
+                found = anchor_ranges((text or "").encode(), length, gram)
+                parts.append([np.full(len(found[0]), uid, dtype=np.int64), *found])
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            if columns:
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types)], names=names)
+
+    anchors = stored(texts.mapInArrow(find, "uid bigint, first int, last int, anchor int, gram bigint"))
     twice = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("gram").alias("g"))
     wanted = (
         anchors.join(twice, F.col("gram") == F.col("g"), "left_semi")
         .groupBy("uid")
-        .agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+        .agg(F.collect_list(F.struct("first", "last", "anchor")).alias("spans"))
         .withColumnRenamed("uid", "u")
     )
     picked = stored(texts.join(wanted, F.col("uid") == F.col("u")).select("uid", "text", "spans"))
 
-    # splitters: heads of the suffixes that are a multiple of 64 apart decide nothing but where runs are cut
+    # splitters decide nothing but where runs are cut; there are as many as the units ask for
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for row in batch.to_pylist():
                 text = row["text"].encode()
-                found = [int.from_bytes(text[s : s + HEAD], "big") >> 1 for x in row["spans"] for s in range(x["first"], x["last"] + 1, 64)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["head"])
+                found += [int.from_bytes(text[x["anchor"] : x["anchor"] + HEAD], "big") >> 1 for x in row["spans"]]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["head"])
 
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, 2)
-    quantiles = picked.mapInArrow(heads, "head bigint").agg(
+    units = picked.agg(F.sum(F.size("spans"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, units // RANGE, 2)
+    row = picked.mapInArrow(heads, "head bigint").agg(
         F.percentile_approx("head", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("q")
-    )
-    row = quantiles.first()
+    ).first()
     splitters = np.unique(np.array(row["q"] if row and row["q"] else [], dtype=np.int64))
+    lists = ["uids", "firsts", "lasts", "anchors", "shared"]
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        compressor = zstandard.ZstdCompressor(level=1)
-        held: list[tuple[int, bytes, np.ndarray]] = []
-        size, number, task = 0, 0, TaskContext.get().partitionId()
+        compressor = zstandard.ZstdCompressor(level=3)
         schema = pa.schema(
-            [("range", pa.int64()), ("run", pa.int64()), ("uids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("shared", pa.binary()), ("rests", pa.binary()), ("known", pa.list_(pa.bool_()))]
+            [("range", pa.int64()), *[(c, pa.list_(pa.int64())) for c in lists], ("known", pa.list_(pa.bool_())), ("rests", pa.binary()), ("lefts", pa.binary())]
         )
 
-        def closed() -> Iterator[pa.RecordBatch]:
-            order = sorted((text[s : s + length], uid, s) for uid, text, starts in held for s in starts.tolist())
-            groups: list[list] = []  # string, uid, start, stands twice in this run
-            again: list[tuple[int, int]] = []
-            for string, uid, s in order:
-                if groups and groups[-1][0] == string:
-                    again.append((uid, s))
-                    groups[-1][3] = True
+        def closed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            held.sort()
+            kept: list[tuple] = []
+            known: list[bool] = []
+            again: list[tuple] = []
+            for unit in held:
+                if kept and kept[-1][:2] == unit[:2]:
+                    again.append(unit)
+                    known[-1] = True
                 else:
-                    groups.append([string, uid, s, False])
+                    kept.append(unit)
+                    known.append(False)
+            rows = []
             if again:
-                yield pa.RecordBatch.from_pylist(
-                    [{"range": -1, "run": number, "uids": [u for u, _ in again], "starts": [s for _, s in again]}], schema=schema
-                )
-            keys = np.array([int.from_bytes(g[0][:HEAD], "big") >> 1 for g in groups], dtype=np.int64)
-            place = np.searchsorted(splitters, keys, side="right")
-            for part in np.unique(place).tolist():
-                a, b = np.searchsorted(place, [part, part + 1])
-                some = groups[a:b]
-                shared, rests = _front_coded([g[0] for g in some])
-                yield pa.RecordBatch.from_pylist(
-                    [
+                rows.append({"range": -1, **dict(zip(lists, list(zip(*again))[2:]))})
+            keys = np.array([int.from_bytes(u[0][:HEAD], "big") >> 1 for u in kept], dtype=np.int64)
+            borders = [0, *np.searchsorted(keys, splitters, side="left").tolist(), len(kept)]
+            for part, (a, b) in enumerate(zip(borders, borders[1:])):
+                if a < b:
+                    suffix, left, *columns = zip(*kept[a:b])
+                    shared, rests = _front_coded(list(suffix))
+                    rows.append(
                         {
-                            "range": part, "run": task << 24 | number, "uids": [g[1] for g in some], "starts": [g[2] for g in some],
-                            "shared": shared.tobytes(), "rests": compressor.compress(rests), "known": [g[3] for g in some],
+                            "range": part, **dict(zip(lists, [*columns, shared.tolist()])), "known": known[a:b],
+                            "rests": compressor.compress(rests), "lefts": compressor.compress(b"".join(left)),
                         }
-                    ],
-                    schema=schema,
-                )
+                    )
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+        held: list[tuple] = []
         for batch in batches:
             for row in batch.to_pylist():
-                text = row["text"].encode()
-                starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in row["spans"]])
-                for k in range(0, len(starts), RUN):
-                    held.append((row["uid"], text, starts[k : k + RUN]))
-                    size += len(held[-1][2])
-                    if size >= RUN:
-                        yield from closed()
-                        held, size, number = [], 0, number + 1
+                text, uid = row["text"].encode(), row["uid"]
+                for x in row["spans"]:
+                    first, last, p = x["first"], x["last"], x["anchor"]
+                    held.append((text[p : last + length], text[first:p], uid, first, last, p))
+                    if len(held) >= RUN:
+                        yield from closed(held)
+                        held = []
         if held:
-            yield from closed()
+            yield from closed(held)
 
-    runs = stored(
-        picked.mapInArrow(
-            sort,
-            "range bigint, run bigint, uids array<bigint>, starts array<bigint>, shared binary, rests binary, known array<boolean>",
-        )
-    )
+    fields = ", ".join(f"{c} array<bigint>" for c in lists)
+    runs = stored(picked.mapInArrow(sort, f"range bigint, {fields}, known array<boolean>, rests binary, lefts binary"))
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        decompressor = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor().decompress
         rows = [row for batch in batches for row in batch.to_pylist()]
-        tree = LoserTree(
-            [
-                _decoded(r["shared"], decompressor.decompress(r["rests"]), list(zip(r["uids"], r["starts"], r["known"])), length)
-                for r in rows
-            ]
-        )
-        found: dict[int, list[int]] = {}
-        before = None
-        for shared, _, (uid, start, known) in tree:
-            if shared >= length and before is not None:
-                found.setdefault(before[0], []).append(before[1])
-                known = True
-            if known:
-                found.setdefault(uid, []).append(start)
-            before = (uid, start)
-        out = [(uid, a, b) for uid, starts in found.items() for a, b in _ranges(np.unique(np.array(starts)))]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["uid", "first", "last"])
-
-    merged = runs.filter("range >= 0").groupBy("range").applyInArrow(merge, "uid bigint, first bigint, last bigint")
-    local = runs.filter("range < 0").select(F.explode(F.arrays_zip("uids", "starts")).alias("x")).select(
-        F.col("x.uids").alias("uid"), F.col("x.starts").alias("first"), F.col("x.starts").alias("last")
+        tree = LoserTree([_units(r, unpack(r["rests"]), unpack(r["lefts"]), length) for r in rows])
+        shares: list[int] = []
+        units: list[tuple] = []
+        whole: set[int] = set()  # units all of whose strings repeat, by their number in the chunk
+        copies: list[tuple] = []  # units like one that is held, from other runs
+        same: dict[bytes, int] = {}  # units with the last suffix, by their bytes before the anchor
+        size = -1
+
+        def resolved() -> Iterator[pa.RecordBatch]:
+            all_of = copies + [units[k] for k in whole]
+            if all_of:
+                yield _found(*list(zip(*all_of))[:3])
+            uids, starts = repeats_of_units(shares, units, length)
+            if len(uids):
+                yield _found(*_ranges(uids, starts))
+
+        for shared, suffix, unit in tree:
+            if shared < gram and len(units) >= CHUNK:
+                yield from resolved()
+                shares, units, whole, copies = [], [], set(), []
+            if not units or shared != size or len(suffix) != size:
+                same, size = {}, len(suffix)
+            if unit[4] in same:
+                whole.add(same[unit[4]])
+                copies.append(unit)
+                continue
+            same[unit[4]] = len(units)
+            if unit[5]:
+                whole.add(len(units))
+            shares.append(shared)
+            units.append(unit)
+            if len(copies) >= CHUNK:
+                yield _found(*list(zip(*copies))[:3])
+                copies = []
+        if units:
+            yield from resolved()
+
+    merged = runs.filter("range >= 0").groupBy("range").applyInArrow(merge, _FOUND)
+    zipped = F.explode(F.arrays_zip("uids", "firsts", "lasts")).alias("x")
+    local = runs.filter("range < 0").select(zipped).select(
+        F.col("x.uids").alias("uid"), F.col("x.firsts").alias("first"), F.col("x.lasts").alias("last")
     )
     return merged.unionByName(local)
 
