@@ -31,6 +31,8 @@ RUN = 50_000
 RANGE = 100_000
 #: units of complete groups that are resolved together
 CHUNK = 8_192
+#: a substring that more than one in so many anchors have is looked up without a shuffle
+FREQUENT = 10_000
 #: bytes of a suffix that decide its range
 HEAD = 8
 
@@ -221,9 +223,14 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types)], names=names)
 
     anchors = stored(texts.mapInArrow(find, "uid bigint, first int, last int, anchor int, gram bigint"))
-    twice = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("gram").alias("g"))
+    twice = stored(anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("gram").alias("g"), "n"))
+    often = F.col("n") > anchors.count() // FREQUENT
+    frequent = F.broadcast(twice.filter(often).select("g"))  # fewer than FREQUENT rows
+    same = F.col("gram") == F.col("g")
     wanted = (
-        anchors.join(twice, F.col("gram") == F.col("g"), "left_semi")
+        anchors.join(frequent, same, "left_anti")
+        .join(twice.filter(~often).select("g"), same, "left_semi")
+        .unionByName(anchors.join(frequent, same, "left_semi"))
         .groupBy("uid")
         .agg(F.collect_list(F.struct("first", "last", "anchor")).alias("spans"))
         .withColumnRenamed("uid", "u")
