@@ -12,6 +12,7 @@ from ..session import configure
 
 #: words are runs of anything but ASCII white space
 WORD_GAP = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -46,8 +47,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text (null: none)."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
+    """The words of a text (null: none); trimmed first, so that no empty word needs a filter."""
+    trimmed = F.btrim(text, F.lit(BLANKS))
+    return F.when(trimmed != "", F.split(trimmed, WORD_GAP)).otherwise(F.array().cast("array<string>"))
 
 
 def shingle_hashes(words: Column, size: int) -> Column:
