@@ -23,6 +23,26 @@ MATCH = "struct<path: string, ordinal: int, start: int, end: int, match: string>
 DETECTION = f"struct<structured: boolean, normalized: string, matches: array<{MATCH}>>"
 SPACE = r"\t\n\f\r "
 UNSUPPORTED = re.compile(r"\(\?(?:<?[=!]|P=|\()|(?<!\\)(?:\\\\)*\\[1-9]")
+POSSESSIVE = re.compile(r"\(\?>|[*+?}]\+")
+FLAGS = re.compile(r"\(\?([A-Za-z-]+)[:)]")
+NAMED_CLASS = re.compile(r"\[:(\^?\w+):\]")
+#: fixed values: the named classes of the pattern language, as ASCII ranges
+NAMED = {
+    "alnum": "0-9A-Za-z",
+    "alpha": "A-Za-z",
+    "ascii": r"\x00-\x7f",
+    "blank": r"\t ",
+    "cntrl": r"\x00-\x1f\x7f",
+    "digit": "0-9",
+    "graph": "!-~",
+    "lower": "a-z",
+    "print": " -~",
+    "punct": r"!-/:-@\[-`{-~",
+    "space": r"\t\n\x0b\f\r ",
+    "upper": "A-Z",
+    "word": "0-9A-Za-z_",
+    "xdigit": "0-9A-Fa-f",
+}
 CLASS = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]")
 
 
@@ -34,12 +54,28 @@ class NotJson(ValueError):
 
 
 def portable(pattern: str, end_of_text: str) -> str:
-    """The pattern with one meaning in every engine used: ASCII classes, ``$`` only at the very end."""
+    """The pattern with one meaning in every engine used: ASCII classes, ``$`` only at the very end.
+
+    Named classes, quoted text and code points in braces are written out; an unknown or negated named class is an error.
+    """
     out, in_class, i = [], False, 0
     while i < len(pattern):
         c = pattern[i]
         if c == "\\" and i + 1 < len(pattern):
             following = pattern[i + 1]
+            if following == "Q" and not in_class:
+                end = pattern.find("\\E", i + 2)
+                end = len(pattern) if end < 0 else end
+                out.append(re.escape(pattern[i + 2 : end]))
+                i = end + 2
+                continue
+            if point := re.match(r"\\x\{([0-9A-Fa-f]{1,6})\}", pattern[i:]):
+                code = int(point.group(1), 16)
+                if code > 0x10FFFF:
+                    raise re.error("no such code point", pattern, i)
+                out.append(re.escape(chr(code)))
+                i += point.end()
+                continue
             if following == "s":
                 out.append(SPACE if in_class else f"[{SPACE}]")
             elif following == "S" and not in_class:
@@ -64,8 +100,14 @@ def portable(pattern: str, end_of_text: str) -> str:
             out.append(c)
         elif c == "$" and not in_class:
             out.append(end_of_text)
-        elif c == "[" and in_class:
-            out.append("\\[")
+        elif in_class and (named := NAMED_CLASS.match(pattern, i)):
+            if named.group(1) not in NAMED:
+                raise re.error("unknown named class", pattern, i)
+            out.append(NAMED[named.group(1)])
+            i = named.end()
+            continue
+        elif c in "[&" and in_class:
+            out.append("\\" + c)
         else:
             out.append(c)
         i += 1
@@ -83,11 +125,17 @@ def anchored(pattern: str) -> bool:
 
 
 def compiles(pattern: str) -> bool:
-    """Whether the detector can run. Look-around and back references are not part of the pattern language."""
-    if UNSUPPORTED.search(pattern):
-        return False
+    """Whether the detector can run.
+
+    Look-around, back references, atomic groups, possessive repeats and flags other than i, m and s are not part of the
+    pattern language.
+    """
     try:
-        re.compile(portable(pattern, r"\Z"), re.ASCII)
+        written = portable(pattern, r"\Z")
+        plain = CLASS.sub("x", written)
+        if UNSUPPORTED.search(written) or POSSESSIVE.search(plain) or any(set(f) - set("ims-") for f in FLAGS.findall(plain)):
+            return False
+        re.compile(written, re.ASCII)
     except re.error:
         return False
     return True

@@ -222,3 +222,22 @@ def test_findings_of_every_row_keep_their_row(spark):
     scanned = pii_scan.with_findings(frame, "body", DEFAULT_POLICY, context("JOB_RESULT"))
     got = {r.id: [f.match for f in r.findings] for r in scanned.select("id", "findings").collect()}
     assert got == {i: ([f"555-123-{i:04d}"] if i % 3 == 0 else []) for i in range(500)}
+
+
+def test_pattern_language():
+    from opswatch.operators.detection import compiled, compiles
+
+    def finds(pattern, text):
+        return compiles(pattern) and [m.group() for m in compiled([(0, pattern)])[0][1].finditer(text)]
+
+    assert finds("[[:digit:]]{3}-[[:digit:]]{4}", "call 555-1234") == ["555-1234"]
+    assert finds("[[:alpha:]_]+", "ab_c 12") == ["ab_c"]
+    assert finds("[^[:space:][:punct:]]+", "a, b]") == ["a", "b"]
+    assert finds(r"\Qa.b[\E+", "a.b[[ axb[") == ["a.b[["]
+    assert finds(r"\x{41}\x{1F600}", "A\U0001F600") == ["A\U0001F600"]
+    assert finds("[a&&b]+", "a&b") == ["a&b"]
+    assert finds(r"\d*\++", "1++") == ["1++"]
+    assert finds("[*+]+", "*+") == ["*+"]
+    for refused in ("[[:^digit:]]", "[[:what:]]", "a++", "a*+b", "(?>a)", "(?U)a+", "(?x)a b", r"\p{L}", "(?=a)", r"(a)\1", r"\x{110000}"):
+        assert not compiles(refused), refused
+    assert compiles("(?i)abc") and compiles("(?i:abc)") and compiles("a+?")
