@@ -155,6 +155,27 @@ def _(t: Tables) -> DataFrame:
     return pii_scan.scan_artifacts(pages, POLICY, "ERROR_MESSAGE").select("page_id", "scan_status", "finding_count", "sanitized_body")
 
 
+@query(
+    "artifact_scan_whole",
+    f"""SELECT key AS doc_id, CASE WHEN n > 0 THEN 'DETECTED' ELSE 'CLEAN' END AS scan_status, n AS finding_count, false AS withheld, strlen(text) AS original_bytes, sanitized AS sanitized_body, false AS truncated
+FROM ({sanitized_sql('documents', 'doc_id', 'text', NUMBERED)}) AS s JOIN documents AS d ON d.doc_id = s.key""",
+)
+def _(t: Tables) -> DataFrame:
+    return pii_scan.scan_artifacts(documents(t), POLICY, "JOB_RESULT", limit=None).select(
+        "doc_id", "scan_status", "finding_count", "withheld", "original_bytes", "sanitized_body", "truncated"
+    )
+
+
+@query(
+    "artifact_scan_pages_whole",
+    f"""SELECT key AS page_id, CASE WHEN n > 0 THEN 'DETECTED' ELSE 'CLEAN' END AS scan_status, n AS finding_count, sanitized AS sanitized_body
+FROM ({sanitized_sql('pages', 'page_id', 'html', NUMBERED)}) AS s""",
+)
+def _(t: Tables) -> DataFrame:
+    pages = t.pages.select("page_id", F.col("html").alias("body"))
+    return pii_scan.scan_artifacts(pages, POLICY, "ERROR_MESSAGE", limit=None).select("page_id", "scan_status", "finding_count", "sanitized_body")
+
+
 @query("artifact_scan_failed", "SELECT conv_id, turn, 'SCAN_ERROR' AS scan_status, true AS withheld, '' AS sanitized_body FROM conversations")
 def _(t: Tables) -> DataFrame:
     """A detector that cannot run makes every scan untrusted, so the bodies are withheld."""

@@ -179,9 +179,10 @@ def joined_log(lines: Column, shown: int = MAX_LOG_LINES) -> Column:
 
 
 def scan_artifacts(
-    artifacts: DataFrame, policy: Policy, source: str, body: str = "body", job_type: Column | None = None, queue: Column | None = None
+    artifacts: DataFrame, policy: Policy, source: str, body: str = "body", job_type: Column | None = None, queue: Column | None = None,
+    limit: int | None = MAX_BODY_BYTES,
 ) -> DataFrame:
-    """Artifacts with scan status, findings and the sanitized, size-limited body.
+    """Artifacts with scan status, findings and the sanitized body, whole or of at most ``limit`` bytes and flagged.
 
     A scan that cannot be trusted withholds the body.
     """
@@ -196,6 +197,8 @@ def scan_artifacts(
     )
     judged = rewritten.withColumn("scan_status", status)
     withheld = F.col("scan_status") == "SCAN_ERROR"
+    shown = F.col("_sanitized") if limit is None else truncated_body(F.col("_sanitized"), limit)
+    truncated = F.lit(False) if limit is None else ~withheld & (F.octet_length("_sanitized") > limit)
     return judged.select(
         *artifacts.columns,
         "original_bytes",
@@ -203,8 +206,8 @@ def scan_artifacts(
         F.size("findings").alias("finding_count"),
         "findings",
         withheld.alias("withheld"),
-        F.when(~withheld, truncated_body(F.col("_sanitized"))).otherwise(F.lit("")).alias("sanitized_body"),
-        (~withheld & (F.octet_length("_sanitized") > MAX_BODY_BYTES)).alias("truncated"),
+        F.when(~withheld, shown).otherwise(F.lit("")).alias("sanitized_body"),
+        truncated.alias("truncated"),
     )
 
 

@@ -37,6 +37,8 @@ def activity_stream(events: DataFrame, bucket: str, late: str = LATE) -> DataFra
     return counted.select(F.col("w.start").alias("bucket_start"), "category", "n")
 
 
-def artifact_stream(artifacts: DataFrame, policy: Policy, source: str, body: str = "body", job_type: Column | None = None) -> DataFrame:
-    """Scanned artifacts; nothing is kept between rows."""
-    return scan_artifacts(artifacts, policy, source, body, job_type)
+def artifact_stream(
+    artifacts: DataFrame, policy: Policy, source: str, body: str = "body", job_type: Column | None = None, limit: int | None = None
+) -> DataFrame:
+    """Scanned artifacts, bodies whole unless a limit is given; nothing is kept between rows."""
+    return scan_artifacts(artifacts, policy, source, body, job_type, limit=limit)

@@ -241,3 +241,10 @@ def test_pattern_language():
     for refused in ("[[:^digit:]]", "[[:what:]]", "a++", "a*+b", "(?>a)", "(?U)a+", "(?x)a b", r"\p{L}", "(?=a)", r"(a)\1", r"\x{110000}"):
         assert not compiles(refused), refused
     assert compiles("(?i)abc") and compiles("(?i:abc)") and compiles("a+?")
+
+
+def test_bodies_are_whole_without_a_limit(spark):
+    text = "日" * 4000 + " 555-123-4567 " + "a" * 9000
+    frame = spark.createDataFrame([(1, text)], "id int, body string")
+    row = pii_scan.scan_artifacts(frame, DEFAULT_POLICY, "JOB_RESULT", limit=None).first()
+    assert row.sanitized_body == text.replace("555-123-4567", "[Phone-1]") and not row.truncated
