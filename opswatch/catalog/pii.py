@@ -339,6 +339,12 @@ FROM (SELECT doc_id, string_split(text, ' ') AS lines, len(string_split(text, '
 )
 def _(t: Tables) -> DataFrame:
     """Words of a document as log lines."""
+    return t.documents.select("doc_id", pii_scan.joined_log(F.split("text", " "), pii_scan.MAX_LOG_LINES).alias("log"))
+
+
+@query("log_lines_whole", "SELECT doc_id, array_to_string(string_split(text, ' '), chr(10)) AS log FROM documents")
+def _(t: Tables) -> DataFrame:
+    """Every word of a document as a log line."""
     return t.documents.select("doc_id", pii_scan.joined_log(F.split("text", " ")).alias("log"))
 
 

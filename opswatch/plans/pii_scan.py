@@ -171,8 +171,10 @@ def truncated_body(body: Column, limit: int = MAX_BODY_BYTES) -> Column:
     return out.otherwise(cut(limit - 3))
 
 
-def joined_log(lines: Column, shown: int = MAX_LOG_LINES) -> Column:
-    """First lines of a log, with a note on how many were left out."""
+def joined_log(lines: Column, shown: int | None = None) -> Column:
+    """Lines of a log; where only the first ``shown`` are asked for, with a note on how many were left out."""
+    if shown is None:
+        return F.array_join(lines, "\n")
     text = F.array_join(F.slice(lines, 1, shown), "\n")
     note = F.format_string("\n[%d more log lines omitted]", F.size(lines) - shown)
     return F.when(F.size(lines) > shown, F.concat(text, note)).otherwise(text)

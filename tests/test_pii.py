@@ -248,3 +248,8 @@ def test_bodies_are_whole_without_a_limit(spark):
     frame = spark.createDataFrame([(1, text)], "id int, body string")
     row = pii_scan.scan_artifacts(frame, DEFAULT_POLICY, "JOB_RESULT", limit=None).first()
     assert row.sanitized_body == text.replace("555-123-4567", "[Phone-1]") and not row.truncated
+
+
+def test_log_keeps_every_line(spark):
+    frame = spark.createDataFrame([([str(k) for k in range(50)],)], "lines array<string>")
+    assert frame.select(pii_scan.joined_log(frame.lines)).first()[0] == "\n".join(str(k) for k in range(50))
