@@ -33,9 +33,10 @@ def skipped_count(expected_at: Column, now, interval_seconds: Column) -> Column:
     return F.when(ok, F.floor(late / interval_seconds)).otherwise(F.lit(0)).cast("int")
 
 
-def skipped_times(expected_at: Column, now, interval_seconds: Column, cap: int = MAX_SKIPPED) -> Column:
-    """Array of the passed-over times, oldest first; at most ``cap``, which bounds the event burst."""
-    n = F.least(skipped_count(expected_at, now, interval_seconds), F.lit(cap))
+def skipped_times(expected_at: Column, now, interval_seconds: Column, cap: int | None = None) -> Column:
+    """Array of the passed-over times, oldest first; at most ``cap`` where one is given."""
+    n = skipped_count(expected_at, now, interval_seconds)
+    n = n if cap is None else F.least(n, F.lit(cap))
     steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     return F.transform(steps, lambda k: shift(expected_at, k * interval_seconds))
 

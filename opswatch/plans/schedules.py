@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opswatch.functions.schedules import (
-    MAX_SKIPPED,
     definition_hash,
     next_fire,
     occurrence_id,
     skipped_count,
-    skipped_times,
 )
+from opswatch.functions.timing import shift
 from opswatch.operators.filters import due_schedules
 
+#: occurrences made from one row at once
+CHUNK = 4096
+
 
 def with_hash(definitions: DataFrame) -> DataFrame:
     return definitions.withColumn(
@@ -64,13 +66,22 @@ def fired_schedules(definitions: DataFrame, now) -> DataFrame:
     )
 
 
-def skipped_occurrences(definitions: DataFrame, now, cap: int = MAX_SKIPPED) -> DataFrame:
-    """One row per passed-over occurrence of every due schedule, oldest first, at most ``cap`` per schedule."""
-    times = skipped_times(F.col("next_run_at"), now, F.col("interval_seconds"), cap)
-    rows = due_schedules(definitions, now).select("schedule_id", F.posexplode(times).alias("k", "expected_at"))
-    return rows.select(
+def skipped_occurrences(definitions: DataFrame, now, cap: int | None = None) -> DataFrame:
+    """One row per passed-over occurrence of every due schedule, at most the ``cap`` oldest of each where one is given.
+
+    A schedule's occurrences are made in chunks that are dealt out, so no row holds more than one chunk.
+    """
+    count = skipped_count(F.col("next_run_at"), now, F.col("interval_seconds"))
+    n = count if cap is None else F.least(count, F.lit(cap))
+    due = due_schedules(definitions, now).select("schedule_id", "next_run_at", "interval_seconds", n.alias("n")).filter("n > 0")
+    chunks = due.select("*", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / CHUNK).cast("int"))).alias("chunk"))
+    first = F.col("chunk") * CHUNK + 1
+    last = F.col("n") - F.greatest(F.col("n") - F.col("chunk") * CHUNK - CHUNK, F.lit(0))
+    dealt = chunks.repartition("schedule_id", "chunk")
+    rows = dealt.select("*", F.explode(F.sequence(first, last)).alias("k"))
+    return rows.withColumn("expected_at", shift(F.col("next_run_at"), F.col("k") * F.col("interval_seconds"))).select(
         "schedule_id",
-        (F.col("k") + 1).alias("k"),
+        "k",
         "expected_at",
         occurrence_id(F.col("schedule_id"), F.col("expected_at")).alias("occurrence_id"),
     )

@@ -7,6 +7,7 @@ import pytest
 from opswatch.operators.latest import latest_per_key
 from opswatch.plans import alerting, monitoring, runs
 from opswatch.plans.maintenance import split_expired
+from opswatch.plans.schedules import skipped_occurrences
 from opswatch.sources.sinks import append_new, compact, read_keyed, upsert
 from opswatch.sources.tables import literal_tables, parquet_tables
 
@@ -184,3 +185,10 @@ def test_retries(spark):
     log = spark.createDataFrame([(j, "task.retry_scheduled") for j in "abc"], "job_id string, event_type string")
     got = {r.parent_run_id: (r.decision, r.retry_index) for r in monitoring.retry_candidates(literal_tables(tasks=tasks, event_log=log), NOW).collect()}
     assert got == {"a": ("RETRY", 1), "c": ("EXHAUSTED", None)}
+
+
+def test_every_skipped_occurrence_is_emitted(spark):
+    late = spark.createDataFrame([("s", True, ago(10_000), 1), ("t", True, ago(30), 60)], "schedule_id string, enabled boolean, next_run_at timestamp, interval_seconds int")
+    rows = skipped_occurrences(late, NOW).collect()
+    assert sorted((r.schedule_id, r.k, r.expected_at) for r in rows) == [("s", k, ago(10_000 - k)) for k in range(1, 10_001)]
+    assert skipped_occurrences(late, NOW, 25).count() == 25
