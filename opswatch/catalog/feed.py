@@ -28,15 +28,28 @@ def _(t: Tables) -> DataFrame:
     return t.activity_log.filter(feed.visible_to(F.col("event_type"), ["pii.policy.read"])).select("id", "event_type")
 
 
+def replayed(t: Tables) -> DataFrame:
+    """Events after a cursor, in order."""
+    kind = F.col("event_type")
+    shown = t.activity_log.filter((F.col("id") > 4000) & ~feed.is_noise(kind) & feed.visible_to(kind, []))
+    return shown.orderBy("id").select("id", "event_type", "job_id")
+
+
 @query(
     "feed_replay",
     "SELECT id, event_type, job_id FROM activity_log WHERE id > 4000 AND event_type NOT IN ('task.progress', 'attempt.heartbeat') AND event_type NOT LIKE 'alert.%' AND event_type NOT LIKE 'pii.%' ORDER BY id LIMIT 501",
 )
 def _(t: Tables) -> DataFrame:
     """Replay after a cursor: one row more than the cap tells the reader to resynchronise."""
-    kind = F.col("event_type")
-    shown = t.activity_log.filter((F.col("id") > 4000) & ~feed.is_noise(kind) & feed.visible_to(kind, []))
-    return shown.orderBy("id").limit(paging.REPLAY_CAP + 1).select("id", "event_type", "job_id")
+    return replayed(t).limit(paging.REPLAY_CAP + 1)
+
+
+@query(
+    "feed_replay_all",
+    "SELECT id, event_type, job_id FROM activity_log WHERE id > 4000 AND event_type NOT IN ('task.progress', 'attempt.heartbeat') AND event_type NOT LIKE 'alert.%' AND event_type NOT LIKE 'pii.%'",
+)
+def _(t: Tables) -> DataFrame:
+    return replayed(t)
 
 
 @query("timeline_events", "SELECT id, event_type FROM activity_log WHERE NOT contains(event_type, 'progress') AND NOT contains(event_type, 'heartbeat')")

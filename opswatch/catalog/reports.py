@@ -10,6 +10,7 @@ from opswatch.catalog.registry import query
 from opswatch.functions import feed, timing
 from opswatch.functions.status import short_checksum
 from opswatch.operators import filters
+from opswatch.operators.paging import QUEUE_HISTORY_CAP
 from opswatch.plans import reports
 from opswatch.sources.tables import Tables
 from opswatch.sources.views import NOW
@@ -151,6 +152,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("queue_history", "SELECT id, sampled_at, pending_count, CASE WHEN pending_count > 20 THEN 'DEGRADED' ELSE 'HEALTHY' END AS health FROM queue_samples WHERE queue_name = 'q3' ORDER BY sampled_at DESC, id DESC LIMIT 100")
+def _(t: Tables) -> DataFrame:
+    return reports.queue_history(t, "q3", QUEUE_HISTORY_CAP).select("id", "sampled_at", "pending_count", "health")
+
+
+@query("queue_history_all", "SELECT id, sampled_at, pending_count, CASE WHEN pending_count > 20 THEN 'DEGRADED' ELSE 'HEALTHY' END AS health FROM queue_samples WHERE queue_name = 'q3'")
 def _(t: Tables) -> DataFrame:
     return reports.queue_history(t, "q3").select("id", "sampled_at", "pending_count", "health")
 
@@ -211,6 +217,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("policy_history", "SELECT id, policy_version, checksum, activated_at, result, substr(checksum, 1, 8) AS short FROM policy_activations ORDER BY activated_at DESC, id DESC LIMIT 50")
+def _(t: Tables) -> DataFrame:
+    return reports.policy_history(t.policy_activations, 50).select(
+        "id", "policy_version", "checksum", "activated_at", "result", short_checksum(F.col("checksum")).alias("short")
+    )
+
+
+@query("policy_history_all", "SELECT id, policy_version, checksum, activated_at, result, substr(checksum, 1, 8) AS short FROM policy_activations")
 def _(t: Tables) -> DataFrame:
     return reports.policy_history(t.policy_activations).select(
         "id", "policy_version", "checksum", "activated_at", "result", short_checksum(F.col("checksum")).alias("short")

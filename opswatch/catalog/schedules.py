@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opswatch.catalog.registry import query
 from opswatch.catalog.shared import LEDGER_SQL, STORED, ledger, number_of, schedule_summary, with_projections
 from opswatch.functions.schedules import MAX_SKIPPED, clamp_run_at, expected_from_occurrence_id
-from opswatch.operators import filters, folds
+from opswatch.operators import filters, folds, paging
 from opswatch.plans import reports, runs, schedules
 from opswatch.sources.tables import Tables
 from opswatch.sources.views import NOW
@@ -163,11 +163,25 @@ def _(t: Tables) -> DataFrame:
     """SELECT t.job_id AS run_id, t.status, t.created_at, (epoch_us(t.created_at) - epoch_us(t.expected_at)) / 1000000.0::DOUBLE AS creation_drift_seconds FROM tasks AS t
 WHERE schedule_id = 's7' ORDER BY created_at DESC, id DESC LIMIT 100""",
 )
+def _(t: Tables) -> DataFrame:
+    return reports.schedule_runs(with_projections(t), "s7", 100).select("run_id", "status", "created_at", "creation_drift_seconds")
+
+
+@query(
+    "schedule_detail_all",
+    """SELECT t.job_id AS run_id, t.status, t.created_at, (epoch_us(t.created_at) - epoch_us(t.expected_at)) / 1000000.0::DOUBLE AS creation_drift_seconds FROM tasks AS t
+WHERE schedule_id = 's7'""",
+)
 def _(t: Tables) -> DataFrame:
     return reports.schedule_runs(with_projections(t), "s7").select("run_id", "status", "created_at", "creation_drift_seconds")
 
 
 @query("schedule_occurrences", "SELECT * FROM ledger WHERE schedule_id = 's7' ORDER BY expected_at DESC, occurrence_id DESC LIMIT 50", STORED)
+def _(t: Tables) -> DataFrame:
+    return reports.schedule_occurrences(ledger(t), "s7", paging.OCCURRENCE_CAP).drop("truncated")
+
+
+@query("schedule_occurrences_all", "SELECT * FROM ledger WHERE schedule_id = 's7'", STORED)
 def _(t: Tables) -> DataFrame:
     return reports.schedule_occurrences(ledger(t), "s7")
 

@@ -83,3 +83,8 @@ def capped(df: DataFrame, order: list[Column], cap: int) -> DataFrame:
         "truncated", F.count(F.lit(1)).over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > cap
     )
     return numbered.filter(F.col("position") <= cap)
+
+
+def page(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """All rows in order; where a limit is given its first rows, flagged ``truncated`` when more existed."""
+    return df.orderBy(*order) if limit is None else capped(df, order, limit).drop("position")

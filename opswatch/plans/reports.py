@@ -19,7 +19,7 @@ from opswatch.operators.latest import (
     newest_queue_samples,
     newest_workers,
 )
-from opswatch.operators.paging import OCCURRENCE_CAP, QUEUE_HISTORY_CAP
+from opswatch.operators.paging import page
 from opswatch.sources.tables import Tables
 
 LATE_START_SECONDS = 30
@@ -249,23 +249,23 @@ def queue_list(tables: Tables, now, window: float = 3600) -> DataFrame:
     )
 
 
-def queue_history(tables: Tables, queue: str, limit: int = QUEUE_HISTORY_CAP) -> DataFrame:
-    """Last samples of one queue, newest first; the first row is its current state."""
+def queue_history(tables: Tables, queue: str, limit: int | None = None) -> DataFrame:
+    """Samples of one queue, newest first, all or a page; the first row is its current state."""
     pending = F.col("pending_count")
     own = tables.queue_samples.filter(F.col("queue_name") == queue)
-    return own.orderBy(F.col("sampled_at").desc(), F.col("id").desc()).limit(limit).withColumn(
-        "health", v.queue_verdict(pending)
-    )
+    return page(own, [F.col("sampled_at").desc(), F.col("id").desc()], limit).withColumn("health", v.queue_verdict(pending))
 
 
 # --- schedules ---
 
 
-def schedule_runs(tables: Tables, schedule_id: str | None = None) -> DataFrame:
-    """Runs of a schedule (or of all) with creation and start drift in seconds."""
+def schedule_runs(tables: Tables, schedule_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Runs of a schedule (or of all) with creation and start drift in seconds; a page of the newest is flagged."""
     runs = tables.tasks.filter(F.coalesce("schedule_id", F.lit("")) != "")
     if schedule_id is not None:
-        runs = runs.filter(F.col("schedule_id") == schedule_id).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(100)
+        runs = runs.filter(F.col("schedule_id") == schedule_id)
+    if limit is not None:
+        runs = page(runs, [F.col("created_at").desc(), F.col("id").desc()], limit)
     started = tables.run_projections.select("job_id", "started_at")
     return runs.join(started, "job_id", "left").select(
         "schedule_id",
@@ -277,12 +277,13 @@ def schedule_runs(tables: Tables, schedule_id: str | None = None) -> DataFrame:
         "started_at",
         seconds_between(F.col("created_at"), F.col("expected_at")).alias("creation_drift_seconds"),
         seconds_between(F.col("started_at"), F.col("expected_at")).alias("start_drift_seconds"),
+        *([] if limit is None else ["truncated"]),
     )
 
 
-def schedule_occurrences(ledger: DataFrame, schedule_id: str, limit: int = OCCURRENCE_CAP) -> DataFrame:
+def schedule_occurrences(ledger: DataFrame, schedule_id: str, limit: int | None = None) -> DataFrame:
     own = ledger.filter(F.col("schedule_id") == schedule_id)
-    return own.orderBy(F.col("expected_at").desc(), F.col("occurrence_id").desc()).limit(limit)
+    return page(own, [F.col("expected_at").desc(), F.col("occurrence_id").desc()], limit)
 
 
 def schedule_cards(runs: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -440,8 +441,8 @@ def endpoint_summary(access_log: DataFrame) -> DataFrame:
     )
 
 
-def policy_history(activations: DataFrame, limit: int = 50) -> DataFrame:
-    return activations.orderBy(F.col("activated_at").desc(), F.col("id").desc()).limit(limit)
+def policy_history(activations: DataFrame, limit: int | None = None) -> DataFrame:
+    return page(activations, [F.col("activated_at").desc(), F.col("id").desc()], limit)
 
 
 def active_policy(activations: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opswatch.functions.status import attempt_kind
 from opswatch.operators.filters import RUN_SUBJECTS
-from opswatch.operators.paging import TIMELINE_CAP, capped
+from opswatch.operators.paging import page
 from opswatch.operators.skew import spread_blank
 from opswatch.sources.tables import Tables
 
@@ -145,14 +145,19 @@ def timeline_order() -> list[Column]:
     return [F.col(c).asc() for c in ("occurred_at", "source_rank", "sequence")]
 
 
-def chain_timeline(tables: Tables, chain_id: str, can_read_pii: bool = True, cap: int = TIMELINE_CAP) -> DataFrame:
-    """First ``cap`` entries of a chain in time order, flagged when there are more."""
+def ordered(entries: DataFrame, cap: int | None) -> DataFrame:
+    found = page(entries, timeline_order(), cap)
+    return found.withColumn("truncated", F.lit(False)) if cap is None else found
+
+
+def chain_timeline(tables: Tables, chain_id: str, can_read_pii: bool = True, cap: int | None = None) -> DataFrame:
+    """Entries of a chain in time order; with a ``cap`` the first ones, flagged when there are more."""
     members = tables.tasks.filter(F.col("execution_chain_id") == chain_id)
-    return capped(timeline_entries(only_about(tables, members), can_read_pii), timeline_order(), cap)
+    return ordered(timeline_entries(only_about(tables, members), can_read_pii), cap)
 
 
-def run_timeline(tables: Tables, job_id: str, can_read_pii: bool = True, cap: int = TIMELINE_CAP) -> DataFrame:
+def run_timeline(tables: Tables, job_id: str, can_read_pii: bool = True, cap: int | None = None) -> DataFrame:
     """Timeline of the chain a run belongs to."""
     own = tables.tasks.filter(F.col("job_id") == job_id).select("execution_chain_id")
     members = tables.tasks.join(own, "execution_chain_id", "left_semi")
-    return capped(timeline_entries(only_about(tables, members), can_read_pii), timeline_order(), cap)
+    return ordered(timeline_entries(only_about(tables, members), can_read_pii), cap)

@@ -1,11 +1,12 @@
 """Alert rules, monitoring checks, reconciliation and sinks on literal tables."""
 
+import inspect
 from datetime import datetime, timedelta
 
 import pytest
 
 from opswatch.operators.latest import latest_per_key
-from opswatch.plans import alerting, monitoring, runs
+from opswatch.plans import alerting, monitoring, reports, runs, timeline
 from opswatch.plans.maintenance import split_expired
 from opswatch.plans.schedules import skipped_occurrences
 from opswatch.sources.sinks import append_new, compact, read_keyed, upsert
@@ -192,3 +193,27 @@ def test_every_skipped_occurrence_is_emitted(spark):
     rows = skipped_occurrences(late, NOW).collect()
     assert sorted((r.schedule_id, r.k, r.expected_at) for r in rows) == [("s", k, ago(10_000 - k)) for k in range(1, 10_001)]
     assert skipped_occurrences(late, NOW, 25).count() == 25
+
+
+def test_histories_are_whole_and_pages_flagged(spark):
+    rows = [(k, "q", "s", ago(k), k, f"j{k}", "Completed", f"o{k}") for k in range(150)]
+    names = "id int, queue_name string, schedule_id string, at timestamp, pending_count int, job_id string, status string, occurrence_id string"
+    frame = spark.createDataFrame(rows, names).selectExpr("*", "at AS sampled_at", "at AS created_at", "at AS expected_at", "at AS activated_at")
+    started = frame.selectExpr("job_id", "at AS started_at")
+    tables = literal_tables(queue_samples=frame, tasks=frame, run_projections=started)
+    for found in (
+        lambda *n: reports.queue_history(tables, "q", *n),
+        lambda *n: reports.schedule_runs(tables, "s", *n),
+        lambda *n: reports.schedule_occurrences(frame, "s", *n),
+        lambda *n: reports.policy_history(frame, *n),
+    ):
+        assert {r.id for r in found().collect()} == set(range(150))
+        assert {(r.id, r.truncated) for r in found(40).collect()} == {(k, True) for k in range(40)}
+
+
+def test_timelines_are_whole_by_default(spark):
+    entries = spark.range(1500).selectExpr("id", "timestamp_seconds(id) AS occurred_at", "0 AS source_rank", "'' AS sequence")
+    assert timeline.ordered(entries, None).filter("NOT truncated").count() == 1500
+    assert timeline.ordered(entries, 9).filter("truncated").count() == 9
+    for fn in (timeline.chain_timeline, timeline.run_timeline):
+        assert inspect.signature(fn).parameters["cap"].default is None
