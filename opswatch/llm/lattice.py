@@ -4,6 +4,7 @@ The pieces of an existing vocabulary, weighted by its scores and by how often th
 a unigram model over all segmentations of a word; a forward recursion in log space sums them. A word seen in training
 also has an arc of its own, weighted by its count. The weight left to spelling is the share of
 training tokens seen once (Good and Turing). A text is its words and one end; log10 of the product is its score.
+The lattice score is log10 of the product over its words of the sum over segmentations alone, without whole words and end.
 """
 
 from __future__ import annotations
@@ -125,10 +126,11 @@ def score(docs: DataFrame, vocabulary_path: str, held_out, id_col: str = "doc_id
             arc = np.log(np.where(uses > 0, (1 - spelling) * uses / max(total, 1), 1))
             mixed = np.logaddexp(np.where(uses > 0, arc, -np.inf), math.log(spelling) + logs)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("uses"), pa.array(mixed / math.log(10))], names=["word", "uses", "log10"]
+                [batch.column("word"), batch.column("uses"), pa.array(mixed / math.log(10)), pa.array(logs / math.log(10))],
+                names=["word", "uses", "log10", "spelt"],
             )
 
-    spelled = stored(words.mapInArrow(spell, "word binary, uses bigint, log10 double"))
+    spelled = stored(words.mapInArrow(spell, "word binary, uses bigint, log10 double, spelt double"))
     values = pairs.select("block", "word").join(spelled, "word")
     floor = math.log10(total + kinds + 1)
     end_base = math.log10(ends + 1) - floor
@@ -137,23 +139,26 @@ def score(docs: DataFrame, vocabulary_path: str, held_out, id_col: str = "doc_id
     def lay_out(found_words, found, right, rows):
         uses = right.column("uses").to_numpy()[found]
         base, own, known = np.log10(uses + 1) - floor, right.column("log10").to_numpy()[found], uses > 0
-        out: list[list] = [[], [], [], [], []]
+        spelt = right.column("spelt").to_numpy()[found]
+        out: list[list] = [[], [], [], [], [], []]
         for _, counted, codes in rows:
             for column, value in zip(
                 out,
                 (
                     not counted, len(codes) + 1, int(known[codes].sum()) + (ends > 0),
-                    float(base[codes].sum()) + end_base, float(own[codes].sum()) + end_score,
+                    float(base[codes].sum()) + end_base, float(own[codes].sum()) + end_score, float(spelt[codes].sum()),
                 ),
             ):
                 column.append(value)
         return [
             pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
             pa.array([total] * len(out[0]), pa.int64()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.float64()),
+            pa.array(out[5], pa.float64()),
         ]
 
     id_type = docs.schema[id_col].dataType.simpleString()
     fields = (
-        f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, "
+        "lattice_score double"
     )
     return by_position(packed, values, lay_out, fields)

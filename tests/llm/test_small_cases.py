@@ -38,3 +38,10 @@ def test_main_text():
     )
     assert html_content.main_text(page, weights, ties) == "A & B First line, with words. Second one."
     assert html_content.main_text(None, weights, ties) == html_content.main_text("", weights, ties) == ""
+
+
+def test_lattice_score_has_no_whole_word_arc(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    docs = docs_frame(spark, [(k, "the same seven words again and again") for k in range(50)] + [(99, "the")])
+    rows = {r.id: r for r in lattice.score(docs, path, F.col("doc_id") == 99).collect()}
+    assert np.isfinite(rows[99].lattice_score) and rows[99].lattice_score < rows[99].score
