@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, html_content, importance, lattice, line_dedup, quality_rules, simhash, suffixes
+from . import bpe, chat, decontamination, grouped_join, html_content, importance, lattice, line_dedup, quality_rules, simhash, suffixes
 from .common import table
 
 
@@ -77,6 +77,10 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("id", "doc_id")
 
 
+def op11_grouped_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_join.similar_sets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: value for name, value in list(globals().items()) if name.startswith("op") and callable(value)
 }
