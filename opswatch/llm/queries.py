@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, grouped_join, html_content, importance, lattice, line_dedup, quality_rules, simhash, suffixes
+from . import (
+    bpe,
+    chat,
+    decontamination,
+    grouped_join,
+    html_content,
+    importance,
+    lattice,
+    line_dedup,
+    periodic,
+    quality_rules,
+    simhash,
+    spelling,
+    suffixes,
+)
 from .common import table
 
 
@@ -81,8 +95,47 @@ def op11_grouped_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_join.similar_sets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), misspell_every=97))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    found = periodic.periodic_runs(docs).withColumn("first", periodic.exponent_first(F.col("runs")))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), "first.start", "first.length", "first.period",
+        F.expr("1000 * first.length DIV first.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: value for name, value in list(globals().items()) if name.startswith("op") and callable(value)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_grouped_join": r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+      FROM documents
+    ), sets AS (
+      SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS s
+      FROM words
+    ), classes AS (
+      SELECT list_sort(s) AS c, min(doc_id) AS a, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)
+    ), elements AS (
+      SELECT a, n, unnest(c) AS e FROM classes
+    ), links AS (
+      SELECT x.a AS a, y.a AS b FROM elements x JOIN elements y ON x.e = y.e AND x.a <> y.a AND 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n)
+      GROUP BY x.a, y.a, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+    ), reach AS (
+      SELECT a, a AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+    ), least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+    SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.m, s.doc_id) AS component_id
+    FROM sets s LEFT JOIN classes c ON list_sort(s.s) = c.c LEFT JOIN least_of m ON m.a = c.a
+    """,
+}
