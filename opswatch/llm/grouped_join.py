@@ -32,6 +32,8 @@ SHARED, ALL = 9, 10
 COUNTER_BITS, COUNTER_SHIFTS = 17, (0, 40)
 #: a class has the parity of how many of its elements fall into each of 512 slots, as eight numbers
 PARITIES = [f"parity_{k}" for k in range(8)]
+#: ids are first looked up by one of so many slots, which bounds what is broadcast
+ID_SLOTS = 1 << 18
 
 _DRAWN = np.random.default_rng(20_240_911).integers(0, 2**64, 2, dtype=np.uint64) | np.uint64(1)
 
@@ -108,6 +110,10 @@ def _marked(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, fields)
 
 
+def _id_slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(ID_SLOTS))
+
+
 def _sets(texts: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, elements) of the classes in ``keys`` (key), from the texts of their smallest ids."""
 
@@ -124,7 +130,9 @@ def _sets(texts: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
             )
 
     ids = classes.join(keys, "key", "left_semi").select(F.col("least_id").alias("needed")).distinct()
-    needed = texts.join(ids, F.col("id").eqNullSafe(F.col("needed")), "left_semi").select("text")
+    slots = ids.select(_id_slot("needed").alias("slot")).distinct()
+    likely = texts.withColumn("slot", _id_slot("id")).join(F.broadcast(slots), "slot", "left_semi")
+    needed = likely.join(ids, F.col("id").eqNullSafe(F.col("needed")), "left_semi").select("text")
     found = needed.mapInArrow(run, "key bigint, elements array<bigint>")
     return found.join(keys, "key", "left_semi").dropDuplicates(["key"])
 
@@ -155,15 +163,31 @@ def _parities_fit(a: list[Column], b: list[Column], n: Column, m: Column) -> Col
     return differing * (SHARED + ALL) <= (n + m) * (ALL - SHARED)
 
 
-def _first_links(rows: DataFrame, members: DataFrame) -> DataFrame:
+def _prefixes_fit(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs (ga, gb) of groups with enough common prefix elements; ``shared`` has (gid, n, elements), those of several groups.
+
+    Elements of the prefix that ends first in the common order are all decided: such a set of n has at most the common ones and the
+    n - len(prefix) behind its prefix in common with the other set.
+    """
+    def side(a: str) -> DataFrame:
+        return shared.select(F.col("gid").alias(f"g{a}"), F.col("n").alias(f"n_{a}"), F.col("elements").alias(f"elements_{a}"))
+
+    met = pairs.join(side("a"), "ga").join(side("b"), "gb")
+    behind = F.greatest(*[F.expr(f"n_{x} - (n_{x} * {ALL - SHARED} DIV {ALL} + 1)") for x in "ab"])
+    most = F.size(F.array_intersect("elements_a", "elements_b")) + behind
+    return met.filter(most * (SHARED + ALL) >= (F.col("n_a") + F.col("n_b")) * SHARED).select("ga", "gb")
+
+
+def _first_links(rows: DataFrame, members: DataFrame, shared: DataFrame) -> DataFrame:
     """Pairs of a prefix element's groups with its first group, and of a group's members with its first member."""
     near = rows.filter("gid <> first_gid")
     near = near.filter(_sizes_fit(F.col("n"), F.col("first.n")) & _positions_fit(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
     inside = members.filter("key <> gid").select(F.col("gid").alias("a"), F.col("key").alias("b"))
-    return near.select(F.col("first_gid").alias("a"), F.col("gid").alias("b")).unionByName(inside).distinct()
+    outside = _prefixes_fit(near.select(F.col("first_gid").alias("ga"), F.col("gid").alias("gb")).distinct(), shared)
+    return outside.select(F.col("ga").alias("a"), F.col("gb").alias("b")).unionByName(inside)
 
 
-def _other_pairs(rows: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+def _other_pairs(rows: DataFrame, members: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of members in different components whose groups share a prefix element or are one group."""
     rooted = stored(members.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node"))
     spread = rooted.groupBy("gid").agg(
@@ -186,7 +210,7 @@ def _other_pairs(rows: DataFrame, members: DataFrame, roots: DataFrame) -> DataF
         & _sizes_fit(F.col("a.n"), F.col("b.n")) & _positions_fit(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
         & (~single | parities),
     )
-    groups = met.select(F.least("a.gid", "b.gid").alias("ga"), F.greatest("a.gid", "b.gid").alias("gb")).distinct()
+    groups = _prefixes_fit(met.select(F.least("a.gid", "b.gid").alias("ga"), F.greatest("a.gid", "b.gid").alias("gb")).distinct(), shared)
     groups = groups.unionByName(spread.filter("lo <> hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
 
     a, b = rooted.alias("a"), rooted.alias("b")
@@ -216,9 +240,10 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = each.groupBy("element").agg(F.min(F.struct("pos", "n", "gid")).alias("first"), F.count("*").alias("n_groups"))
     rows = each.join(firsts.filter("n_groups > 1").drop("n_groups"), "element").withColumn("first_gid", F.col("first.gid"))
     rows = stored(rows)
+    shared = stored(rows.groupBy("gid", "n").agg(F.collect_list("element").alias("elements")))
 
-    links = stored(_verified(stored(_first_links(rows, members)), texts, classes))
-    more = stored(_other_pairs(rows, members, stored(components(links))))
+    links = stored(_verified(stored(_first_links(rows, members, shared)), texts, classes))
+    more = stored(_other_pairs(rows, members, shared, stored(components(links))))
     links = links.unionByName(stored(_verified(more, texts, classes)))
     roots = stored(components(links))
 
