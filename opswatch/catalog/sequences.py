@@ -30,7 +30,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     named = t.monitoring_healths.withColumn("subject", F.lit("monitoring"))
-    return sequences.transitions(named, ["subject"], "sampled_at", "id", "status", 6 * 3600).select("id", "status", "previous", "sampled_at")
+    return sequences.transitions(named, ["subject"], "sampled_at", "id", "status").select("id", "status", "previous", "sampled_at")
 
 
 @query(

@@ -1,71 +1,41 @@
 """Rules over ordered sequences: transitions, zero crossings, rate limits, stale updates.
 
-A key may hold a large share of all rows, so no rule sorts a whole key in one task. Sequences are cut into
-time chunks; (key, chunk) is the unit of work, and only one small summary row per chunk is carried along a key.
+A key may hold a large share of all rows, so no rule sorts a whole key in one task. Ordered rows are cut into blocks of a
+bounded number of rows (``operators.blocks``), and only one small row per (key, block) is carried along a key.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opswatch.functions.timing import MICROS
+from opswatch.operators.blocks import BLOCK, BLOCK_ROWS, KEY, in_blocks, last_before, stored
 
 CHUNK = "_chunk"
-RUN = "_run_number"
-RUN_LENGTH = 1024
-HOUR = 3600
-
-
-def time_chunk(ts: str, seconds: float) -> Column:
-    return F.floor(F.unix_micros(F.col(ts)) / F.lit(int(seconds * MICROS)))
 
 
-def with_previous(
-    df: DataFrame,
-    keys: list[str],
-    ts: str,
-    tie: str,
-    value: str,
-    out: str,
-    chunk_seconds: float = HOUR,
-) -> DataFrame:
+def with_previous(df: DataFrame, keys: list[str], ts: str, tie: str, value: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``out``: the value of the row before this one within its key (NULL for the first row).
 
-    Inside a chunk this is ``lag``. The first row of a chunk takes the last value of the nearest earlier chunk
-    that has rows; those tails are one row per (key, chunk).
+    Rows are in the order of ``ts`` and ``tie``; ``tie`` must tell rows of equal time apart.
     """
-    work = df.withColumn(CHUNK, time_chunk(ts, chunk_seconds))
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(ts, tie)
-    numbered = work.withColumn("_position", F.row_number().over(inside)).withColumn(
-        "_inside", F.lag(F.col(value)).over(inside)
-    )
-    tails = work.groupBy(*keys, CHUNK).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(ts, tie)).alias("_tail"))
-    before = tails.select(
-        *keys, CHUNK, F.lag(F.col("_tail")["v"]).over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_before")
-    )
-    joined = numbered.join(before, [*keys, CHUNK], "left")
-    previous = F.when(F.col("_position") == 1, F.col("_before")).otherwise(F.col("_inside"))
-    return joined.withColumn(out, previous).drop(CHUNK, "_position", "_inside", "_before")
+    held = df.withColumn("_held", F.struct(F.col(value).alias("v")))
+    seen = last_before(held, keys, [ts, tie], "_held", "_previous", block_rows)
+    return seen.select(*[F.col(c) for c in df.columns], F.col("_previous")["v"].alias(out))
 
 
-def transitions(
-    df: DataFrame, keys: list[str], ts: str, tie: str, verdict: str, chunk_seconds: float = HOUR
-) -> DataFrame:
+def transitions(df: DataFrame, keys: list[str], ts: str, tie: str, verdict: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows whose verdict differs from the one before; a first sighting is silent. Adds ``previous``."""
-    seen = with_previous(df, keys, ts, tie, verdict, "previous", chunk_seconds)
+    seen = with_previous(df, keys, ts, tie, verdict, "previous", block_rows)
     return seen.filter(F.col("previous").isNotNull() & (F.col("previous") != F.col(verdict)))
 
 
-def zero_crossings(
-    df: DataFrame, keys: list[str], ts: str, tie: str, count: str, chunk_seconds: float = HOUR
-) -> DataFrame:
+def zero_crossings(df: DataFrame, keys: list[str], ts: str, tie: str, count: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows where a count drops to zero or rises from zero. Adds ``previous`` and ``change`` (lost/restored)."""
-    seen = with_previous(df, keys, ts, tie, count, "previous", chunk_seconds)
+    seen = with_previous(df, keys, ts, tie, count, "previous", block_rows)
     change = (
         F.when((F.col("previous") > 0) & (F.col(count) == 0), F.lit("lost"))
         .when((F.col("previous") == 0) & (F.col(count) > 0), F.lit("restored"))
@@ -101,153 +71,140 @@ def newer_than_all_before(
 
 
 # --- keep at most one row per window, measured from the last kept row ---
+#
+# Rows are in blocks ordered by key and time. A row that is its key's first, or a window or more after the row before it, is kept whatever
+# came earlier, so in a block only the rows before the first such row, its lead, depend on earlier blocks. What a
+# lead does is a step function: which row is kept last, by which row is kept first. Its steps are the nodes of a graph
+# whose pointers lead to the next kept row in a later block; nodes reached from what is known give each block the last row kept before it.
 
 
-def chunk_steps(times: np.ndarray, window: int, start: int) -> tuple[list[int], list[int]]:
-    """How a chunk maps its first kept time to its last kept time, as a step function.
+def lead_steps(times: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest first-kept and the last-kept time of each step of a lead with these ascending times.
 
-    ``times`` are ascending. Only times less than one window after ``start`` and the first one beyond can be kept
-    first, because the last kept time before the chunk is earlier than ``start``. Returned are the largest
-    first-kept time and the last-kept time of each step.
+    The row kept before the lead is earlier than the first of ``times``, so only rows less than a window after that one
+    and the first row beyond can be kept first.
     """
     n = len(times)
-    if n == 1:
-        only = int(times[0])
-        return [only], [only]
     following = np.searchsorted(times, times + window, side="left")
-    last = times.tolist()
-    for i in range(n - 1, -1, -1):
-        if following[i] < n:
-            last[i] = last[following[i]]
-    entries = min(int(np.searchsorted(times, start + window, side="left")) + 1, n)
-    ends = [i for i in range(entries) if i == entries - 1 or last[i + 1] != last[i]]
-    return [int(times[i]) for i in ends], [last[i] for i in ends]
-
-
-def follow(last: int | None, chunks: list, window: int) -> int | None:
-    """Last kept time after going through chunks of (first, exit) step functions."""
-    for first, exits in chunks:
-        step = 0 if last is None else bisect_left(first, last + window)
-        if step < len(exits):
-            last = int(exits[step])
-    return last
-
-
-def compose(chunks: list, window: int) -> tuple[list[int], list[int]]:
-    """Step function of consecutive chunks taken together.
-
-    Entry is in the first chunk, or in the second when every time of the first is too close to what was kept
-    before; the second then starts far enough away for its first step to apply.
-    """
-    first, exits = chunks[0]
-    entries = [(int(f), follow(int(e), chunks[1:], window)) for f, e in zip(first, exits)]
-    if len(chunks) > 1:
-        entries.append((int(chunks[1][0][0]), follow(int(chunks[1][1][0]), chunks[2:], window)))
-    kept = [e for i, e in enumerate(entries) if i == len(entries) - 1 or entries[i + 1][1] != e[1]]
-    return [f for f, _ in kept], [e for _, e in kept]
-
-
-def carry_through(chunks: list, window: int, last: int | None = None) -> list[int | None]:
-    """Last kept time before each chunk."""
-    carried: list[int | None] = []
-    for chunk in chunks:
-        carried.append(last)
-        last = follow(last, [chunk], window)
-    return carried
+    last = times.copy()
+    for i in range(int(np.searchsorted(following, n, side="left")) - 1, -1, -1):
+        last[i] = last[following[i]]
+    entries = min(int(np.searchsorted(times, times[0] + window, side="left")) + 1, n)
+    ends = np.append(np.nonzero(last[1:entries] != last[: entries - 1])[0], entries - 1)
+    return times[ends], last[ends]
 
 
 def kept_positions(times: np.ndarray, window: int, last: int | None) -> list[int]:
-    """Positions kept in a chunk given the last kept time before it."""
+    """Positions kept among ascending times, given the last time kept before them."""
     kept: list[int] = []
     n = len(times)
     i = 0 if last is None else int(np.searchsorted(times, last + window, side="left"))
     while i < n:
         kept.append(i)
-        i = n if n == 1 else int(np.searchsorted(times, times[i] + window, side="left"))
+        i = n if times[-1] - times[i] < window else int(np.searchsorted(times, times[i] + window, side="left"))
     return kept
 
 
-def spaced(
-    df: DataFrame,
-    keys: list[str],
-    ts: str,
-    tie: str,
-    window_seconds: float,
-    chunk_windows: int = 8,
-) -> DataFrame:
-    """Rows kept when each key may emit once per window, measured from the last **kept** row.
+def free_starts(times: np.ndarray, fresh: np.ndarray, window: int) -> np.ndarray:
+    """Positions after the first that are kept whatever came earlier; ``fresh`` marks the first row of a key in a block."""
+    apart = np.diff(times, prepend=times[:1]) >= window
+    apart[0] = False
+    starts = fresh | apart
+    starts[0] = False
+    return np.nonzero(starts)[0]
+
 
-    The decision is sequential, but a time chunk acts on it as a small step function: which time is kept last as a
-    function of which is kept first. Chunks are summarised in parallel, only the summaries are chained along a key,
-    and the chunks then pick their rows in parallel. At equal times only the first row can be kept, so times are
-    made distinct before they are shuffled. ``tie`` must identify a row within its key.
+def _sources(blocks: DataFrame, window: int, key_type: str) -> DataFrame:
+    """For each block the steps of its lead (with ``high``), and what it surely keeps last of its last key.
+
+    Columns: block, key, high (NULL: no step), last (NULL: a step that leads nowhere), first (whether the block's first step).
     """
-    window = int(window_seconds * MICROS)
-    chunk = window * chunk_windows
-    firsts = df.groupBy(*keys, F.unix_micros(F.col(ts)).alias("_t")).agg(F.min(tie).alias(tie))
-    moments = F.array_sort(F.collect_list(F.struct("_t", tie)))
-    groups = firsts.groupBy(*keys, F.floor(F.col("_t") / F.lit(chunk)).alias(CHUNK)).agg(moments.alias("_moments"))
-    times = F.col("_moments")["_t"]
-
-    @F.pandas_udf("struct<first: array<bigint>, exit: array<bigint>>")
-    def steps(moments: pd.Series, number: pd.Series) -> pd.DataFrame:
-        pairs = [chunk_steps(np.asarray(t), window, int(c) * chunk) for t, c in zip(moments, number)]
-        return pd.DataFrame(pairs, columns=["first", "exit"])
-
-    def functions(key) -> list:
-        return [(list(c["first"]), list(c["exit"])) for c in key]
-
-    @F.pandas_udf("struct<first: array<bigint>, exit: array<bigint>>")
-    def combined(chunks: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([compose(functions(run), window) for run in chunks], columns=["first", "exit"])
-
-    @F.pandas_udf("array<bigint>")
-    def chain(chunks: pd.Series, last: pd.Series) -> pd.Series:
-        before = [None if pd.isna(b) else int(b) for b in last.astype("Int64")]
-        return pd.Series([carry_through(functions(run), window, b) for run, b in zip(chunks, before)], dtype=object)
-
-    @F.pandas_udf("array<int>")
-    def pick(moments: pd.Series, last: pd.Series) -> pd.Series:
-        carried = last.astype("Int64")
-        return pd.Series(
-            [kept_positions(np.asarray(t), window, None if pd.isna(b) else int(b)) for t, b in zip(moments, carried)], dtype=object
-        )
 
-    def chained(runs: DataFrame, number: str, last: Column) -> DataFrame:
-        """One row per member of each run with the time kept last before it."""
-        members = F.arrays_zip(
-            F.col("_run")[number].alias(number), chain(F.col("_run")["_steps"], last.cast("bigint")).alias("_last")
+    def run(rows: pa.Table) -> pa.Table:
+        times = rows.column("_t").to_numpy()
+        starts = free_starts(times, rows.column("_fresh").to_numpy(zero_copy_only=False), window)
+        lead = int(starts[0]) if len(starts) else len(times)
+        high, last = lead_steps(times[:lead], window)
+        highs, lasts, at = high.tolist(), last.tolist(), [0] * len(high)
+        if len(starts):
+            # the lead ends here: its steps lead nowhere, and the row after it ends a path that skips the lead
+            lasts = [None] * len(high)
+            if not rows.column("_fresh")[lead].as_py():
+                highs, lasts, at = [*highs, int(times[lead])], [*lasts, None], [*at, 0]
+            tail = times[int(starts[-1]) :]
+            highs, lasts, at = [*highs, None], [*lasts, int(tail[kept_positions(tail, window, None)[-1]])], [*at, len(times) - 1]
+        keys = rows.column(KEY).take(pa.array(at)).combine_chunks()
+        block = rows.column(BLOCK).take(pa.array(at)).combine_chunks()
+        first = [i == 0 for i in range(len(at))]
+        return pa.Table.from_arrays(
+            [block, keys, pa.array(highs, pa.int64()), pa.array(lasts, pa.int64()), pa.array(first, pa.bool_())], names=[BLOCK, KEY, "high", "last", "first"]
         )
-        return runs.select(*keys, F.explode(members).alias("m")).select(*keys, f"m.{number}", "m._last")
-
-    def in_order(number: str) -> Column:
-        return F.array_sort(F.collect_list(F.struct(number, "_steps"))).alias("_run")
-
-    # chunks -> runs of chunks -> key, then back down: no task holds more than RUN_LENGTH summaries of a run,
-    # or one summary per run of a key
-    # a key whose rows are all a window apart keeps every row; only the other keys need the walk
-    inner = F.zip_with(F.slice(times, F.lit(2), F.size(times)), times, lambda b, a: b - a)
-    edges = groups.select(
-        *keys,
-        CHUNK,
-        times[0].alias("_head"),
-        times[F.size(times) - 1].alias("_tail"),
-        F.exists(inner, lambda gap: gap < window).alias("_close"),
+
+    return blocks.groupBy(BLOCK).applyInArrow(run, f"{BLOCK} int, {KEY} {key_type}, high bigint, last bigint, first boolean")
+
+
+def _entries(sources: DataFrame, window: int, block_rows: int) -> DataFrame:
+    """(block, last): the time kept last before each block that a path enters; NULL where the block's first row starts its key."""
+    firsts = sources.groupBy(KEY).agg(F.min(BLOCK).alias("of"))
+    heads = sources.filter("first").select(BLOCK, KEY, "high")
+    roots = heads.join(firsts, (heads[KEY] == firsts[KEY]) & (F.col(BLOCK) == F.col("of"))).select(BLOCK, "high")
+
+    # the step that a path meets next: the first one of its key at or after a window from its last kept row
+    nodes = sources.filter("high IS NOT NULL").select(
+        KEY, (-F.col("high")).alias("down"), F.lit(0).alias("turn"), BLOCK, F.lit(None).cast("bigint").alias("high"), F.lit(None).cast("bigint").alias("last"),
+        F.struct(BLOCK, "high").alias("node"),
     )
-    along = Window.partitionBy(*keys).orderBy(CHUNK)
-    follows = F.coalesce(F.col("_head") - F.lag("_tail").over(along) < window, F.lit(False))
-    crowded = edges.withColumn("_close", F.col("_close") | follows).filter("_close").select(*keys).distinct()
-    sparse = firsts.join(crowded, keys, "left_anti").select(*keys, tie)
-    groups = groups.join(crowded, keys, "left_semi")
-
-    summaries = groups.select(*keys, CHUNK, steps(times, F.col(CHUNK)).alias("_steps"))
-    runs = summaries.groupBy(*keys, F.floor(F.col(CHUNK) / F.lit(RUN_LENGTH)).alias(RUN)).agg(in_order(CHUNK))
-    per_key = runs.select(*keys, RUN, combined(F.col("_run")["_steps"]).alias("_steps")).groupBy(*keys).agg(in_order(RUN))
-    run_starts = chained(per_key, RUN, F.lit(None))
-    carried = chained(runs.join(run_starts, [*keys, RUN]), CHUNK, F.col("_last"))
-    picked = groups.join(carried, [*keys, CHUNK]).select(*keys, "_moments", F.explode(pick(times, F.col("_last"))).alias("_i"))
-    rows = picked.select(*keys, F.col("_moments")[F.col("_i")][tie].alias(tie))
-    return df.join(sparse.unionByName(rows), [*keys, tie], "left_semi")
+    ends = sources.filter("last IS NOT NULL").select(
+        KEY, (-F.col("last") - F.lit(window)).alias("down"), F.lit(1).alias("turn"), BLOCK, "high", "last", F.lit(None).cast(nodes.schema["node"].dataType).alias("node")
+    )
+    both = nodes.unionByName(ends).withColumnRenamed(KEY, "of_key").withColumnRenamed(BLOCK, "block")
+    met = last_before(both, ["of_key"], ["down", "turn", "block", "high"], "node", "to", block_rows).filter("turn = 1 AND to IS NOT NULL")
+    pointers = stored(met.select(F.struct(F.col("block").alias(BLOCK), "high").alias("node"), "last", "to"))
+
+    # nodes reached from roots and sure ends; in each round all pointers lead twice as far
+    reached = roots.select(F.struct(BLOCK, "high").alias("node")).unionByName(pointers.filter("node.high IS NULL").select(F.col("to").alias("node")))
+    jumps = pointers.filter("node.high IS NOT NULL").select("node", "to")
+    while not jumps.isEmpty():
+        further = jumps.join(reached, "node", "left_semi").select(F.col("to").alias("node"))
+        reached = stored(reached.unionByName(further))
+        onward = jumps.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        jumps = stored(jumps.join(onward, "to").select("node", F.col("end").alias("to")))
+
+    taken = pointers.filter("node.high IS NULL").unionByName(pointers.filter("node.high IS NOT NULL").join(reached, "node", "left_semi"))
+    entered = taken.select(F.col("to")[BLOCK].alias(BLOCK), "last")
+    return entered.unionByName(roots.select(BLOCK, F.lit(None).cast("bigint").alias("last")))
+
+
+def spaced(df: DataFrame, keys: list[str], ts: str, tie: str, window_seconds: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows kept when each key may emit once per window, measured from the last **kept** row.
+
+    The decision is sequential, but no task sees more than a block of about ``block_rows`` rows, whatever a key or a window
+    holds. At equal times only the first row can be kept, so times are made distinct before they are shuffled.
+    ``tie`` must identify a row within its key; NULL keys are equal.
+    """
+    window = int(window_seconds * MICROS)
+    moments = df.filter(F.col(ts).isNotNull()).groupBy(F.struct(*keys).alias(KEY), F.unix_micros(F.col(ts)).alias("_t")).agg(F.min(tie).alias(tie))
+    blocked = in_blocks(moments, [KEY, "_t"], block_rows, df.count())
+    key_type, tie_type = (blocked.schema[c].dataType.simpleString() for c in (KEY, tie))
+    inside = Window.partitionBy(BLOCK).orderBy(KEY, "_t")
+    fresh = F.coalesce(F.lag(KEY).over(inside) != F.col(KEY), F.lit(True)).alias("_fresh")
+    sources = stored(_sources(blocked.select(BLOCK, KEY, "_t", fresh), window, key_type))
+    entries = _entries(sources, window, block_rows).withColumn("_entered", F.lit(True))
+
+    def pick(rows: pa.Table) -> pa.Table:
+        times = rows.column("_t").to_numpy()
+        starts = free_starts(times, rows.column("_fresh").to_numpy(zero_copy_only=False), window).tolist()
+        kept: list[int] = []
+        if rows.column("_entered")[0].as_py():
+            kept += kept_positions(times[: starts[0] if starts else len(times)], window, rows.column("_last")[0].as_py())
+        for a, b in zip(starts, [*starts[1:], len(times)]):
+            kept += [a] if b - a == 1 else [a + i for i in kept_positions(times[a:b], window, None)]
+        return rows.select([KEY, tie]).take(pa.array(kept, pa.int64()))
+
+    entered = blocked.join(entries.withColumnRenamed("last", "_last"), BLOCK, "left")
+    ready = entered.select(BLOCK, KEY, "_t", tie, "_last", "_entered", fresh)
+    rows = ready.groupBy(BLOCK).applyInArrow(pick, f"{KEY} {key_type}, {tie} {tie_type}").withColumnRenamed(tie, "_tie")
+    return df.withColumn(KEY, F.struct(*keys)).join(rows.withColumnRenamed(KEY, "_kept"), (F.col(KEY) == F.col("_kept")) & (F.col(tie) == F.col("_tie")), "left_semi").drop(KEY)
 
 
 def rate_limited(events: DataFrame, every_seconds: float) -> DataFrame:

@@ -30,10 +30,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for stream checkpoints and lineage cuts.
+    """Shared folder for stored tables and stream checkpoints: ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``. A local folder is used only where the setting is
-    absent, which is the case in tests.
+    A local folder stands in only where the setting is absent and the session is local (tests); on a cluster
+    a missing setting is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="opswatch-checkpoint-")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="opswatch-checkpoint-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder

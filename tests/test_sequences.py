@@ -4,10 +4,12 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from opswatch.operators import blocks
 from opswatch.operators import sequences as seq
 
 BASE = datetime(2024, 1, 1)
@@ -22,23 +24,16 @@ def walk(times: list[int], window: int) -> list[int]:
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 400), min_size=1, max_size=80), st.integers(1, 40), st.integers(1, 4), st.integers(1, 5))
-def test_chunks_and_runs_reproduce_the_walk(times, window, chunk_windows, run_length):
-    size = window * chunk_windows
-    chunks: dict[int, list[int]] = {}
-    for t in sorted(set(times)):
-        chunks.setdefault(t // size, []).append(t)
-    numbers = sorted(chunks)
-    steps = {c: seq.chunk_steps(np.array(chunks[c]), window, c * size) for c in numbers}
-    runs: dict[int, list[int]] = {}
-    for c in numbers:
-        runs.setdefault(c // run_length, []).append(c)
-    composed = [seq.compose([steps[c] for c in members], window) for members in runs.values()]
-    kept = []
-    for members, start in zip(runs.values(), seq.carry_through(composed, window)):
-        for c, last in zip(members, seq.carry_through([steps[c] for c in members], window, start)):
-            kept += [chunks[c][i] for i in seq.kept_positions(np.array(chunks[c]), window, last)]
-    assert kept == walk(times, window)
+@given(st.lists(st.integers(0, 400), min_size=1, max_size=80), st.integers(1, 40), st.integers(0, 60))
+def test_steps_of_a_lead_reproduce_the_walk(times, window, before):
+    lead = np.array(sorted(set(times)))
+    last = int(lead[0]) - 1 - before
+    kept = [int(lead[i]) for i in seq.kept_positions(lead, window, last)]
+    expected = [t for t in walk([last, *lead.tolist()], window) if t != last]
+    assert kept == expected
+    high, exits = seq.lead_steps(lead, window)
+    at = int(np.searchsorted(high, last + window))
+    assert (int(exits[at]) if at < len(high) else None) == (expected[-1] if expected else None)
 
 
 def events(spark, n: int, span: int, hot: float, seed: int):
@@ -71,10 +66,47 @@ def test_spaced_equals_brute_force_on_a_hot_key(spark):
     assert got == expected
 
 
-def test_previous_crosses_chunks(spark):
+def spaced_by_hand(rows, window):
+    expected = set()
+    for members in by_key(rows).values():
+        last = None
+        for r in members:
+            if last is None or (r[2] - last).total_seconds() >= window:
+                expected.add(r[0])
+                last = r[2]
+    return expected
+
+
+@pytest.mark.parametrize("window", [0.05, 0.4, 3.0, 100.0])
+def test_spaced_in_blocks_smaller_than_a_window(spark, window):
+    """One key with nearly all rows, several blocks in one window, several windows in one block, all rows in one window."""
+    rows, frame = events(spark, 900, 20_000, 0.9, 21)
+    rows += [(10_000 + i, "even", BASE + timedelta(milliseconds=10 * i), 0) for i in range(300)]
+    rows += [(20_000 + i, "early", BASE + timedelta(milliseconds=i), 0) for i in range(40)]
+    rows += [(20_100 + i, "early", BASE + timedelta(seconds=500, milliseconds=70 * i), 0) for i in range(60)]
+    rows += [(30_000, None, BASE, 0), (30_001, None, BASE, 0), (30_002, None, BASE + timedelta(seconds=200), 0)]
+    frame = spark.createDataFrame(rows, frame.schema)
+    got = {r.id for r in seq.spaced(frame, ["key"], "occurred_at", "id", window, block_rows=32).collect()}
+    assert got == spaced_by_hand(rows, window)
+
+
+def test_spaced_without_rows_or_times(spark):
+    _, frame = events(spark, 3, 1000, 0.5, 1)
+    assert seq.spaced(frame.filter("false"), ["key"], "occurred_at", "id", 1).count() == 0
+    untimed = frame.withColumn("occurred_at", F.lit(None).cast("timestamp"))
+    assert seq.spaced(untimed, ["key"], "occurred_at", "id", 1).count() == 0
+
+
+def test_no_block_grows_with_a_key(spark):
+    rows, frame = events(spark, 4000, 10, 1.0, 2)
+    sizes = [r["count"] for r in blocks.in_blocks(frame, ["key", "occurred_at", "id"], 200).groupBy("_block").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 600
+
+
+def test_previous_crosses_blocks(spark):
     rows, frame = events(spark, 2000, 600_000, 0.4, 5)
     expected = {m[i][0]: (m[i - 1][3] if i else None) for m in by_key(rows).values() for i in range(len(m))}
-    got = {r.id: r.previous for r in seq.with_previous(frame, ["key"], "occurred_at", "id", "value", "previous", 7).collect()}
+    got = {r.id: r.previous for r in seq.with_previous(frame, ["key"], "occurred_at", "id", "value", "previous", 40).collect()}
     assert got == expected
 
 
