@@ -13,8 +13,8 @@ from opswatch.sources.tables import Tables
 from opswatch.sources.views import NOW
 
 
-def _rules_values() -> str:
-    """The default rules as a VALUES list."""
+def rules_values(rules: list[dict] = alerting.DEFAULT_RULES) -> str:
+    """Rules as a VALUES list."""
 
     def lit(x) -> str:
         if x is None:
@@ -27,7 +27,7 @@ def _rules_values() -> str:
 
     names = ("id", "enabled", "source", "annotation_type", "metric", "operator", "threshold", "text_value", "alert_type", "severity", "scope_type", "scope_values")
     neutral = {"enabled": True, "scope_type": "GLOBAL", "scope_values": [""]}
-    rows = ", ".join("(" + ", ".join(lit({**neutral, **r}.get(n)) for n in names) + ")" for r in alerting.DEFAULT_RULES)
+    rows = ", ".join("(" + ", ".join(lit({**neutral, **r}.get(n)) for n in names) + ")" for r in rules)
     return f"SELECT * FROM (VALUES {rows}) AS v({', '.join(names)})"
 
 
@@ -42,24 +42,29 @@ def _text(number: str) -> str:
     return f"regexp_replace(CAST(CAST({number} AS DECIMAL(38, 9)) AS VARCHAR), '\\.?0+$', '')"
 
 
-def _latest(view: str, key: str, ts: str, seconds: int, condition: str = "true") -> str:
+def _recent(ts: str, seconds: int, now: str) -> str:
+    return f"{ts} >= TIMESTAMP '{now}' - INTERVAL '{seconds}' SECOND AND {ts} <= TIMESTAMP '{now}'"
+
+
+def _latest(view: str, key: str, ts: str, seconds: int, now: str, condition: str = "true") -> str:
     return (
-        f"(SELECT * FROM {view} WHERE {ts} >= TIMESTAMP '{NOW}' - INTERVAL '{seconds}' SECOND AND {condition}"
+        f"(SELECT * FROM {view} WHERE {_recent(ts, seconds, now)} AND {condition}"
         f" QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {ts} DESC, id DESC) = 1) AS x"
     )
 
 
-def _age(column: str) -> str:
-    return f"(epoch_us(TIMESTAMP '{NOW}') - epoch_us({column})) / 1000000.0::DOUBLE"
+def _age(column: str, now: str = NOW) -> str:
+    return f"(epoch_us(TIMESTAMP '{now}') - epoch_us({column})) / 1000000.0::DOUBLE"
 
 
-def _samples_sql() -> str:
-    beats = _latest("heartbeats", "worker_id", "occurred_at", 3600)
-    queues = _latest("queue_samples", "queue_name", "sampled_at", 3600)
-    quiet = f"instance_id NOT IN (SELECT instance_id FROM workers WHERE stopped_at IS NOT NULL OR draining_at > TIMESTAMP '{NOW}' - INTERVAL '5' MINUTE)"
+def samples_sql(now: str = NOW) -> str:
+    """Metric samples as they were at ``now``."""
+    beats = _latest("heartbeats", "worker_id", "occurred_at", 3600, now)
+    queues = _latest("queue_samples", "queue_name", "sampled_at", 3600, now)
+    quiet = f"instance_id NOT IN (SELECT instance_id FROM workers WHERE stopped_at IS NOT NULL OR draining_at > TIMESTAMP '{now}' - INTERVAL '5' MINUTE)"
     used = "running_attempts / capacity::DOUBLE * 100"
     parts = [
-        _sample("worker.heartbeat_age", "WORKER", "worker_id", _age("occurred_at"), _text(_age("occurred_at")), f"{beats} WHERE {quiet}"),
+        _sample("worker.heartbeat_age", "WORKER", "worker_id", _age("occurred_at", now), _text(_age("occurred_at", now)), f"{beats} WHERE {quiet}"),
         _sample("worker.capacity_used", "WORKER", "worker_id", used, _text(used), f"{beats} WHERE capacity > 0"),
         *[
             _sample(m, "QUEUE", "queue_name", c, f"CAST({c} AS VARCHAR)", queues)
@@ -69,11 +74,11 @@ def _samples_sql() -> str:
         ],
         _sample(
             "monitoring.status", "PLATFORM", "'platform'", "failed_checks", "status",
-            f"(SELECT * FROM monitoring_healths WHERE sampled_at >= TIMESTAMP '{NOW}' - INTERVAL '1' HOUR ORDER BY sampled_at DESC, id DESC LIMIT 1) AS x",
+            f"(SELECT * FROM monitoring_healths WHERE {_recent('sampled_at', 3600, now)} ORDER BY sampled_at DESC, id DESC LIMIT 1) AS x",
         ),
-        _sample("pii.policy_action", "PII_FINDING", "id", "confidence", "policy_action", f"(SELECT * FROM findings WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL '15' MINUTE) AS x", "type"),
+        _sample("pii.policy_action", "PII_FINDING", "id", "confidence", "policy_action", f"(SELECT * FROM findings WHERE {_recent('created_at', 900, now)}) AS x", "type"),
         *[
-            _sample(m, "RUN", "job_id", _age("occurred_at"), _text(_age("occurred_at")), _latest("event_log", "job_id", "occurred_at", 86400, f"event_type = '{e}'"))
+            _sample(m, "RUN", "job_id", _age("occurred_at", now), _text(_age("occurred_at", now)), _latest("event_log", "job_id", "occurred_at", 86400, now, f"event_type = '{e}'"))
             for m, e in [
                 ("run.failed_age", "task.failed"), ("run.retries_exhausted_age", "task.retries_exhausted"),
                 ("run.timed_out_age", "task.timed_out"), ("pii.scan_failed_age", "pii.scan_failed"),
@@ -87,7 +92,7 @@ MATCH = (
     "(r.scope_type = 'GLOBAL' OR (r.scope_type = 'PII_CATEGORY' AND list_contains(r.scope_values, s.scope_value)))"
     " AND CASE r.operator WHEN 'GT' THEN s.numeric > r.threshold WHEN 'LTE' THEN s.numeric <= r.threshold WHEN 'EQ' THEN s.text = r.text_value ELSE s.text <> r.text_value END"
 )
-RULES = {"rules": _rules_values(), "samples": _samples_sql()}
+RULES = {"rules": rules_values(), "samples": samples_sql()}
 BREACH = "SELECT s.*, r.id AS rule_id, r.alert_type, r.severity, r.operator FROM samples AS s JOIN rules AS r ON r.metric = s.metric AND r.enabled AND r.source = 'METRIC' WHERE " + MATCH
 
 
@@ -134,15 +139,22 @@ def _(t: Tables) -> DataFrame:
     return alerting.worst_creation_lateness(t.tasks, "2000-12-31 00:00:00", 87600 * 3600)
 
 
-FROM_ANNOTATIONS = """
-SELECT r.alert_type, r.severity, 'OPEN' AS status, CASE n.subject_type WHEN 'TASK' THEN 'RUN' ELSE n.subject_type END AS subject_type, n.subject_id, r.id AS rule_id,
+
+
+def alert_id_sql(rule: str, subject_type: str, subject: str, source: str, now: str) -> str:
+    return f"concat('al-', substr(sha256(concat_ws('|', {rule}, {subject_type}, {subject}, {source}, CAST(epoch_us(TIMESTAMP '{now}') AS VARCHAR))), 1, 26))"
+
+
+SUBJECT = "CASE n.subject_type WHEN 'TASK' THEN 'RUN' ELSE n.subject_type END"
+FROM_ANNOTATIONS = f"""
+SELECT {alert_id_sql("r.id", SUBJECT, "n.subject_id", "n.annotation_id", NOW)} AS alert_id, r.alert_type, r.severity, 'OPEN' AS status, CASE n.subject_type WHEN 'TASK' THEN 'RUN' ELSE n.subject_type END AS subject_type, n.subject_id, r.id AS rule_id,
  concat(n.type, ' on ', CASE n.subject_type WHEN 'TASK' THEN 'RUN' ELSE n.subject_type END, ' ', n.subject_id) AS summary, n.annotation_id AS source_annotation_id
 FROM annotations AS n JOIN rules AS r ON r.source = 'ANNOTATION' AND r.enabled AND r.annotation_type = n.type
 WHERE n.resolved_at IS NULL AND n.annotation_id NOT IN (SELECT source_annotation_id FROM alerts WHERE status <> 'RESOLVED')"""
 FROM_METRICS = f"""
-SELECT alert_type, severity, 'OPEN' AS status, subject_type, subject_id, rule_id, concat(alert_type, ' on ', subject_type, ' ', subject_id) AS summary, '' AS source_annotation_id
+SELECT {alert_id_sql("rule_id", "subject_type", "subject_id", "''", NOW)} AS alert_id, alert_type, severity, 'OPEN' AS status, subject_type, subject_id, rule_id, concat(alert_type, ' on ', subject_type, ' ', subject_id) AS summary, '' AS source_annotation_id
 FROM ({BREACH}) AS b WHERE NOT EXISTS (SELECT 1 FROM alerts AS a WHERE a.status <> 'RESOLVED' AND a.rule_id = b.rule_id AND a.subject_type = b.subject_type AND a.subject_id = b.subject_id)"""
-OPENED = ("alert_type", "severity", "status", "subject_type", "subject_id", "rule_id", "summary", "source_annotation_id")
+OPENED = ("alert_id", "alert_type", "severity", "status", "subject_type", "subject_id", "rule_id", "summary", "source_annotation_id")
 
 
 @query("alerts_opened", f"{FROM_ANNOTATIONS} UNION ALL {FROM_METRICS}", RULES)
@@ -170,14 +182,13 @@ def _(t: Tables) -> DataFrame:
     return alerting.evaluate(t, rules(t), NOW, samples=samples)["resolved"].select("alert_id")
 
 
-@query(
-    "severity_changes",
-    f"""SELECT DISTINCT * FROM (SELECT a.alert_id, a.severity, b.severity AS new_severity FROM alerts AS a JOIN ({BREACH}) AS b ON b.rule_id = a.rule_id AND b.subject_type = a.subject_type AND b.subject_id = a.subject_id
+SEVERITY_SQL = f"""SELECT DISTINCT * FROM (SELECT a.alert_id, a.severity, b.severity AS new_severity FROM alerts AS a JOIN ({BREACH}) AS b ON b.rule_id = a.rule_id AND b.subject_type = a.subject_type AND b.subject_id = a.subject_id
  WHERE a.status <> 'RESOLVED'
 UNION ALL SELECT a.alert_id, a.severity, r.severity FROM alerts AS a JOIN annotations AS n ON n.annotation_id = a.source_annotation_id AND n.resolved_at IS NULL JOIN rules AS r ON r.source = 'ANNOTATION' AND r.annotation_type = n.type
- WHERE a.status <> 'RESOLVED') AS x WHERE severity <> new_severity""",
-    RULES,
-)
+ WHERE a.status <> 'RESOLVED') AS x WHERE severity <> new_severity"""
+
+
+@query("severity_changes", SEVERITY_SQL, RULES)
 def _(t: Tables) -> DataFrame:
     samples = alerting.metric_samples(t, NOW, WANTED)
     return alerting.severity_changes(t.alerts, t.annotations, samples, rules(t))

@@ -78,13 +78,16 @@ def _(t: Tables) -> DataFrame:
 OPEN_SQL = "SELECT DISTINCT subject_id, type FROM annotations WHERE resolved_at IS NULL"
 
 
-@query(
-    "new_annotations",
-    f"""SELECT type, subject_type, subject_id FROM (
+NEW_SQL = f"""SELECT type, subject_type, subject_id FROM (
  SELECT 'RUN_STUCK' AS type, 'TASK' AS subject_type, job_id AS subject_id FROM stuck UNION ALL SELECT 'RUN_LOST', 'TASK', job_id FROM lost
  UNION ALL SELECT 'RUN_DUPLICATE_SUSPECTED', 'TASK', job_id FROM attempts WHERE status IN ('Claimed', 'Started') GROUP BY job_id HAVING count(*) > 1
  UNION ALL SELECT 'SCHEDULE_MISSED', 'SCHEDULE', schedule_id FROM schedule_definitions WHERE enabled AND next_run_at < $NOW - INTERVAL '5' MINUTE) AS x
-WHERE (subject_id, type) NOT IN ({OPEN_SQL})""",
+WHERE (subject_id, type) NOT IN ({OPEN_SQL})"""
+
+
+@query(
+    "new_annotations",
+    NEW_SQL,
     {"stuck": STUCK_SQL.replace("$NOW", f"TIMESTAMP '{NOW}'"), "lost": LOST_SQL.replace("$NOW", f"TIMESTAMP '{NOW}'")},
 )
 def _(t: Tables) -> DataFrame:
@@ -195,14 +198,14 @@ def _(t: Tables) -> DataFrame:
     return monitoring.component_report(t, NOW).select("instance_id", "evidence")
 
 
-@query(
-    "worker_states",
-    """SELECT h.worker_id, h.instance_id, h.occurred_at, CASE WHEN w.stopped THEN 'stopped' WHEN w.draining THEN 'draining'
+WORKER_STATES_SQL = """SELECT h.worker_id, h.instance_id, h.occurred_at, CASE WHEN w.stopped THEN 'stopped' WHEN w.draining THEN 'draining'
   WHEN epoch_us($NOW) - epoch_us(h.occurred_at) > 300000000 THEN 'offline' WHEN epoch_us($NOW) - epoch_us(h.occurred_at) > 60000000 THEN 'degraded' ELSE 'online' END AS status
 FROM (SELECT * FROM heartbeats QUALIFY row_number() OVER (PARTITION BY worker_id ORDER BY occurred_at DESC, id DESC) = 1) AS h
 LEFT JOIN (SELECT instance_id, bool_or(stopped_at IS NOT NULL) AS stopped, bool_or(coalesce(draining_at > $NOW - INTERVAL '5' MINUTE, false) AND stopped_at IS NULL) AS draining FROM workers GROUP BY instance_id) AS w
- ON w.instance_id = h.instance_id""",
-)
+ ON w.instance_id = h.instance_id"""
+
+
+@query("worker_states", WORKER_STATES_SQL)
 def _(t: Tables) -> DataFrame:
     return monitoring.worker_states(t, NOW)
 

@@ -51,7 +51,7 @@ def query(name: str, sql: str | None = None, views: dict[str, str] | None = None
     return register
 
 
-def stream_query(name: str, sql: str | None = None, same_as: str | None = None):
+def stream_query(name: str, sql: str | None = None, same_as: str | None = None, views: dict[str, str] | None = None):
     """Register ``fn(spark, live, stored) -> DataFrame``: ``live`` tables are streams, ``stored`` ones are not.
 
     ``same_as`` names the batch query whose result is expected.
@@ -66,7 +66,7 @@ def stream_query(name: str, sql: str | None = None, same_as: str | None = None):
         if same_as is not None:
             ORACLES[name] = ORACLES[same_as]
         elif sql is not None:
-            ORACLES[name] = with_views(sql.replace("$NOW", f"TIMESTAMP '{NOW}'"))
+            ORACLES[name] = with_views(sql.replace("$NOW", f"TIMESTAMP '{NOW}'"), views)
         return fn
 
     return register

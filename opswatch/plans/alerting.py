@@ -1,7 +1,7 @@
 """Alert rules, metric samples and alert evaluation.
 
 A rule document is configuration: a list of dicts in driver memory, bounded by ``MAX_RULES``. It becomes a small
-rules DataFrame that is broadcast; everything else is joined by key.
+rules DataFrame, which Spark broadcasts by its size; everything else is joined by key.
 """
 
 from __future__ import annotations
@@ -261,20 +261,26 @@ def metric_rules(rules: DataFrame) -> DataFrame:
 
 def breaches(samples: DataFrame, rules: DataFrame) -> DataFrame:
     """Samples joined with each enabled rule of their metric they breach."""
-    return samples.join(F.broadcast(metric_rules(rules)), "metric").filter(scope_matches() & condition_matches())
+    return samples.join(metric_rules(rules), "metric").filter(scope_matches() & condition_matches())
 
 
 def unresolved(alerts: DataFrame) -> DataFrame:
     return alerts.filter(F.col("status") != "RESOLVED")
 
 
+def with_alert_id(opened: DataFrame) -> DataFrame:
+    """Name each alert by what it is about and when it opened, so that a repeated pass gives the same alerts."""
+    about = F.concat_ws("|", "rule_id", "subject_type", "subject_id", "source_annotation_id", F.unix_micros("opened_at").cast("string"))
+    return opened.select(F.concat(F.lit("al-"), F.substring(F.sha2(about, 256), 1, 26)).alias("alert_id"), "*")
+
+
 def open_from_annotations(annotations: DataFrame, rules: DataFrame, alerts: DataFrame, now, version: int) -> DataFrame:
     """New alerts for unresolved annotations that a rule answers and no unresolved alert covers."""
     covered = unresolved(alerts).select(F.col("source_annotation_id").alias("annotation_id"))
     open_ones = annotations.filter(F.col("resolved_at").isNull())
-    matched = open_ones.join(F.broadcast(best_annotation_rule(rules)), "type").join(covered, "annotation_id", "left_anti")
+    matched = open_ones.join(best_annotation_rule(rules), "type").join(covered, "annotation_id", "left_anti")
     subject_type = alert_subject_type(F.col("subject_type"))
-    return matched.select(
+    opened = matched.select(
         F.col("rule")["alert_type"].alias("alert_type"),
         F.col("rule")["severity"].alias("severity"),
         F.lit("OPEN").alias("status"),
@@ -287,6 +293,7 @@ def open_from_annotations(annotations: DataFrame, rules: DataFrame, alerts: Data
         alert_summary(F.col("type"), subject_type, F.col("subject_id")).alias("summary"),
         F.col("annotation_id").alias("source_annotation_id"),
     )
+    return with_alert_id(opened)
 
 
 def open_from_metrics(samples: DataFrame, rules: DataFrame, alerts: DataFrame, now, version: int) -> DataFrame:
@@ -295,13 +302,13 @@ def open_from_metrics(samples: DataFrame, rules: DataFrame, alerts: DataFrame, n
     hits = breaches(samples, rules).withColumnRenamed("id", "rule_id")
     fresh = hits.join(covered, ["rule_id", "subject_type", "subject_id"], "left_anti")
     numeric = F.concat(F.lit(',"threshold":'), number_text(F.col("threshold")), F.lit("}"))
-    textual = F.concat(F.lit(',"threshold":'), F.to_json(F.struct(F.col("text_value").alias("v"))).substr(F.lit(6), F.lit(1 << 20)))
+    textual = F.concat(F.lit(',"threshold":'), F.substr(F.to_json(F.struct(F.col("text_value").alias("v"))), F.lit(6)))
     body = F.col("evidence").substr(F.lit(1), F.length("evidence") - 1)
     evidence = F.concat(
         body, F.lit(',"operator":"'), F.col("operator"), F.lit('"'),
         F.when(F.col("operator").isin("EQ", "NEQ"), textual).otherwise(numeric),
     )
-    return fresh.select(
+    opened = fresh.select(
         "alert_type",
         "severity",
         F.lit("OPEN").alias("status"),
@@ -314,6 +321,7 @@ def open_from_metrics(samples: DataFrame, rules: DataFrame, alerts: DataFrame, n
         alert_summary(F.col("alert_type"), F.col("subject_type"), F.col("subject_id")).alias("summary"),
         F.lit("").alias("source_annotation_id"),
     )
+    return with_alert_id(opened)
 
 
 def resolved_by_annotations(alerts: DataFrame, annotations: DataFrame, now) -> DataFrame:
@@ -334,7 +342,7 @@ def resolved_by_metrics(alerts: DataFrame, samples: DataFrame, rules: DataFrame,
         F.col("id").alias("rule_id"), "metric", "operator", "threshold", "text_value", "scope_type", "scope_values"
     )
     seen = samples.select("metric", "subject_type", "subject_id", "scope_value", "numeric", "text")
-    judged = metric_alerts.join(F.broadcast(rule), "rule_id").join(seen, ["metric", "subject_type", "subject_id"])
+    judged = metric_alerts.join(rule, "rule_id").join(seen, ["metric", "subject_type", "subject_id"])
     quiet = judged.filter(~(scope_matches() & condition_matches())).select(*alerts.columns)
     return quiet.withColumn("status", F.lit("RESOLVED")).withColumn("resolved_at", instant(now))
 
@@ -350,7 +358,7 @@ def severity_changes(
     from_metrics = current.join(by_rule, ["rule_id", "subject_type", "subject_id"])
     by_annotation = (
         annotations.filter(F.col("resolved_at").isNull())
-        .join(F.broadcast(best_annotation_rule(rules)), "type")
+        .join(best_annotation_rule(rules), "type")
         .select(F.col("annotation_id").alias("source_annotation_id"), F.col("rule")["severity"].alias("new_severity"))
     )
     from_annotations = current.join(by_annotation, "source_annotation_id")
@@ -366,7 +374,7 @@ def severity_changes(
 def notification_rows(new_alerts: DataFrame, channels: list[tuple[str, str]]) -> DataFrame:
     """A pending notification per alert worth one and per configured (channel, target)."""
     pairs = F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(t).alias("target")) for c, t in channels])
-    loud = new_alerts.filter(should_notify(F.col("severity")))
+    loud = new_alerts.filter(should_notify(F.col("severity"))).drop("status")
     return loud.select("*", F.explode(pairs).alias("to")).select(
         *[c for c in ("alert_id", "rule_id", "subject_type", "subject_id") if c in new_alerts.columns],
         "to.channel",

@@ -138,6 +138,12 @@ def new_annotations(
     return not_already_open(reduce(DataFrame.unionByName, found), tables.annotations)
 
 
+def with_annotation_id(found: DataFrame) -> DataFrame:
+    """Name each annotation by what it says and when it was derived, so that a repeated pass gives the same ones."""
+    about = F.concat_ws("|", "type", "subject_type", "subject_id", F.unix_micros("derived_at").cast("string"))
+    return found.select(F.concat(F.lit("an-"), F.substring(F.sha2(about, 256), 1, 26)).alias("annotation_id"), "*")
+
+
 def open_annotations(annotations: DataFrame, kind: str) -> DataFrame:
     return annotations.filter(F.col("resolved_at").isNull() & (F.col("type") == kind))
 
@@ -318,6 +324,21 @@ def worker_states(tables: Tables, now) -> DataFrame:
     return beats.join(marks, "instance_id", "left").select("worker_id", "instance_id", "occurred_at", status.alias("status"))
 
 
+def observed_states(tables: Tables, now) -> DataFrame:
+    """(kind, subject_id, state) of every worker, component instance and of monitoring itself."""
+    workers = worker_states(tables, now).select(F.lit("worker").alias("kind"), F.col("worker_id").alias("subject_id"), F.col("status").alias("state"))
+    components = component_instances(tables).select(F.lit("component").alias("kind"), F.col("instance_id").alias("subject_id"), component_state(now).alias("state"))
+    newest = tables.monitoring_healths.agg(F.max_by("status", F.struct("sampled_at", "id")).alias("state")).filter("state IS NOT NULL")
+    own = newest.select(F.lit("monitoring").alias("kind"), F.lit("platform").alias("subject_id"), F.lower("state").alias("state"))
+    return workers.unionByName(components).unionByName(own)
+
+
+def state_changes(observed: DataFrame, known: DataFrame) -> DataFrame:
+    """Observed states that are new or differ from the known ones, with ``previous``: NULL at a first sighting."""
+    before = known.select("kind", "subject_id", F.col("state").alias("previous"))
+    return observed.join(before, ["kind", "subject_id"], "left").filter(~F.col("state").eqNullSafe(F.col("previous")))
+
+
 # --- freshness ---
 
 

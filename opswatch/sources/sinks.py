@@ -34,14 +34,27 @@ def upsert(changes: DataFrame, path: str, version: int) -> None:
     changes.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{VERSION}={version}")
 
 
-def read_keyed(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
-    """Newest row per key."""
+def create_keyed(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty keyed table, unless there is one already."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path.rstrip('/')}/{VERSION}=-1")
+
+
+def read_keyed(spark: SparkSession, path: str, key: list[str], before: int | None = None) -> DataFrame:
+    """Newest row per key; with ``before`` only of versions below it, so that a repeated batch never reads its own changes."""
     log = spark.read.parquet(path)
     rest = [c for c in log.columns if c not in key and c != VERSION]
+    if before is not None:
+        log = log.filter(F.col(VERSION) < before)
     newest = log.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(VERSION)).alias("row"))
     return newest.select(*key, *[F.col("row")[c].alias(c) for c in rest])
 
 
+def overlaid(base: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+    """``base`` with the rows of ``changes`` in place of its own and added to it; columns as in ``changes``."""
+    kept = base.join(changes.select(*key), key, "left_anti")
+    return kept.select(*changes.columns).unionByName(changes)
+
+
 def compact(spark: SparkSession, path: str, key: list[str], target: str) -> None:
     """Write the current state of ``path`` as version 0 of a new keyed table."""
     upsert(read_keyed(spark, path, key), target, 0)

@@ -105,3 +105,29 @@ def events_for(events: DataFrame, subject: str | None = None, event_types: list[
     if event_types:
         condition = condition & F.col("event_type").isin(event_types)
     return events.filter(condition)
+
+
+#: when a row of a growing table was recorded
+RECORDED_AT = {
+    "event_log": "occurred_at",
+    "heartbeats": "occurred_at",
+    "queue_samples": "sampled_at",
+    "monitoring_healths": "sampled_at",
+    "findings": "created_at",
+    "annotations": "derived_at",
+}
+
+
+def as_of(tables: Tables, now) -> Tables:
+    """The tables as they were at ``now``: later rows are not there yet, later resolutions have not happened."""
+    at = F.lit(now).cast("timestamp")
+
+    def load(name: str) -> DataFrame:
+        df = tables[name]
+        if name in RECORDED_AT:
+            df = df.filter(F.col(RECORDED_AT[name]) <= at)
+        if name == "annotations":
+            df = df.withColumn("resolved_at", F.when(F.col("resolved_at") <= at, F.col("resolved_at")))
+        return df
+
+    return Tables(load)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from opswatch.operators import sequences as seq
 from opswatch.operators.folds import fold_occurrences, fold_runs, summarize_schedules
 from opswatch.operators.policy import DEFAULT_POLICY
+from opswatch.plans import alerting
 from opswatch.plans.pii_scan import scan_artifacts
 from opswatch.sources.sinks import read_keyed
 from opswatch.sources.tables import raw_tables
-from opswatch.streaming import feeds, keyed, projections
+from opswatch.sources.views import NOW
+from opswatch.streaming import feeds, keyed, projections, sweeps
 from opswatch.streaming.sources import drain, file_stream
 
 BASE = datetime(2024, 1, 1)
@@ -102,3 +104,35 @@ def test_artifact_stream(spark, tmp_path):
     columns = ("id", "scan_status", "finding_count", "sanitized_body")
     scanned = feeds.artifact_stream(split(frame, str(tmp_path / "in"), 2), DEFAULT_POLICY, "JOB_RESULT").select(*columns)
     assert rows(result(scanned, "t12")) == rows(scan_artifacts(frame, DEFAULT_POLICY, "JOB_RESULT").select(*columns))
+
+
+def test_repeated_alert_sweep_opens_nothing_twice(spark, sf_dir, tmp_path):
+    tables = raw_tables(spark, sf_dir)
+    target = str(tmp_path / "alerts")
+    sweep = sweeps.alert_sweep(lambda now: tables, alerting.rules_frame(spark), lambda batch: NOW, target, channels=[("pager", "on-call")])
+    states = []
+    for batch_id in (0, 0, 1):
+        sweep(spark.range(1), batch_id)
+        states.append([rows(read_keyed(spark, f"{target}/{name}", [key])) for name, key in (("alerts", "alert_id"), ("notifications", "notification_id"))])
+    assert states[0][0] and states[0] == states[1] == states[2]
+    opened = {r.version: r["count"] for r in spark.read.parquet(f"{target}/opened").groupBy("version").count().collect()}
+    assert opened.get(0) and not opened.get(1)
+
+
+def test_failing_check_is_named_and_stops_nothing(spark, sf_dir, tmp_path):
+    tables = raw_tables(spark, sf_dir)
+    target = str(tmp_path / "monitoring")
+
+    def broken(tables, now):
+        raise ValueError("no connection\nat line 3")
+
+    sweep = sweeps.monitoring_sweep(lambda now: tables, lambda batch: NOW, target, checks={"broken": broken})
+    sweep(spark.range(1), 0)
+    sweep(spark.range(1), 1)
+    failed = spark.read.parquet(f"{target}/check_failures").orderBy("version").collect()
+    assert [tuple(r) for r in failed] == [("broken", "ValueError", "no connection", 0), ("broken", "ValueError", "no connection", 1)]
+    health = spark.read.parquet(f"{target}/monitoring_healths").collect()
+    assert {(r.failed_checks, r.status) for r in health} == {(1, "PARTIAL")}
+    opened = {r.version: r["count"] for r in spark.read.parquet(f"{target}/opened").groupBy("version").count().collect()}
+    assert opened.get(0) and not opened.get(1)
+    assert spark.read.parquet(f"{target}/transitions").count() == 0
