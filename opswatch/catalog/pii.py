@@ -112,6 +112,33 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+# hosts outrank the e-mail addresses around them: an address whose host is found goes, and its first host takes its place
+HOST_FIRST = Policy(
+    "host-first", 1, DEFAULT_DETECTORS + EXTRA_DETECTORS, [*DEFAULT_RULES, EXTRA_RULES[0], {"id": "redact-host", "priority": 900, "match": {"detectorIds": ["host"]}, "action": {"type": "REDACT"}}]
+)
+
+
+@query(
+    "pii_overlaps",
+    f"""WITH met AS ({matches_sql('documents', 'doc_id', 'text')}),
+crossed AS (SELECT e.key, e.ordinal, e.start, h.start AS host_start, row_number() OVER (PARTITION BY e.key, e.ordinal, e.start ORDER BY h.start) AS nth
+ FROM met AS e JOIN met AS h ON h.key = e.key AND h.kind = 'Host' AND e.kind <> 'Host' AND h.start < e.stop AND e.start < h.stop),
+placed AS (SELECT m.*, coalesce(c.ordinal, m.ordinal) AS place, coalesce(c.start, m.start) AS place_start FROM met AS m
+ LEFT JOIN crossed AS c ON m.kind = 'Host' AND c.key = m.key AND c.host_start = m.start AND c.nth = 1
+ WHERE (m.key, m.ordinal, m.start) NOT IN (SELECT (key, ordinal, start) FROM crossed))
+SELECT key AS doc_id, kind AS type, match, start, stop AS finish, {RULE_CASE.replace('ignore-host', 'redact-host')} AS rule_id, {ACTION_CASE.replace('IGNORE', 'REDACT')} AS action,
+ row_number() OVER (PARTITION BY key, kind ORDER BY place, place_start) AS number FROM placed""",
+)
+def _(t: Tables) -> DataFrame:
+    """Findings where each of two overlapping ones would be reported without the other."""
+    found = pii_scan.with_findings(documents(t), "body", HOST_FIRST, context("JOB_RESULT"))
+    f = F.col("f")
+    return found.select("doc_id", F.explode("findings").alias("f")).select(
+        "doc_id", f["type"].alias("type"), f["match"].alias("match"), f["start"].alias("start"), f["end"].alias("finish"),
+        f["rule"]["rule_id"].alias("rule_id"), f["rule"]["action"].alias("action"), f["index"].alias("number"),
+    )
+
+
 IPAD, OPAD = ("".join(f"\\x{b ^ pad:02X}" for b in KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C))
 HMAC = f"sha256('{OPAD}'::BLOB || unhex(sha256('{IPAD}'::BLOB || encode(match))))"
 

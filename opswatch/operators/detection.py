@@ -300,6 +300,20 @@ def json_leaves(text: Column) -> Column:
     return leaves(text)
 
 
+def replaced(text: str, todo: list[dict]) -> str:
+    """Text with spans replaced, from the pieces between them; ``todo`` is in order of start.
+
+    Where spans overlap they are replaced one after the other, last first.
+    """
+    stops = [0, *(s["end"] for s in todo)]
+    if any(s["start"] < stop for s, stop in zip(todo, stops)):
+        for s in reversed(todo):
+            text = text[: s["start"]] + s["replacement"] + text[s["end"] :]
+        return text
+    pieces = [part for s, stop in zip(todo, stops) for part in (text[stop : s["start"]], s["replacement"])]
+    return "".join([*pieces, text[stops[-1] :]])
+
+
 def rewrite_leaves(text: str, spans: list[dict]) -> str | None:
     """JSON with the spans of its leaves replaced; NULL when a span does not hold what was found there.
 
@@ -322,12 +336,8 @@ def rewrite_leaves(text: str, spans: list[dict]) -> str | None:
         normal = unicodedata.normalize("NFC", leaf)
         good = [s for s in mine if 0 <= s["start"] < s["end"] <= len(normal) and normal[s["start"] : s["end"]] == s["match"]]
         verified += len(good)
-        todo = sorted((s for s in good if s["replacement"] is not None), key=lambda s: -s["start"])
-        if not todo:
-            return leaf
-        for s in todo:
-            normal = normal[: s["start"]] + s["replacement"] + normal[s["end"] :]
-        return normal
+        todo = sorted((s for s in good if s["replacement"] is not None), key=lambda s: s["start"])
+        return replaced(normal, todo) if todo else leaf
 
     changed = map_strings(root, change)
     if verified != len(spans):

@@ -1,8 +1,8 @@
 """Policy documents: detectors, rule matching, overlap resolution, replacements, all inside a row.
 
 A policy is configuration held by the driver. Rules compile to ``CASE`` expressions in priority order, so every
-finding gets its rule without a join, and overlaps are settled by one array aggregate per document: a scan never
-shuffles.
+finding gets its rule without a join, and overlaps are settled, findings numbered and texts rewritten inside a row, in time
+in proportion to its findings but for sorting them: a scan never shuffles.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -207,47 +208,105 @@ def kept_findings(findings: Column) -> Column:
 
 
 FINDING = ("type", "detector_id", "ordinal", "path", "start", "end", "match")
+EMPTY_TYPES = "array<struct<type: string>>"
+#: code points as four bytes each
+WIDE = "UTF-32"
 EMPTY_MATCHES = "array<struct<path: string, ordinal: int, start: int, end: int, match: string>>"
 
 
-def wins_over(a: Column, b: Column) -> Column:
-    """Whether finding ``a`` replaces the overlapping ``b``: priority, then length, then smaller detector id."""
-    size = lambda f: F.octet_length(f["match"])
-    pa, pb = a["rule"]["priority"], b["rule"]["priority"]
-    return (pa > pb) | (
-        (pa == pb) & ((size(a) > size(b)) | ((size(a) == size(b)) & (a["detector_id"] < b["detector_id"])))
-    )
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; an expression inside a lambda function is computed for every element."""
+    return F.transform(F.array(value), use)[0]
 
 
-def settle_overlaps(findings: Column) -> Column:
-    """Greedy pass in order: a finding meets the first kept one it overlaps, and the better of the two stays.
+def _behind(xs: Column) -> Column:
+    return F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0)))
+
+
+def some_cross(ordered: Column) -> Column:
+    """Whether any of these (path, start, end) overlap. They are in this order, so two neighbours do if any two do."""
+    pairs = F.zip_with(_behind(ordered), ordered, lambda b, a: F.coalesce((a["path"] == b["path"]) & (b["start"] < a["end"]), F.lit(False)))
+    return F.exists(pairs, lambda crosses: crosses)
 
-    Findings of different non-empty paths never overlap.
+
+def settled_positions(findings: list[dict]) -> list[int]:
+    """Positions of the findings that stay, in the order of the places they hold.
+
+    A finding that meets a held place takes it if it ranks higher (priority, then length, then smaller detector id) and goes otherwise;
+    one that meets none holds a place of its own. Only findings of one stretch can meet, a stretch being findings of one path
+    that cover a span without a gap, so each stretch is settled by itself.
     """
+    paths = {f["path"] for f in findings}
+    anywhere = "" in paths and len(paths) > 1  # a finding without path may meet those of any path
+
+    def line(i: int) -> str:
+        return "" if anywhere else findings[i]["path"]
+
+    stretches: list[list[int]] = []
+    at, reach = None, 0
+    for i in sorted(range(len(findings)), key=lambda i: (line(i), findings[i]["start"])):
+        f = findings[i]
+        if line(i) != at or f["start"] >= reach:
+            stretches.append([])
+            at, reach = line(i), f["end"]
+        stretches[-1].append(i)
+        reach = max(reach, f["end"])
+
+    def rank(i: int) -> tuple:
+        return -findings[i]["priority"], -findings[i]["size"], findings[i]["detector_id"]
+
+    def meet(a: dict, b: dict) -> bool:
+        return a["start"] < b["end"] and b["start"] < a["end"] and (a["path"] == b["path"] or "" in (a["path"], b["path"]))
+
+    places: dict[int, int] = {}
+    for members in stretches:
+        held: dict[int, int] = {}
+        for i in sorted(members):
+            place = next((p for p, j in held.items() if meet(findings[i], findings[j])), i)
+            held[place] = min(held.get(place, i), i, key=rank)
+        places.update(held)
+    return [places[p] for p in sorted(places)]
+
+
+def settle_overlaps(findings: Column) -> Column:
+    """Of overlapping findings the better ones (``settled_positions``). Only rows that hold an overlap reach Python."""
 
-    def overlaps(a: Column, b: Column) -> Column:
-        apart = (a["path"] != "") & (b["path"] != "") & (a["path"] != b["path"])
-        return ~apart & (a["start"] < b["end"]) & (b["start"] < a["end"])
+    @F.pandas_udf("array<int>")
+    def positions(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else settled_positions(list(r)) for r in rows], dtype=object)
 
-    def step(kept: Column, f: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda k: overlaps(f, k)), F.lit(True))
-        replaced = F.transform(kept, lambda k, i: F.when((i + 1 == at) & wins_over(f, k), f).otherwise(k))
-        return F.when(at == 0, F.concat(kept, F.array(f))).otherwise(replaced)
+    def facts(f: Column) -> Column:
+        size = F.octet_length(f["match"]).alias("size")
+        return F.struct(f["path"].alias("path"), f["start"].alias("start"), f["end"].alias("end"), f["rule"]["priority"].alias("priority"), size, f["detector_id"].alias("detector_id"))
 
-    # a single finding overlaps nothing
-    none = F.slice(findings, 1, 0)
-    return F.when(F.size(findings) < 2, findings).otherwise(F.aggregate(findings, none, step))
+    places = F.array_sort(F.transform(findings, lambda f: F.struct(f["path"].alias("path"), f["start"].alias("start"), f["end"].alias("end"))))
+    mixed = F.exists(findings, lambda f: f["path"] == "") & F.exists(findings, lambda f: f["path"] != "")
+    asked = F.when((F.size(findings) > 1) & (mixed | once(places, some_cross)), F.transform(findings, facts))
+    kept = positions.asNondeterministic()(asked)
+    return once(F.struct(findings.alias("all"), kept.alias("kept")), lambda x: F.when(x["kept"].isNull(), x["all"]).otherwise(F.transform(x["kept"], lambda i: x["all"][i])))
 
 
 def numbered(findings: Column, already: Column | None = None) -> Column:
     """Findings with ``index``: their 1-based position among findings of the same type in the document."""
-    before_first = (lambda f: F.lit(0)) if already is None else (lambda f: F.size(F.filter(already, lambda a: a["type"] == f["type"])))
+    placed = F.transform(findings, lambda f, i: F.struct(f["type"].alias("type"), i.alias("at"), f.alias("f")))
+    earlier = F.array().cast(EMPTY_TYPES) if already is None else F.transform(already, lambda a: F.struct(a["type"].alias("type")))
+
+    def ranked(x: Column) -> Column:
+        # in order of type and place an index is the rank less the number of findings of smaller types
+        kinds = F.array_distinct(F.transform(x["by_type"], lambda p: p["type"]))
+        less = F.transform(kinds, lambda k: F.size(F.filter(x["by_type"], lambda p: p["type"] < k)) - F.size(F.filter(x["earlier"], lambda e: e["type"] == k)))
+
+        def with_index(before: Column) -> Column:
+            def one(p: Column, rank: Column) -> Column:
+                index = (rank + 1 - before[p["type"]]).alias("index")
+                return F.struct(p["at"].alias("at"), F.struct(*[p["f"][c].alias(c) for c in (*FINDING, "rule")], index).alias("f"))
+
+            return F.array_sort(F.transform(x["by_type"], one), lambda a, b: a["at"] - b["at"])
 
-    def with_index(f: Column, i: Column) -> Column:
-        same = F.size(F.filter(F.slice(findings, F.lit(1), i + 1), lambda e: e["type"] == f["type"]))
-        return F.struct(*[f[c].alias(c) for c in (*FINDING, "rule")], (same + before_first(f)).alias("index"))
+        return F.transform(once(F.map_from_arrays(kinds, less), with_index), lambda p: p["f"])
 
-    return F.transform(findings, with_index)
+    by_type = F.array_sort(placed, lambda a, b: F.when(a["type"] < b["type"], -1).when(a["type"] > b["type"], 1).otherwise(a["at"] - b["at"]))
+    return once(F.struct(by_type.alias("by_type"), earlier.alias("earlier")), ranked)
 
 
 def replacement(finding: Column, policy: Policy, marker: Column) -> Column:
@@ -277,12 +336,28 @@ def spans(findings: Column, policy: Policy, marker) -> Column:
 
 
 def rewritten_text(text: Column, text_spans: Column) -> Column:
-    """Text with its spans replaced, last span first so that earlier positions stay true."""
+    """Text with its spans replaced.
+
+    The text is put together from the pieces between spans, each cut out of its four-byte form, where a place is found
+    without counting characters. Spans that still overlap are replaced one after the other, last first, so that earlier positions stay true.
+    """
     todo = F.filter(text_spans, lambda s: s["replacement"].isNotNull())
-    backwards = F.array_sort(todo, lambda a, b: (b["start"] - a["start"]).cast("int"))
 
     def apply(out: Column, s: Column) -> Column:
         tail = out.substr(s["end"] + 1, F.char_length(out))
         return F.concat(out.substr(F.lit(1), s["start"]), s["replacement"], tail)
 
-    return F.when(F.size(todo) == 0, text).otherwise(F.aggregate(backwards, text, apply))
+    def pieces(x: Column) -> Column:
+        def between(start: Column, size: Column) -> Column:
+            return F.decode(F.substr(x["wide"], 4 * start + 1, 4 * size), WIDE)
+
+        stops = F.concat(F.array(F.lit(0)), F.transform(x["todo"], lambda s: s["end"]))
+        heads = F.zip_with(x["todo"], F.slice(stops, F.lit(1), F.size(x["todo"])), lambda s, stop: F.concat(between(stop, s["start"] - stop), s["replacement"]))
+        last = F.element_at(x["todo"], -1)["end"]
+        return F.concat(F.array_join(heads, ""), between(last, F.octet_length(x["wide"])))
+
+    forwards = F.array_sort(todo, lambda a, b: (a["start"] - b["start"]).cast("int"))
+    whole = once(F.struct(F.encode(text, WIDE).alias("wide"), forwards.alias("todo")), pieces)
+    line = F.transform(forwards, lambda s: F.struct(F.lit("").alias("path"), s["start"].alias("start"), s["end"].alias("end")))
+    one_by_one = F.aggregate(F.reverse(forwards), text, apply)
+    return F.when(F.size(todo) == 0, text).when(once(line, some_cross), one_by_one).otherwise(whole)

@@ -1,5 +1,7 @@
 """Masks, detection, policy and rewriting."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -253,3 +255,62 @@ def test_bodies_are_whole_without_a_limit(spark):
 def test_log_keeps_every_line(spark):
     frame = spark.createDataFrame([([str(k) for k in range(50)],)], "lines array<string>")
     assert frame.select(pii_scan.joined_log(frame.lines)).first()[0] == "\n".join(str(k) for k in range(50))
+
+
+def walked(findings):
+    """Every finding against every kept one, in order."""
+    kept = []
+    for i, f in enumerate(findings):
+        for k, j in enumerate(kept):
+            g = findings[j]
+            apart = f["path"] and g["path"] and f["path"] != g["path"]
+            if not apart and f["start"] < g["end"] and g["start"] < f["end"]:
+                if (-f["priority"], -f["size"], f["detector_id"]) < (-g["priority"], -g["size"], g["detector_id"]):
+                    kept[k] = i
+                break
+        else:
+            kept.append(i)
+    return kept
+
+
+def test_settled_positions_against_all_pairs():
+    from opswatch.operators.policy import settled_positions
+
+    rng = random.Random(12)
+    for _ in range(600):
+        paths = rng.choice([[""], ["a", "b"], ["", "a", "b"]])
+        found = []
+        for _ in range(rng.randrange(25)):
+            start, size = rng.randrange(40), rng.randrange(8)
+            found.append({"path": rng.choice(paths), "start": start, "end": start + size, "size": size, "priority": rng.randrange(3), "detector_id": rng.choice("xyz")})
+        assert settled_positions(found) == walked(found)
+
+
+def test_ten_thousand_findings_in_one_text(spark):
+    """Numbers, places and rewriting of many findings, with characters of every width and overlaps."""
+    line = "日 555-123-{:04d} é \U0001F600 "
+    rows = [(n, "".join(line.format(k) for k in range(n))) for n in (1, 1000, 10_000)]
+    frame = spark.createDataFrame(rows, "id int, body string").repartition(3)
+    scanned = pii_scan.with_sanitized(pii_scan.with_findings(frame, "body", DEFAULT_POLICY, context("JOB_RESULT")), "body", DEFAULT_POLICY, "clean")
+    for r in scanned.select("id", "findings", "clean").collect():
+        assert [f["index"] for f in r.findings] == list(range(1, r.id + 1))
+        assert r.clean == "".join(f"日 [Phone-{k + 1}] é \U0001F600 " for k in range(r.id))
+    crossing = [{"path": "", "start": 3 * k, "end": 3 * k + 5, "size": 5, "priority": k % 2, "detector_id": "d"} for k in range(2000)]
+    from opswatch.operators.policy import settled_positions
+
+    assert settled_positions(crossing) == walked(crossing)
+
+
+def test_rewriting_overlapping_spans_one_by_one(spark):
+    from opswatch.operators.detection import replaced
+    from opswatch.operators.policy import rewritten_text
+
+    kind = "text string, spans array<struct<path: string, start: int, end: int, match: string, replacement: string>>"
+    spans = [("", 2, 6, "cdef", "<1>"), ("", 4, 8, "efgh", "<2>"), ("", 0, 1, "a", None)]
+    apart = [("", 8, 9, "i", "<3>"), ("", 0, 2, "ab", ""), ("", 2, 2, "", "<0>")]
+    rows = [("abcdefghij", spans), ("abcdefghij", apart), ("abcdefghij", []), ("abc", [("", 0, 3, "abc", "x")]), (None, [])]
+    found = [r[0] for r in spark.createDataFrame(rows, kind).select(rewritten_text(F.col("text"), F.col("spans"))).collect()]
+    assert found == ["ab<1>>ij", "<0>cdefgh<3>j", "abcdefghij", "x", None]
+    keys = ("path", "start", "end", "match", "replacement")
+    todo = sorted((dict(zip(keys, s)) for s in spans if s[4] is not None), key=lambda s: s["start"])
+    assert replaced("abcdefghij", todo) == "ab<1>>ij"
