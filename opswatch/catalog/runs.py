@@ -23,8 +23,10 @@ from opswatch.operators import filters, folds, latest, paging
 from opswatch.plans import maintenance, runs, timeline
 from opswatch.plans.reports import side_by_side
 from opswatch.sources.delivery import parse_delivery
+from opswatch.sources.sinks import append, append_new, read_keyed, rebuild, upsert, version_log
 from opswatch.sources.tables import Tables, events_for, visible
 from opswatch.sources.views import NOW
+from opswatch.streaming.sources import fresh_folder
 
 
 
@@ -334,22 +336,85 @@ def _(t: Tables) -> DataFrame:
     return runs.chain_events(t)
 
 
-@query(
-    "event_correlation",
-    """
+CORRELATION_SQL = """
 SELECT e.id, e.event_id, e.job_id, e.event_type, e.occurred_at, e.scoped AS run_scoped, coalesce(nullif(e.execution_chain_id, ''), t.execution_chain_id, '') AS execution_chain_id,
  coalesce(t.execution_chain_id, '') AS correlation_id, coalesce(t.parent_run_id, '') AS parent_run_id, coalesce(t.retry_index, 0) AS retry_index, coalesce(t.trace_id, '') AS trace_id,
  CASE WHEN NOT e.scoped AND e.event_type LIKE 'schedule.%' THEN e.job_id ELSE coalesce(t.schedule_id, '') END AS schedule_id, coalesce(t.schedule_occurrence_id, '') AS schedule_occurrence_id,
  CASE WHEN NOT e.scoped AND e.event_type LIKE 'queue.%' THEN e.job_id ELSE coalesce(t.queue, '') END AS queue_name,
  CASE WHEN NOT e.scoped AND e.event_type LIKE 'worker.%' AND e.worker_id = '' THEN e.job_id ELSE e.worker_id END AS worker_id
 FROM (SELECT *, job_id <> 'system' AND (event_type = 'schedule.occurrence_run_created' OR NOT regexp_matches(event_type, '^(queue|worker|component|monitoring|redis|alert|retention|schedule)[.]')) AS scoped
- FROM activity_log) AS e LEFT JOIN tasks AS t ON e.scoped AND t.job_id = e.job_id""",
+ FROM activity_log) AS e LEFT JOIN tasks AS t ON e.scoped AND t.job_id = e.job_id"""
+
+
+@query("event_correlation", CORRELATION_SQL)
+def _(t: Tables) -> DataFrame:
+    return runs.fill_correlation(t.activity_log, t.tasks).select(*CORRELATED)
+
+
+CORRELATED = (
+    "id", "event_id", "job_id", "event_type", "occurred_at", "run_scoped", "execution_chain_id", "correlation_id", "parent_run_id",
+    "retry_index", "trace_id", "schedule_id", "schedule_occurrence_id", "queue_name", "worker_id",
 )
+
+
+@query("events_appended", CORRELATION_SQL)
 def _(t: Tables) -> DataFrame:
-    return runs.fill_correlation(t.activity_log, t.tasks).select(
-        "id", "event_id", "job_id", "event_type", "occurred_at", "run_scoped", "execution_chain_id", "correlation_id", "parent_run_id",
-        "retry_index", "trace_id", "schedule_id", "schedule_occurrence_id", "queue_name", "worker_id",
-    )
+    """Events appended in two batches, the first of them twice, and read back."""
+    spark = t.tasks.sparkSession
+    folder = fresh_folder(spark, "event-log")
+    for batch in (0, 1, 0):
+        runs.append_events(t.activity_log.filter(F.col("id") % 2 == batch), t.tasks, folder, "importer", batch)
+    return spark.read.parquet(folder).select(*CORRELATED)
+
+
+@query(
+    "annotations_appended",
+    """SELECT subject_id, type, derived_at FROM annotations WHERE resolved_at IS NULL UNION ALL SELECT schedule_id, 'SCHEDULE_MISSED', $NOW FROM schedule_definitions WHERE enabled
+ AND schedule_id NOT IN (SELECT subject_id FROM annotations WHERE resolved_at IS NULL AND type = 'SCHEDULE_MISSED')""",
+)
+def _(t: Tables) -> DataFrame:
+    """Open annotations, and new ones appended twice but only where none of their subject and type is open."""
+    spark = t.tasks.sparkSession
+    folder, key = fresh_folder(spark, "annotations"), ["subject_id", "type"]
+    columns = ("subject_id", "type", "derived_at")
+    append(t.annotations.filter("resolved_at IS NULL").select(*columns), folder)
+    fresh = t.schedule_definitions.filter("enabled").select(F.col("schedule_id").alias("subject_id"), F.lit("SCHEDULE_MISSED").alias("type"), F.lit(NOW).cast("timestamp").alias("derived_at"))
+    for _ in range(2):
+        append_new(fresh, spark.read.parquet(folder), key, folder)
+    return spark.read.parquet(folder).select(*columns)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """A stored projection that lost some rows, has others wrong and holds some of no run."""
+    number = F.xxhash64("job_id")
+    kept = rows.filter(F.pmod(number, F.lit(7)) != 0)
+    wrong = kept.withColumn("current_status", F.when(F.pmod(number, F.lit(5)) == 0, F.lit("Broken")).otherwise(F.col("current_status")))
+    junk = rows.filter(F.pmod(number, F.lit(11)) == 0).withColumn("job_id", F.concat(F.lit("ghost-"), "job_id"))
+    return wrong.unionByName(junk)
+
+
+def rebuilt(t: Tables) -> tuple[str, DataFrame]:
+    spark = t.tasks.sparkSession
+    folder, wanted = fresh_folder(spark, "rebuilt"), folds.run_projections(t.event_log, t.tasks)
+    upsert(damaged(wanted), folder, 0, ["job_id"])
+    for version in (1, 1, 2):
+        rebuild(wanted, folder, ["job_id"], version, ["job_id"])
+    return folder, wanted
+
+
+@query("projections_rebuilt", FOLD_SQL)
+def _(t: Tables) -> DataFrame:
+    """Damaged projections after a rebuild, its repetition and a further one."""
+    folder, wanted = rebuilt(t)
+    return read_keyed(t.tasks.sparkSession, folder, ["job_id"]).select(*wanted.columns)
+
+
+@query("rebuild_changes")
+def _(t: Tables) -> DataFrame:
+    """How many rows each version of the rebuilt table wrote and marked as gone; the last one changes nothing."""
+    folder, _ = rebuilt(t)
+    log = version_log(t.tasks.sparkSession, folder)
+    return log.groupBy("version").agg(F.count_if(~F.col("_gone")).alias("written"), F.count_if("_gone").alias("gone"))
 
 
 @query(

@@ -12,6 +12,7 @@ from opswatch.operators.filters import RUN_SUBJECTS
 from opswatch.operators.folds import run_projections
 from opswatch.operators.latest import latest_per_key
 from opswatch.operators.skew import spread_blank
+from opswatch.sources.sinks import append_batch
 from opswatch.sources.tables import Tables
 
 COUNT_COLUMNS = (
@@ -140,6 +141,11 @@ def full_run_projections(tables: Tables) -> DataFrame:
     return projected.join(run_counts(tables, tables.tasks), "job_id")
 
 
+def append_events(events: DataFrame, tasks: DataFrame, path: str, writer: str, batch: int) -> None:
+    """Append events with their correlation filled; a batch that is written again leaves no second row."""
+    append_batch(fill_correlation(events, tasks), path, writer, batch)
+
+
 # --- reconciliation ---
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opswatch.operators.folds import OCCURRENCE_KEYS, fold_occurrences, fold_runs, summarize_schedules
-from opswatch.sources.sinks import read_keyed, upsert
+from opswatch.sources.sinks import VERSION, read_keyed, upsert
 
 BatchFunction = Callable[[DataFrame, int], None]
 
@@ -45,14 +45,18 @@ def occurrence_stream(events: DataFrame) -> DataFrame:
     return fold_occurrences(events)
 
 
+LEDGER_BUCKET = ["schedule_id"]
+
+
 def save_ledger(ledger_path: str, summary_path: str) -> BatchFunction:
-    """Store changed ledger rows, then the summaries of the schedules they touch."""
+    """Store changed ledger rows, then the summaries of the schedules they touch, from the buckets of those schedules alone."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        upsert(batch, ledger_path, batch_id)
-        changed = spark.read.parquet(f"{ledger_path}/version={batch_id}").select("schedule_id").distinct()
-        rows = read_keyed(spark, ledger_path, list(OCCURRENCE_KEYS)).join(changed, "schedule_id", "left_semi")
+        upsert(batch, ledger_path, batch_id, LEDGER_BUCKET)
+        changed = spark.read.parquet(f"{ledger_path}/{VERSION}={batch_id}").select("schedule_id").distinct()
+        held = read_keyed(spark, ledger_path, list(OCCURRENCE_KEYS), only=changed)
+        rows = held.join(changed, "schedule_id", "left_semi")
         upsert(summarize_schedules(rows), summary_path, batch_id)
 
     return save

@@ -9,7 +9,7 @@ from opswatch.operators.latest import latest_per_key
 from opswatch.plans import alerting, monitoring, reports, runs, timeline
 from opswatch.plans.maintenance import split_expired
 from opswatch.plans.schedules import skipped_occurrences
-from opswatch.sources.sinks import append_new, compact, read_keyed, upsert
+from opswatch.sources.sinks import append_batch, append_new, compact, read_keyed, rebuild, upsert, version_log
 from opswatch.sources.tables import literal_tables, parquet_tables
 
 NOW = datetime(2024, 1, 31)
@@ -163,6 +163,32 @@ def test_keyed_table(spark, tmp_path):
     assert {tuple(r) for r in read_keyed(spark, str(tmp_path / "u"), ["k"]).collect()} == state
 
 
+def test_rebuild_writes_differences_only_and_removes_junk(spark, tmp_path):
+    kind = "k string, part int, n int, at timestamp"
+    for bucket_by in (None, ["k"]):
+        path = str(tmp_path / f"r{bucket_by is None}")
+        held = [("same", 1, 1, None), ("wrong", 1, 1, ago(5)), ("junk", 1, 1, None), (None, 2, 5, None), (None, 3, 5, None)]
+        wanted = spark.createDataFrame([("same", 1, 1, None), ("wrong", 1, 2, None), ("missing", 1, 3, ago(1)), (None, 2, 5, None)], kind)
+        upsert(spark.createDataFrame(held, kind), path, 0, bucket_by)
+        for version in (1, 1, 2):
+            rebuild(wanted, path, ["k", "part"], version, bucket_by)
+            assert sorted(map(repr, map(tuple, read_keyed(spark, path, ["k", "part"]).collect()))) == sorted(map(repr, map(tuple, wanted.collect())))
+        log = version_log(spark, path)
+        assert sorted((r.version, str(r.k), r["_gone"]) for r in log.filter("version > 0").collect()) == [(1, "None", True), (1, "junk", True), (1, "missing", False), (1, "wrong", False)]
+
+
+def test_batches_appended_again_replace_themselves(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", None)], "k string, n int")
+    for writer, batch in (("w", 0), ("w", 0), ("w", 1), ("x", 0)):
+        append_batch(rows.repartition(3), path, writer, batch)
+    log = spark.read.parquet(path)
+    assert log.count() == 9 and log.select("append_key").distinct().count() == 9
+    keys = {r[0] for r in log.filter("writer = 'w' AND batch = 0").select("append_key").collect()}
+    append_batch(rows.coalesce(1), path, "w", 0)
+    assert {r[0] for r in spark.read.parquet(path).filter("writer = 'w' AND batch = 0").select("append_key").collect()} == keys
+
+
 def test_append_only_new_rows(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = spark.createDataFrame([("a", 1), ("b", 1)], "k string, n int")
