@@ -62,11 +62,10 @@ def rate_limited_stream(events: DataFrame, every_seconds: float, late: str = LAT
 
 
 def coalesced_stream(events: DataFrame, critical: Column, window_seconds: float = 0.25, late: str = LATE) -> DataFrame:
-    """Drop repeats of (type, subject) within the window; critical events get keys of their own and always pass."""
+    """Drop repeats of (type, subject) within the window. Critical events pass beside the state, however late they are."""
     always = F.coalesce(critical, F.lit(False))
-    own = F.when(always, F.col("id")).otherwise(F.lit(-1))
-    keyed = events.withColumn("_own", own)
-    return spaced_stream(keyed, ["event_type", "job_id", "_own"], "occurred_at", "id", window_seconds, late).drop("_own")
+    rest = spaced_stream(events.filter(~always), ["event_type", "job_id"], "occurred_at", "id", window_seconds, late)
+    return events.filter(always).unionByName(rest)
 
 
 def burst_stream(events: DataFrame, delay_seconds: float = 1.0, late: str = LATE) -> DataFrame:

@@ -153,3 +153,14 @@ def test_ledger_batch_reads_touched_buckets_only(spark, tmp_path):
     assert files(every) > 100 and files(some) == 3
     held = read_keyed(spark, path, ["schedule_id", "occurrence_id"], only=one).filter("schedule_id = 's7'")
     assert sorted(r.n for r in held.collect()) == [0, 1, 2]
+
+
+def test_late_critical_events_are_never_lost(spark, tmp_path):
+    """Files arrive newest first, hours apart: ordinary late events fall behind the watermark, critical ones pass."""
+    data = [(10 * h + k, f"e{h}{k}", kind, "j1", "a", BASE + timedelta(hours=h, minutes=k)) for h in (30, 20, 1) for k, kind in enumerate(["task.failed", "task.created", "task.failed"])]
+    events = spark.createDataFrame(data, "id long, event_id string, event_type string, job_id string, producer string, occurred_at timestamp")
+    for h in (30, 20, 1):
+        events.filter(f"id >= {10 * h} AND id < {10 * h + 10}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = file_stream(spark, str(tmp_path / "in"), events.schema, files_per_trigger=1)
+    got = result(keyed.coalesced_stream(stream, F.col("event_type") == "task.failed", 3600), "late").collect()
+    assert sorted(r.id for r in got if r.event_type == "task.failed") == [10, 12, 200, 202, 300, 302]
