@@ -7,6 +7,9 @@ thin the candidates, the whole sets decide. Each class first meets only the earl
 that none of these settles meet all others, so a large group of near copies does not make all its pairs. A line goes if an equal or similar line stands earlier, in order of
 doc_id and line number.
 
+Of a line its number of tokens, a key of its set and its prefix are kept, about a quarter of its tokens. Whole sets are computed
+again, from the texts, for the candidates alone. Equal keys (64 bits) and sizes stand for equal sets.
+
 Rarity is the count of a token's bucket in a one-row count sketch of fixed size: the order is a function of the
 token alone, which is all that exactness needs, and the sketch (64 Ki numbers) is the only thing every task is given.
 """
@@ -21,6 +24,8 @@ from .common import WORD, shingle_hashes, stored, words_of
 BUCKETS = 1 << 16
 #: bits of a token that order it and look it up; two tokens that share them give one candidate more, not another result
 MARK_BITS = 31
+#: documents are first looked up by one of so many slots, which bounds what is broadcast
+SLOTS = 1 << 18
 
 
 def _lines(docs: DataFrame, size: int) -> DataFrame:
@@ -63,15 +68,17 @@ def _least(n: Column, similarity: float) -> Column:
 
 
 def _shared_tokens(classes: DataFrame) -> DataFrame:
-    """(first, n, pos, token, head) of the prefix tokens that two classes or more have; head is the earliest class (first, n, pos)."""
-    index = classes.select("first", "n", F.posexplode_outer("prefix").alias("pos", "token"))
-    heads = (
-        index.groupBy("token")
-        .agg(F.count("*").alias("holders"), F.min(F.struct("first", "n", "pos")).alias("head"))
-        .filter("holders > 1")
-        .select(F.col("token").alias("t"), "head")
-    )
-    return index.join(heads, F.col("token") == F.col("t")).select("first", "n", "pos", "token", "head")
+    """(first, n, pos, token, head) of the prefix tokens that two classes or more have; head is the earliest class (first, n, pos).
+
+    Every token of every prefix travels as four numbers; places are joined to what two classes share.
+    """
+    index = classes.select("set_key", "n", F.posexplode_outer("prefix").alias("pos", "token"))
+    held = index.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1").select(F.col("token").alias("t"))
+    some = index.join(held, F.col("token") == F.col("t"), "left_semi")
+    places = classes.select(F.col("set_key").alias("k"), F.col("n").alias("m"), "first")
+    shared = stored(some.join(places, (F.col("set_key") == F.col("k")) & (F.col("n") == F.col("m"))).select("first", "n", "pos", "token"))
+    heads = shared.groupBy(F.col("token").alias("t")).agg(F.min(F.struct("first", "n", "pos")).alias("head"))
+    return shared.join(heads, F.col("token") == F.col("t")).select("first", "n", "pos", "token", "head")
 
 
 def _filters(n: Column, pos: Column, m: Column, other: Column, similarity: float) -> Column:
@@ -107,16 +114,25 @@ def _other_pairs(shared: DataFrame, settled: DataFrame, similarity: float) -> Da
     )
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+def _slot(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS))
+
+
+def _sets(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """(at, tokens) of the lines at ``places`` (d, l); of repeated doc_ids one row for each set of a line."""
+    slots = places.select(_slot("d").alias("slot")).distinct()
+    likely = docs.withColumn("slot", _slot("doc_id")).join(F.broadcast(slots), "slot", "left_semi")
+    lines = _lines(likely, size).join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")), "left_semi")
+    return lines.select(F.struct("doc_id", "line_no").alias("at"), "tokens", F.xxhash64(F.sort_array("tokens")).alias("set_key")).dropDuplicates(["at", "set_key"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The late classes of the pairs whose whole sets are similar."""
     pairs = stored(pairs)
     wanted = pairs.select("early").union(pairs.select("late")).distinct().select(
         F.col("early.doc_id").alias("d"), F.col("early.line_no").alias("l")
     )
-    sets = stored(
-        lines.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")), "left_semi")
-        .groupBy(F.struct("doc_id", "line_no").alias("at"), "set_key").agg(F.first("tokens").alias("tokens"))
-    )
+    sets = stored(_sets(docs, stored(wanted), size).select("at", "tokens"))
     both = F.size(F.array_intersect("tokens", "late_tokens"))
     return (
         pairs.join(sets, F.col("early").eqNullSafe(F.col("at")))
@@ -130,21 +146,18 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
 
 def removed_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, lines): the numbers of the lines of each document that an earlier line repeats."""
-    lines = stored(
-        _lines(docs, size).select(
-            "doc_id", "line_no", F.size("tokens").alias("n"), F.xxhash64(F.sort_array("tokens")).alias("set_key"), "tokens"
-        )
-    )
-    ordered = lines.select("doc_id", "line_no", "n", "set_key", _ordered(F.col("tokens"), _sketch(lines)).alias("ordered"))
+    docs = docs.select("doc_id", "text")
+    each = _lines(docs, size)
+    whole = each.select("doc_id", "line_no", F.size("tokens").alias("n"), F.xxhash64(F.sort_array("tokens")).alias("set_key"), _ordered(F.col("tokens"), _sketch(each)).alias("ordered"))
     keep = F.col("n") - _least(F.col("n"), similarity) + 1
-    prefixes = ordered.select("doc_id", "line_no", "n", "set_key", F.slice("ordered", F.lit(1), keep.cast("int")).alias("prefix"))
+    lines = stored(whole.select("doc_id", "line_no", "n", "set_key", F.slice("ordered", F.lit(1), keep.cast("int")).alias("prefix")))
     classes = stored(
-        prefixes.groupBy("set_key", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("prefix").alias("prefix"))
+        lines.groupBy("set_key", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("prefix").alias("prefix"))
     )
     shared = stored(_shared_tokens(classes))
     # near copies are mostly like the first of them; only those that are not meet every other class
-    by_heads = stored(_verified(_head_pairs(shared, similarity), lines, similarity))
-    by_others = _verified(_other_pairs(shared, by_heads, similarity), lines, similarity)
+    by_heads = stored(_verified(_head_pairs(shared, similarity), docs, size, similarity))
+    by_others = _verified(_other_pairs(shared, by_heads, similarity), docs, size, similarity)
     similar = by_heads.unionByName(by_others).withColumn("repeats", F.lit(True))
     marked = (
         classes.select("set_key", "n", "first")
