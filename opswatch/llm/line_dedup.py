@@ -114,6 +114,26 @@ def _other_pairs(shared: DataFrame, settled: DataFrame, similarity: float) -> Da
     )
 
 
+def _likely(pairs: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs with enough common prefix tokens; ``shared`` holds the prefix tokens that several classes have.
+
+    Of the prefix that ends first in the common order all tokens are decided: a set of n can share these and the n - len(prefix) behind them.
+    Tokens of one set with equal marks count as often as they stand there.
+    """
+    held = stored(shared.groupBy("first", "n").agg(F.collect_set("token").alias("tokens"), F.count("*").alias("all")))
+
+    def side(name: str) -> DataFrame:
+        again = (F.col("all") - F.size("tokens")).alias(f"{name}_again")
+        return held.select(F.col("first").alias(f"{name}_at"), F.col("n").alias(f"{name}_n"), F.col("tokens").alias(f"{name}_tokens"), again)
+
+    met = pairs.join(side("a"), F.col("early").eqNullSafe(F.col("a_at"))).join(side("b"), F.col("late").eqNullSafe(F.col("b_at")))
+    n, m = F.col("a_n"), F.col("b_n")
+    behind = F.greatest(_least(n, similarity), _least(m, similarity)) - 1
+    overlap = F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
+    common = F.size(F.array_intersect("a_tokens", "b_tokens")) + F.least("a_again", "b_again")
+    return met.filter(common + behind >= overlap).select("early", "late")
+
+
 def _slot(doc_id: str) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS))
 
@@ -156,8 +176,8 @@ def removed_lines(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
     )
     shared = stored(_shared_tokens(classes))
     # near copies are mostly like the first of them; only those that are not meet every other class
-    by_heads = stored(_verified(_head_pairs(shared, similarity), docs, size, similarity))
-    by_others = _verified(_other_pairs(shared, by_heads, similarity), docs, size, similarity)
+    by_heads = stored(_verified(_likely(_head_pairs(shared, similarity), shared, similarity), docs, size, similarity))
+    by_others = _verified(_likely(_other_pairs(shared, by_heads, similarity), shared, similarity), docs, size, similarity)
     similar = by_heads.unionByName(by_others).withColumn("repeats", F.lit(True))
     marked = (
         classes.select("set_key", "n", "first")
