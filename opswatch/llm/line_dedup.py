@@ -24,18 +24,20 @@ from .common import WORD, shingle_hashes, stored, words_of
 BUCKETS = 1 << 16
 #: bits of a token that order it and look it up; two tokens that share them give one candidate more, not another result
 MARK_BITS = 31
-#: documents are first looked up by one of so many slots, which bounds what is broadcast
+#: documents and lines are first looked up by one of so many slots, which bounds what is broadcast
 SLOTS = 1 << 18
 
 
-def _lines(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, line_no, tokens) of every line that holds a word.
+def _lines(docs: DataFrame, size: int, slots: DataFrame | None = None) -> DataFrame:
+    """(doc_id, line_no, tokens) of every line that holds a word; with ``slots`` (slot) only of lines in one of them.
 
     Outer explodes, here and below: a plain one infers a filter on its array, which is pushed down and computes it twice.
     """
+    lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    if slots is not None:
+        lines = lines.withColumn("slot", _slot("doc_id", "line_no")).join(F.broadcast(slots), "slot", "left_semi")
     return (
-        docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
-        .filter(F.col("line").rlike(WORD))
+        lines.filter(F.col("line").rlike(WORD))
         .select("doc_id", "line_no", words_of(F.col("line")).alias("words"))
         .select("doc_id", "line_no", F.array_distinct(shingle_hashes(F.col("words"), size)).alias("tokens"))
     )
@@ -134,15 +136,15 @@ def _likely(pairs: DataFrame, shared: DataFrame, similarity: float) -> DataFrame
     return met.filter(common + behind >= overlap).select("early", "late")
 
 
-def _slot(doc_id: str) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS))
+def _slot(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SLOTS))
 
 
 def _sets(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
     """(at, tokens) of the lines at ``places`` (d, l); of repeated doc_ids one row for each set of a line."""
-    slots = places.select(_slot("d").alias("slot")).distinct()
-    likely = docs.withColumn("slot", _slot("doc_id")).join(F.broadcast(slots), "slot", "left_semi")
-    lines = _lines(likely, size).join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")), "left_semi")
+    of_docs, of_lines = (places.select(_slot(*c).alias("slot")).distinct() for c in (("d",), ("d", "l")))
+    likely = docs.withColumn("slot", _slot("doc_id")).join(F.broadcast(of_docs), "slot", "left_semi").drop("slot")
+    lines = _lines(likely, size, of_lines).join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")), "left_semi")
     return lines.select(F.struct("doc_id", "line_no").alias("at"), "tokens", F.xxhash64(F.sort_array("tokens")).alias("set_key")).dropDuplicates(["at", "set_key"])
 
 
