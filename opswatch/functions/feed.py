@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opswatch.functions.status import lookup
 from opswatch.functions.timing import instant, millis_between
 
 # --- Fixed values of the feed vocabulary ---
@@ -113,19 +114,19 @@ def parse_scopes(raw: list[str]) -> list[Scope]:
         kind, colon, ident = text.strip().partition(":")
         if kind in SCOPES_WITH_ID:
             if not ident:
-                raise ScopeError(f"scope {kind!r} needs an id")
+                raise ScopeError(f"{kind!r} is about one subject: write {kind}:<id>")
             if len(ident.encode()) > MAX_SCOPE_ID:
-                raise ScopeError(f"scope {kind!r}: id is longer than {MAX_SCOPE_ID} characters")
+                raise ScopeError(f"the id after {kind!r} takes more than {MAX_SCOPE_ID} bytes")
         elif kind == SUMMARY_TYPE or kind in SCOPE_PREFIXES:
             if colon:
-                raise ScopeError(f"scope {kind!r} does not take an id")
+                raise ScopeError(f"{kind!r} covers a whole family: leave out what follows the colon")
         else:
-            raise ScopeError(f"unknown scope {text.strip()!r}")
+            raise ScopeError(f"{text.strip()!r} names no family of events")
         scope = Scope(kind, ident)
         if scope not in scopes:
             scopes.append(scope)
     if len(scopes) > MAX_SCOPES:
-        raise ScopeError(f"too many scopes: {len(scopes)} (the limit is {MAX_SCOPES})")
+        raise ScopeError(f"{len(scopes)} different scopes were asked for, {MAX_SCOPES} are allowed")
     return scopes
 
 
@@ -179,24 +180,31 @@ def category(event_type: Column) -> Column:
     )
 
 
+# Resource classes by the first segment of an event type, and of single types.
+FAMILY_RESOURCES = {
+    "alert": "ALERT",
+    "attempt": "ATTEMPT",
+    "component": "COMPONENT",
+    "monitoring": "MONITORING_HEALTH",
+    "pii": "PII_FINDING_SUMMARY",
+    "queue": "QUEUE",
+    "run": "RUN",
+    "schedule": "SCHEDULE",
+    "task": "RUN",
+    "worker": "WORKER",
+}
+TYPE_RESOURCES = {
+    SUMMARY_TYPE: "PLATFORM_SUMMARY",
+    "pii.policy_activated": "PII_POLICY_ACTIVATED",
+    "pii.policy_drift_detected": "PII_POLICY_DRIFT_DETECTED",
+    "pii.policy_reload_failed": "PII_POLICY_RELOAD_FAILED",
+}
+
+
 def resource_type(event_type: Column) -> Column:
-    t = event_type
-    return (
-        F.when(t == SUMMARY_TYPE, F.lit("PLATFORM_SUMMARY"))
-        .when(has_prefix(t, ("task.", "run.")), F.lit("RUN"))
-        .when(t.startswith("attempt."), F.lit("ATTEMPT"))
-        .when(t.startswith("queue."), F.lit("QUEUE"))
-        .when(t.startswith("worker."), F.lit("WORKER"))
-        .when(t.startswith("schedule."), F.lit("SCHEDULE"))
-        .when(t.startswith("alert."), F.lit("ALERT"))
-        .when(t == "pii.policy_activated", F.lit("PII_POLICY_ACTIVATED"))
-        .when(t == "pii.policy_reload_failed", F.lit("PII_POLICY_RELOAD_FAILED"))
-        .when(t == "pii.policy_drift_detected", F.lit("PII_POLICY_DRIFT_DETECTED"))
-        .when(t.startswith("pii."), F.lit("PII_FINDING_SUMMARY"))
-        .when(t.startswith("monitoring."), F.lit("MONITORING_HEALTH"))
-        .when(t.startswith("component."), F.lit("COMPONENT"))
-        .otherwise(F.lit("UNKNOWN"))
-    )
+    """Class of the resource an event is about: by its type, else by the family before its first dot, else UNKNOWN."""
+    family = F.when(event_type.contains("."), F.split_part(event_type, F.lit("."), F.lit(1)))
+    return F.coalesce(lookup(event_type, TYPE_RESOURCES), lookup(family, FAMILY_RESOURCES), F.lit("UNKNOWN"))
 
 
 def change_type(event_type: Column) -> Column:

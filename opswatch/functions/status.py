@@ -26,6 +26,7 @@ FAILURE_CATEGORIES = (
     "INFRASTRUCTURE_ERROR",
     "UNKNOWN",
 )
+# Retry budget, statuses of attempts in hand, severities that notify.
 MAX_RETRIES = 3
 ACTIVE_ATTEMPTS = ("Claimed", "Started")
 NOTIFIED_SEVERITIES = ("WARNING", "CRITICAL")

@@ -23,11 +23,12 @@ from opswatch.operators.paging import page
 from opswatch.sources.tables import Tables
 
 LATE_START_SECONDS = 30
+# The order in which components are shown.
 COMPONENT_ORDER = (
     "API", "Query API", "Scheduler", "Redis Delivery", "Workers", "Monitoring Ingestor", "Monitoring Projector",
     "PII Scanner", "Alert Evaluator", "Real-Time Gateway",
 )
-# a combined row is dropped once every row that replaces it is present
+# A combined row is dropped once every row that replaces it is present.
 SUPERSEDED_BY = {"Monitoring Ingestor / Projector": ("Monitoring Ingestor", "Monitoring Projector")}
 # Path segments that are route words; anything else is an identifier.
 ROUTE_WORDS = (
