@@ -7,6 +7,7 @@ rules DataFrame, which Spark broadcasts by its size; everything else is joined b
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,10 +89,21 @@ def best_annotation_rule(rules: DataFrame) -> DataFrame:
 MetricResolver = Callable[[Tables, object], DataFrame]
 
 
-def sample(metric: str, subject_type: str, subject: Column, numeric: Column, evidence: list, text: Column | None = None, scope: Column | None = None) -> list[Column]:
+@dataclass(frozen=True)
+class OfFamily:
+    """A metric read from the same rows as the other metrics of its family: whichever are wanted, one pass gives them all."""
+
+    family: Callable[[Tables, object, list[str]], DataFrame]
+    metric: str
+
+    def __call__(self, tables: Tables, now) -> DataFrame:
+        return self.family(tables, now, [self.metric])
+
+
+def sample(metric: str | Column, subject_type: str, subject: Column, numeric: Column, evidence: list, text: Column | None = None, scope: Column | None = None) -> list[Column]:
     numeric = numeric.cast("double")
     return [
-        F.lit(metric).alias("metric"),
+        (F.lit(metric) if isinstance(metric, str) else metric).alias("metric"),
         F.lit(subject_type).alias("subject_type"),
         subject.cast("string").alias("subject_id"),
         (F.lit("") if scope is None else scope).alias("scope_value"),
@@ -101,39 +113,44 @@ def sample(metric: str, subject_type: str, subject: Column, numeric: Column, evi
     ]
 
 
+def samples_of_row(found: list[tuple[Column, list[Column]]]) -> Column:
+    """One row for each sample of a source row whose condition holds."""
+    return F.inline(F.array_compact(F.array(*[F.when(holds, F.struct(*columns)) for holds, columns in found])))
+
+
 def recent(df: DataFrame, column: str, now, seconds: float) -> DataFrame:
     return df.filter(F.col(column) >= shift(now, -seconds))
 
 
-def worker_heartbeat_age(tables: Tables, now) -> DataFrame:
-    """Age of the newest heartbeat per worker; skipped when that heartbeat's instance stopped or drains."""
+def worker_metrics(tables: Tables, now, wanted: list[str]) -> DataFrame:
+    """Newest heartbeat per worker in the last hour: its age, unless that instance stopped or drains, and its used capacity."""
     newest = newest_heartbeats(recent(tables.heartbeats, "occurred_at", now, 3600))
-    quiet = tables.workers.filter(
-        F.col("stopped_at").isNotNull() | (F.col("draining_at") > shift(now, -DRAIN_WINDOW))
-    ).select("instance_id")
-    age = age_seconds(F.col("occurred_at"), now)
-    evidence = [age.alias("age_seconds"), "capacity", "instance_id", "occurred_at", "running_attempts"]
-    return newest.join(quiet, "instance_id", "left_anti").select(
-        *sample("worker.heartbeat_age", "WORKER", F.col("worker_id"), age, evidence)
-    )
-
-
-def worker_capacity_used(tables: Tables, now) -> DataFrame:
-    newest = newest_heartbeats(recent(tables.heartbeats, "occurred_at", now, 3600)).filter(F.col("capacity") > 0)
-    used = F.col("running_attempts") / F.col("capacity") * 100
-    evidence = ["capacity", used.alias("capacity_used_percent"), "instance_id", "occurred_at", "running_attempts"]
-    return newest.select(*sample("worker.capacity_used", "WORKER", F.col("worker_id"), used, evidence))
-
-
-def queue_metric(metric: str, column: str) -> MetricResolver:
-    """Newest sample per queue in the last hour, one column of it."""
+    age, used = age_seconds(F.col("occurred_at"), now), F.col("running_attempts") / F.col("capacity") * 100
+    found = []
+    if "worker.heartbeat_age" in wanted:
+        quiet = tables.workers.filter(F.col("stopped_at").isNotNull() | (F.col("draining_at") > shift(now, -DRAIN_WINDOW)))
+        newest = newest.join(quiet.select("instance_id", F.lit(True).alias("quiet")).distinct(), "instance_id", "left")
+        evidence = [age.alias("age_seconds"), "capacity", "instance_id", "occurred_at", "running_attempts"]
+        found.append((F.col("quiet").isNull(), sample("worker.heartbeat_age", "WORKER", F.col("worker_id"), age, evidence)))
+    if "worker.capacity_used" in wanted:
+        evidence = ["capacity", used.alias("capacity_used_percent"), "instance_id", "occurred_at", "running_attempts"]
+        found.append((F.col("capacity") > 0, sample("worker.capacity_used", "WORKER", F.col("worker_id"), used, evidence)))
+    return newest.select(samples_of_row(found))
+
+
+QUEUE_COLUMNS = {
+    "queue.oldest_age": "oldest_pending_age_seconds",
+    "queue.pending_count": "pending_count",
+    "queue.consumer_count": "consumer_count",
+}
 
-    def resolve(tables: Tables, now) -> DataFrame:
-        newest = newest_queue_samples(recent(tables.queue_samples, "sampled_at", now, 3600))
-        evidence = ["consumer_count", "oldest_pending_age_seconds", "pending_count", "sampled_at", "stream_length"]
-        return newest.select(*sample(metric, "QUEUE", F.col("queue_name"), F.col(column), evidence))
 
-    return resolve
+def queue_metrics(tables: Tables, now, wanted: list[str]) -> DataFrame:
+    """Newest sample per queue in the last hour, a column of it for each metric."""
+    newest = newest_queue_samples(recent(tables.queue_samples, "sampled_at", now, 3600))
+    evidence = ["consumer_count", "oldest_pending_age_seconds", "pending_count", "sampled_at", "stream_length"]
+    found = [(F.lit(True), sample(m, "QUEUE", F.col("queue_name"), F.col(QUEUE_COLUMNS[m]), evidence)) for m in wanted]
+    return newest.select(samples_of_row(found))
 
 
 def monitoring_status(tables: Tables, now) -> DataFrame:
@@ -163,17 +180,32 @@ def pii_policy_action(tables: Tables, now) -> DataFrame:
     )
 
 
-def event_age(metric: str, event_type: str) -> MetricResolver:
-    """Seconds since the newest such event per run, within a day."""
+AGED_EVENTS = {
+    "run.failed_age": "task.failed",
+    "run.retries_exhausted_age": "task.retries_exhausted",
+    "run.timed_out_age": "task.timed_out",
+    "pii.scan_failed_age": "pii.scan_failed",
+}
+
 
-    def resolve(tables: Tables, now) -> DataFrame:
-        day = recent(tables.event_log.filter(F.col("event_type") == event_type), "occurred_at", now, 86400)
-        newest = latest_per_key(day, ["job_id"], ["occurred_at", "id"], ["event_id", "occurred_at", "execution_chain_id"])
-        age = age_seconds(F.col("occurred_at"), now)
-        evidence = [age.alias("age_seconds"), "event_id", F.lit(event_type).alias("event_type"), "execution_chain_id", "occurred_at"]
-        return newest.select(*sample(metric, "RUN", F.col("job_id"), age, evidence))
+def ages_of_events(tables: Tables, now, event_types: dict[str, str]) -> DataFrame:
+    """Seconds since the newest event of each metric's type per run, within a day; the log is read once."""
+    chosen = tables.event_log.filter(F.col("event_type").isin(*event_types.values()))
+    columns = ["event_id", "occurred_at", "execution_chain_id"]
+    newest = latest_per_key(recent(chosen, "occurred_at", now, 86400), ["job_id", "event_type"], ["occurred_at", "id"], columns)
+    age = age_seconds(F.col("occurred_at"), now)
+    evidence = [age.alias("age_seconds"), "event_id", "event_type", "execution_chain_id", "occurred_at"]
+    found = [(F.col("event_type") == kind, sample(m, "RUN", F.col("job_id"), age, evidence)) for m, kind in event_types.items()]
+    return newest.select(samples_of_row(found))
+
+
+def event_ages(tables: Tables, now, wanted: list[str]) -> DataFrame:
+    return ages_of_events(tables, now, {m: AGED_EVENTS[m] for m in wanted})
 
-    return resolve
+
+def event_age(metric: str, event_type: str) -> MetricResolver:
+    """A metric of the age of some other type of event."""
+    return lambda tables, now: ages_of_events(tables, now, {metric: event_type})
 
 
 def worst_creation_lateness(tasks: DataFrame, now, window: float = 3600) -> DataFrame:
@@ -204,17 +236,11 @@ def schedule_creation_lateness(tables: Tables, now) -> DataFrame:
 
 
 RESOLVERS: dict[str, MetricResolver] = {
-    "worker.heartbeat_age": worker_heartbeat_age,
-    "worker.capacity_used": worker_capacity_used,
-    "queue.oldest_age": queue_metric("queue.oldest_age", "oldest_pending_age_seconds"),
-    "queue.pending_count": queue_metric("queue.pending_count", "pending_count"),
-    "queue.consumer_count": queue_metric("queue.consumer_count", "consumer_count"),
+    **{m: OfFamily(worker_metrics, m) for m in ("worker.heartbeat_age", "worker.capacity_used")},
+    **{m: OfFamily(queue_metrics, m) for m in QUEUE_COLUMNS},
     "monitoring.status": monitoring_status,
     "pii.policy_action": pii_policy_action,
-    "run.failed_age": event_age("run.failed_age", "task.failed"),
-    "run.retries_exhausted_age": event_age("run.retries_exhausted_age", "task.retries_exhausted"),
-    "run.timed_out_age": event_age("run.timed_out_age", "task.timed_out"),
-    "pii.scan_failed_age": event_age("pii.scan_failed_age", "pii.scan_failed"),
+    **{m: OfFamily(event_ages, m) for m in AGED_EVENTS},
     "schedule.creation_lateness": schedule_creation_lateness,
 }
 
@@ -222,10 +248,18 @@ RESOLVERS: dict[str, MetricResolver] = {
 def metric_samples(
     tables: Tables, now, metrics: list[str] | None = None, resolvers: dict[str, MetricResolver] | None = None
 ) -> DataFrame:
-    """Samples of the wanted metrics. Pass ``resolvers`` to add metrics of your own."""
+    """Samples of the wanted metrics, each source read once. Pass ``resolvers`` to add metrics of your own."""
     available = RESOLVERS if resolvers is None else resolvers
     wanted = list(available) if metrics is None else [m for m in metrics if m in available]
-    return reduce(DataFrame.unionByName, [available[m](tables, now) for m in wanted])
+    families: dict[Callable, list[str]] = {}
+    alone = []
+    for name in wanted:
+        resolver = available[name]
+        if isinstance(resolver, OfFamily):
+            families.setdefault(resolver.family, []).append(resolver.metric)
+        else:
+            alone.append(resolver(tables, now))
+    return reduce(DataFrame.unionByName, [family(tables, now, names) for family, names in families.items()] + alone)
 
 
 # --- rule matching ---

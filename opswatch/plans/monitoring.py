@@ -37,9 +37,9 @@ WATERMARK_MARGIN = 5
 ANNOTATION_COLUMNS = ("type", "subject_type", "subject_id", "derived_at", "evidence")
 
 
-def annotation(kind: str, subject_type: str, subject: str, now, evidence: Column) -> list[Column]:
+def annotation(kind: str | Column, subject_type: str, subject: str, now, evidence: Column) -> list[Column]:
     return [
-        F.lit(kind).alias("type"),
+        (F.lit(kind) if isinstance(kind, str) else kind).alias("type"),
         F.lit(subject_type).alias("subject_type"),
         F.col(subject).alias("subject_id"),
         instant(now).alias("derived_at"),
@@ -75,24 +75,29 @@ def silence_evidence(silent_after: float) -> Column:
     return F.to_json(F.struct(F.col("last_event_at"), F.lit(int(silent_after)).alias("threshold_seconds")))
 
 
+SILENT_COLUMNS = ("job_id", "worker_id", "last_event_at", "last_heartbeat_at")
+
+
+def worker_alive(now, window: float) -> Column:
+    return age_seconds(F.col("last_heartbeat_at"), now) < window
+
+
+def worker_gone(now, window: float) -> Column:
+    return F.col("last_heartbeat_at").isNull() | (age_seconds(F.col("last_heartbeat_at"), now) > window)
+
+
 def stuck_runs(
     tables: Tables, now, silent_after: float = SILENT_AFTER, heartbeat_window: float = STUCK_HEARTBEAT_WINDOW
 ) -> DataFrame:
     """Silent runs whose worker is alive."""
-    alive = age_seconds(F.col("last_heartbeat_at"), now) < heartbeat_window
-    return silent_runs(tables, now, silent_after).filter(alive).select(
-        "job_id", "worker_id", "last_event_at", "last_heartbeat_at"
-    )
+    return silent_runs(tables, now, silent_after).filter(worker_alive(now, heartbeat_window)).select(*SILENT_COLUMNS)
 
 
 def lost_runs(
     tables: Tables, now, silent_after: float = SILENT_AFTER, heartbeat_window: float = LOST_HEARTBEAT_WINDOW
 ) -> DataFrame:
     """Silent runs whose worker never sent a heartbeat or stopped sending them."""
-    gone = F.col("last_heartbeat_at").isNull() | (age_seconds(F.col("last_heartbeat_at"), now) > heartbeat_window)
-    return silent_runs(tables, now, silent_after).filter(gone).select(
-        "job_id", "worker_id", "last_event_at", "last_heartbeat_at"
-    )
+    return silent_runs(tables, now, silent_after).filter(worker_gone(now, heartbeat_window)).select(*SILENT_COLUMNS)
 
 
 def duplicate_executions(attempts: DataFrame) -> DataFrame:
@@ -118,14 +123,13 @@ def new_annotations(
     lost_window: float = LOST_HEARTBEAT_WINDOW,
 ) -> DataFrame:
     """Annotations one monitoring pass adds: stuck, lost, duplicated runs and missed schedules."""
-    evidence = silence_evidence(silent_after)
+    # stuck and lost are two looks at the same silent runs, and a run may be both
+    looks = F.array(
+        F.when(worker_alive(now, stuck_window), F.lit("RUN_STUCK")), F.when(worker_gone(now, lost_window), F.lit("RUN_LOST"))
+    )
+    silent = silent_runs(tables, now, silent_after).withColumn("look", F.explode(F.array_compact(looks)))
     found = [
-        stuck_runs(tables, now, silent_after, stuck_window).select(
-            *annotation("RUN_STUCK", "TASK", "job_id", now, evidence)
-        ),
-        lost_runs(tables, now, silent_after, lost_window).select(
-            *annotation("RUN_LOST", "TASK", "job_id", now, evidence)
-        ),
+        silent.select(*annotation(F.col("look"), "TASK", "job_id", now, silence_evidence(silent_after))),
         duplicate_executions(tables.attempts).select(
             *annotation(
                 "RUN_DUPLICATE_SUSPECTED", "TASK", "job_id", now, F.to_json(F.struct("active_attempt_count"))

@@ -93,6 +93,36 @@ def test_custom_metric(spark):
     assert alerting.metric_samples(literal_tables(mine=mine), NOW, resolvers=resolvers).count() == 1
 
 
+HEALTH_TABLES = {
+    "heartbeats": "id long, worker_id string, instance_id string, occurred_at timestamp, capacity int, running_attempts int",
+    "workers": "instance_id string, stopped_at timestamp, draining_at timestamp",
+    "queue_samples": "id long, queue_name string, sampled_at timestamp, oldest_pending_age_seconds double, pending_count long, consumer_count long, stream_length long",
+    "monitoring_healths": "id long, sampled_at timestamp, failed_checks int, status string",
+    "findings": "id long, created_at timestamp, confidence double, detector_id string, job_id string, type string, policy_action string, source string",
+    "event_log": "id long, event_id string, job_id string, event_type string, occurred_at timestamp, execution_chain_id string",
+    "tasks": "id long, job_id string, schedule_id string, expected_at timestamp, created_at timestamp",
+}
+
+
+def test_each_source_is_read_once_for_all_metrics(spark):
+    rows = {
+        "heartbeats": [(1, "w", "i", ago(9), 4, 4), (2, "w", "i", ago(5), 4, 1), (3, "idle", "i2", ago(7), 0, 0), (4, "off", "i3", ago(7), 2, 1)],
+        "workers": [("i3", ago(3), None), ("i3", ago(2), None), ("i", None, None)],
+        "queue_samples": [(1, "q", ago(9), 1.0, 2, 3, 4), (2, "q", ago(9), 5.0, 6, 7, 8)],
+        "event_log": [(1, "e1", "j", "task.failed", ago(30), "c"), (2, "e2", "j", "task.failed", ago(20), "c"), (3, "e3", "j", "task.timed_out", ago(10), "c"), (4, "e4", "j", "other", ago(1), "c")],
+    }
+    tables = literal_tables(**{name: spark.createDataFrame(rows.get(name, []), schema) for name, schema in HEALTH_TABLES.items()})
+    samples = alerting.metric_samples(tables, NOW)
+    assert samples._jdf.queryExecution().analyzed().collectLeaves().size() == len(HEALTH_TABLES)
+    assert {(r.metric, r.subject_id, r.numeric) for r in samples.collect()} == {
+        ("worker.heartbeat_age", "w", 5.0), ("worker.heartbeat_age", "idle", 7.0), ("worker.capacity_used", "w", 25.0), ("worker.capacity_used", "off", 50.0),
+        ("queue.oldest_age", "q", 5.0), ("queue.pending_count", "q", 6.0), ("queue.consumer_count", "q", 7.0), ("run.failed_age", "j", 20.0), ("run.timed_out_age", "j", 10.0),
+    }
+    for metric in alerting.RESOLVERS:
+        alone = alerting.metric_samples(tables, NOW, [metric]).collect()
+        assert sorted(alone) == sorted(r for r in samples.collect() if r.metric == metric)
+
+
 def test_too_many_rules_are_refused(spark):
     with pytest.raises(ValueError):
         alerting.rules_frame(spark, [{"id": str(i)} for i in range(alerting.MAX_RULES + 1)])
@@ -117,6 +147,18 @@ def test_stuck_and_lost(spark, event_age, beat_age, stuck, lost):
     assert (monitoring.stuck_runs(tables, NOW).count(), monitoring.lost_runs(tables, NOW).count()) == (stuck, lost)
 
 
+@pytest.mark.parametrize("beat_age, kinds", [(5, {"RUN_STUCK"}), (31, {"RUN_STUCK", "RUN_LOST"}), (300, {"RUN_LOST"}), (None, {"RUN_LOST"})])
+def test_new_annotations_look_at_silent_runs_once(spark, beat_age, kinds):
+    tables = silent_tables(spark, 61, beat_age)
+    tables = literal_tables(
+        tasks=tables.tasks, event_log=tables.event_log, attempts=tables.attempts.selectExpr("*", "'Created' AS status"), heartbeats=tables.heartbeats,
+        schedule_definitions=spark.createDataFrame([], "schedule_id string, enabled boolean, next_run_at timestamp"), annotations=spark.createDataFrame([], NOTE),
+    )
+    found = monitoring.new_annotations(tables, NOW)
+    assert {r.type for r in found.collect() if r.type != "RUN_DUPLICATE_SUSPECTED"} == kinds
+    assert found._jdf.queryExecution().analyzed().collectLeaves().size() == 7
+
+
 def test_reconcile_classes(spark):
     want = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 1.0), ("c", 3, None), ("d", 4, 1.0)], "k string, n int, x double")
     have = spark.createDataFrame([("b", 2, 1.0005), ("c", 3, None), ("d", 4, 1.5), ("e", 5, 1.0)], "k string, n int, x double")
