@@ -85,10 +85,6 @@ NUMBERED = "concat('[', kind, '-', idx, ']')"
 PLAIN = "concat('[', kind, '-REDACTED]')"
 
 
-def cut_sql(text: str) -> str:
-    return f"CASE WHEN strlen({text}) <= 8192 THEN {text} ELSE left({text}, (SELECT max(k) FROM range(2040, 8193) AS r(k) WHERE strlen(left({text}, k)) <= 8192)) END"
-
-
 # --- findings ---
 
 
@@ -160,47 +156,27 @@ def _(t: Tables) -> DataFrame:
     return pii_scan.with_sanitized(scanned_documents(t), "body", POLICY, "sanitized").select("doc_id", "sanitized")
 
 
-@query(
-    "artifact_scan",
-    f"""SELECT key AS doc_id, CASE WHEN n > 0 THEN 'DETECTED' ELSE 'CLEAN' END AS scan_status, n AS finding_count, false AS withheld, strlen(text) AS original_bytes,
- {cut_sql('sanitized')} AS sanitized_body, strlen(sanitized) > 8192 AS truncated
-FROM ({sanitized_sql('documents', 'doc_id', 'text', NUMBERED)}) AS s JOIN documents AS d ON d.doc_id = s.key""",
-)
+SCANNED = f"""SELECT key AS doc_id, CASE WHEN n > 0 THEN 'DETECTED' ELSE 'CLEAN' END AS scan_status, n AS finding_count, false AS withheld, strlen(text) AS original_bytes, sanitized AS sanitized_body, false AS truncated
+FROM ({sanitized_sql('documents', 'doc_id', 'text', NUMBERED)}) AS s JOIN documents AS d ON d.doc_id = s.key"""
+
+
+@query("artifact_scan", SCANNED)
+@query("artifact_scan_whole", SCANNED)
 def _(t: Tables) -> DataFrame:
     return pii_scan.scan_artifacts(documents(t), POLICY, "JOB_RESULT").select(
         "doc_id", "scan_status", "finding_count", "withheld", "original_bytes", "sanitized_body", "truncated"
     )
 
 
-@query(
-    "artifact_scan_pages",
-    f"""SELECT key AS page_id, CASE WHEN n > 0 THEN 'DETECTED' ELSE 'CLEAN' END AS scan_status, n AS finding_count, {cut_sql('sanitized')} AS sanitized_body
-FROM ({sanitized_sql('pages', 'page_id', 'html', NUMBERED)}) AS s""",
-)
-def _(t: Tables) -> DataFrame:
-    pages = t.pages.select("page_id", F.col("html").alias("body"))
-    return pii_scan.scan_artifacts(pages, POLICY, "ERROR_MESSAGE").select("page_id", "scan_status", "finding_count", "sanitized_body")
-
-
-@query(
-    "artifact_scan_whole",
-    f"""SELECT key AS doc_id, CASE WHEN n > 0 THEN 'DETECTED' ELSE 'CLEAN' END AS scan_status, n AS finding_count, false AS withheld, strlen(text) AS original_bytes, sanitized AS sanitized_body, false AS truncated
-FROM ({sanitized_sql('documents', 'doc_id', 'text', NUMBERED)}) AS s JOIN documents AS d ON d.doc_id = s.key""",
-)
-def _(t: Tables) -> DataFrame:
-    return pii_scan.scan_artifacts(documents(t), POLICY, "JOB_RESULT", limit=None).select(
-        "doc_id", "scan_status", "finding_count", "withheld", "original_bytes", "sanitized_body", "truncated"
-    )
+SCANNED_PAGES = f"""SELECT key AS page_id, CASE WHEN n > 0 THEN 'DETECTED' ELSE 'CLEAN' END AS scan_status, n AS finding_count, sanitized AS sanitized_body
+FROM ({sanitized_sql('pages', 'page_id', 'html', NUMBERED)}) AS s"""
 
 
-@query(
-    "artifact_scan_pages_whole",
-    f"""SELECT key AS page_id, CASE WHEN n > 0 THEN 'DETECTED' ELSE 'CLEAN' END AS scan_status, n AS finding_count, sanitized AS sanitized_body
-FROM ({sanitized_sql('pages', 'page_id', 'html', NUMBERED)}) AS s""",
-)
+@query("artifact_scan_pages", SCANNED_PAGES)
+@query("artifact_scan_pages_whole", SCANNED_PAGES)
 def _(t: Tables) -> DataFrame:
     pages = t.pages.select("page_id", F.col("html").alias("body"))
-    return pii_scan.scan_artifacts(pages, POLICY, "ERROR_MESSAGE", limit=None).select("page_id", "scan_status", "finding_count", "sanitized_body")
+    return pii_scan.scan_artifacts(pages, POLICY, "ERROR_MESSAGE").select("page_id", "scan_status", "finding_count", "sanitized_body")
 
 
 @query("artifact_scan_failed", "SELECT conv_id, turn, 'SCAN_ERROR' AS scan_status, true AS withheld, '' AS sanitized_body FROM conversations")
@@ -359,17 +335,11 @@ def _(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", fingerprint(F.col("c_name"), KEY).alias("fingerprint"))
 
 
-@query(
-    "log_lines_joined",
-    """SELECT doc_id, CASE WHEN n > 20 THEN concat(array_to_string(lines[1:20], chr(10)), chr(10), '[', n - 20, ' more log lines omitted]') ELSE array_to_string(lines, chr(10)) END AS log
-FROM (SELECT doc_id, string_split(text, ' ') AS lines, len(string_split(text, ' ')) AS n FROM documents) AS y""",
-)
-def _(t: Tables) -> DataFrame:
-    """Words of a document as log lines."""
-    return t.documents.select("doc_id", pii_scan.joined_log(F.split("text", " "), pii_scan.MAX_LOG_LINES).alias("log"))
+LINES = "SELECT doc_id, array_to_string(string_split(text, ' '), chr(10)) AS log FROM documents"
 
 
-@query("log_lines_whole", "SELECT doc_id, array_to_string(string_split(text, ' '), chr(10)) AS log FROM documents")
+@query("log_lines_joined", LINES)
+@query("log_lines_whole", LINES)
 def _(t: Tables) -> DataFrame:
     """Every word of a document as a log line."""
     return t.documents.select("doc_id", pii_scan.joined_log(F.split("text", " ")).alias("log"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opswatch.catalog.registry import query
 from opswatch.catalog.shared import LEDGER_SQL, STORED, ledger, number_of, schedule_summary, with_projections
-from opswatch.functions.schedules import MAX_SKIPPED, clamp_run_at, expected_from_occurrence_id
+from opswatch.functions.schedules import clamp_run_at, expected_from_occurrence_id
 from opswatch.operators import filters, folds, paging
 from opswatch.plans import reports, runs, schedules
 from opswatch.sources.tables import Tables
@@ -99,24 +99,14 @@ def _(t: Tables) -> DataFrame:
     return schedules.schedule_changes(t.schedule_definitions, t.schedule_snapshots, seeded=False)
 
 
-@query(
-    "skipped_occurrences",
-    """SELECT schedule_id, CAST(k AS INT) AS k, next_run_at + INTERVAL '1' SECOND * (k * interval_seconds) AS expected_at,
+SKIPPED = """SELECT schedule_id, CAST(k AS INT) AS k, next_run_at + INTERVAL '1' SECOND * (k * interval_seconds) AS expected_at,
  concat(schedule_id, ':', CAST(epoch(next_run_at) AS BIGINT) + k * interval_seconds) AS occurrence_id
-FROM schedule_definitions, range(1, 26) AS r(k) WHERE enabled AND next_run_at <= $NOW AND interval_seconds > 0
- AND k <= (epoch_us($NOW) - epoch_us(next_run_at)) // (interval_seconds * 1000000)""",
-)
-def _(t: Tables) -> DataFrame:
-    return schedules.skipped_occurrences(t.schedule_definitions, NOW, MAX_SKIPPED)
+FROM (SELECT *, unnest(range(1, (epoch_us($NOW) - epoch_us(next_run_at)) // (interval_seconds * 1000000) + 1)) AS k
+ FROM schedule_definitions WHERE enabled AND next_run_at <= $NOW AND interval_seconds > 0) AS x"""
 
 
-@query(
-    "skipped_occurrences_all",
-    """SELECT schedule_id, CAST(k AS INT) AS k, next_run_at + INTERVAL '1' SECOND * (k * interval_seconds) AS expected_at,
- concat(schedule_id, ':', CAST(epoch(next_run_at) AS BIGINT) + k * interval_seconds) AS occurrence_id
-FROM (SELECT *, unnest(range(1, (epoch_us($NOW) - epoch_us(next_run_at)) // (interval_seconds * 1000000) + 1)) AS k
- FROM schedule_definitions WHERE enabled AND next_run_at <= $NOW AND interval_seconds > 0) AS x""",
-)
+@query("skipped_occurrences", SKIPPED)
+@query("skipped_occurrences_all", SKIPPED)
 def _(t: Tables) -> DataFrame:
     return schedules.skipped_occurrences(t.schedule_definitions, NOW)
 

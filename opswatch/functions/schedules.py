@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from opswatch.functions.timing import instant, seconds_between, shift
 
-MAX_SKIPPED = 25
-
 
 def occurrence_id(schedule_id: Column, expected_at: Column) -> Column:
     return F.concat(schedule_id, F.lit(":"), F.unix_seconds(expected_at).cast("string"))

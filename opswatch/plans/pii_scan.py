@@ -27,7 +27,6 @@ from opswatch.operators.policy import (
 )
 
 MAX_BODY_BYTES = 8 * 1024
-MAX_LOG_LINES = 20
 METADATA_SOURCE = "JOB_METADATA"
 METADATA_PATH = "task_name"
 PAYLOAD_WITHHELD = '"[payload withheld]"'
@@ -182,9 +181,9 @@ def joined_log(lines: Column, shown: int | None = None) -> Column:
 
 def scan_artifacts(
     artifacts: DataFrame, policy: Policy, source: str, body: str = "body", job_type: Column | None = None, queue: Column | None = None,
-    limit: int | None = MAX_BODY_BYTES,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Artifacts with scan status, findings and the sanitized body, whole or of at most ``limit`` bytes and flagged.
+    """Artifacts with scan status, findings and the sanitized body, whole; where a limit is given, of at most ``limit`` bytes and flagged.
 
     A scan that cannot be trusted withholds the body.
     """
