@@ -42,7 +42,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True))
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,25 @@ def test_bpe_round_trip(spark):
     expected += [(7, expected[7][1], "same row"), (None, tokenizer.encode("no id").ids, "no id")]
     actual = [(r["id"], np.frombuffer(r["ids"], "<u4").tolist(), r["text"]) for r in found]
     assert sorted(actual, key=repr) == sorted(expected, key=repr)
+    both = [(r["id"], np.frombuffer(r["ids"], "<u4").tolist(), r["text"]) for r in bpe.encode(docs, path, decoded=True).collect()]
+    assert sorted(both, key=repr) == sorted(expected, key=repr)
     assert bpe.encode(docs.filter("false"), path).count() == 0
 
 
+def test_ids_that_break_a_character_decode_like_the_library():
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    whole = tokenizer.encode("日本 é 😀 end", add_special_tokens=False).ids
+    for ids in ([], whole, whole[1:], whole[:-3], whole[::-1], whole[::2]):
+        assert bpe.text_of(np.array(ids, dtype="<u4").tobytes(), path) == tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_gathered_stretches():
+    starts, sizes, values = np.array([3, 0, 5]), np.array([2, 3, 0]), np.arange(10, 15)
+    assert bpe.gathered(starts, sizes, values, np.array([1, 2, 0, 1])).tolist() == [10, 11, 12, 13, 14, 10, 11, 12]
+    assert bpe.gathered(starts, sizes, values, np.zeros(0, dtype="<u4")).tolist() == []
+
+
 def test_lattice_and_rules_keep_every_row(spark):
     docs = docs_frame(spark, list(enumerate(TEXTS)) + [(None, "no id")])
     rows = lattice.score(docs, tokenizer_path("piece_bpe_32k.model"), F.coalesce(F.col("doc_id") == 3, F.lit(False))).collect()
