@@ -8,6 +8,7 @@ occurrence, and every task holds one block at a time.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -30,6 +31,14 @@ def _unpack(blob: bytes, decompressor) -> np.ndarray:
     return np.frombuffer(decompressor.decompress(blob), dtype="<u4")
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on between tasks and stages, and keeps what it once took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def blocks(docs: DataFrame, split: Callable[[], Callable[[str], list]], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, id, counted, codes, words, sizes, uses): rows of documents, and one row of words for each block.
 
@@ -81,8 +90,11 @@ def blocks(docs: DataFrame, split: Callable[[], Callable[[str], list]], block_by
                 if size >= block_bytes:
                     yield closed()
                     known, rows, uses, size, number = {}, [], [], 0, number + 1
+                    _give_back()
         if rows:
             yield closed()
+        known, rows, uses = {}, [], []
+        _give_back()
 
     fields = f"block bigint, id {id_type}, counted boolean, codes binary, words binary, sizes binary, uses binary"
     return docs.select("id", "text", "counted").mapInArrow(run, fields)
@@ -195,6 +207,8 @@ def answered(asked: DataFrame, prepare: Callable[[], Callable[[list[bytes]], lis
                 [batch.column("block"), batch.column("slots"), *[pa.array(c, pa.binary()) for c in out]],
                 names=["block", "slots", "sizes", "ids"],
             )
+        del answer
+        _give_back()
 
     return asked.repartition("bucket").mapInArrow(run, "block bigint, slots binary, sizes binary, ids binary")
 
@@ -229,6 +243,7 @@ def by_slot(packed: DataFrame, answers: DataFrame, lay_out: Callable, fields: st
             for i, c, codes in zip(*[texts.column(c) for c in ("id", "counted", "codes")])
         )
         columns = lay_out(starts, sizes, ids, rows)
+        _give_back()
         return pa.Table.from_arrays([texts.column("id").combine_chunks(), *columns], names=names)
 
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, fields)
