@@ -3,9 +3,9 @@
 A conversation is rendered as one string, encoded once with character offsets, and the sorted spans of the
 assistant texts are intersected with the sorted token spans by binary search.
 
-Template: ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n`` for each turn. Inside roles and texts ``<|`` becomes ``<||``,
-so no text can hold a control string, and a line feed inside a role becomes ``<|n>``; both are undone by
-``unescape``.
+Template: ``<|im_start|>ROLE<|im_sep|>TEXT<|im_end|>\\n`` for each turn. Inside roles and texts ``<|`` becomes ``<||``,
+so no text can hold a control string; ``unescape`` undoes it. The three marks are tokens of their own, added behind the
+tokenizer's vocabulary where it lacks them, so every text lies between two marks and no token reaches over its edge.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-START, END = "<|im_start|>", "<|im_end|>"
-TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
+START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>\n", re.DOTALL)
 
 FORMATTED = (
-    "conv_id bigint, n_turns bigint, formatted string, input_ids array<int>, loss_mask array<tinyint>, "
-    "loss_spans array<struct<start:int,stop:int>>"
+    "conv_id bigint, n_turns bigint, formatted string, input_ids array<int>, token_starts array<int>, token_stops array<int>, "
+    "loss_mask array<tinyint>"
 )
 
 
@@ -31,12 +31,8 @@ def escape(text: str) -> str:
     return text.replace("<|", "<||")
 
 
-def escape_role(role: str) -> str:
-    return escape(role).replace("\n", "<|n>")
-
-
 def unescape(text: str) -> str:
-    return re.sub(r"<\|(\||n>)", lambda m: "<|" if m[1] == "|" else "\n", text)
+    return text.replace("<||", "<|")
 
 
 def render(turns: list[tuple[str, str]], learned: frozenset[str]) -> tuple[str, list[tuple[int, int]]]:
@@ -45,7 +41,7 @@ def render(turns: list[tuple[str, str]], learned: frozenset[str]) -> tuple[str,
     spans: list[tuple[int, int]] = []
     at = 0
     for role, text in turns:
-        head, body = f"{START}{escape_role(role)}\n", escape(text)
+        head, body = f"{START}{escape(role)}{SEPARATOR}", escape(text)
         at += len(head)
         if role in learned and body:
             spans.append((at, at + len(body)))
@@ -54,34 +50,36 @@ def render(turns: list[tuple[str, str]], learned: frozenset[str]) -> tuple[str,
     return "".join(parts), spans
 
 
-def token_ranges(offsets: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """For each span: first token, end token, and the part of the span those tokens cover.
+def masked(starts: np.ndarray, stops: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """One for each token that lies in a span.
 
-    Token starts and ends never decrease, so both borders are found by binary search. A token that crosses
-    a border is masked; the covered characters are cut to the span.
+    Token starts and ends never decrease, so both borders of every span are found by binary search.
     """
-    if not len(offsets) or not spans:
-        return []
-    starts, stops = offsets[:, 0], offsets[:, 1]
-    borders = np.asarray(spans)
-    first = np.searchsorted(stops, borders[:, 0], side="right")
-    last = np.searchsorted(starts, borders[:, 1], side="left")
-    return [
-        (int(i), int(j), max(a, int(starts[i])), min(b, int(stops[j - 1])))
-        for i, j, (a, b) in zip(first, last, spans)
-        if j > i
-    ]
+    mask = np.zeros(len(starts), dtype=np.int8)
+    if spans:
+        borders = np.asarray(spans)
+        first = np.searchsorted(starts, borders[:, 0], side="left")
+        end = np.searchsorted(stops, borders[:, 1], side="right")
+        for i, j in zip(first, end):
+            mask[i:j] = 1
+    return mask
+
+
+def masked_text(text: str, starts: np.ndarray, stops: np.ndarray, mask: np.ndarray) -> list[str]:
+    """The pieces of the text under the mask, one for each unbroken run of masked tokens."""
+    edges = np.flatnonzero(np.diff(mask, prepend=0, append=0))
+    return [text[starts[i] : stops[j - 1]] for i, j in zip(edges[::2].tolist(), edges[1::2].tolist())]
 
 
 def format_conversations(
     rows: DataFrame, tokenizer_path: str, learned_roles: tuple[str, ...] = ("assistant",)
 ) -> DataFrame:
-    """One row per conversation: formatted text, token ids, loss mask and the character spans under the mask.
+    """One row per conversation: formatted text, token ids with their character offsets, and the loss mask.
 
     Input: conv_id, turn, role, text; other columns are ignored. Turns are ordered by turn, role, text (a null
-    turn comes first, null roles and texts are empty), repeated rows are repeated turns, rows with a null
-    conv_id form one conversation, an empty table gives no rows. A conversation is one value by nature, so
-    its turns meet in one row; nothing else is gathered.
+    turn comes first, null roles and texts are empty), repeated rows are repeated turns, a row with a null conv_id
+    is a conversation of its own, an empty table gives no rows. A conversation is one value by nature, so its turns
+    meet in one row; nothing else is gathered.
     """
     turns = rows.select(
         "conv_id",
@@ -91,46 +89,45 @@ def format_conversations(
             F.coalesce("text", F.lit("")).alias("text"),
         ).alias("t"),
     )
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    known = turns.filter(F.col("conv_id").isNotNull())
+    alone = turns.filter(F.col("conv_id").isNull()).select("conv_id", F.array("t").alias("turns"))
+    grouped = known.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).unionByName(alone)
     learned = frozenset(learned_roles)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+        from tokenizers import AddedToken, Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
         tokenizer.encode_special_tokens = True
+        tokenizer.add_tokens([AddedToken(mark, normalized=False, special=False) for mark in (START, SEPARATOR, END)])
         for batch in batches:
-            ids_of = batch.column("conv_id")
             rendered = [
                 render([(t["role"], t["text"]) for t in turns], learned) for turns in batch.column("turns").to_pylist()
             ]
-            out: dict[str, list] = {"n": [], "ids": [], "mask": [], "spans": []}
+            out: dict[str, list[np.ndarray]] = {"ids": [], "starts": [], "stops": [], "mask": []}
             for k in range(0, len(rendered), 64):
                 some = rendered[k : k + 64]
-                for (_, spans), code in zip(
-                    some, tokenizer.encode_batch([text for text, _ in some], add_special_tokens=False)
-                ):
-                    offsets = np.asarray(code.offsets, dtype=np.int64).reshape(-1, 2)
-                    mask = np.zeros(len(offsets), dtype=np.int8)
-                    under = []
-                    for i, j, a, b in token_ranges(offsets, spans):
-                        mask[i:j] = 1
-                        under.append({"start": a, "stop": b})
+                codes = tokenizer.encode_batch([text for text, _ in some], add_special_tokens=False)
+                for (_, spans), code in zip(some, codes):
+                    starts, stops = np.asarray(code.offsets, dtype=np.int32).reshape(-1, 2).T.copy()
                     out["ids"].append(np.asarray(code.ids, dtype=np.int32))
-                    out["mask"].append(mask)
-                    out["spans"].append(under)
+                    out["starts"].append(starts)
+                    out["stops"].append(stops)
+                    out["mask"].append(masked(starts, stops, spans))
+            ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids_of,
+                    batch.column("conv_id"),
                     pa.array([len(t) for t in batch.column("turns")], pa.int64()),
                     pa.array([text for text, _ in rendered], pa.string()),
-                    pa.array(out["ids"], pa.list_(pa.int32())),
+                    pa.array(out["ids"], ints),
+                    pa.array(out["starts"], ints),
+                    pa.array(out["stops"], ints),
                     pa.array(out["mask"], pa.list_(pa.int8())),
-                    pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
                 ],
-                names=["conv_id", "n_turns", "formatted", "input_ids", "loss_mask", "loss_spans"],
+                names=[column.split()[0] for column in FORMATTED.split(", ")],
             )
 
     return grouped.mapInArrow(encode, FORMATTED)
@@ -148,19 +145,19 @@ READ_BACK = (
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests read from the operator's output alone: turns, and the text under the loss mask."""
+    """Digests read from the operator's output alone: turns from the text, the learned text from the offsets of masked tokens."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
         for batch in batches:
             rows = []
-            for conv, text, mask, spans in zip(
-                *[batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_mask", "loss_spans")]
-            ):
+            lists = [batch.column(c) for c in ("token_starts", "token_stops", "loss_mask")]
+            for k, (conv, text) in enumerate(zip(batch.column("conv_id").to_pylist(), batch.column("formatted").to_pylist())):
                 turns = parse(text)
                 all_turns = "".join(f"{role}\n{said}\n" for role, said in turns)
-                loss = "".join(unescape(text[s["start"] : s["stop"]]) for s in spans)
+                starts, stops, mask = (column[k].values.to_numpy() for column in lists)
+                loss = "".join(unescape(piece) for piece in masked_text(text, starts, stops, mask))
                 rows.append(
                     {
                         "conv_id": conv,
@@ -170,7 +167,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                         "loss_sha256": sha256(loss.encode()).hexdigest(),
                         "formatted_chars": len(text),
                         "n_tokens": len(mask),
-                        "n_loss_tokens": sum(mask),
+                        "n_loss_tokens": int(mask.sum()),
                     }
                 )
             yield pa.RecordBatch.from_pylist(

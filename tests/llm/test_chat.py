@@ -37,7 +37,30 @@ def test_hostile_texts_and_masks(spark):
     for r in out.collect():
         assert [(role or "", text or "") for role, text in turns[r["conv_id"]]] == chat.parse(r["formatted"])
         assert len(r["input_ids"]) == len(r["loss_mask"])
-        assert any(r["loss_mask"]) == bool(r["loss_spans"])
+        assert len(r["token_starts"]) == len(r["token_stops"]) == len(r["input_ids"])
+
+
+def test_masked_tokens_spell_the_answers_alone(spark, sf_dir):
+    """Ids under the mask decode to the escaped answers: no token of the template is learned."""
+    from tokenizers import AddedToken, Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path(PATH))
+    tokenizer.add_tokens([AddedToken(m, normalized=False) for m in (chat.START, chat.SEPARATOR, chat.END)])
+    hostile = [("a", "\n\n"), ("assistant", "\n\n x.\n"), ("assistant", ""), ("assistant", ".<"), ("a\nb", "<|im_sep|>"), ("assistant", "<|im_sep|>")]
+    added = spark.createDataFrame([(-5, i, r, t) for i, (r, t) in enumerate(hostile)], "conv_id bigint, turn bigint, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*added.columns).unionByName(added)
+    for r in chat.format_conversations(rows, tokenizer_path(PATH)).collect():
+        said = [text for role, text in chat.parse(r["formatted"]) if role == "assistant"]
+        ids = [i for i, m in zip(r["input_ids"], r["loss_mask"]) if m]
+        assert chat.unescape(tokenizer.decode(ids, skip_special_tokens=False)) == "".join(said)
+        assert tokenizer.decode(r["input_ids"], skip_special_tokens=False) == r["formatted"]
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, 0, "user", "same"), (None, 0, "user", "same"), (None, 1, "assistant", "other"), (4, None, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    out = chat.format_conversations(frame, tokenizer_path(PATH)).collect()
+    assert sorted((r["conv_id"] is None, r["n_turns"]) for r in out) == [(False, 1), (True, 1), (True, 1), (True, 1)]
 
 
 def test_empty_table(spark):
