@@ -139,6 +139,31 @@ IPAD, OPAD = ("".join(f"\\x{b ^ pad:02X}" for b in KEY.ljust(64, b"\0")) for pad
 HMAC = f"sha256('{OPAD}'::BLOB || unhex(sha256('{IPAD}'::BLOB || encode(match))))"
 
 
+# named classes, general categories, quoted text and repeats that are short by default
+WRITTEN_OUT = {
+    "digits": r"[[:digit:]]{3}-[[:digit:]]{4}",
+    "names": r"\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+",
+    "marks": r"[^\pL\pN\pZ\pC\x00-\x7f]+",
+    "hosts": r"(?U)@.+\Q.\E[[:alpha:]]{2,3}",
+    "codes": r"[\p{Lu}\p{Nd}]{6,}",
+}
+CLASS_POLICY = Policy(
+    "classes", 1, [{"id": ident, "piiType": "Text", "pattern": p, "enabled": True} for ident, p in WRITTEN_OUT.items()], [], checksum="c1a55e5"
+)
+
+
+@query(
+    "pii_classes",
+    " UNION ALL ".join(
+        f"SELECT doc_id, '{ident}' AS detector_id, unnest(regexp_extract_all(nfc_normalize(text), '{p}')) AS match FROM documents" for ident, p in WRITTEN_OUT.items()
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """Detectors written with classes and flags that the engines below spell differently."""
+    found = pii_scan.with_findings(documents(t), "body", CLASS_POLICY, context("JOB_RESULT"))
+    return found.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.detector_id", "f.match")
+
+
 @query(
     "finding_records",
     f"""SELECT key AS page_id, kind AS type, detector_id, 1.0::DOUBLE AS confidence, 'ERROR_MESSAGE' AS source, idx AS index, {HMAC} AS fingerprint_value, action AS policy_action, '' AS field_path, rule_id,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,6 +256,49 @@ def _(t: Tables) -> DataFrame:
     return runs.run_detail(with_projections(t), "j1209")
 
 
+ITEM_DETAIL = {
+    "attempts": ("attempt_id", ("attempt_number", "worker_id", "status", "failure_category")),
+    "findings": ("finding_id", ("found_in", "type", "detector_id", "source", "index", "policy_action")),
+    "open_alerts": ("alert_id", ("alert_type", "severity", "summary")),
+    "annotations": ("annotation_id", ("type", "evidence")),
+}
+
+
+def items_sql(page: str) -> str:
+    """Items of the runs of a page, as rows in the order of their lists."""
+    return f"""
+SELECT * FROM (WITH p AS ({page}), i AS (
+ SELECT job_id, 'attempts' AS list, attempt_number AS rank, attempt_id AS item_id, concat_ws('|', attempt_number, worker_id, status, failure_category) AS detail FROM attempts
+ UNION ALL SELECT c.job_id, 'findings', f.id, CAST(f.id AS VARCHAR), concat_ws('|', f.job_id, f.type, f.detector_id, f.source, f.index, f.policy_action)
+ FROM p AS c JOIN tasks AS m ON m.execution_chain_id = c.execution_chain_id JOIN findings AS f ON f.job_id = m.job_id
+ UNION ALL SELECT subject_id, 'open_alerts', epoch_us(opened_at), alert_id, concat_ws('|', alert_type, severity, summary) FROM alerts WHERE subject_type = 'RUN' AND status = 'OPEN'
+ UNION ALL SELECT subject_id, 'annotations', epoch_us(derived_at), annotation_id, concat_ws('|', type, evidence) FROM annotations WHERE subject_type IN ('RUN', 'TASK'))
+SELECT job_id, list, row_number() OVER (PARTITION BY job_id, list ORDER BY rank, item_id) - 1 AS position, item_id, detail FROM i
+WHERE job_id IN (SELECT job_id FROM p)) AS q"""
+
+
+def items_as_rows(items: DataFrame, part_items: int) -> DataFrame:
+    lists = [
+        runs.item_rows(items, name, part_items).select(
+            "job_id", F.lit(name).alias("list"), "position", F.col(ident).cast("string").alias("item_id"), F.concat_ws("|", *detail).alias("detail")
+        )
+        for name, (ident, detail) in ITEM_DETAIL.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, lists)
+
+
+@query("run_items", items_sql("SELECT * FROM tasks ORDER BY created_at DESC, id DESC LIMIT 200"))
+def _(t: Tables) -> DataFrame:
+    """The nested lists of the newest page, in rows of three items at most, opened again."""
+    page = paging.keyset_page(t.tasks, "created_at", "id", 200)
+    return items_as_rows(runs.run_items(with_projections(t), page, 3), 3)
+
+
+@query("run_detail_items", items_sql("SELECT * FROM tasks WHERE job_id = 'j1209'"))
+def _(t: Tables) -> DataFrame:
+    return items_as_rows(runs.run_detail_items(with_projections(t), "j1209"), runs.PART_ITEMS)
+
+
 @query(
     "chain_findings",
     """SELECT m.execution_chain_id, f.job_id, f.id AS finding_id, f.type, f.detector_id, f.confidence, f.source, f.index, f.policy_action

@@ -49,3 +49,15 @@ def last_before(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     carried = tails.select(BLOCK, KEY, F.last("_tail", ignorenulls=True).over(earlier).alias("_before"))
     joined = ranked.join(carried.filter("_before IS NOT NULL"), [BLOCK, KEY], "left")
     return joined.select(*[F.col(c) for c in columns], F.coalesce("_inside", "_before").alias(out))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, block_rows: int = BLOCK_ROWS, rows: int | None = None) -> DataFrame:
+    """Add ``out``: the number of each row within its key, from 0 (NULL keys are equal)."""
+    columns = df.columns
+    blocked = in_blocks(df.withColumn(KEY, F.struct(*keys)), [KEY, *order], block_rows, rows)
+    inside = F.row_number().over(Window.partitionBy(BLOCK, KEY).orderBy(*order)) - 1
+    sizes = blocked.groupBy(BLOCK, KEY).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sizes.select(BLOCK, KEY, F.sum("_size").over(earlier).alias("_before"))
+    joined = blocked.withColumn("_inside", inside).join(carried.filter("_before IS NOT NULL"), [BLOCK, KEY], "left")
+    return joined.select(*[F.col(c) for c in columns], (F.coalesce("_before", F.lit(0)) + F.col("_inside")).alias(out))

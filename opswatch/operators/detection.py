@@ -7,9 +7,11 @@ as NULL and cost nothing there.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -43,6 +45,10 @@ NAMED = {
     "word": "0-9A-Za-z_",
     "xdigit": "0-9A-Fa-f",
 }
+#: a class by general category: ``\pL``, ``\p{Lu}``, negated ``\PL``, ``\p{^Lu}``
+CATEGORY = re.compile(r"\\([pP])(?:([A-Z])|\{(\^?)(\w+)\})")
+REPEAT = re.compile(r"[*+?]|\{\d+(?:,\d*)?\}")
+FLAG_GROUP = re.compile(r"\(\?([A-Za-z-]+)([:)])")
 CLASS = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]")
 
 
@@ -53,11 +59,94 @@ class NotJson(ValueError):
 # --- patterns ---
 
 
+def code_point(code: int) -> str:
+    return f"\\x{code:02x}" if code < 128 else chr(code)
+
+
+@functools.cache
+def category_ranges(name: str, negated: bool) -> str:
+    """Code points of a general category, or of all that begin with the letter, as ranges for the inside of a class.
+
+    Lone surrogates stand in no text and in no range.
+    """
+    ranges: list[list[int]] = []
+    for code in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(code))
+        if kind != "Cs" and (name == "Any" or kind.startswith(name)) != negated:
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "".join(code_point(a) if a == b else f"{code_point(a)}-{code_point(b)}" for a, b in ranges)
+
+
+@functools.cache
+def categories() -> frozenset[str]:
+    found = {unicodedata.category(chr(code)) for code in range(sys.maxunicode + 1)} - {"Cs", "Cn"}
+    return frozenset(found | {kind[0] for kind in found} | {"Any"})
+
+
+def category_class(m: re.Match) -> str:
+    """What a category class stands for, for the inside of a class."""
+    name = m.group(2) or m.group(4)
+    if name not in categories() or name == "C":
+        raise re.error("unknown category", m.string, m.start())
+    ranges = category_ranges(name, (m.group(1) == "P") != (m.group(3) == "^"))
+    if not ranges:
+        raise re.error("empty category", m.string, m.start())
+    return ranges
+
+
+def greedy_by_default(pattern: str) -> str:
+    """The pattern without the flag U, which swaps the meaning of ``x*`` and ``x*?`` up to the end of its group."""
+    if not any("U" in flags for flags, _ in FLAG_GROUP.findall(pattern)):
+        return pattern
+    out: list[str] = []
+    swapped, i = [False], 0
+    while i < len(pattern):
+        if quoted := re.compile(r"\\Q.*?(?:\\E|\Z)", re.DOTALL).match(pattern, i):
+            out.append(quoted.group())
+            i = quoted.end()
+        elif escaped := re.compile(r"\\[pPx]\{[^}]*\}").match(pattern, i) or CLASS.match(pattern, i):
+            out.append(escaped.group())
+            i = escaped.end()
+        elif flags := FLAG_GROUP.match(pattern, i):
+            on, _, off = flags.group(1).partition("-")
+            state = True if "U" in on else False if "U" in off else swapped[-1]
+            kept = on.replace("U", "") + ("-" + off.replace("U", "") if off.replace("U", "") else "")
+            if flags.group(2) == ":":
+                swapped.append(state)
+                out.append(f"(?{kept}:")
+            else:
+                swapped[-1] = state
+                out.append(f"(?{kept})" if kept else "")
+            i = flags.end()
+        elif pattern[i] == "(":
+            swapped.append(swapped[-1])
+            out.append("(?" if pattern.startswith("(?", i) else "(")
+            i += len(out[-1])
+        elif pattern[i] == ")":
+            if len(swapped) > 1:
+                swapped.pop()
+            out.append(")")
+            i += 1
+        elif repeat := REPEAT.match(pattern, i):
+            lazy = pattern.startswith("?", repeat.end())
+            out.append(repeat.group() + ("?" if lazy != swapped[-1] else ""))
+            i = repeat.end() + lazy
+        else:
+            out.append(pattern[i])
+            i += 1
+    return "".join(out)
+
+
 def portable(pattern: str, end_of_text: str) -> str:
     """The pattern with one meaning in every engine used: ASCII classes, ``$`` only at the very end.
 
-    Named classes, quoted text and code points in braces are written out; an unknown or negated named class is an error.
+    Named classes, general categories, quoted text and code points in braces are written out, the flag U is resolved; an unknown
+    or negated named class and an unknown category are errors.
     """
+    pattern = greedy_by_default(pattern)
     out, in_class, i = [], False, 0
     while i < len(pattern):
         c = pattern[i]
@@ -76,6 +165,13 @@ def portable(pattern: str, end_of_text: str) -> str:
                 out.append(re.escape(chr(code)))
                 i += point.end()
                 continue
+            if following in "pP":
+                kind = CATEGORY.match(pattern, i)
+                if kind is None:
+                    raise re.error("malformed category", pattern, i)
+                out.append(category_class(kind) if in_class else f"[{category_class(kind)}]")
+                i = kind.end()
+                continue
             if following == "s":
                 out.append(SPACE if in_class else f"[{SPACE}]")
             elif following == "S" and not in_class:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opswatch.functions.feed import is_run_scoped
 from opswatch.functions.status import run_state_name, status_disagrees
 from opswatch.functions.timing import seconds_between
+from opswatch.operators.blocks import numbered, stored
 from opswatch.operators.filters import RUN_SUBJECTS
 from opswatch.operators.folds import run_projections
 from opswatch.operators.latest import latest_per_key
@@ -312,6 +313,75 @@ def run_detail(tables: Tables, job_id: str) -> DataFrame:
     return hydrate_runs(tables, tables.tasks.filter(F.col("job_id") == job_id), page=True)
 
 
+#: nested lists of a run: fields of an item, and what the items are ordered by
+ITEM_LISTS = {
+    "attempts": (("attempt_id", "attempt_number", "worker_id", "status", "started_at", "finished_at", "failure_category"), ("attempt_number", "attempt_id")),
+    "findings": (("finding_id", "found_in", "type", "detector_id", "confidence", "source", "index", "policy_action"), ("finding_id", "found_in")),
+    "open_alerts": (("alert_id", "alert_type", "severity", "opened_at", "summary"), ("opened_at", "alert_id")),
+    "annotations": (("annotation_id", "type", "derived_at", "resolved_at", "evidence"), ("derived_at", "annotation_id")),
+}
+PART_ITEMS = 1000
+
+
+def page_children(tables: Tables, page: DataFrame) -> dict[str, DataFrame]:
+    """The rows behind each nested list, cut to the runs of the page."""
+    jobs = page.select("job_id")
+
+    def about_run(df: DataFrame, subjects: tuple[str, ...]) -> DataFrame:
+        rows = df.filter(F.col("subject_type").isin(*subjects)).withColumn("job_id", F.col("subject_id"))
+        return rows.join(jobs, "job_id", "left_semi")
+
+    return {
+        "attempts": page_attempts(tables, page),
+        "findings": page_findings(tables, page),
+        "open_alerts": about_run(tables.alerts.filter(F.col("status") == "OPEN"), ("RUN",)),
+        "annotations": about_run(tables.annotations, tuple(RUN_SUBJECTS)),
+    }
+
+
+def run_items(tables: Tables, page: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
+    """Hydrated runs of a page with attempts, chain findings, open alerts and annotations as nested lists.
+
+    A list of more than ``part_items`` items goes on in further rows of its run, numbered by ``part`` from 0, so no row grows
+    with a run. Lists are in the order of ``ITEM_LISTS``; a run without items has one row with empty lists. The children are
+    cut to the page first; their numbers come from blocks of rows, whatever share of them one run holds.
+    """
+    children = page_children(tables, page)
+    parts = []
+    for name, (fields, (first, second)) in ITEM_LISTS.items():
+        rank = F.unix_micros(first) if first.endswith("_at") else F.col(first).cast("bigint")
+        nested = [
+            (F.struct(*other) if other_name == name else F.lit(None)).alias(other_name)
+            for other_name, (other, _) in ITEM_LISTS.items()
+        ]
+        order = (F.lit(name).alias("_list"), rank.alias("_rank"), F.col(second).cast("string").alias("_second"))
+        parts.append(children[name].select("job_id", *order, *nested))
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part)
+    ordered = numbered(stored(together), ["job_id", "_list"], ["_rank", "_second"], "_number")
+
+    def in_order(name: str) -> Column:
+        item = F.when(F.col("_list") == name, F.struct("_number", name))
+        return F.transform(F.array_sort(F.collect_list(item)), lambda x: x[name]).alias(name)
+
+    lists = ordered.groupBy("job_id", F.floor(F.col("_number") / part_items).alias("part")).agg(*[in_order(n) for n in ITEM_LISTS])
+    joined = hydrate_runs(tables, page, page=True).join(lists, "job_id", "left")
+    empty = [F.coalesce(n, F.array().cast(lists.schema[n].dataType)).alias(n) for n in ITEM_LISTS]
+    return joined.select(*[c for c in joined.columns if c not in (*ITEM_LISTS, "part")], zero_if_missing("part"), *empty)
+
+
+def run_detail_items(tables: Tables, job_id: str) -> DataFrame:
+    """One hydrated run with its nested lists."""
+    return run_items(tables, tables.tasks.filter(F.col("job_id") == job_id))
+
+
+def item_rows(items: DataFrame, name: str, part_items: int = PART_ITEMS) -> DataFrame:
+    """The items of one nested list as rows, with their position in the whole list of the run."""
+    rows = items.select("job_id", "part", F.posexplode(name).alias("_at", "item"))
+    return rows.select("job_id", (F.col("part") * part_items + F.col("_at")).alias("position"), "item.*")
+
+
 # --- run and chain metrics ---
 
 

@@ -1,6 +1,7 @@
 """Masks, detection, policy and rewriting."""
 
 import random
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -240,11 +241,53 @@ def test_pattern_language():
     assert finds("[a&&b]+", "a&b") == ["a&b"]
     assert finds(r"\d*\++", "1++") == ["1++"]
     assert finds("[*+]+", "*+") == ["*+"]
-    for refused in ("[[:^digit:]]", "[[:what:]]", "a++", "a*+b", "(?>a)", "(?U)a+", "(?x)a b", r"\p{L}", "(?=a)", r"(a)\1", r"\x{110000}"):
+    for refused in ("[[:^digit:]]", "[[:what:]]", "a++", "a*+b", "(?>a)", "(?x)a b", r"\p{Nope}", r"\pX", r"\p{L", r"\P{Any}", "(?Ux)a", "(?U)a++", "(?=a)", r"(a)\1", r"\x{110000}"):
         assert not compiles(refused), refused
     assert compiles("(?i)abc") and compiles("(?i:abc)") and compiles("a+?")
 
 
+def test_categories_and_the_ungreedy_flag():
+    from opswatch.operators.detection import compiled, compiles
+
+    def finds(pattern, text):
+        return compiles(pattern) and [m.group() for m in compiled([(0, pattern)])[0][1].finditer(text)]
+
+    assert finds(r"\pL+", "abc Éa1 жк_") == ["abc", "Éa", "жк"]
+    assert finds(r"\p{Lu}\p{Ll}+", "Émile Zola zola") == ["Émile", "Zola"]
+    assert finds(r"[\p{Nd}_-]+", "٣4_-a\U0001d7d8") == ["٣4_-", "\U0001d7d8"]
+    assert finds(r"\PL+", "a1 b") == ["1 "] and finds(r"\p{^L}+", "a1 b") == ["1 "] and finds(r"\P{^L}+", "a1 b") == ["a", "b"]
+    assert finds(r"[^\pL\s]+", "a1]b \\^-") == ["1]", "\\^-"]
+    assert finds(r"[\P{L}]+", "a1 b") == ["1 "]
+    assert finds(r"\p{Any}", "a\n\U0001F600") == ["a", "\n", "\U0001F600"]
+    assert finds(r"\p{Sm}\p{Ps}\pP", "+(]") == ["+(]"]
+    assert finds("(?U)a+", "aaa") == ["a", "a", "a"] and finds("(?U)a+?", "aaa") == ["aaa"]
+    assert finds("(?U)<.*>", "<a><b>") == ["<a>", "<b>"] and finds("(?U:<.*>)-.*", "<a><b>-xy") == ["<a><b>-xy"]
+    assert finds("(?iU)A{2,3}", "aaaa") == ["aa", "aa"] and finds("((?U)a+)b*", "aabb") == ["a", "abb"]
+    assert finds("(?U)(?-U:a+)b+", "aabb") == ["aab"] and finds(r"(?U)[*+]+\Q*+\E\++", "*+*+++") == ["*+*++"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=30), st.sampled_from(["L", "Lu", "Nd", "P", "Zs", "M", "Cc", "So"]), st.booleans())
+def test_category_equals_the_character_table(text, name, negated):
+    from opswatch.operators.detection import compiled
+
+    pattern = compiled([(0, f"\\{'P' if negated else 'p'}{{{name}}}")])[0][1]
+    expected = [c for c in text if unicodedata.category(c) != "Cs" and unicodedata.category(c).startswith(name) != negated]
+    assert pattern.findall(text) == expected
+
+
+def test_patterns_mean_the_same_in_the_jvm(spark):
+    """The native filter and the search agree on text that the filter decides."""
+    from opswatch.operators.detection import compiled, portable
+
+    patterns = [r"\pL\pN+", r"[\p{Lu}\-]{2,}", r"\P{L}\p{Ps}", "(?U)x.*y", r"[^\p{L}\p{Zs}\pP]+", r"\p{Sm}", "(?U:a+)b"]
+    texts = ["a1", "ab", "AB-", " (", "a(", "x--y", "1+1", "<a>", "aab", "\\[]^", "", "\t~", "é1", "Жд", "\U0001d7d8+"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in patterns:
+        native = [r[0] for r in frame.selectExpr("t").select(F.col("t").rlike("(?d)" + portable(pattern, r"\z"))).collect()]
+        assert native == [bool(compiled([(0, pattern)])[0][1].search(t)) for t in texts], pattern
+
+
 def test_bodies_are_whole_without_a_limit(spark):
     text = "日" * 4000 + " 555-123-4567 " + "a" * 9000
     frame = spark.createDataFrame([(1, text)], "id int, body string")

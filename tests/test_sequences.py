@@ -144,3 +144,13 @@ def test_critical_events_are_never_coalesced(spark):
     frame = spark.createDataFrame(rows, "id long, event_type string, job_id string, occurred_at timestamp")
     assert seq.coalesced(frame, F.lit(True)).count() == 10
     assert [r.id for r in seq.coalesced(frame, F.lit(False)).orderBy("id").collect()] == [0, 5]
+
+
+def test_numbers_on_a_hot_key_equal_brute_force(spark):
+    rows, frame = events(spark, 3000, 600_000, 0.5, 11)
+    rows += [(-i, None, BASE + timedelta(milliseconds=i), 0) for i in range(1, 9)]
+    frame = spark.createDataFrame(rows, frame.schema)
+    out = blocks.numbered(frame, ["key"], ["occurred_at", "id"], "number", block_rows=200)
+    expected = {r[0]: n for members in by_key(rows).values() for n, r in enumerate(members)}
+    assert {r["id"]: r["number"] for r in out.collect()} == expected
+    assert blocks.numbered(frame.limit(0), ["key"], ["occurred_at", "id"], "number").count() == 0
