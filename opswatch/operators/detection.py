@@ -72,7 +72,8 @@ def category_ranges(name: str, negated: bool) -> str:
     ranges: list[list[int]] = []
     for code in range(sys.maxunicode + 1):
         kind = unicodedata.category(chr(code))
-        if kind != "Cs" and (name == "Any" or kind.startswith(name)) != negated:
+        held = name == "Any" or (kind != "Cn" and kind.startswith(name))
+        if kind != "Cs" and held != negated:
             if ranges and ranges[-1][1] == code - 1:
                 ranges[-1][1] = code
             else:
@@ -86,15 +87,14 @@ def categories() -> frozenset[str]:
     return frozenset(found | {kind[0] for kind in found} | {"Any"})
 
 
-def category_class(m: re.Match) -> str:
-    """What a category class stands for, for the inside of a class."""
-    name = m.group(2) or m.group(4)
-    if name not in categories() or name == "C":
-        raise re.error("unknown category", m.string, m.start())
-    ranges = category_ranges(name, (m.group(1) == "P") != (m.group(3) == "^"))
-    if not ranges:
-        raise re.error("empty category", m.string, m.start())
-    return ranges
+def category_class(m: re.Match, native: bool) -> str:
+    """What a category class stands for, for the inside of a class; with ``native`` by the JVM's own table."""
+    name, negated = m.group(2) or m.group(4), (m.group(1) == "P") != (m.group(3) == "^")
+    if name not in categories() or (name == "Any" and negated):
+        raise re.error("unknown or empty category", m.string, m.start())
+    if native and name != "Any":
+        return f"\\{'P' if negated else 'p'}{{{name}}}"
+    return category_ranges(name, negated)
 
 
 def greedy_by_default(pattern: str) -> str:
@@ -140,11 +140,12 @@ def greedy_by_default(pattern: str) -> str:
     return "".join(out)
 
 
-def portable(pattern: str, end_of_text: str) -> str:
+def portable(pattern: str, end_of_text: str, native: bool = False) -> str:
     """The pattern with one meaning in every engine used: ASCII classes, ``$`` only at the very end.
 
     Named classes, general categories, quoted text and code points in braces are written out, the flag U is resolved; an unknown
-    or negated named class and an unknown category are errors.
+    or negated named class and an unknown category are errors. With ``native`` categories keep their name, which the JVM looks up
+    in one step while it tries ranges one by one; its table may differ outside ASCII.
     """
     pattern = greedy_by_default(pattern)
     out, in_class, i = [], False, 0
@@ -169,7 +170,8 @@ def portable(pattern: str, end_of_text: str) -> str:
                 kind = CATEGORY.match(pattern, i)
                 if kind is None:
                     raise re.error("malformed category", pattern, i)
-                out.append(category_class(kind) if in_class else f"[{category_class(kind)}]")
+                members = category_class(kind, native)
+                out.append(members if in_class else f"[{members}]")
                 i = kind.end()
                 continue
             if following == "s":
@@ -254,7 +256,7 @@ def may_match(text: Column, patterns: list[str], in_json: bool) -> Column:
         certain = certain & ~text.contains("\\")
     hit: Column = F.lit(False)
     for p in patterns:
-        hit = hit | text.rlike("(?d)" + portable(p, r"\z"))
+        hit = hit | text.rlike("(?d)" + portable(p, r"\z", native=True))
     return ~certain | hit
 
 

@@ -259,6 +259,7 @@ def test_categories_and_the_ungreedy_flag():
     assert finds(r"[^\pL\s]+", "a1]b \\^-") == ["1]", "\\^-"]
     assert finds(r"[\P{L}]+", "a1 b") == ["1 "]
     assert finds(r"\p{Any}", "a\n\U0001F600") == ["a", "\n", "\U0001F600"]
+    assert finds(r"\pC", "a\t\u0378\u200b") == ["\t", "\u200b"]
     assert finds(r"\p{Sm}\p{Ps}\pP", "+(]") == ["+(]"]
     assert finds("(?U)a+", "aaa") == ["a", "a", "a"] and finds("(?U)a+?", "aaa") == ["aaa"]
     assert finds("(?U)<.*>", "<a><b>") == ["<a>", "<b>"] and finds("(?U:<.*>)-.*", "<a><b>-xy") == ["<a><b>-xy"]
@@ -284,7 +285,7 @@ def test_patterns_mean_the_same_in_the_jvm(spark):
     texts = ["a1", "ab", "AB-", " (", "a(", "x--y", "1+1", "<a>", "aab", "\\[]^", "", "\t~", "é1", "Жд", "\U0001d7d8+"]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     for pattern in patterns:
-        native = [r[0] for r in frame.selectExpr("t").select(F.col("t").rlike("(?d)" + portable(pattern, r"\z"))).collect()]
+        native = [r[0] for r in frame.selectExpr("t").select(F.col("t").rlike("(?d)" + portable(pattern, r"\z", native=True))).collect()]
         assert native == [bool(compiled([(0, pattern)])[0][1].search(t)) for t in texts], pattern
 
 
