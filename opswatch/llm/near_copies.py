@@ -1,9 +1,12 @@
-"""Near copies by exact Jaccard of five-word shingles.
-
-A text is the set of 64-bit hashes of its runs of five words. Candidates share one of 32 bands of six minimum hashes:
-two texts of Jaccard 0.8 share none of them with a probability of 5e-5, nearer ones less often. Each candidate is
-verified on the whole sets. A bucket first compares its texts with one of them, twice with different ones, which joins a large
-group of near copies with as many comparisons as it has texts; then all of its pairs that are still apart are compared.
+"""Near copies by SimHash on anchors, verified by exact Jaccard of five-word shingles.
+
+A text is the set of 64-bit hashes of its runs of five words and has five SimHash fingerprints of that set. Each fingerprint
+is at home at and visits the anchors of ``simhash``; there texts meet whose first three fingerprints differ in at most 50
+of 192 bits, where Jaccard 0.8 lets 29 differ on average. Texts of one anchor that such meetings connect are a bucket. Two texts of Jaccard
+0.8 meet nowhere with a probability of 2e-4, nearer ones less often. 32 bands of six minimum hashes are buckets as well, for the pairs
+that no anchor brings together: they miss 5e-5. Each candidate is verified on the whole sets. A bucket first compares its texts with
+one of them, twice with different ones, which joins a large group of near copies with as many comparisons as it has texts; then all
+of its pairs that are still apart are compared.
 """
 
 from __future__ import annotations
@@ -17,17 +20,22 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
-from .simhash import _UPPER_TO_LOWER
+from .simhash import _UPPER_TO_LOWER, CODE_BITS, PARTS, ROWS_AT_ONCE, anchors
 
 SIZE = 5
 #: linked texts have a Jaccard of at least 4 / 5
 SHARED, ALL = 4, 5
 BANDS, ROWS = 32, 6
+#: fingerprints of a text, those of them whose bits are compared at an anchor, and the bits in which these may differ
+PRINTS, COMPARED, APART = 5, 3, 50
+#: anchors of one part that a task takes together: 2 to the power of this
+TOGETHER = 6
 #: rounds in which a bucket's texts meet one of them
 STARS = 2
 #: shingles whose minimum hashes are computed at once
 AT_ONCE = 2048
 
+_TURNS = np.random.default_rng(8_064).integers(0, 2**64, (2, PRINTS), dtype=np.uint64) | np.uint64(1)
 _DRAWN = np.random.default_rng(20_240_131).integers(0, 2**64, (3, BANDS * ROWS), dtype=np.uint64)
 _FACTORS, _ADDED, _MIXED = _DRAWN[0] | np.uint64(1), _DRAWN[1], _DRAWN[2] | np.uint64(1)
 
@@ -56,8 +64,95 @@ def buckets(values: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduce((mixed ^ mixed >> np.uint64(32)).reshape(BANDS, ROWS), axis=1)
 
 
+def prints(values: np.ndarray) -> np.ndarray:
+    """SimHash fingerprints of a set: each of a hash of its own, a bit is set where it is in over half of the hashes."""
+    total = np.zeros(PRINTS * 64, dtype=np.int64)
+    for k in range(0, len(values), 255):  # as many as a byte can count
+        hashed = values[k : k + 255, None] * _TURNS[0]
+        hashed = (hashed ^ hashed >> np.uint64(31)) * _TURNS[1]
+        hashed ^= hashed >> np.uint64(32)
+        total += np.add.reduce(np.unpackbits(hashed.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(values), bitorder="little").view(np.uint64)
+
+
+def _replicas(marked: DataFrame) -> DataFrame:
+    """Each set's compared fingerprints at every anchor where one of its fingerprints is at home or visits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            own = batch.column("prints").flatten().to_numpy().reshape(-1, PRINTS)
+            for turn in range(PRINTS):
+                row, anchor, home = anchors(np.ascontiguousarray(own[:, turn]).view(np.uint64))
+                anchor = anchor + (turn * len(PARTS) << CODE_BITS)
+                words = [pa.array(own[row, w]) for w in range(COMPARED)]
+                columns = [pa.array(anchor >> (CODE_BITS - 12 + TOGETHER)), pa.array(anchor), pa.array(home), pa.array(key[row]), *words]
+                yield pa.RecordBatch.from_arrays(columns, names=["task", "anchor", "home", "key", *(f"w{w}" for w in range(COMPARED))])
+
+    words = ", ".join(f"w{w} bigint" for w in range(COMPARED))
+    return marked.select("key", "prints").mapInArrow(run, f"task bigint, anchor bigint, home boolean, key bigint, {words}")
+
+
+def gathered(words: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """For each row of an anchor the first row of its group: rows are joined where a home differs from another row in at most APART bits.
+
+    A row that has been compared with all that are not in a group yet need not be compared again, so a dense group costs as many comparisons as
+    it has rows.
+    """
+    group = np.arange(len(words))
+    free = np.ones(len(words), dtype=bool)
+
+    def near(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        apart = sum(np.bitwise_count(words[some, w][:, None] ^ words[others, w][None, :]).astype(np.uint16) for w in range(words.shape[1]))
+        met = apart <= APART
+        return met & (home[some][:, None] | home[others][None, :])
+
+    heads = np.nonzero(home)[0]
+    for k in range(0, len(heads), ROWS_AT_ONCE):
+        block = heads[k : k + ROWS_AT_ONCE]
+        block = block[free[block]]
+        left = np.nonzero(free)[0]
+        alone = near(block, left).sum(axis=1) == 1
+        free[block[alone]] = False
+        for first in block[~alone].tolist():
+            if not free[first]:
+                continue
+            free[first] = False
+            queue = [np.array([first])]
+            while queue:
+                some = queue.pop()
+                left = np.nonzero(free)[0]
+                if len(left) == 0:
+                    break
+                found = left[near(some, left).any(axis=0)]
+                group[found], free[found] = first, False
+                queue += [found[i : i + ROWS_AT_ONCE] for i in range(0, len(found), ROWS_AT_ONCE)]
+    return group
+
+
+def _meetings(marked: DataFrame) -> DataFrame:
+    """(bucket, key) of the sets that meet others at an anchor; ``marked`` has each key once."""
+
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "home", "key", *(f"w{w}" for w in range(COMPARED))]
+        parts = [[b.column(n).to_numpy(zero_copy_only=False) for n in names] for b in batches]
+        anchor, home, keys, *words = (np.concatenate(p) for p in zip(*parts))
+        order = np.argsort(anchor, kind="stable")
+        bits = np.stack(words, axis=1).view(np.uint64)
+        stops = np.nonzero(np.diff(anchor[order]))[0] + 1
+        for rows in np.split(order, stops):
+            group = gathered(bits[rows], home[rows])
+            members = np.bincount(group, minlength=len(rows))[group] > 1
+            if members.any():
+                first = keys[rows][group[members]].view(np.uint64)
+                bucket = (first ^ np.uint64(anchor[rows[0]])) * _MIXED.flat[0]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(keys[rows][members])], names=["bucket", "key"])
+
+    return _replicas(marked).groupBy("task").applyInArrow(compare, "bucket bigint, key bigint").distinct()
+
+
 def _sets(docs: DataFrame, with_values: bool) -> DataFrame:
-    """(id, key, size, values) of (id, text): the key stands for the set, values are its hashes or its buckets."""
+    """(id, key, size, values, prints) of (id, text): the key stands for the set, values are its hashes, or its buckets beside its fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -70,10 +165,12 @@ def _sets(docs: DataFrame, with_values: bool) -> DataFrame:
             ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             flat = np.concatenate([*lists, np.zeros(0, dtype=np.uint64)]).view(np.int64)
             values = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(sizes), values], names=["id", "key", "size", "values"])
+            marks = [prints(s).view(np.int64) if len(s) and not with_values else None for s in sets]
+            columns = [batch.column(0), pa.array(keys), pa.array(sizes), values, pa.array(marks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "size", "values", "prints"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {id_type}, key bigint, size int, values array<bigint>")
+    return docs.mapInArrow(run, f"id {id_type}, key bigint, size int, values array<bigint>, prints array<bigint>")
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -124,7 +221,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = stored(_sets(texts, with_values=False))
     each = marked.select("key", "size", F.explode("values").alias("bucket")).distinct()
     full = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    rows = stored(each.join(full, "bucket", "left_semi"))
+    met = stored(_meetings(marked.filter("size > 0").select("key", "prints").dropDuplicates(["key"])))
+    sized = marked.select(F.col("key").alias("of_key"), "size").join(met.select("key").distinct(), F.col("of_key") == F.col("key"), "left_semi").distinct()
+    meeting = met.join(sized, F.col("key") == F.col("of_key")).select("bucket", "key", "size")
+    rows = stored(meeting.unionByName(each.join(full, "bucket", "left_semi")))
 
     ids = marked.join(rows.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("needed"))
     needed = texts.join(ids.select("needed").distinct(), F.col("id").eqNullSafe(F.col("needed")), "left_semi")

@@ -47,3 +47,36 @@ def test_bands_find_the_threshold():
         missed += not (a == b).any()
     assert missed == 0
     assert len(near_copies.shingles("one two", xxh64_intdigest)) == 1
+
+
+def test_fingerprints_meet_at_anchors(spark):
+    """All pairs of Jaccard 0.8 share a bucket made of SimHash meetings alone; other texts meet nobody."""
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(150):
+        common, own = rng.integers(0, 2**64, 160, dtype=np.uint64), rng.integers(0, 2**64, (2, 20), dtype=np.uint64)
+        sets += [np.unique(np.concatenate([common, x])) for x in own]
+    sets += [rng.integers(0, 2**64, 200, dtype=np.uint64) for _ in range(100)]
+    rows = [(k, near_copies.prints(s).view(np.int64).tolist()) for k, s in enumerate(sets)]
+    met = near_copies._meetings(spark.createDataFrame(rows, "key bigint, prints array<bigint>")).collect()
+    buckets = {}
+    for r in met:
+        buckets.setdefault(r.bucket, set()).add(r.key)
+    assert {frozenset(b) for b in buckets.values()} == {frozenset((2 * k, 2 * k + 1)) for k in range(150)}
+
+
+def test_groups_of_an_anchor_are_connected_components():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**64, (6, 3), dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (900, 3, 14), dtype=np.uint64)
+    words = centres[rng.integers(0, 6, 900)] ^ np.bitwise_xor.reduce(flips, axis=2)
+    home = rng.random(900) < 0.3
+    group = near_copies.gathered(words, home)
+    met = np.bitwise_count(words[:, None, :] ^ words[None, :, :]).sum(axis=2) <= near_copies.APART
+    met &= home[:, None] | home[None, :]
+    np.fill_diagonal(met, True)
+    label = np.arange(900)
+    while (least := np.where(met, label[None, :], 900).min(axis=1)).tolist() != label.tolist():
+        label = np.minimum(label, least)
+    assert 6 < len(set(label.tolist())) < 900
+    assert [group.tolist().index(g) for g in group.tolist()] == label.tolist()
