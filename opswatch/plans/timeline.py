@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opswatch.functions.status import attempt_kind
+from opswatch.operators.blocks import stored
 from opswatch.operators.filters import RUN_SUBJECTS
 from opswatch.operators.paging import page
 from opswatch.operators.skew import spread_blank
@@ -124,7 +125,11 @@ SUBJECT = {"run_event_details": "job_id", "attempts": "job_id", "findings": "job
 
 
 def only_about(tables: Tables, runs: DataFrame) -> Tables:
-    """Every source of the timeline cut to the given runs by a semi join."""
+    """Every source of the timeline cut to the given runs by a semi join.
+
+    The runs are stored first: Spark then knows how few they are and sends them to the sources instead of shuffling these.
+    """
+    runs = stored(runs)
     cut = {
         name: tables[name].join(runs.select(F.col("job_id").alias(key)), key, "left_semi") for name, key in SUBJECT.items()
     }
@@ -158,6 +163,6 @@ def chain_timeline(tables: Tables, chain_id: str, can_read_pii: bool = True, cap
 
 def run_timeline(tables: Tables, job_id: str, can_read_pii: bool = True, cap: int | None = None) -> DataFrame:
     """Timeline of the chain a run belongs to."""
-    own = tables.tasks.filter(F.col("job_id") == job_id).select("execution_chain_id")
+    own = stored(tables.tasks.filter(F.col("job_id") == job_id).select("execution_chain_id").distinct())
     members = tables.tasks.join(own, "execution_chain_id", "left_semi")
     return ordered(timeline_entries(only_about(tables, members), can_read_pii), cap)

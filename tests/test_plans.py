@@ -285,3 +285,19 @@ def test_timelines_are_whole_by_default(spark):
     assert timeline.ordered(entries, 9).filter("truncated").count() == 9
     for fn in (timeline.chain_timeline, timeline.run_timeline):
         assert inspect.signature(fn).parameters["cap"].default is None
+
+
+def test_sources_of_one_chain_are_not_shuffled(spark):
+    """However large the runs table is, its few rows of a chain are sent to the attempts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60k")
+    try:
+        tasks = spark.range(20_000).selectExpr("concat('j', id) AS job_id", "concat('c', id % 5000) AS execution_chain_id")
+        attempts = spark.range(20_000).selectExpr("concat('a', id) AS attempt_id", "concat('j', id) AS job_id")
+        others = {n: spark.createDataFrame([], f"{key} string") for n, key in timeline.SUBJECT.items() if n != "attempts"}
+        tables = literal_tables(tasks=tasks, attempts=attempts, **others)
+        cut = timeline.only_about(tables, tasks.filter("execution_chain_id = 'c7'"))["attempts"]
+        assert sorted(r.job_id for r in cut.collect()) == ["j10007", "j15007", "j5007", "j7"]
+        assert "hashpartitioning" not in cut._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in cut._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
