@@ -11,7 +11,6 @@ from opswatch.functions.status import attempt_kind
 from opswatch.operators.blocks import stored
 from opswatch.operators.filters import RUN_SUBJECTS
 from opswatch.operators.paging import page
-from opswatch.operators.skew import spread_blank
 from opswatch.sources.tables import Tables
 
 DETAIL = {
@@ -19,6 +18,7 @@ DETAIL = {
     "failure_category": "string", "pii_type": "string", "detector_id": "string", "policy_action": "string",
     "severity": "string", "rule_id": "string", "summary": "string", "annotation_type": "string", "evidence": "string",
 }
+ATTEMPT_STEPS = ("claimed", "started", "finished")
 SOURCES = ("EVENT", "ATTEMPT", "PII", "ALERT", "ANNOTATION")
 
 
@@ -45,10 +45,12 @@ def steps(df: DataFrame, moments: list[tuple[Column, Column]]) -> DataFrame:
 
 
 def event_entries(tables: Tables) -> DataFrame:
-    """Events, attempt events enriched with their attempt number."""
+    """Events, attempt events enriched with their attempt number; events about no attempt are not joined."""
     numbers = tables.attempts.select(F.col("attempt_id").alias("_attempt"), "attempt_number")
-    keyed = tables.run_event_details.withColumn("_attempt", spread_blank(F.col("attempt_id"), F.col("event_id")))
-    events = keyed.join(numbers, "_attempt", "left")
+    details = tables.run_event_details
+    about = details.filter(F.col("attempt_id") != "").join(numbers, F.col("attempt_id") == F.col("_attempt"), "left").drop("_attempt")
+    rest = details.filter(F.col("attempt_id").isNull() | (F.col("attempt_id") == "")).withColumn("attempt_number", F.lit(None).cast(numbers.schema["attempt_number"].dataType))
+    events = about.unionByName(rest)
     blank_to_null = F.nullif
     return events.select(
         *entry(
@@ -62,26 +64,28 @@ def event_entries(tables: Tables) -> DataFrame:
     )
 
 
-def attempt_entries(tables: Tables) -> DataFrame:
-    """Steps of attempts that no event already tells."""
-    moments = [
-        (F.lit("attempt.claimed"), F.col("claimed_at")),
-        (F.lit("attempt.started"), F.col("started_at")),
-        (F.lit("attempt.finished"), F.col("finished_at")),
-    ]
-    unpivoted = steps(tables.attempts, moments).withColumn("kind", attempt_kind(F.col("m.kind")))
-    told = tables.run_event_details.filter(F.col("attempt_id") != "").select(
-        "attempt_id", attempt_kind(F.col("event_type")).alias("kind")
-    )
-    untold = unpivoted.join(told, ["attempt_id", "kind"], "left_anti")
-    finished = F.col("kind") == "finished"
-    return untold.select(
+def untold_attempts(tables: Tables) -> DataFrame:
+    """Attempts with the times of those steps that no event already tells; attempts without such a step are left out."""
+    kind = attempt_kind(F.col("event_type"))
+    events = tables.run_event_details.filter(F.col("attempt_id") != "").select(F.col("attempt_id").alias("_told"), kind.alias("kind"))
+    told = events.filter("kind IS NOT NULL").groupBy("_told").agg(*[F.max(F.col("kind") == k).alias(f"_{k}") for k in ATTEMPT_STEPS])
+    joined = tables.attempts.join(told, F.col("attempt_id") == F.col("_told"), "left")
+    untold = {f"{k}_at": F.when(~F.coalesce(f"_{k}", F.lit(False)), F.col(f"{k}_at")) for k in ATTEMPT_STEPS}
+    return joined.withColumns(untold).filter(F.coalesce(*untold).isNotNull()).drop("_told", *[f"_{k}" for k in ATTEMPT_STEPS])
+
+
+def attempt_entries(attempts: DataFrame, *more: str) -> DataFrame:
+    """One entry for each step of an attempt whose time is known; ``more`` columns come along."""
+    each = steps(attempts, [(F.lit(k), F.col(f"{k}_at")) for k in ATTEMPT_STEPS])
+    finished = F.col("m.kind") == "finished"
+    return each.select(
         *entry(
-            "ATTEMPT", F.col("m.at"), F.col("m.kind"), F.col("job_id"),
+            "ATTEMPT", F.col("m.at"), F.concat(F.lit("attempt."), F.col("m.kind")), F.col("job_id"),
             padded(F.col("attempt_number"), F.col("attempt_id"), F.col("m.step")),
             attempt_id=F.col("attempt_id"), worker_id=F.col("worker_id"), attempt_number=F.col("attempt_number"),
             status=F.when(finished, F.col("status")), failure_category=F.when(finished, F.col("failure_category")),
-        )
+        ),
+        *more,
     )
 
 
@@ -137,13 +141,15 @@ def only_about(tables: Tables, runs: DataFrame) -> Tables:
 
 
 def timeline_entries(tables: Tables, can_read_pii: bool = True) -> DataFrame:
-    """Entries of every run, with the chain they belong to."""
-    parts = [event_entries(tables), attempt_entries(tables)]
+    """Entries of every run, with the chain they belong to. Attempts find their run before their steps become rows."""
+    parts = [event_entries(tables)]
     if can_read_pii:
         parts.append(finding_entries(tables))
     parts += [alert_entries(tables), annotation_entries(tables)]
     runs = tables.tasks.select(F.col("job_id").alias("run_id"), "execution_chain_id")
-    return reduce(DataFrame.unionByName, parts).join(runs, "run_id")
+    attempts = untold_attempts(tables).join(runs, F.col("job_id") == F.col("run_id"))
+    steps_of = attempt_entries(attempts.drop("run_id"), "execution_chain_id")
+    return reduce(DataFrame.unionByName, parts).join(runs, "run_id").unionByName(steps_of)
 
 
 def timeline_order() -> list[Column]:

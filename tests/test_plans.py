@@ -301,3 +301,32 @@ def test_sources_of_one_chain_are_not_shuffled(spark):
         assert "BroadcastHashJoin" in cut._jdf.queryExecution().sparkPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_attempts_are_shuffled_as_one_row(spark):
+    """Steps become rows behind the joins, and events about no attempt meet no attempt."""
+    at = "timestamp_seconds(id)"
+    attempts = spark.range(40).selectExpr(
+        "concat('a', id) AS attempt_id", "concat('j', id % 10) AS job_id", "'w' AS worker_id", "1 AS attempt_number", "'Failed' AS status",
+        f"{at} AS claimed_at", f"{at} AS started_at", f"if(id % 4 = 0, null, {at}) AS finished_at", "'x' AS failure_category",
+    )
+    events = spark.range(60).selectExpr(
+        "concat('e', id) AS event_id", "concat('j', id % 10) AS job_id", "if(id % 2 = 0, 'attempt.started', 'attempt.failed') AS event_type", f"{at} AS occurred_at",
+        "'p' AS producer_id", "id AS producer_sequence", "if(id >= 50, null, if(id >= 30, '', concat('a', id))) AS attempt_id", "'w' AS worker_id", "'' AS stream_position",
+    )
+    none = {n: spark.createDataFrame([], fields) for n, fields in {
+        "findings": "id long, job_id string, type string, detector_id string, policy_action string, created_at timestamp",
+        "alerts": "id long, subject_type string, subject_id string, severity string, rule_id string, summary string, opened_at timestamp, acknowledged_at timestamp, resolved_at timestamp",
+        "annotations": "id long, type string, subject_type string, subject_id string, evidence string, derived_at timestamp, resolved_at timestamp",
+    }.items()}
+    tasks = spark.range(9).selectExpr("concat('j', id) AS job_id", "'c' AS execution_chain_id")
+    found = timeline.timeline_entries(literal_tables(attempts=attempts, run_event_details=events, tasks=tasks, **none))
+    rows = [(r.source, r.event_type, r.attempt_id, r.attempt_number) for r in found.collect()]
+    expected = [("EVENT", "attempt.failed" if k % 2 else "attempt.started", f"a{k}" if k < 30 else None, 1 if k < 30 else None) for k in range(60) if k % 10 < 9]
+    for k in range(40):
+        told = {} if k >= 30 else {"finished"} if k % 2 else {"started"}
+        kept = [s for s in ("claimed", "started", "finished") if s not in told and not (s == "finished" and k % 4 == 0)]
+        expected += [("ATTEMPT", f"attempt.{s}", f"a{k}", 1) for s in kept if k % 10 < 9]
+    assert sorted(rows, key=repr) == sorted(expected, key=repr)
+    steps = found.filter("source = 'ATTEMPT'")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= steps.index("Generate") < steps.index("Join")
