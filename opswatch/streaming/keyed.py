@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opswatch.functions.timing import MICROS
+from opswatch.operators.sequences import kept_positions
 
 LATE = "1 hour"
+#: groups that the keys of a spaced stream are dealt into: a group costs some milliseconds in Python, whatever it holds
+SLOTS = 512
 
 
 def in_time_order(parts: Iterator[pd.DataFrame], tie: str) -> pd.DataFrame:
@@ -27,32 +31,55 @@ def spaced_stream(
 ) -> DataFrame:
     """Rows kept when each key may emit once per window, measured from the last kept row.
 
-    The state of a key expires once the watermark is a window past its last kept row.
+    Keys are dealt into ``SLOTS`` groups. The state of a group is the last kept time of its keys; a key is forgotten once the watermark is a
+    window past it. Rows are held once, in the frames they come in; only their times and ties are sorted.
     """
     window = int(window_seconds * MICROS)
-    timed = events.withWatermark(ts, late).withColumn("_t", F.unix_micros(F.col(ts)))
-    fields = [f for f in timed.schema.fields if f.name != "_t"]
+    fields = events.schema.fields
     names = [f.name for f in fields]
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    dated = events.withWatermark(ts, late).filter(F.col(ts).isNotNull())
+    timed = dated.withColumns({"_t": F.unix_micros(F.col(ts)), "_key": key, "_slot": F.pmod(F.xxhash64(*keys), F.lit(SLOTS))})
 
-    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def keep(slot: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        rows = in_time_order(parts, tie)
-        chosen = []
-        for t in rows["_t"]:
-            ok = last is None or t - last >= window
-            chosen.append(ok)
-            last = int(t) if ok else last
-        state.update((last,))
-        expires = (last + window) // 1000 + 1
-        if expires > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expires)
-        yield rows.loc[chosen, names]
-
-    return timed.groupBy(*keys).applyInPandasWithState(
-        keep, T.StructType(fields), "last BIGINT", "append", GroupStateTimeout.EventTimeTimeout
+        last = dict(zip(*state.get)) if state.exists else {}
+        number: dict[str, int] = {}
+        frames, times, codes, ties = [], [], [], []
+        for part in parts:
+            own, found = pd.factorize(part["_key"])
+            codes.append(np.array([number.setdefault(k, len(number)) for k in found], dtype=np.int32)[own])
+            times.append(part["_t"].to_numpy())
+            ties.append(part[tie].to_numpy())
+            frames.append(part[names])
+        t, code, ranks = np.concatenate(times), np.concatenate(codes), np.concatenate(ties)
+        stops = np.cumsum([0, *map(len, times)])
+        del times, codes, ties
+        if ranks.dtype == object:
+            ranks = pd.factorize(ranks, sort=True)[0]
+        order = np.lexsort((ranks, t, code))
+        del ranks
+        t, code = t[order], code[order]
+        edges = np.searchsorted(code, np.arange(len(number) + 1)).tolist()
+        chosen = np.zeros(len(order), dtype=bool)
+        for k, a, b in zip(number, edges, edges[1:]):
+            kept = kept_positions(t[a:b], window, last.get(k))
+            if kept:
+                last[k] = int(t[a + kept[-1]])
+                chosen[order[[a + i for i in kept]]] = True
+        watermark = state.getCurrentWatermarkMs()
+        last = {k: at for k, at in last.items() if (at + window) // 1000 + 1 > watermark}
+        state.update((list(last), list(last.values())))
+        if last:
+            state.setTimeoutTimestamp((max(last.values()) + window) // 1000 + 1)
+        for frame, a, b in zip(frames, stops, stops[1:]):
+            if chosen[a:b].any():
+                yield frame.loc[chosen[a:b]]
+
+    return timed.groupBy("_slot").applyInPandasWithState(
+        keep, T.StructType(fields), "keys ARRAY<STRING>, last ARRAY<BIGINT>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

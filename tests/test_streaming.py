@@ -164,3 +164,11 @@ def test_late_critical_events_are_never_lost(spark, tmp_path):
     stream = file_stream(spark, str(tmp_path / "in"), events.schema, files_per_trigger=1)
     got = result(keyed.coalesced_stream(stream, F.col("event_type") == "task.failed", 3600), "late").collect()
     assert sorted(r.id for r in got if r.event_type == "task.failed") == [10, 12, 200, 202, 300, 302]
+
+
+def test_spaced_keys_share_groups_and_rows_without_time_are_left_out(spark, tmp_path):
+    """Many keys meet in few groups, with a state of their own each, and a row without a time stops nothing."""
+    events = spark.range(3000).selectExpr("id", "concat('k', id % 700) AS k", "if(id % 701 = 700, null, timestamp_seconds(1000000 + id)) AS at")
+    kept = keyed.spaced_stream(split(events, str(tmp_path / "in"), 2, ["id"]), ["k"], "at", "id", 1000.0)
+    assert "_slot" in kept._jdf.queryExecution().logical().toString()
+    assert rows(result(kept, "spaced")) == rows(seq.spaced(events, ["k"], "at", "id", 1000.0))
