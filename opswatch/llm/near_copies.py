@@ -5,13 +5,18 @@ is at home at and visits the anchors of ``simhash``; there texts meet whose firs
 of 192 bits, where Jaccard 0.8 lets 29 differ on average. Texts of one anchor that such meetings connect are a bucket. Two texts of Jaccard
 0.8 meet nowhere with a probability of 2e-4, nearer ones less often. 32 bands of six minimum hashes are buckets as well, for the pairs
 that no anchor brings together: they miss 5e-5. Each candidate is verified on the whole sets. A bucket first compares its texts with
-one of them, twice with different ones, which joins a large group of near copies with as many comparisons as it has texts; then all
-of its pairs that are still apart are compared.
+one of them, twice with different ones, which joins a large group of near copies with as many comparisons as it has texts.
+
+The texts of buckets that are still apart then meet at the elements of their prefixes: in one order of the elements, rare ones first, two sets of
+Jaccard 0.8 share one of the first n / 5 + 1 of the larger and the first m / 9 + 1 of the smaller. An element's texts first meet one of its largest
+component, the one that has it earliest, as the original of a group of copies does; afterwards only texts outside that component meet the others.
+Sizes, places of the element and parities of the sets rule out pairs inside the join, without loss.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,8 @@ PRINTS, COMPARED, APART = 5, 3, 50
 TOGETHER = 6
 #: rounds in which a bucket's texts meet one of them
 STARS = 2
+#: a set has the parity of how many of its elements fall into each of 512 slots, as eight numbers
+PARITIES = [f"parity_{k}" for k in range(8)]
 #: shingles whose minimum hashes are computed at once
 AT_ONCE = 2048
 
@@ -204,10 +211,64 @@ def _stars(rows: DataFrame, turn: int) -> DataFrame:
     return met.groupBy(F.col("key").alias("b")).agg(F.min(F.struct("x.rank", "x.key")).alias("x")).select(F.col("x.key").alias("a"), "b")
 
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    other = rows.select("bucket", *[F.col(c).alias(f"of_{c}") for c in ("key", "root", "size")])
-    met = rows.join(other, "bucket").filter("key < of_key AND root <> of_root").filter(_alike(F.col("size"), F.col("of_size")))
-    return met.select(F.col("key").alias("a"), F.col("of_key").alias("b")).distinct()
+def _parities(sets: DataFrame) -> DataFrame:
+    """(key, values, parities) of (key, values)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.array(v, dtype=np.int64).view(np.uint64) for v in batch.column("values").to_pylist()]
+            odd = [np.bincount((v >> np.uint64(20) & np.uint64(511)).astype(np.int64), minlength=512) & 1 for v in each]
+            packed = np.packbits(np.array(odd, dtype=np.uint8).reshape(len(each), 512), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("values"), *map(pa.array, packed.T.copy())], names=["key", "values", *PARITIES])
+
+    return sets.select("key", "values").mapInArrow(run, "key bigint, values array<bigint>, " + ", ".join(f"{p} bigint" for p in PARITIES))
+
+
+def _prefixes(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """(element, pos, key, size, parities): the first size / 5 + 1 elements of each set in ``keys`` that another of them has as well."""
+    own = _parities(sets.join(keys, "key", "left_semi"))
+    each = stored(own.select("key", F.size("values").alias("size"), *PARITIES, F.explode("values").alias("element")))
+    n = each.groupBy("element").agg(F.count("*").alias("n"))
+    ranked = each.join(n, "element").groupBy("key", "size", *PARITIES).agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("ranked"))
+    first = F.slice("ranked", F.lit(1), F.expr(f"size * {ALL - SHARED} DIV {ALL} + 1").cast("int"))
+    rows = ranked.select("key", "size", *PARITIES, F.posexplode(first).alias("pos", "x"))
+    return stored(rows.filter("x.n > 1").select(F.col("x.element").alias("element"), "pos", "key", "size", *PARITIES))
+
+
+def _may_link(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """False only for sets that cannot have the Jaccard asked for, from their sizes, the places of an element that both have, and their parities.
+
+    Sets differ in at least as many elements as parities; of sets that link at most (n + m) / 9 differ.
+    """
+    n, m, i, j = a("size"), b("size"), a("pos"), b("pos")
+    short = F.when(n <= m, i * (SHARED + ALL) <= n * (ALL - SHARED)).otherwise(j * (SHARED + ALL) <= m * (ALL - SHARED))
+    places = (F.least(i, j) + F.least(n - i, m - j)) * (SHARED + ALL) >= (n + m) * SHARED
+    differing = reduce(lambda x, y: x + y, [F.bit_count(a(p).bitwiseXOR(b(p))) for p in PARITIES])
+    return _alike(n, m) & short & places & (differing * (SHARED + ALL) <= (n + m) * (ALL - SHARED))
+
+
+def _mixed(prefixes: DataFrame, links: DataFrame) -> DataFrame:
+    """Prefix rows of the elements whose texts are not yet in one component, with the largest component there and its first text."""
+    roots = stored(components(links))
+    known = prefixes.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+    known = stored(known)
+    of_root = known.groupBy("element", "root").agg(F.count("*").alias("n"), F.min(F.struct("pos", "size", "key", *PARITIES)).alias("first"))
+    largest = of_root.groupBy("element").agg(F.count("*").alias("n_roots"), F.max(F.struct("n", "root", "first")).alias("x")).filter("n_roots > 1")
+    return stored(known.join(largest.select("element", F.col("x.root").alias("main"), F.col("x.first").alias("first")), "element"))
+
+
+def _first_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs of the texts outside an element's largest component with the first text of that."""
+    met = mixed.filter("root <> main").filter(_may_link(F.col, lambda c: F.col(f"first.{c}")))
+    return met.select(F.col("first.key").alias("a"), F.col("key").alias("b")).distinct()
+
+
+def _other_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs in different components that share a prefix element and may link; one text at least is outside the element's largest component."""
+    a, b = mixed.filter("root <> main").alias("a"), mixed.alias("b")
+    apart = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.key") < F.col("b.key")))
+    met = a.join(b, (F.col("a.element") == F.col("b.element")) & apart & _may_link(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")))
+    return met.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,14 +292,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = stored(_sets(needed, with_values=True).groupBy("key").agg(F.first("values").alias("values")))
 
     links, left = None, _apart(rows, None)
-    for turn in range(STARS + 1):
-        pairs = _stars(left, turn) if turn < STARS else _all_pairs(left)
-        found = stored(_verified(pairs, sets))
+    for turn in range(STARS):
+        found = stored(_verified(_stars(left, turn), sets))
         links = found if links is None else links.unionByName(found)
-        if turn < STARS:
-            left = _apart(left, links)
-            if left.isEmpty():
-                break
+        left = _apart(left, links)
+        if left.isEmpty():
+            break
+    else:
+        prefixes = _prefixes(left.select("key").distinct(), sets)
+        for pairs in (_first_pairs, _other_pairs):
+            links = links.unionByName(stored(_verified(pairs(_mixed(prefixes, links)), sets)))
     roots = stored(components(links))
 
     classes = marked.groupBy("key").agg(F.min("id").alias("least_id"))

@@ -80,3 +80,40 @@ def test_groups_of_an_anchor_are_connected_components():
         label = np.minimum(label, least)
     assert 6 < len(set(label.tolist())) < 900
     assert [group.tolist().index(g) for g in group.tolist()] == label.tolist()
+
+
+def test_texts_beside_a_large_group_are_not_compared_with_all_of_it(spark, monkeypatch):
+    """Comparisons grow with the texts, not with the square of a group; the components are those of all pairs."""
+    words = prose(7, 200, 3000)
+    texts = [" ".join(edited(words, 1000 + k, 1 + k % 2)) for k in range(120)] + [" ".join(edited(words, 5000 + k, 5 + k % 6)) for k in range(60)]
+    least = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = least[i], least[j]
+                least = [min(a, b) if x in (a, b) else x for x in least]
+    compared, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, sets: (compared.append(pairs.count()), verified(pairs, sets))[1])
+    found = near_copies.near_copies(docs_frame(spark, list(enumerate(texts)))).collect()
+    assert {r.id: r.component_id for r in found} == dict(enumerate(least))
+    assert 10 < len(set(least)) < 70
+    assert sum(compared) < 4 * len(texts)
+
+
+def test_no_linked_pair_is_ruled_out(spark):
+    """Sets at and above the threshold, of equal and of different sizes, meet at a prefix element."""
+    rng = np.random.default_rng(4)
+    rows, linked = [], []
+    for k in range(200):
+        n = int(rng.integers(4, 300))
+        common = rng.integers(-(2**63), 2**63, n, dtype=np.int64)
+        more = n // 4  # the most that may come on top: n shared of n + n // 4
+        left = int(rng.integers(0, more + 1))
+        for extra in (left, more - left):
+            rows.append((len(rows), np.unique(np.concatenate([common, rng.integers(-(2**63), 2**63, extra, dtype=np.int64)])).tolist()))
+        if rows[-1][1] != rows[-2][1]:
+            linked.append((len(rows) - 2, len(rows) - 1))
+    sets = spark.createDataFrame(rows, "key bigint, values array<bigint>")
+    mixed = near_copies._mixed(near_copies._prefixes(sets.select("key"), sets), spark.createDataFrame([(-1, -2)], "a bigint, b bigint"))
+    for pairs in (near_copies._other_pairs(mixed), near_copies._first_pairs(mixed)):
+        assert {tuple(sorted(p)) for p in pairs.collect()} == set(linked)
