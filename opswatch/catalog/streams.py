@@ -134,7 +134,7 @@ def ticks(spark: SparkSession, stored: Tables) -> DataFrame:
     for k, at in enumerate(CLOCKS):
         since = f"occurred_at > '{CLOCKS[k - 1]}'" if k else "true"
         beats = stored.heartbeats.filter(f"occurred_at <= '{at}' AND {since}").select("id")
-        tick = beats.unionByName(spark.range(1)).withColumn("sweep_at", F.lit(at)).coalesce(1)
+        tick = beats.unionByName(spark.range(1)).withColumn("sweep_at", F.lit(at)).repartition(1)
         tick.write.mode("append").parquet(folder)
     return file_stream(spark, folder, tick.schema, files_per_trigger=1)
 

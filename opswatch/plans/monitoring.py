@@ -65,8 +65,9 @@ def newest_progress(events: DataFrame) -> DataFrame:
 def silent_runs(tables: Tables, now, silent_after: float = SILENT_AFTER) -> DataFrame:
     """Running runs without progress for a while, with the newest attempt's worker and its newest heartbeat."""
     running = tables.tasks.filter(F.col("status") == "Running").select("job_id")
-    quiet = newest_progress(tables.event_log).filter(age_seconds(F.col("last_event_at"), now) > silent_after)
-    attempt = latest_per_key(tables.attempts, ["job_id"], ["created_at", "attempt_id"], ["worker_id"])
+    progress = tables.derived("run_progress", lambda t: newest_progress(t.event_log))
+    quiet = progress.filter(age_seconds(F.col("last_event_at"), now) > silent_after)
+    attempt = tables.derived("newest_attempts", lambda t: latest_per_key(t.attempts, ["job_id"], ["created_at", "attempt_id"], ["worker_id"]))
     beat = tables.heartbeats.groupBy("worker_id").agg(F.max("occurred_at").alias("last_heartbeat_at"))
     return running.join(quiet, "job_id").join(attempt, "job_id").join(beat, "worker_id", "left")
 
@@ -107,6 +108,26 @@ def duplicate_executions(attempts: DataFrame) -> DataFrame:
     return counts.filter(F.col("active_attempt_count") > 1)
 
 
+def run_attempts(attempts: DataFrame) -> DataFrame:
+    """One row per run with all that the checks of a sweep ask of its attempts, from one pass."""
+    return attempts.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("attempt_count"),
+        F.count_if(F.col("status").isin(*ACTIVE_ATTEMPTS)).alias("active_attempt_count"),
+        F.max_by("worker_id", F.struct("created_at", "attempt_id")).alias("worker_id"),
+        F.max_by(F.struct("attempt_id", "status", "worker_id"), F.struct("attempt_number", "attempt_id")).alias("latest"),
+    )
+
+
+def shared_tables(attempts: DataFrame, progress: DataFrame) -> dict[str, DataFrame]:
+    """What the checks of a sweep derive from ``run_attempts`` and ``newest_progress``, under the names they look for."""
+    return {
+        "run_progress": progress,
+        "newest_attempts": attempts.select("job_id", "worker_id"),
+        "duplicate_runs": attempts.filter(F.col("active_attempt_count") > 1).select("job_id", "active_attempt_count"),
+        "attempt_summary": attempts.select("job_id", "attempt_count", "latest"),
+    }
+
+
 def missed_schedules(schedules: DataFrame, now, threshold: float = 300) -> DataFrame:
     """Enabled schedules whose next run time is well past."""
     overdue = seconds_between(now, F.col("next_run_at"))
@@ -130,7 +151,7 @@ def new_annotations(
     silent = silent_runs(tables, now, silent_after).withColumn("look", F.explode(F.array_compact(looks)))
     found = [
         silent.select(*annotation(F.col("look"), "TASK", "job_id", now, silence_evidence(silent_after))),
-        duplicate_executions(tables.attempts).select(
+        tables.derived("duplicate_runs", lambda t: duplicate_executions(t.attempts)).select(
             *annotation(
                 "RUN_DUPLICATE_SUSPECTED", "TASK", "job_id", now, F.to_json(F.struct("active_attempt_count"))
             )
@@ -155,7 +176,7 @@ def open_annotations(annotations: DataFrame, kind: str) -> DataFrame:
 def cleared_silence(tables: Tables, now, kind: str, silent_after: float = SILENT_AFTER) -> DataFrame:
     """Open stuck or lost annotations whose run finished or shows progress again."""
     status = tables.tasks.select(F.col("job_id").alias("subject_id"), "status")
-    progress = newest_progress(tables.event_log).withColumnRenamed("job_id", "subject_id")
+    progress = tables.derived("run_progress", lambda t: newest_progress(t.event_log)).withColumnRenamed("job_id", "subject_id")
     done = F.col("status").isin("Completed", "Failed") | (age_seconds(F.col("last_event_at"), now) < silent_after)
     joined = open_annotations(tables.annotations, kind).join(status, "subject_id").join(progress, "subject_id")
     return joined.filter(done)
@@ -163,7 +184,7 @@ def cleared_silence(tables: Tables, now, kind: str, silent_after: float = SILENT
 
 def cleared_duplicates(tables: Tables) -> DataFrame:
     """Open duplicate annotations whose run has at most one attempt in hand."""
-    still = duplicate_executions(tables.attempts).select(F.col("job_id").alias("subject_id"))
+    still = tables.derived("duplicate_runs", lambda t: duplicate_executions(t.attempts)).select(F.col("job_id").alias("subject_id"))
     return open_annotations(tables.annotations, "RUN_DUPLICATE_SUSPECTED").join(still, "subject_id", "left_anti")
 
 

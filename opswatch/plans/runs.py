@@ -87,7 +87,7 @@ def attempt_summary(attempts: DataFrame) -> DataFrame:
 
 def run_counts(tables: Tables, runs: DataFrame) -> DataFrame:
     """Source counts of each run, recomputed from their tables rather than incremented."""
-    attempts = attempt_summary(tables.attempts).select(
+    attempts = tables.derived("attempt_summary", lambda t: attempt_summary(t.attempts)).select(
         "job_id",
         "attempt_count",
         F.col("latest.attempt_id").alias("latest_attempt_id"),

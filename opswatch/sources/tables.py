@@ -39,6 +39,10 @@ class Tables:
             raise AttributeError(name)
         return self[name]
 
+    def derived(self, name: str, make: Callable[["Tables"], DataFrame]) -> DataFrame:
+        """A derived table that a caller has given under this name, to be shared by several queries; otherwise made from the others."""
+        return self._cache[name] if name in self._cache else make(self)
+
     def with_tables(self, **overrides: DataFrame) -> "Tables":
         """A copy in which some tables are replaced."""
         return Tables(self._loader, **{**self._cache, **overrides})

@@ -75,8 +75,9 @@ def alert_sweep(
         held = held_before(spark, f"{target}/alerts", ALERT_FIELDS, ["alert_id"], batch_id)
         alerts = overlaid(shaped(tables.alerts, ALERT_FIELDS), held, ["alert_id"]).persist(StorageLevel.MEMORY_AND_DISK)
         samples = alerting.metric_samples(tables, now).persist(StorageLevel.MEMORY_AND_DISK)
+        noted = tables.annotations.select("annotation_id", "type", "subject_type", "subject_id", "resolved_at", "evidence").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            parts = alerting.evaluate(tables.with_tables(alerts=alerts), in_force, now, version, samples)
+            parts = alerting.evaluate(tables.with_tables(alerts=alerts, annotations=noted), in_force, now, version, samples)
             opened = written(one_per(shaped(parts["opened"], ALERT_FIELDS), "alert_id"), f"{target}/opened", batch_id)
             resolved = written(shaped(parts["resolved"], ALERT_FIELDS).dropDuplicates(["alert_id"]), f"{target}/resolved", batch_id)
             ranked = written(parts["severity_changed"].join(resolved.select("alert_id"), "alert_id", "left_anti"), f"{target}/severity_changed", batch_id)
@@ -87,6 +88,7 @@ def alert_sweep(
                 about = F.sha2(F.concat_ws("|", "alert_id", "channel", "target"), 256)
                 upsert(rows.select(F.concat(F.lit("no-"), F.substring(about, 1, 26)).alias("notification_id"), "*"), f"{target}/notifications", batch_id)
         finally:
+            noted.unpersist()
             samples.unpersist()
             alerts.unpersist()
 
@@ -98,7 +100,8 @@ def monitoring_sweep(load: Callable[[object], Tables], clock: Callable[[DataFram
 
     ``<target>/annotations`` and ``<target>/states`` are keyed tables that the next sweep reads; ``opened``, ``resolved`` and ``transitions``
     hold the changes of each batch. ``checks`` adds named functions of (tables, now). A check that fails does not stop the others; its
-    name, the kind of error and its message are kept in ``check_failures``.
+    name, the kind of error and its message are kept in ``check_failures``. Attempts and the events that prove progress are folded to
+    one row per run once for all checks.
     """
 
     def sweep(batch: DataFrame, batch_id: int) -> None:
@@ -108,6 +111,13 @@ def monitoring_sweep(load: Callable[[object], Tables], clock: Callable[[DataFram
         known = held_before(spark, f"{target}/states", STATE_FIELDS, ["kind", "subject_id"], batch_id)
         annotations = overlaid(shaped(tables.annotations, ANNOTATION_FIELDS), held, ["annotation_id"])
         tables = tables.with_tables(annotations=annotations)
+        folded = []
+        try:
+            for fold, name in ((monitoring.run_attempts, "attempts"), (monitoring.newest_progress, "event_log")):
+                folded.append(fold(tables[name]).persist(StorageLevel.MEMORY_AND_DISK))
+            tables = tables.with_tables(**monitoring.shared_tables(*folded))
+        except Exception:  # noqa: BLE001 - a check that needs what is missing fails by itself and is reported below
+            pass
 
         def transitions() -> DataFrame:
             changed = written(monitoring.state_changes(monitoring.observed_states(tables, now), known), f"{target}/seen", batch_id)
@@ -129,6 +139,8 @@ def monitoring_sweep(load: Callable[[object], Tables], clock: Callable[[DataFram
                 done[name] = written(part(), f"{target}/{name}", batch_id)
             except Exception as error:  # noqa: BLE001 - one failing check must not stop the sweep; it is reported below
                 failures.append((name, type(error).__name__, str(error).split("\n")[0]))
+        for df in folded:
+            df.unpersist()
         changed = [done[n] for n in ("opened", "resolved") if n in done]
         if changed:
             upsert(changed[0] if len(changed) == 1 else changed[0].unionByName(changed[1]), f"{target}/annotations", batch_id)

@@ -138,6 +138,30 @@ def test_failing_check_is_named_and_stops_nothing(spark, sf_dir, tmp_path):
     assert spark.read.parquet(f"{target}/transitions").count() == 0
 
 
+def counting(frame, column):
+    """``frame`` and the number of its rows whose ``column`` was computed so far."""
+    seen = frame.sparkSession.sparkContext.accumulator(0)
+
+    def same(value):
+        seen.add(1)
+        return value
+
+    return frame.withColumn(column, F.udf(same, frame.schema[column].dataType).asNondeterministic()(column)), seen
+
+
+def test_sweeps_read_attempts_events_and_annotations_once(spark, sf_dir, tmp_path):
+    tables = raw_tables(spark, sf_dir)
+    attempts, of_attempts = counting(tables.attempts, "status")
+    events, of_events = counting(tables.event_log, "event_type")
+    counted = tables.with_tables(attempts=attempts, event_log=events)
+    sweeps.monitoring_sweep(lambda now: counted, lambda batch: NOW, str(tmp_path / "monitoring"))(spark.range(1), 0)
+    assert (of_attempts.value, of_events.value) == (attempts.count(), tables.event_log.count())
+    annotations, of_annotations = counting(tables.annotations, "subject_id")
+    sweep = sweeps.alert_sweep(lambda now: tables.with_tables(annotations=annotations), alerting.rules_frame(spark), lambda batch: NOW, str(tmp_path / "alerts"))
+    sweep(spark.range(1), 0)
+    assert of_annotations.value == tables.annotations.count()
+
+
 def test_ledger_batch_reads_touched_buckets_only(spark, tmp_path):
     """A batch about one schedule reads the folders of its bucket, however many schedules the ledger holds."""
     path = str(tmp_path / "ledger")
