@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import counted, stored
 from .components import components
 from .simhash import _UPPER_TO_LOWER, CODE_BITS, PARTS, ROWS_AT_ONCE, anchors
 
@@ -194,14 +194,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.filter(shared * (SHARED + ALL) >= (F.size("a_values") + F.size("b_values")) * SHARED).select("a", "b")
 
 
-def _apart(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Rows of the buckets whose texts are not yet in one component, with their component."""
-    if links is None:
-        return rows.withColumn("root", F.col("key"))
-    roots = stored(components(links))
+def _apart(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of the buckets whose texts are not in one component of ``roots``, with their component, and the number of these rows."""
     known = stored(rows.drop("root").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node"))
     mixed = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    return stored(known.join(mixed.select("bucket"), "bucket", "left_semi"))
+    rows, seen = counted(known.join(mixed.select("bucket"), "bucket", "left_semi"))
+    return rows, seen["n"]
 
 
 def _stars(rows: DataFrame, turn: int) -> DataFrame:
@@ -247,9 +245,12 @@ def _may_link(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     return _alike(n, m) & short & places & (differing * (SHARED + ALL) <= (n + m) * (ALL - SHARED))
 
 
-def _mixed(prefixes: DataFrame, links: DataFrame) -> DataFrame:
-    """Prefix rows of the elements whose texts are not yet in one component, with the largest component there and its first text."""
-    roots = stored(components(links))
+def _mixed(prefixes: DataFrame, links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Prefix rows of the elements whose texts are not yet in one component, with the largest component there and its first text.
+
+    ``roots`` are the components of ``links``, where these are known.
+    """
+    roots = stored(components(links)) if roots is None else roots
     known = prefixes.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
     known = stored(known)
     of_root = known.groupBy("element", "root").agg(F.count("*").alias("n"), F.min(F.struct("pos", "size", "key", *PARITIES)).alias("first"))
@@ -291,18 +292,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     needed = texts.join(ids.select("needed").distinct(), F.col("id").eqNullSafe(F.col("needed")), "left_semi")
     sets = stored(_sets(needed, with_values=True).groupBy("key").agg(F.first("values").alias("values")))
 
-    links, left = None, _apart(rows, None)
+    # components are computed anew only where links came in: each time is a few queries more, however few the links are
+    links, roots, left = None, None, rows.withColumn("root", F.col("key"))
     for turn in range(STARS):
-        found = stored(_verified(_stars(left, turn), sets))
-        links = found if links is None else links.unionByName(found)
-        left = _apart(left, links)
-        if left.isEmpty():
+        found, seen = counted(_verified(_stars(left, turn), sets))
+        if links is None or seen["n"]:
+            links = found if links is None else links.unionByName(found)
+            roots = stored(components(links))
+            left, n = _apart(left, roots)
+        if n == 0:
             break
     else:
         prefixes = _prefixes(left.select("key").distinct(), sets)
         for pairs in (_first_pairs, _other_pairs):
-            links = links.unionByName(stored(_verified(pairs(_mixed(prefixes, links)), sets)))
-    roots = stored(components(links))
+            found, seen = counted(_verified(pairs(_mixed(prefixes, links, roots)), sets))
+            if seen["n"]:
+                links = links.unionByName(found)
+                roots = stored(components(links))
 
     classes = marked.groupBy("key").agg(F.min("id").alias("least_id"))
     linked = classes.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
