@@ -9,9 +9,12 @@ from .common import counted
 
 
 def _with_smallest(pairs: DataFrame) -> DataFrame:
-    """(node, near) with the smallest of node's neighbours and itself; ``node`` is the grouping side."""
-    least = pairs.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("least"))
-    return pairs.join(least.withColumnRenamed("node", "own"), F.col("node") == F.col("own")).drop("own")
+    """(node, near) with the smallest of node's neighbours and itself; ``node`` is the grouping side.
+
+    Both sides are shuffled by then: a merge join sends nothing small through the driver, round for round.
+    """
+    least = pairs.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("least")).withColumnRenamed("node", "own")
+    return pairs.join(least.hint("merge"), F.col("node") == F.col("own")).drop("own")
 
 
 def _written(pairs: DataFrame) -> tuple[DataFrame, dict[str, int]]:

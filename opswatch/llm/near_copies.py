@@ -198,14 +198,19 @@ def _apart(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     """Rows of the buckets whose texts are not in one component of ``roots``, with their component, and the number of these rows."""
     known = stored(rows.drop("root").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node"))
     mixed = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    rows, seen = counted(known.join(mixed.select("bucket"), "bucket", "left_semi"))
+    rows, seen = counted(known.join(mixed.select("bucket").hint("merge"), "bucket", "left_semi"))
     return rows, seen["n"]
 
 
+def _with_stars(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``links`` and one link for each node of earlier components: they connect as all earlier links did, and settle in fewer rounds."""
+    return links.unionByName(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
 def _stars(rows: DataFrame, turn: int) -> DataFrame:
     """One pair for each text: with one that is the first of a bucket in the order of this turn."""
     first = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("rank"), "key", "root", "size")).alias("x"))
-    met = rows.join(first, "bucket").filter((F.col("root") != F.col("x.root")) & _alike(F.col("size"), F.col("x.size")))
+    met = rows.join(first.hint("merge"), "bucket").filter((F.col("root") != F.col("x.root")) & _alike(F.col("size"), F.col("x.size")))
     return met.groupBy(F.col("key").alias("b")).agg(F.min(F.struct("x.rank", "x.key")).alias("x")).select(F.col("x.key").alias("a"), "b")
 
 
@@ -227,7 +232,7 @@ def _prefixes(keys: DataFrame, sets: DataFrame) -> DataFrame:
     own = _parities(sets.join(keys, "key", "left_semi"))
     each = stored(own.select("key", F.size("values").alias("size"), *PARITIES, F.explode("values").alias("element")))
     n = each.groupBy("element").agg(F.count("*").alias("n"))
-    ranked = each.join(n, "element").groupBy("key", "size", *PARITIES).agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("ranked"))
+    ranked = each.join(n.hint("merge"), "element").groupBy("key", "size", *PARITIES).agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("ranked"))
     first = F.slice("ranked", F.lit(1), F.expr(f"size * {ALL - SHARED} DIV {ALL} + 1").cast("int"))
     rows = ranked.select("key", "size", *PARITIES, F.posexplode(first).alias("pos", "x"))
     return stored(rows.filter("x.n > 1").select(F.col("x.element").alias("element"), "pos", "key", "size", *PARITIES))
@@ -255,7 +260,8 @@ def _mixed(prefixes: DataFrame, links: DataFrame, roots: DataFrame | None = None
     known = stored(known)
     of_root = known.groupBy("element", "root").agg(F.count("*").alias("n"), F.min(F.struct("pos", "size", "key", *PARITIES)).alias("first"))
     largest = of_root.groupBy("element").agg(F.count("*").alias("n_roots"), F.max(F.struct("n", "root", "first")).alias("x")).filter("n_roots > 1")
-    return stored(known.join(largest.select("element", F.col("x.root").alias("main"), F.col("x.first").alias("first")), "element"))
+    largest = largest.select("element", F.col("x.root").alias("main"), F.col("x.first").alias("first"))
+    return stored(known.join(largest.hint("merge"), "element"))
 
 
 def _first_pairs(mixed: DataFrame) -> DataFrame:
@@ -286,7 +292,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = stored(_meetings(marked.filter("size > 0").select("key", "prints").dropDuplicates(["key"])))
     sized = marked.select(F.col("key").alias("of_key"), "size").join(met.select("key").distinct(), F.col("of_key") == F.col("key"), "left_semi").distinct()
     meeting = met.join(sized, F.col("key") == F.col("of_key")).select("bucket", "key", "size")
-    rows = stored(meeting.unionByName(each.join(full, "bucket", "left_semi")))
+    rows = stored(meeting.unionByName(each.join(full.hint("merge"), "bucket", "left_semi")))
 
     ids = marked.join(rows.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("needed"))
     needed = texts.join(ids.select("needed").distinct(), F.col("id").eqNullSafe(F.col("needed")), "left_semi")
@@ -297,7 +303,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for turn in range(STARS):
         found, seen = counted(_verified(_stars(left, turn), sets))
         if links is None or seen["n"]:
-            links = found if links is None else links.unionByName(found)
+            links = found if roots is None else _with_stars(found, roots)
             roots = stored(components(links))
             left, n = _apart(left, roots)
         if n == 0:
@@ -307,11 +313,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for pairs in (_first_pairs, _other_pairs):
             found, seen = counted(_verified(pairs(_mixed(prefixes, links, roots)), sets))
             if seen["n"]:
-                links = links.unionByName(found)
+                links = _with_stars(found, roots)
                 roots = stored(components(links))
 
     classes = marked.groupBy("key").agg(F.min("id").alias("least_id"))
     linked = classes.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "of")
-    of_key = linked.join(least, F.col("root") == F.col("of")).select(F.col("key").alias("class_key"), "component_id")
+    of_key = linked.join(least.hint("merge"), F.col("root") == F.col("of")).select(F.col("key").alias("class_key"), "component_id")
     return marked.join(of_key, F.col("key") == F.col("class_key")).select("id", "key", "component_id")

@@ -6,7 +6,7 @@ import pytest
 from helpers import docs_frame, edited, prose
 
 from opswatch.llm import common, near_copies
-from opswatch.llm.components import components
+from opswatch.llm.components import _with_smallest, components
 
 
 def jobs(spark, name, run):
@@ -49,6 +49,23 @@ def test_settled_links_take_one_round(spark):
     assert jobs(spark, "star", lambda: components(star))[1] <= 10
 
 
+def test_rounds_broadcast_nothing(spark):
+    """What is broadcast passes through the driver, which keeps it and a thread for it; a round's sides are shuffled already."""
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(40)], "node bigint, near bigint")
+    found = _with_smallest(pairs)
+    assert sorted(r.least for r in found.collect()) == list(range(40))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stars_stand_for_the_links_they_came_from(spark):
+    rng = random.Random(8)
+    old, new = ([(rng.randrange(400), rng.randrange(400)) for _ in range(n)] for n in (150, 60))
+    first, links = (spark.createDataFrame(x, "a bigint, b bigint") for x in (old, new))
+    found = components(near_copies._with_stars(links, components(first)))
+    expected = slow([p for p in old + new if p[0] != p[1]])
+    assert {r.node: r.root for r in found.collect()} == expected
+
+
 def test_near_copies_take_few_jobs(spark):
     """The driver keeps something of every job: the stage computes components only where links came in."""
     texts = [" ".join(edited(prose(k, 150, 3000), 100 * k + e, e)) for k in range(5) for e in (0, 1, 2, 3, 9)]
