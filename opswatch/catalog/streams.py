@@ -17,7 +17,7 @@ from opswatch.functions import feed
 from opswatch.functions.verdicts import queue_verdict
 from opswatch.plans import alerting
 from opswatch.sources.sinks import overlaid, read_keyed
-from opswatch.sources.tables import Tables, as_of
+from opswatch.sources.tables import RECORDED_AT, Tables, as_of
 from opswatch.sources.views import NOW
 from opswatch.streaming import feeds, keyed, projections, sweeps
 from opswatch.streaming.sources import drain, file_stream, fresh_folder
@@ -232,7 +232,8 @@ TRANSITIONS = " UNION ALL ".join(
 
 def swept_monitoring(spark: SparkSession, stored: Tables) -> str:
     target = fresh_folder(spark, "monitoring")
-    sweep = sweeps.monitoring_sweep(lambda now: as_of(stored, now), clock, target, stuck_window=DAY, lost_window=4 * 3600)
+    fixed = "attempts" not in RECORDED_AT  # then ``as_of`` gives all stored attempts at every time
+    sweep = sweeps.monitoring_sweep(lambda now: as_of(stored, now), clock, target, same_attempts=fixed, stuck_window=DAY, lost_window=4 * 3600)
     drain(ticks(spark, stored), "monitoring-sweep", "append", sweep)
     return target
 

@@ -109,12 +109,22 @@ def duplicate_executions(attempts: DataFrame) -> DataFrame:
 
 
 def run_attempts(attempts: DataFrame) -> DataFrame:
-    """One row per run with all that the checks of a sweep ask of its attempts, from one pass."""
+    """One row per run with all that the checks of a sweep ask of its attempts, from one pass.
+
+    The newest and the latest attempt are maxima of rows that begin with their order, so the shuffle carries each order once.
+    """
+    newest, latest = F.col("newest"), F.col("latest")
     return attempts.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("attempt_count"),
         F.count_if(F.col("status").isin(*ACTIVE_ATTEMPTS)).alias("active_attempt_count"),
-        F.max_by("worker_id", F.struct("created_at", "attempt_id")).alias("worker_id"),
-        F.max_by(F.struct("attempt_id", "status", "worker_id"), F.struct("attempt_number", "attempt_id")).alias("latest"),
+        F.max(F.struct("created_at", "attempt_id", "worker_id")).alias("newest"),
+        F.max(F.struct("attempt_number", "attempt_id", "status", "worker_id")).alias("latest"),
+    ).select(
+        "job_id",
+        "attempt_count",
+        "active_attempt_count",
+        newest["worker_id"].alias("worker_id"),
+        F.struct(*[latest[c].alias(c) for c in ("attempt_id", "status", "worker_id")]).alias("latest"),
     )
 
 
@@ -169,16 +179,17 @@ def with_annotation_id(found: DataFrame) -> DataFrame:
     return found.select(F.concat(F.lit("an-"), F.substring(F.sha2(about, 256), 1, 26)).alias("annotation_id"), "*")
 
 
-def open_annotations(annotations: DataFrame, kind: str) -> DataFrame:
-    return annotations.filter(F.col("resolved_at").isNull() & (F.col("type") == kind))
+def open_annotations(annotations: DataFrame, *kinds: str) -> DataFrame:
+    return annotations.filter(F.col("resolved_at").isNull() & F.col("type").isin(*kinds))
 
 
-def cleared_silence(tables: Tables, now, kind: str, silent_after: float = SILENT_AFTER) -> DataFrame:
-    """Open stuck or lost annotations whose run finished or shows progress again."""
+def cleared_silence(tables: Tables, now, kinds: str | tuple[str, ...], silent_after: float = SILENT_AFTER) -> DataFrame:
+    """Open annotations of these kinds, stuck or lost, whose run finished or shows progress again."""
+    kinds = (kinds,) if isinstance(kinds, str) else kinds
     status = tables.tasks.select(F.col("job_id").alias("subject_id"), "status")
     progress = tables.derived("run_progress", lambda t: newest_progress(t.event_log)).withColumnRenamed("job_id", "subject_id")
     done = F.col("status").isin("Completed", "Failed") | (age_seconds(F.col("last_event_at"), now) < silent_after)
-    joined = open_annotations(tables.annotations, kind).join(status, "subject_id").join(progress, "subject_id")
+    joined = open_annotations(tables.annotations, *kinds).join(status, "subject_id").join(progress, "subject_id")
     return joined.filter(done)
 
 
@@ -199,8 +210,7 @@ def resolved_annotations(tables: Tables, now, silent_after: float = SILENT_AFTER
     """Annotations one monitoring pass closes, with their ``resolved_at`` set."""
     keep = tables.annotations.columns
     cleared = [
-        cleared_silence(tables, now, "RUN_STUCK", silent_after),
-        cleared_silence(tables, now, "RUN_LOST", silent_after),
+        cleared_silence(tables, now, ("RUN_STUCK", "RUN_LOST"), silent_after),
         cleared_duplicates(tables),
         recovered_schedules(tables, now),
     ]

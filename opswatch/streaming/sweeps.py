@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from opswatch.functions.verdicts import sweep_status
 from opswatch.plans import alerting, monitoring, runs
+from opswatch.session import dropping_shuffles
 from opswatch.sources.sinks import VERSION, create_keyed, overlaid, read_keyed, upsert
 from opswatch.sources.tables import Tables
 
@@ -42,10 +43,18 @@ def one_per(df: DataFrame, key: str) -> DataFrame:
 
 def written(rows: DataFrame, path: str, batch_id: int) -> DataFrame:
     """Store the rows of a batch and read them back, so that they are computed once."""
-    upsert(rows, path, batch_id)
+    with dropping_shuffles(rows.sparkSession):
+        upsert(rows, path, batch_id)
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{VERSION}={batch_id}")
 
 
+def kept(rows: DataFrame, path: str) -> DataFrame:
+    """Store rows in place of those an earlier sweep left there and read them back: what the checks of a sweep share."""
+    with dropping_shuffles(rows.sparkSession):
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def held_before(spark: SparkSession, path: str, fields: str, key: list[str], batch_id: int) -> DataFrame:
     """What sweeps before this batch left in a keyed table."""
     create_keyed(spark, path, fields)
@@ -95,14 +104,23 @@ def alert_sweep(
     return sweep
 
 
-def monitoring_sweep(load: Callable[[object], Tables], clock: Callable[[DataFrame], object], target: str, checks: dict[str, Callable] | None = None, **thresholds):
+def monitoring_sweep(
+    load: Callable[[object], Tables],
+    clock: Callable[[DataFrame], object],
+    target: str,
+    checks: dict[str, Callable] | None = None,
+    same_attempts: bool = False,
+    **thresholds,
+):
     """Batch function: derive annotations, resolve cleared ones, report state transitions, refresh run counts, record the sweep's own health.
 
     ``<target>/annotations`` and ``<target>/states`` are keyed tables that the next sweep reads; ``opened``, ``resolved`` and ``transitions``
     hold the changes of each batch. ``checks`` adds named functions of (tables, now). A check that fails does not stop the others; its
     name, the kind of error and its message are kept in ``check_failures``. Attempts and the events that prove progress are folded to
-    one row per run once for all checks.
+    one row per run once for all checks; the folds and the annotations in sight are stored in ``<target>/shared`` and replaced by the next sweep.
+    ``same_attempts`` says that ``load`` gives the same attempts at every time, so that later sweeps of this function take the first one's fold.
     """
+    folds: dict[str, DataFrame] = {}
 
     def sweep(batch: DataFrame, batch_id: int) -> None:
         spark, now = batch.sparkSession, clock(batch)
@@ -111,11 +129,12 @@ def monitoring_sweep(load: Callable[[object], Tables], clock: Callable[[DataFram
         known = held_before(spark, f"{target}/states", STATE_FIELDS, ["kind", "subject_id"], batch_id)
         annotations = overlaid(shaped(tables.annotations, ANNOTATION_FIELDS), held, ["annotation_id"])
         tables = tables.with_tables(annotations=annotations)
-        folded = []
         try:
-            for fold, name in ((monitoring.run_attempts, "attempts"), (monitoring.newest_progress, "event_log")):
-                folded.append(fold(tables[name]).persist(StorageLevel.MEMORY_AND_DISK))
-            tables = tables.with_tables(**monitoring.shared_tables(*folded))
+            tables = tables.with_tables(annotations=kept(annotations, f"{target}/shared/annotations"))
+            if not (same_attempts and "attempts" in folds):
+                folds["attempts"] = kept(monitoring.run_attempts(tables.attempts), f"{target}/shared/attempts")
+            folds["progress"] = kept(monitoring.newest_progress(tables.event_log), f"{target}/shared/progress")
+            tables = tables.with_tables(**monitoring.shared_tables(folds["attempts"], folds["progress"]))
         except Exception:  # noqa: BLE001 - a check that needs what is missing fails by itself and is reported below
             pass
 
@@ -139,8 +158,6 @@ def monitoring_sweep(load: Callable[[object], Tables], clock: Callable[[DataFram
                 done[name] = written(part(), f"{target}/{name}", batch_id)
             except Exception as error:  # noqa: BLE001 - one failing check must not stop the sweep; it is reported below
                 failures.append((name, type(error).__name__, str(error).split("\n")[0]))
-        for df in folded:
-            df.unpersist()
         changed = [done[n] for n in ("opened", "resolved") if n in done]
         if changed:
             upsert(changed[0] if len(changed) == 1 else changed[0].unionByName(changed[1]), f"{target}/annotations", batch_id)

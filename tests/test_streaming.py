@@ -1,6 +1,7 @@
 """Streams over several micro batches give the batch result."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 from opswatch.operators import sequences as seq
 from opswatch.operators.folds import fold_occurrences, fold_runs, summarize_schedules
 from opswatch.operators.policy import DEFAULT_POLICY
-from opswatch.plans import alerting
+from opswatch.plans import alerting, monitoring
 from opswatch.plans.pii_scan import scan_artifacts
+from opswatch.session import SHUFFLE_CLEANUP
 from opswatch.sources.sinks import read_keyed, upsert, version_log
 from opswatch.sources.tables import raw_tables
 from opswatch.sources.views import NOW
@@ -162,6 +164,73 @@ def test_sweeps_read_attempts_events_and_annotations_once(spark, sf_dir, tmp_pat
     assert of_annotations.value == tables.annotations.count()
 
 
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_"))
+
+
+def test_monitoring_sweep_leaves_no_shuffle_files_and_nothing_cached(spark, sf_dir, tmp_path):
+    """The folds go to storage, so neither they nor the checks hold shuffle files until the driver collects its garbage."""
+    tables = raw_tables(spark, sf_dir)
+    before, cached = shuffle_bytes(spark), spark.sparkContext._jsc.getPersistentRDDs().size()
+    most = []
+
+    def look(tables, now):
+        most.append((shuffle_bytes(spark), spark.sparkContext._jsc.getPersistentRDDs().size()))
+        return tables.attempts.groupBy("job_id").count()
+
+    sweep = sweeps.monitoring_sweep(lambda now: tables, lambda batch: NOW, str(tmp_path / "monitoring"), checks={"look": look})
+    sweep(spark.range(1), 0)
+    until = time.time() + 30
+    while shuffle_bytes(spark) > before and time.time() < until:
+        time.sleep(0.5)  # files are removed beside the next query
+    assert shuffle_bytes(spark) <= before and most[0][1] <= cached
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
+    assert spark.read.parquet(str(tmp_path / "monitoring" / "look")).count() == tables.attempts.select("job_id").distinct().count()
+
+
+def test_sweeps_share_attempts_only_when_told_and_see_annotations_once(spark, sf_dir, tmp_path):
+    tables = raw_tables(spark, sf_dir)
+    left = {}
+    for same in (False, True):
+        attempts, seen = counting(tables.attempts, "status")
+        annotations, noted = counting(tables.annotations, "evidence")
+        counted = tables.with_tables(attempts=attempts, annotations=annotations)
+        target = str(tmp_path / f"same-{same}")
+        sweep = sweeps.monitoring_sweep(lambda now, t=counted: t, lambda batch: NOW, target, same_attempts=same)
+        for batch_id in (0, 1):
+            sweep(spark.range(1), batch_id)
+        assert seen.value == attempts.count() * (1 if same else 2)
+        assert noted.value <= 2 * tables.annotations.count()
+        left[same] = [rows(spark.read.parquet(f"{target}/{name}")) for name in ("run_counts", "annotations", "opened", "resolved")]
+    assert left[False] == left[True] and all(left[True][:3])
+
+
+def test_a_sweep_sees_new_attempts(spark, sf_dir, tmp_path):
+    """Unless told otherwise each sweep folds the attempts anew, and replaces the fold of the sweep before."""
+    tables = raw_tables(spark, sf_dir)
+    more = iter((tables.attempts.filter("attempt_number < 3"), tables.attempts))
+    target = str(tmp_path / "monitoring")
+    sweep = sweeps.monitoring_sweep(lambda now: tables.with_tables(attempts=next(more)), lambda batch: NOW, target)
+    for batch_id in (0, 1):
+        sweep(spark.range(1), batch_id)
+    counted = {r.version: r.n for r in spark.read.parquet(f"{target}/run_counts").groupBy("version").agg(F.sum("attempt_count").alias("n")).collect()}
+    known = tables.attempts.join(tables.tasks, "job_id", "left_semi")
+    assert counted == {0: known.filter("attempt_number < 3").count(), 1: known.count()}
+
+
+def test_run_attempts_take_newest_and_latest_with_nulls_and_repeats(spark):
+    """The newest attempt by time and the latest by number may differ; unset orders come first, and a repeated row counts twice."""
+    at = [None, *[BASE + timedelta(hours=h) for h in range(3)]]
+    data = [
+        ("j1", "a1", "w1", 2, "Failed", at[1]), ("j1", "a2", "w2", 1, "Started", at[3]), ("j1", "a2", "w2", 1, "Started", at[3]),
+        ("j2", "b1", "w3", None, "Claimed", at[2]), ("j2", "b2", None, 1, None, None), (None, None, "w4", 1, "Succeeded", at[1]),
+    ]
+    attempts = spark.createDataFrame(data, "job_id string, attempt_id string, worker_id string, attempt_number int, status string, created_at timestamp")
+    got = {r.job_id: (r.attempt_count, r.active_attempt_count, r.worker_id, tuple(r.latest)) for r in monitoring.run_attempts(attempts).collect()}
+    assert got == {"j1": (3, 2, "w2", ("a1", "Failed", "w1")), "j2": (2, 1, "w3", ("b2", None, None)), None: (1, 0, "w4", (None, "Succeeded", "w4"))}
+
+
 def test_ledger_batch_reads_touched_buckets_only(spark, tmp_path):
     """A batch about one schedule reads the folders of its bucket, however many schedules the ledger holds."""
     path = str(tmp_path / "ledger")
